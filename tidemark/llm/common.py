@@ -100,14 +100,16 @@ def text_slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[in
         lo = hi
 
 
-def find_words(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_words(buf: np.ndarray, offs: np.ndarray, word: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Starts, ends (bytes), row numbers and 64-bit hashes of the words of A-Z-lower-cased rows.
 
-    Hashes are polynomials over the bytes modulo 2**64, mixed; equal words hash equal.
+    Hashes are polynomials over the bytes modulo 2**64, mixed; equal words hash
+    equal. For each length in ``prefixes`` an array follows with the hashes of
+    the words' first bytes, 0 where a word is not longer than that.
     """
     if not len(buf):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, *(np.zeros(0, np.uint64) for _ in (0, *prefixes))
     low = LOWER_BYTES[buf]
     m = word[low]
     first, last = m.copy(), m.copy()
@@ -119,16 +121,21 @@ def find_words(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.
     last[row_end] = m[row_end]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     h = np.empty(len(s), np.uint64)
+    heads = [np.zeros(len(s), np.uint64) for _ in prefixes]
     k = 0
     while k < len(s):
         k2 = max(k + 1, int(np.searchsorted(e, s[k] + _CHUNK, "right")))
         a, b = s[k], e[k2 - 1]
         c = np.zeros(b - a + 1, np.uint64)
         np.cumsum((low[a:b].astype(np.uint64) + np.uint64(1)) * _power_table(_R, b - a, "up"), out=c[1:])
-        h[k:k2] = (c[e[k:k2] - a] - c[s[k:k2] - a]) * _power_table(_RINV, b - a, "down")[s[k:k2] - a]
+        at, down = s[k:k2] - a, _power_table(_RINV, b - a, "down")[s[k:k2] - a]
+        h[k:k2] = (c[e[k:k2] - a] - c[at]) * down
+        for head, m in zip(heads, prefixes):
+            longer = np.flatnonzero(e[k:k2] - s[k:k2] > m)
+            head[k + longer] = mix((c[at[longer] + m] - c[at[longer]]) * down[longer] + np.uint64(m))
         k = k2
     row = np.searchsorted(offs, s, "right") - 1
-    return s, e, row, mix(h)
+    return s, e, row, mix(h), *heads
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, oracles, pii
+from tidemark.llm import bpe, oracles, pii, quality, toxicity
+from tidemark.llm.ann import search
+from tidemark.llm.decontaminate import find_copies
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.license_scan import scan_licenses
@@ -38,6 +40,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, field)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents"))
     count = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
@@ -45,6 +54,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(every).alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality.fit(docs, _table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, trees)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,5 +81,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_pii, op8_bpe, op9_html_text, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_toxicity, op4_pii, op5_quality, op6_decontaminate, op7_nearest, op8_bpe, op9_html_text, op10_jaccard_join)}
 ORACLES: dict[str, str] = oracles.SQL
