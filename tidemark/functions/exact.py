@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LIMBS = 5
 
@@ -22,7 +23,7 @@ def limb_sums(x: Column, prefix: str) -> list[Column]:
 
 def finish_sum(limbs: list[Column]) -> Column:
     """The sum as decimal(38,0), null for no values; only the final total can overflow, which is an error."""
-    base = F.lit(10**9).cast("decimal(10,0)")
+    base = F.lit("1" + "0" * 9).cast("decimal(10,0)")
     carry: Column = F.lit(0).cast("decimal(38,0)")
     low: list[Column] = []
     for i in range(LIMBS - 1):
@@ -33,8 +34,8 @@ def finish_sum(limbs: list[Column]) -> Column:
     top = (limbs[LIMBS - 1] + carry).cast("decimal(38,0)")
     rest: Column = low[0]
     for i in range(1, LIMBS - 1):
-        rest = (rest + low[i] * F.lit(10 ** (9 * i)).cast(f"decimal({9 * i + 1},0)")).cast("decimal(38,0)")
-    unit = F.lit(10**36).cast("decimal(37,0)")
+        rest = (rest + low[i] * F.lit("1" + "0" * (9 * i)).cast(f"decimal({9 * i + 1},0)")).cast("decimal(38,0)")
+    unit = F.lit("1" + "0" * 36).cast("decimal(37,0)")
     fits = (top < 100) & ((top > -100) | ((top == -100) & (rest > 0)))
     up = (top.cast("decimal(3,0)") * unit + rest).cast("decimal(38,0)")
     down = ((top + 1).cast("decimal(3,0)") * unit - (unit - rest)).cast("decimal(38,0)")
@@ -46,7 +47,7 @@ def _numerator(parts) -> int:
     return sum(int(p) * 10 ** (9 * i) for i, p in enumerate(parts))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def exact_average(count, *parts):
     """Numerator over count, scale 9, half-even; runs on reduced groups only. Null for no values."""
     if not count or any(p is None for p in parts):
@@ -58,7 +59,7 @@ def exact_average(count, *parts):
     return f"{sign}{scaled // 10**9}.{scaled % 10**9:09d}"
 
 
-@F.udf("string")
+@F.udf(StringType())
 def average_order(count, *parts):
     """A string that sorts as the exact rational average: 40 digits after the point tell any two averages apart."""
     if not count or any(p is None for p in parts):

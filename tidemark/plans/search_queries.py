@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,41 +18,49 @@ SCOPE = P.Scope(1, (1, 2, 3), ("error", "log"), START, START + 12 * DAY)
 SCOPE_SQL = f"tenant_id = 1 and project_id in (1, 2, 3) and kind in ('error', 'log') and event_time_us >= {START} and event_time_us < {START + 12 * DAY}"
 CUTS = tuple(1 + 3 * lane for lane in range(16))
 
-K = P.attr("attributes", "/k", "integer")
-VALUE = P.attr("attributes", "/value", "double")
-FLAG = P.attr("attributes", "/flag", "boolean")
-TYPE = P.attr("tags", "/event_type", "string")
+def K() -> Column:
+    return P.attr("attributes", "/k", "integer")
+
+def VALUE() -> Column:
+    return P.attr("attributes", "/value", "double")
+
+def FLAG() -> Column:
+    return P.attr("attributes", "/flag", "boolean")
+
+def TYPE() -> Column:
+    return P.attr("tags", "/event_type", "string")
+
 
 
-def _pred(name: str, where: Column, sql: str) -> None:
+def _pred(name: str, where: Callable[[], Column], sql: str) -> None:
     """Registers a predicate over the scoped records."""
-    query(name, f"{RECORDS_SQL} select record_id, kind from records where {SCOPE_SQL} and ({sql})")(lambda spark, d: SCOPE.apply(records(spark, d)).where(where).select("record_id", "kind"))
-
-
-_pred("scope_filter", P.constant(True), "true")
-_pred("pred_constant", P.any_of(P.constant(False), P.not_(P.constant(True))), "false")
-_pred("pred_field", P.eq(P.field("environment"), "prod"), "environment = 'prod'")
-_pred("pred_attr", K.isNotNull(), "k is not null")
-_pred("pred_eq", P.eq(K, 7), "k = 7")
-_pred("pred_ne", P.ne(K, 7), "k <> 7")
-_pred("pred_lt", P.lt(K, 20), "k < 20")
-_pred("pred_le", P.le(VALUE, 20.5), "value <= 20.5")
-_pred("pred_gt", P.gt(K, 50), "k > 50")
-_pred("pred_ge", P.ge(P.field("severity_number"), 13), "severity_number >= 13")
-_pred("pred_and", P.all_of(P.gt(K, 10), P.lt(VALUE, 50.0), P.eq(FLAG, True)), "k > 10 and value < 50 and user_id % 2 = 0")
-_pred("pred_or", P.any_of(P.eq(K, 1), P.eq(K, 2), P.eq(TYPE, "signup")), "coalesce(k in (1, 2), false) or event_type = 'signup'")
-_pred("pred_not", P.not_(P.eq(K, 7)), "not coalesce(k = 7, false)")
-_pred("pred_in", P.in_(P.field("service"), ["svc-1", "svc-4"]), "service in ('svc-1', 'svc-4')")
-_pred("pred_contains", P.contains(P.field("message"), "by user 1_"), "contains(message, 'by user 1_')")
-_pred("pred_starts_with", P.starts_with(P.field("message"), "click by"), "starts_with(message, 'click by')")
-_pred("pred_ends_with", P.ends_with(P.field("message"), "7"), "suffix(message, '7')")
-_pred("pred_icontains", P.icontains(P.field("message"), "BY USER 12"), "contains(lower(message), lower('BY USER 12'))")
-_pred("pred_matches", P.matches(P.field("message"), r"(view|error) by user \d*5$"), r"regexp_matches(message, '(view|error) by user \d*5$')")
-_pred("pred_text", P.text("user 42"), "contains(event_type, 'user 42') or contains('user ' || user_id, 'user 42')")
-_pred("pred_exists", P.exists("attributes", "/k"), "k_type <> 'missing'")
-_pred("pred_is_null", P.is_null("attributes", "/k"), "k_type = 'null'")
-_pred("pred_array_contains", P.array_contains("attributes", "/features", "string", "click"), "event_id % 3 = 0 and event_type = 'click'")
-_pred("pred_attr_ops", P.all_of(P.starts_with(TYPE, "si"), P.contains(TYPE, "gn"), P.matches(TYPE, "up$")), "event_type = 'signup'")
+    query(name, f"{RECORDS_SQL} select record_id, kind from records where {SCOPE_SQL} and ({sql})")(lambda spark, d: SCOPE.apply(records(spark, d)).where(where()).select("record_id", "kind"))
+
+
+_pred("scope_filter", lambda: P.constant(True), "true")
+_pred("pred_constant", lambda: P.any_of(P.constant(False), P.not_(P.constant(True))), "false")
+_pred("pred_field", lambda: P.eq(P.field("environment"), "prod"), "environment = 'prod'")
+_pred("pred_attr", lambda: K().isNotNull(), "k is not null")
+_pred("pred_eq", lambda: P.eq(K(), 7), "k = 7")
+_pred("pred_ne", lambda: P.ne(K(), 7), "k <> 7")
+_pred("pred_lt", lambda: P.lt(K(), 20), "k < 20")
+_pred("pred_le", lambda: P.le(VALUE(), 20.5), "value <= 20.5")
+_pred("pred_gt", lambda: P.gt(K(), 50), "k > 50")
+_pred("pred_ge", lambda: P.ge(P.field("severity_number"), 13), "severity_number >= 13")
+_pred("pred_and", lambda: P.all_of(P.gt(K(), 10), P.lt(VALUE(), 50.0), P.eq(FLAG(), True)), "k > 10 and value < 50 and user_id % 2 = 0")
+_pred("pred_or", lambda: P.any_of(P.eq(K(), 1), P.eq(K(), 2), P.eq(TYPE(), "signup")), "coalesce(k in (1, 2), false) or event_type = 'signup'")
+_pred("pred_not", lambda: P.not_(P.eq(K(), 7)), "not coalesce(k = 7, false)")
+_pred("pred_in", lambda: P.in_(P.field("service"), ["svc-1", "svc-4"]), "service in ('svc-1', 'svc-4')")
+_pred("pred_contains", lambda: P.contains(P.field("message"), "by user 1_"), "contains(message, 'by user 1_')")
+_pred("pred_starts_with", lambda: P.starts_with(P.field("message"), "click by"), "starts_with(message, 'click by')")
+_pred("pred_ends_with", lambda: P.ends_with(P.field("message"), "7"), "suffix(message, '7')")
+_pred("pred_icontains", lambda: P.icontains(P.field("message"), "BY USER 12"), "contains(lower(message), lower('BY USER 12'))")
+_pred("pred_matches", lambda: P.matches(P.field("message"), r"(view|error) by user \d*5$"), r"regexp_matches(message, '(view|error) by user \d*5$')")
+_pred("pred_text", lambda: P.text("user 42"), "contains(event_type, 'user 42') or contains('user ' || user_id, 'user 42')")
+_pred("pred_exists", lambda: P.exists("attributes", "/k"), "k_type <> 'missing'")
+_pred("pred_is_null", lambda: P.is_null("attributes", "/k"), "k_type = 'null'")
+_pred("pred_array_contains", lambda: P.array_contains("attributes", "/features", "string", "click"), "event_id % 3 = 0 and event_type = 'click'")
+_pred("pred_attr_ops", lambda: P.all_of(P.starts_with(TYPE(), "si"), P.contains(TYPE(), "gn"), P.matches(TYPE(), "up$")), "event_type = 'signup'")
 
 
 @query("scope_lane_cut", f"{RECORDS_SQL} select record_id, lane_id from records where {SCOPE_SQL} and batch_seq <= 1 + 3 * lane_id")
@@ -150,7 +160,7 @@ def _related(spark, d):
 
 @query("bench_structured", f"{RECORDS_SQL} select record_id, event_time_us from records where service = 'svc-2' and level = 'error' and k > 10 order by {_EVENT} limit 100")
 def _bench_structured(spark, d):
-    found = records(spark, d).where(P.all_of(P.eq(P.field("service"), "svc-2"), P.eq(P.field("level"), "error"), P.gt(K, 10)))
+    found = records(spark, d).where(P.all_of(P.eq(P.field("service"), "svc-2"), P.eq(P.field("level"), "error"), P.gt(K(), 10)))
     return found.orderBy(*(F.desc(c) for c in R.EVENT_ORDER)).limit(100).select("record_id", "event_time_us")
 
 
