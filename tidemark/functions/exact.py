@@ -11,7 +11,8 @@ LIMBS = 5
 
 def limb(x: Column, i: int) -> Column:
     """The i-th signed base-10**9 limb of an integer, the lowest first."""
-    digits = F.lpad(F.abs(x.cast("decimal(38,0)")).cast("string"), 45, "0")
+    # The sign goes from the text: abs() rounds decimals to 34 digits.
+    digits = F.lpad(F.ltrim(x.cast("decimal(38,0)").cast("string"), F.lit("-")), 45, "0")
     value = F.substring(digits, 45 - 9 * (i + 1) + 1, 9).cast("decimal(28,0)")
     return F.when(x < 0, -value).otherwise(value)
 
