@@ -136,8 +136,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     contexts = terms.select("entity", "word", "context").distinct()
     joint = contexts.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
-    joint = keep(joint)
     entity_df = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n"))
+    # A term stands in at least as many documents as in the ones counted here; terms that cannot
+    # reach the threshold even so need no count over the whole corpus.
+    beside = terms.select("word", "doc_id", "text_hash").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("term_n"))
+    n = F.lit(float(max(total, 2)))
+    told = F.log2(F.col("joint") * n / (F.col("entity_n") * F.greatest("term_n", "joint")))
+    share = told / F.greatest(F.log2(n / F.col("entity_n")), F.lit(1e-9))
+    joint = keep(joint.join(entity_df, "entity").join(beside, "word").where(share >= DISCLOSURE).drop("term_n"))
     candidates = keep(joint.select("word").distinct())
     n_terms = candidates.count()
     if n_terms == 0:
@@ -150,10 +156,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         term_df = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("term_n")).join(candidates, "word")
 
     # Information that the term gives about the entity, against all the information the entity holds.
-    scored = joint.join(entity_df, "entity").join(term_df, "word")
-    n = F.lit(float(max(total, 2)))
-    told = F.log2(F.col("joint") * n / (F.col("entity_n") * F.greatest("term_n", "joint")))
-    scored = scored.withColumn("share", told / F.greatest(F.log2(n / F.col("entity_n")), F.lit(1e-9)))
+    scored = joint.join(term_df, "word").withColumn("share", share)
     reveal = scored.where(F.col("share") >= DISCLOSURE).select("entity", "word", "share")
 
     spans = terms.join(reveal, ["entity", "word"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", F.when(F.col("share") >= 1, GONE).otherwise(GENERAL).alias("kind"), "end", F.col("word").alias("value")))).alias("disclosed"))
