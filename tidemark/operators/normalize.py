@@ -281,20 +281,36 @@ def search_values(message: Column, attrs: Column) -> Column:
 # --- records ---------------------------------------------------------------------------------------
 
 
+#: What normalisation reads of an event payload: one parse per row.
+PAYLOAD = (
+    "type string, event_id string, timestamp string, level string, environment string, release string, message string, tags map<string,string>,"
+    " contexts struct<`service.name`:string,trace:struct<trace_id:string,span_id:string>>, logentry struct<message:string,formatted:string>,"
+    f" exception struct<values:{S.EXCEPTIONS}>"
+)
+
+
 def normalize_events(rows: DataFrame, default_service: str = "unknown", raw: str = "raw") -> DataFrame:
     """Record columns of event payloads, beside the columns of ``rows``."""
-    r = F.col(raw)
-    at = lambda path: F.nullif(F.get_json_object(r, path), F.lit(""))
-    us, ns = S.parse_timestamp(at("$.timestamp"))
-    message, template = S.event_message(r)
-    last = S.last_exception(r)
-    lvl = S.level(at("$.level"), True)
-    service = F.coalesce(S.dotted_key(at("$.tags"), "service.name"), S.dotted_key(at("$.contexts"), "service.name"), F.lit(default_service))
-    kind = F.when(F.get_json_object(r, "$.type") == "transaction", "transaction").otherwise("error")
-    return rows.select(
-        "*", kind.alias("record_kind"), S.event_id(at("$.event_id")).alias("source_event_id"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), S.timestamp_source(at("$.timestamp")).alias("timestamp_source"),
-        lvl.alias("level"), S.representative_severity(lvl).alias("severity_number"), message.alias("message"), template.alias("message_template"), service.alias("service"), at("$.environment").alias("environment"), at("$.release").alias("release"),
-        S.trace_id(at("$.contexts.trace.trace_id")).alias("trace_id"), S.span_id(at("$.contexts.trace.span_id")).alias("span_id"), last["type"].alias("exception_type"), last["value"].alias("exception_value"), last["mechanism"]["handled"].alias("handled"),
+    r, p = F.col(raw), F.col("__p")
+    filled = lambda c: F.nullif(c, F.lit(""))
+    # A message is text or an object; an exception is an object with values or a bare list.
+    bare = F.when(p["exception"]["values"].isNull() & r.contains('"exception"'), S.exceptions(r))
+    parsed = rows.withColumn("__p", F.from_json(r, PAYLOAD)).withColumn("__x", F.coalesce(p["exception"]["values"], bare))
+    last = F.when(F.size("__x") > 0, F.element_at("__x", -1))
+    has_object = p["message"].startswith("{")
+    inner = lambda key: F.when(has_object, filled(F.get_json_object(p["message"], f"$.{key}")))
+    text = F.when(~has_object, filled(p["message"]))
+    message = F.coalesce(filled(p["logentry"]["formatted"]), text, inner("formatted"), filled(last["value"]), filled(last["type"]), filled(p["logentry"]["message"]), F.lit(""))
+    template = F.coalesce(filled(p["logentry"]["message"]), inner("message"), text)
+    us, ns = S.parse_timestamp(filled(p["timestamp"]))
+    lvl = S.level(p["level"], True)
+    service = F.coalesce(p["tags"]["service.name"], p["contexts"]["service.name"], F.lit(default_service))
+    kind = F.when(p["type"] == "transaction", "transaction").otherwise("error")
+    trace = p["contexts"]["trace"]
+    return parsed.select(
+        *rows.columns, kind.alias("record_kind"), S.event_id(filled(p["event_id"])).alias("source_event_id"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), S.timestamp_source(p["timestamp"]).alias("timestamp_source"),
+        lvl.alias("level"), S.representative_severity(lvl).alias("severity_number"), message.alias("message"), template.alias("message_template"), service.alias("service"), filled(p["environment"]).alias("environment"), filled(p["release"]).alias("release"),
+        S.trace_id(trace["trace_id"]).alias("trace_id"), S.span_id(trace["span_id"]).alias("span_id"), last["type"].alias("exception_type"), last["value"].alias("exception_value"), last["mechanism"]["handled"].alias("handled"),
     )
 
 
