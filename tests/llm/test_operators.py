@@ -325,6 +325,8 @@ def near_copies(rng, n, length, rate, words):
 
 def test_jaccard_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "WIDE_BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PAIRED", 30)
     rng = random.Random(11)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]
     passage = " ".join(rng.choice(words) for _ in range(60))

@@ -1,29 +1,34 @@
-"""Connected components of an edge table by hooking and pointer jumping, all in Spark."""
+"""Connected components of an edge table by hooking, pointer jumping and contraction, all in Spark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep
+from tidemark.llm.common import keep_table
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the smallest node reachable.
 
-    Each round takes the smallest label of the neighbours, then jumps labels
-    to the labels of their labels, so rounds grow with the logarithm of the
-    diameter. Labels are cut by checkpoints; nothing but a count comes to the
-    driver. A hot node only meets partial minima.
+    Each round hooks every node to its smallest neighbour, if that is smaller,
+    jumps over the chains this makes, and contracts the edges to what still
+    joins different trees; a component at least halves, so rounds are few.
+    Edges and labels go through the shared folder; only a row count comes to
+    the driver. A hot node only meets partial minima. Tables read back carry
+    no constraints of earlier rounds, which would grow with every round.
     """
-    both = keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        top = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        new = keep(hooked.join(top, "comp", "left").select("node", F.least("comp", "jump").alias("comp"), "was"))
-        changed = new.where("comp < was").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = keep_table(links.where("a != b").select(*ordered).distinct())
+    labels = None
+    while labels is None or edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        hooked = keep_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        over = hooked.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jumped = hooked.join(over, "up").select("node", F.col("next").alias("up")).join(over, "up").select("node", F.col("next").alias("up"))
+        parent = keep_table(jumped)
+        named = parent.select(F.col("node").alias("comp"), "up")
+        labels = parent.select("node", F.col("up").alias("comp")) if labels is None else keep_table(labels.join(named, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        ends = [parent.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in ("a", "b")]
+        edges = keep_table(edges.join(ends[0], "a").join(ends[1], "b").where("ua != ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    return labels

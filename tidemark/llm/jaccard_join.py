@@ -3,12 +3,12 @@
 Inverted lists hold only each set's prefix (its globally rarest shingles: any
 two sets similar enough share one there), so common shingles stay out of the
 lists that make candidates. Short lists give all their pairs. A long list, as
-groups of copies make, first gives star and chain pairs; what those links
-leave unconnected is compared in further rounds until every pair of sets in
-different groups has been looked at, so no link between groups is lost and no
-group of copies is expanded into all its pairs. Candidates are verified by
-DivideSkip: the short inverted lists of a block of sets are merged and the
-long ones binary-probed.
+groups of copies make, first gives star and chain pairs only; the components
+that its sets then still belong to are compared pair by pair, in very long
+lists block by block, so no link between groups is lost and no group of copies
+is expanded into all its pairs.
+Candidates are verified by DivideSkip: the short inverted lists of a block of
+sets are merged and the long ones probed.
 """
 
 from __future__ import annotations
@@ -29,12 +29,20 @@ from tidemark.llm.components import components
 SHORT = 8
 #: Sets that meet a leader in one verifying group.
 BLOCK = 256
+#: Open lists up to this many sets give their pairs; longer ones are searched in blocks.
+PAIRED = 128
+#: Sets in a block of the search between components.
+WIDE_BLOCK = 1024
 #: Shingles put last in the global order. Any order gives the same links; a longer list only saves work.
 HOT_LISTED = 200_000
-#: Rounds of new leaders before the remaining pairs are enumerated.
-STAR_ROUNDS = 3
+#: Pairs that an inverted list of two blocks gives by merging; longer ones are probed.
+MERGED = 64
+#: Shingles that are counted together for the global order.
+COUNTED = 2_000_000
 #: Rows of sorted lists that a task looks at together.
 GATHERED = 400_000
+#: Bits of the filter of wanted documents, and rows of that bitmap; its size does not depend on the data.
+FILTER_BITS, FILTER_ROWS = 24, 64
 #: Texts in one verifying group, on average.
 GROUP = 1500
 
@@ -64,20 +72,29 @@ def set_hash(shingles: np.ndarray) -> int:
 def _profile(k: int):
     """Pass 1: each document's set size and hash; shingles common within a batch with their counts."""
 
+    fields = ["doc_id", "node", "n", "g", "cnt"]
+
+    def common(seen: list[np.ndarray]) -> pa.RecordBatch:
+        g, c = np.unique(np.concatenate(seen), return_counts=True)
+        often = c >= 3
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.record_batch([none, none, none, pa.array(g[often].view(np.int64)), pa.array(c[often].astype(np.int64))], fields)
+
     def run(batches):
         for batch in batches:
-            nodes, sizes, seen = [], [], []
+            nodes, sizes, seen, held = [], [], [], 0
             for _, s in shingle_sets(batch.column(1), k):
                 nodes.append(set_hash(s) if len(s) else None)
                 sizes.append(len(s))
                 seen.append(s)
-            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], ["doc_id", "node", "n", "g", "cnt"])
+                held += len(s)
+                if held > COUNTED:
+                    yield common(seen)
+                    seen, held = [], 0
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], fields)
             if seen:
-                g, c = np.unique(np.concatenate(seen), return_counts=True)
-                often = c >= 3
-                g, c = g[often].view(np.int64), c[often]
-                none = pa.nulls(len(g), pa.int64())
-                yield pa.record_batch([none, none, none, pa.array(g), pa.array(c.astype(np.int64))], ["doc_id", "node", "n", "g", "cnt"])
+                yield common(seen)
 
     return run
 
@@ -126,6 +143,7 @@ def _postings(k: int, percent: int, hot_shared):
 def _list_pairs(percent: int):
     """Streams lists sorted by (rank, mark, node): pairs (a smaller), and the rows of long lists."""
     fields = ["a", "b", "rank", "node", "mark"]
+    seen: set[int] = set()
 
     def close(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         return np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
@@ -159,11 +177,23 @@ def _list_pairs(percent: int):
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         none = pa.nulls(pairs.shape[1], pa.int64())
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], fields)
-        if (long := length > SHORT).any():
-            none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.record_batch([none, none, pa.array(rank[long]), pa.array(node[long]), pa.array(mark[long])], fields)
+        # Lists of the same sets say the same: the first one of the task goes on, named by its members.
+        big = np.flatnonzero(lens > SHORT)
+        if len(big):
+            name = np.add.reduceat(mix(node.view(np.uint64)), begins)[big] + lens[big].astype(np.uint64)
+            _, once = np.unique(name, return_index=True)
+            fresh = np.zeros(len(lens), bool)
+            fresh[big[[i for i in once if int(name[i]) not in seen]]] = True
+            seen.update(name.tolist())
+            names = np.zeros(len(lens), np.uint64)
+            names[big] = name
+            per_row = np.diff(np.append(begins, len(rank)))
+            chosen = np.repeat(fresh, per_row)
+            none = pa.nulls(int(chosen.sum()), pa.int64())
+            yield pa.record_batch([none, none, pa.array(np.repeat(names, per_row)[chosen].view(np.int64)), pa.array(node[chosen]), pa.array(mark[chosen] | 1)], fields)
 
     def run(batches):
+        seen.clear()
         held, more, waiting, known_long = [np.zeros(0, np.int64)] * 3, [], 0, None
         for batch in batches:
             more.append(batch)
@@ -248,12 +278,143 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _packed(batches):
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        raw = [t.as_py() or b"" for t in texts]
-        yield pa.record_batch([batch.column(0), pa.array([press.compress(t) for t in raw], pa.binary()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], ["doc", "packed", "twin"])
+def shared_counts(rows_a: np.ndarray, grams_a: np.ndarray, n_a: int, rows_b: np.ndarray, grams_b: np.ndarray, n_b: int) -> np.ndarray:
+    """Overlaps of all sets of two blocks: short inverted lists are merged, long ones probed as columns of bits."""
+    grams, at = np.unique(np.concatenate([grams_a, grams_b]), return_inverse=True)
+    at_a, at_b = at[: len(grams_a)], at[len(grams_a) :]
+    len_a, len_b = np.bincount(at_a, minlength=len(grams)), np.bincount(at_b, minlength=len(grams))
+    work = len_a * len_b
+    count = np.zeros((n_a, n_b), np.float32)
+    # Long lists, a slice of columns at a time.
+    for cols in np.array_split(np.flatnonzero(work > MERGED), max(1, -(-int((work > MERGED).sum()) // 2048))):
+        place = np.full(len(grams), -1)
+        place[cols] = np.arange(len(cols))
+        bits = []
+        for rows, own, n in ((rows_a, at_a, n_a), (rows_b, at_b, n_b)):
+            m = np.zeros((n, len(cols)), np.float32)
+            here = place[own] >= 0
+            m[rows[here], place[own[here]]] = 1
+            bits.append(m)
+        count += bits[0] @ bits[1].T
+    # Short lists: every member of the one beside every member of the other.
+    order_b = np.argsort(at_b, kind="stable")
+    first_b = np.searchsorted(at_b[order_b], np.arange(len(grams) + 1))
+    short = np.flatnonzero((work[at_a] > 0) & (work[at_a] <= MERGED))
+    times = len_b[at_a[short]]
+    left = np.repeat(rows_a[short], times)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    right = rows_b[order_b[np.repeat(first_b[at_a[short]], times) + step]]
+    return count + np.bincount(left * n_b + right, minlength=n_a * n_b).reshape(n_a, n_b)
+
+
+def _block_search(k: int, percent: int):
+    """One group: pairs of blocks of sets; links that join groups still apart, as many as join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
+        ids, keys, sides, comps, twins = (np.asarray(table.column(c)) for c in ("id", "key", "side", "comp", "twin"))
+        packed = table.column("packed").combine_chunks()
+        _, at = np.unique(np.stack([ids, twins]), axis=1, return_index=True)
+        texts = pa.array([open_.decompress(packed[int(i)].as_py()).decode("utf-8", "surrogatepass") for i in at], pa.large_string())
+        sets = {int(ids[at[i]]): s for i, s in shingle_sets(texts, k) if set_hash(s) == ids[at[i]]}
+        a_out, b_out = [], []
+        order = np.argsort(keys, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            comp_of = dict(zip(ids[part].tolist(), comps[part].tolist()))
+            blocks = [np.unique(ids[part][sides[part] == side]).tolist() for side in (0, 1)]
+            one, two = blocks[0], blocks[1] or blocks[0]
+            size = [np.array([len(sets[x]) for x in b], np.int64) for b in (one, two)]
+            rows = [np.repeat(np.arange(len(b)), z) for b, z in zip((one, two), size)]
+            grams = [np.concatenate([sets[x] for x in b]) for b in (one, two)]
+            count = shared_counts(rows[0], grams[0], len(one), rows[1], grams[1], len(two))
+            need = -(-percent * (size[0][:, None] + size[1][None, :]) // (100 + percent))
+            above: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while above.get(c, c) != c:  # noqa: B023
+                    c = above[c]  # noqa: B023
+                return c
+
+            for i, j in zip(*np.nonzero(count >= need)):
+                ca, cb = top(comp_of[one[i]]), top(comp_of[two[j]])
+                if ca != cb:
+                    above[max(ca, cb)] = min(ca, cb)
+                    a_out.append(one[i])
+                    b_out.append(two[j])
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
+def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs of sets of different components, near enough in size, that share one of these lists."""
+    right = lists.select("rank", F.col("node").alias("node2"), F.col("mark").alias("mark2"), F.col("comp").alias("comp2"))
+    near = f"least(mark div 2, mark2 div 2) * 100 >= {percent} * greatest(mark div 2, mark2 div 2)"
+    return lists.join(right, "rank").where(f"comp != comp2 and node < node2 and {near}").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _block_links(open_lists: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that meet in long lists.
+
+    Components that share lists, over any number of steps, form a cluster. Its
+    sets are dealt into blocks, large components into blocks of their own, and
+    every two blocks that do not belong to one component are searched in a task.
+    """
+    lead = open_lists.groupBy("rank").agg(F.min("comp").alias("a"))
+    clusters = components(open_lists.join(lead, "rank").select("a", F.col("comp").alias("b")).where("a != b").distinct())
+    members = keep(open_lists.select("node", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "comp"))
+    size = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("big", F.col("m") > WIDE_BLOCK)
+    pool = size.where("not big").groupBy("cluster").agg(F.sum("m").alias("pool"))
+    dealt = members.join(size, ["cluster", "comp"]).join(pool, "cluster", "left")
+    own = F.concat(F.lit("c"), F.col("comp"), F.lit(":"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / WIDE_BLOCK)))
+    shared = F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / WIDE_BLOCK)))
+    dealt = keep(dealt.select("node", "comp", "cluster", F.when(F.col("big"), own).otherwise(shared).alias("blk"), F.when(F.col("big"), F.col("comp")).alias("of")))
+    blocks = dealt.select("cluster", "blk", "of").distinct()
+    other = blocks.select("cluster", F.col("blk").alias("blk2"), F.col("of").alias("of2"))
+    both = blocks.join(other, "cluster").where("blk <= blk2 and not coalesce(of = of2, false)").select("cluster", "blk", "blk2", F.xxhash64("cluster", "blk", "blk2").alias("key"))
+    sides = both.select("cluster", "blk", "key", F.lit(0).alias("side")).union(both.where("blk != blk2").select("cluster", "blk2", "key", F.lit(1)))
+    wanted = keep(dealt.join(sides, ["cluster", "blk"]).join(reps, "node").select(F.col("node").alias("id"), "comp", "key", "side", F.col("rep").alias("doc")))
+    n = wanted.count()
+    groups = _texts_of(wanted, docs).withColumn("bucket", F.pmod("key", F.lit(max(1, n // GROUP))))
+    return groups.select("id", "comp", "key", "side", "packed", "twin", "bucket").groupBy("bucket").applyInArrow(_block_search(k, percent), "a long, b long")
+
+
+def _packed(filter_shared):
+    """Compressed texts of the documents that the filter lets through, with a checksum that tells texts of one id apart."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(filter_shared.value, np.uint8)).astype(bool)
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            wanted = pa.array(bits[(mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            raw = [t.as_py() or b"" for t in batch.column(1).filter(wanted).cast(pa.large_binary())]
+            yield pa.record_batch([batch.column(0).filter(wanted), pa.array([press.compress(t) for t in raw], pa.binary()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], ["doc", "packed", "twin"])
+
+    return run
+
+
+def _texts_of(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """``named`` (with doc) with the texts. A bitmap of fixed size spares the other documents the shuffle; the join is exact."""
+
+    def bits(batches):
+        out = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            out[(mix(np.asarray(batch.column(0)).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        part = np.packbits(out).reshape(FILTER_ROWS, -1)
+        some = np.flatnonzero(part.any(axis=1))
+        yield pa.record_batch([pa.array(some.astype(np.int64)), pa.array([part[i].tobytes() for i in some], pa.binary())], ["row", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")]
+        return pa.table({"row": table.column("row").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    rows = named.select("doc").mapInArrow(bits, "row long, bits binary").groupBy("row").applyInArrow(either, "row long, bits binary").toArrow().to_pydict()
+    bitmap = np.zeros((FILTER_ROWS, (1 << (FILTER_BITS - 3)) // FILTER_ROWS), np.uint8)
+    for r, x in zip(rows["row"], rows["bits"]):
+        bitmap[r] = np.frombuffer(x, np.uint8)
+    shared = named.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    return named.join(docs.mapInArrow(_packed(shared), "doc long, packed binary, twin long"), "doc")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -261,11 +422,11 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("blk"))
     dealt = keep(dealt)
-    buckets = -(-dealt.count() * 2 // GROUP)
+    n_pairs = dealt.count()
+    buckets = -(-n_pairs * 2 // GROUP)
     wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("lead"), "blk").union(dealt.select(F.col("a"), F.col("a"), "blk").distinct())
-    named = wanted.join(reps, "node").select(F.col("node").alias("id"), "lead", "blk", F.col("rep").alias("doc"))
-    texts = docs.mapInArrow(_packed, "doc long, packed binary, twin long")
-    groups = named.join(texts, "doc").select("id", "lead", "blk", "packed", "twin", F.pmod(F.xxhash64("lead", "blk"), F.lit(max(1, buckets))).alias("bucket"))
+    named = keep(wanted.join(reps, "node").select(F.col("node").alias("id"), "lead", "blk", F.col("rep").alias("doc")))
+    groups = _texts_of(named, docs).select("id", "lead", "blk", "packed", "twin", F.pmod(F.xxhash64("lead", "blk"), F.lit(max(1, buckets))).alias("bucket"))
     return groups.groupBy("bucket").applyInArrow(_verify(k, percent), "a long, b long")
 
 
@@ -286,10 +447,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = keep(base.mapInArrow(_profile(k), "doc_id long, node long, n long, g long, cnt long"))
     rows = profile.where("n is not null").select("doc_id", "node", "n")
-    hot = profile.where("g is not null").groupBy("g").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "g").limit(HOT_LISTED).toPandas()
-    g = hot["g"].to_numpy(np.int64).view(np.uint64)
+    hot = profile.where("g is not null").groupBy("g").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "g").limit(HOT_LISTED).toArrow()
+    g = hot["g"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(g)
-    classes = np.minimum(255, 8 * np.log2(np.maximum(hot["c"].to_numpy(np.float64), 1)) + 1).astype(np.uint64)
+    classes = np.minimum(255, 8 * np.log2(np.maximum(hot["c"].to_numpy().astype(np.float64), 1)) + 1).astype(np.uint64)
     shared = base.sparkSession.sparkContext.broadcast((g[order], classes[order]))
 
     with_id = rows.where("doc_id is not null and node is not null")
@@ -297,31 +458,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str =
     texts = base.where("doc_id is not null")
     postings = texts.mapInArrow(_postings(k, percent, shared), "rank long, node long, mark long")
     lists = keep_table(postings.repartition("rank").sortWithinPartitions("rank", "mark", "node").mapInArrow(_list_pairs(percent), "a long, b long, rank long, node long, mark long"))
-    long_lists = lists.where("rank is not null").select("rank", "node", "mark")
+    long_lists = keep_table(lists.where("rank is not null").select("rank", "node", "mark").distinct())
 
-    links, done = None, None
     pairs = lists.where("a is not null").select("a", "b").distinct()
-    for step in range(STAR_ROUNDS + 1):
-        found = keep(_links(pairs, texts, reps, k, percent))
-        links = found if links is None else links.union(found)
-        done = pairs if done is None else done.union(pairs)
-        labels = components(links)
-        if step == STAR_ROUNDS:
-            break
-        open_lists = _open_lists(long_lists, labels)
-        if not _has_rows(open_lists):
-            break
-        if step < STAR_ROUNDS - 1:
-            draw = F.xxhash64(F.lit(step), "node")
-            leader = open_lists.groupBy("rank").agg(F.min_by(F.struct("node", "comp", "mark"), draw).alias("l"))
-            pairs = open_lists.join(leader, "rank").where("comp != l.comp and " + _near("mark", "l.mark", percent)).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
-        else:
-            right = open_lists.select("rank", *(F.col(c).alias(f"{c}2") for c in ("node", "mark", "comp")))
-            small_first = "(mark < mark2 or mark = mark2 and node < node2) and mark % 2 = 1"
-            pairs = open_lists.join(right, "rank").where(f"comp != comp2 and {small_first} and " + _near("mark", "mark2", percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        pairs = keep(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-        if not _has_rows(pairs) and step < STAR_ROUNDS - 1:
-            continue
+    labels = components(_links(pairs, texts, reps, k, percent))
+    open_lists = keep(_open_lists(long_lists, labels))
+    per = open_lists.groupBy("rank").agg(F.count(F.lit(1)).alias("m"))
+    sized = open_lists.join(per, "rank")
+    more = keep(_open_pairs(sized.where(F.col("m") <= PAIRED), percent).join(pairs, ["a", "b"], "left_anti"))
+    if _has_rows(more):
+        labels = _merged(labels, _links(more, texts, reps, k, percent))
+    huge = keep(_open_lists(sized.where(F.col("m") > PAIRED).select("rank", "node", "mark"), labels))
+    if _has_rows(huge):
+        labels = _merged(labels, _block_links(huge, texts, reps, k, percent))
 
     named = with_id.join(labels.withColumnRenamed("comp", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
     # A component's name is the smallest id in it; an id with several texts ties their components together.
@@ -333,14 +482,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str =
     return rows.join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _near(one: str, two: str, percent: int) -> str:
-    """SQL: the sizes of two marks are close enough for a link."""
-    return f"least({one} div 2, {two} div 2) * 100 >= {percent} * greatest({one} div 2, {two} div 2)"
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links between nodes: the links join labels, and only those are worked on."""
+    links = keep(links)
+    known = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    tops = keep(links.join(known[0], "a", "left").join(known[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
+    if not _has_rows(tops):
+        return labels
+    joined = components(tops)
+    old = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = joined.join(labels, "node", "left_anti").select("node", "comp")
+    return keep(old.union(new))
 
 
 def _open_lists(long_lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of long lists that still hold several components."""
     labelled = long_lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = keep(labelled)
     several = labelled.groupBy("rank").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("rank")
     return labelled.join(several, "rank", "left_semi")
