@@ -48,7 +48,6 @@ def list_projection(rows: DataFrame) -> DataFrame:
 def preview(message: Column, most: int = 2048) -> tuple[Column, Column]:
     """(message cut to ``most`` bytes at a character boundary, whether it was cut)."""
     raw = F.encode(message, "UTF-8")
-    cut = F.substring(raw, 1, most)
     # A byte that opens a character of n bytes must have n - 1 bytes behind it: step back over an incomplete one.
     lead = [F.conv(F.hex(F.substring(raw, most + 1 - i, 1)), 16, 10).cast("int") for i in range(4)]
     back = F.lit(0)
@@ -60,7 +59,6 @@ def preview(message: Column, most: int = 2048) -> tuple[Column, Column]:
         opened = opened | here
     size = F.octet_length(message)
     text = F.when(size <= most, message).otherwise(F.decode(F.substring(raw, F.lit(1), F.lit(most) - back), "UTF-8"))
-    del cut
     return text, size > most
 
 
