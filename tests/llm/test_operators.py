@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,6 +345,32 @@ def test_jaccard_groups(spark, monkeypatch):
     assert jaccard_join.jaccard_groups(df.where("false")).count() == 0
 
 
+def test_jaccard_groups_with_cut_lists(spark, monkeypatch):
+    """Lists longer than a task gathers are cut; no link between their parts may go."""
+    monkeypatch.setattr(jaccard_join, "GATHERED", 24)
+    monkeypatch.setattr(jaccard_join, "WIDE_BLOCK", 16)
+    lists = jaccard_join._list_pairs(75)
+    batch = lambda lo: pa.record_batch([pa.array([7] * 10), pa.array(range(lo, lo + 10)), pa.array([2 * 80 + 1] * 10)], ["rank", "node", "mark"])
+    named = [(r["rank"], r["node"]) for b in lists(batch(lo) for lo in range(0, 100, 10)) for r in b.to_pylist() if r["rank"] is not None]
+    assert {n for _, n in named} == set(range(100)) and len({r for r, _ in named}) == 1
+
+    # Two groups around one passage that only their first sets link; smaller sets come first in the passage's lists.
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, filler, one, two = some(60), some(40), some(5), some(13)
+    texts = [passage + one, *(passage + one + some(1 + i % 8) for i in range(100)), passage + two, *(passage + two + some(3 + i % 6) for i in range(60))]
+    texts += [passage[i : i + 14] + filler for i in range(0, 47, 6)] + [filler + some(60) for _ in range(400)]
+    texts = [" ".join(t) for t in texts]
+    rows = list(enumerate(texts))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_groups(rows)
+
+
 def test_divide_skip_and_blocks():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 120, 80)).astype(np.uint64) for _ in range(60)]

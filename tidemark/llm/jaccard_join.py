@@ -178,13 +178,16 @@ def _list_pairs(percent: int):
         none = pa.nulls(pairs.shape[1], pa.int64())
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], fields)
         # Lists of the same sets say the same: the first one of the task goes on, named by its members.
+        # The parts of a list that is cut are all named by its rank, so that they stay one list.
         big = np.flatnonzero(lens > SHORT)
         if len(big):
             name = np.add.reduceat(mix(node.view(np.uint64)), begins)[big] + lens[big].astype(np.uint64)
+            part = rank[begins[big]] == known_long
+            name[part] = mix(rank[begins[big]][part].view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
             _, once = np.unique(name, return_index=True)
             fresh = np.zeros(len(lens), bool)
-            fresh[big[[i for i in once if int(name[i]) not in seen]]] = True
-            seen.update(name.tolist())
+            fresh[big[[i for i in once if part[i] or int(name[i]) not in seen]]] = True
+            seen.update(name[~part].tolist())
             names = np.zeros(len(lens), np.uint64)
             names[big] = name
             per_row = np.diff(np.append(begins, len(rank)))
