@@ -1,5 +1,7 @@
 """Vectors with known answers: predicates, exact sums, paging, histograms, generated rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,20 @@ def test_message_preview_keeps_whole_characters(spark):
     for t, (got, was_cut) in zip(texts, df.select(text, cut).collect()):
         assert got == t.encode()[:2048].decode("utf-8", "ignore")
         assert was_cut == (len(t.encode()) > 2048)
+
+
+def test_ordered_hash_streams_groups_larger_than_a_batch(spark):
+    """Groups, the null key among them, go on over batches, and none of them becomes one value."""
+    rows = [(k, f"{(i * 7919) % 1000:04d}é" if i % 50 else None) for k in ("a", None, "b") for i in range(1000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        hashes = A.ordered_hashes(df, ["k"], "v", "hash")
+        got = {r.k: r.hash for r in hashes.collect()}
+        joined = A.with_ordered_hash(df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), df, ["k"], "v", "hash")
+        assert {r.k: (r.n, r.hash) for r in joined.collect()} == {k: (1 if k == "none" else 1000, h) for k, h in got.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    values = {k: sorted(v for x, v in rows if x == k and v is not None) for k in ("a", None, "b")}
+    assert got == {"none": None} | {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in values.items()}
+    assert "listagg" not in hashes._jdf.queryExecution().toString()

@@ -6,11 +6,15 @@ by the shuffle. Groups are ranked only after the merge, never locally.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import exact
 from tidemark.functions.predicates import stored_one
@@ -170,12 +174,57 @@ def top_groups(groups: DataFrame, metric: Column, tie: list[Column], k: int, des
 
 def bundle_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per bundle: rows, ranges of the three positions, sorted projects and the hash of its ordered ids."""
-    return rows.groupBy(*keys).agg(
+    stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"), *(f(c).alias(f"{n}_{c}") for c in ("event_time_us", "received_time_us", "batch_seq") for n, f in (("min", F.min), ("max", F.max))),
-        F.array_sort(F.collect_set("project_id")).alias("project_ids"), ordered_hash("record_id").alias("identity_sha256"),
+        F.array_sort(F.collect_set("project_id")).alias("project_ids"),
     )
-
-
-def ordered_hash(column: str) -> Column:
-    """sha256 of a group's values in order, one per line. A group is one bounded file or bundle."""
-    return F.sha2(F.expr(f"listagg({column}, '\\n') within group (order by {column})"), 256)
+    return with_ordered_hash(stats, rows, keys, "record_id", "identity_sha256")
+
+
+def _stream_hashes(n_keys: int, fields: list[str]):
+    """Streams rows sorted by keys, then value: each group's keys and the hash of its values, one row held at a time."""
+
+    def run(batches):
+        key, digest, some = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for c in batch.columns[:n_keys]:
+                new[1:] |= np.diff(np.asarray(c.dictionary_encode(null_encoding="encode").indices)) != 0
+            begins = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for lo, hi in zip(begins, begins[1:]):
+                at = batch.slice(lo, 1)
+                if key is None or [c.slice(0, 1).to_pylist() for c in at.columns[:n_keys]] != [c.to_pylist() for c in key.columns]:
+                    if key is not None:
+                        yield row(key, digest, some)
+                    key, digest, some = at.select(fields[:n_keys]), hashlib.sha256(), False
+                values = batch.column(n_keys).slice(lo, hi - lo).drop_null().to_pylist()
+                if values:
+                    digest.update(("\n" * some + "\n".join(values)).encode())
+                    some = True
+        if key is not None:
+            yield row(key, digest, some)
+
+    def row(key, digest, some):
+        return pa.record_batch([*key.columns, pa.array([digest.hexdigest() if some else None], pa.string())], fields)
+
+    return run
+
+
+def ordered_hashes(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """(keys, name): sha256 of each group's values in order, one per line, nulls left out.
+
+    The hash of a sequence takes its values one after another, so a group's
+    sorted values stream through one task; no group is held in memory, whatever its size.
+    """
+    src = rows.select(*keys, F.col(column).cast("string").alias("__value"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(name, T.StringType())])
+    return src.repartition(*keys).sortWithinPartitions(*keys, "__value").mapInArrow(_stream_hashes(len(keys), [*keys, name]), schema)
+
+
+def with_ordered_hash(groups: DataFrame, rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``groups``, one row per ``keys`` of ``rows``, with the group's ordered hash."""
+    hashes = ordered_hashes(rows, keys, column, name).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return groups.join(hashes, same).drop(*(f"__{k}" for k in keys))

@@ -212,7 +212,7 @@ def _top_metric(spark, d):
 @query("agg_ordered_hash", "select o_orderstatus, o_orderpriority, sha256(string_agg(o_orderkey::varchar, chr(10) order by o_orderkey::varchar)) as hash from orders group by all")
 def _ordered_hash(spark, d):
     o = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").cast("string").alias("key"))
-    return o.groupBy("o_orderstatus", "o_orderpriority").agg(A.ordered_hash("key").alias("hash"))
+    return A.ordered_hashes(o, ["o_orderstatus", "o_orderpriority"], "key", "hash")
 
 
 @query("agg_bundle_stats", f"""{RECORDS_SQL} select lane_id, event_time_us // {DAY} as day, kind, count(*) as row_count, min(event_time_us) as min_event_time_us, max(event_time_us) as max_event_time_us,

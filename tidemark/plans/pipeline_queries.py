@@ -498,7 +498,7 @@ def _manifest_build(spark, d):
     back = read_files(spark, "project_id bigint, service string, event_time_us bigint, record_id string, event_day date, kind string", [path], provenance=True)
     files = back.groupBy("file_path", "event_day", "kind").agg(F.count(F.lit(1)).alias("row_count"), F.min("event_time_us").alias("lo"), F.max("event_time_us").alias("hi"))
     sums = files.groupBy("event_day", "kind").agg(F.sum("row_count").alias("row_count"), F.min("lo").alias("min_event_time_us"), F.max("hi").alias("max_event_time_us"))
-    return sums.join(back.groupBy("event_day", "kind").agg(A.ordered_hash("record_id").alias("identity_sha256")), ["event_day", "kind"])
+    return A.with_ordered_hash(sums, back, ["event_day", "kind"], "record_id", "identity_sha256")
 
 
 @query("compact_rewrite", f"{RECORDS_SQL} select kind, count(*) as n, sha256(string_agg(record_id, chr(10) order by record_id)) as identity_sha256 from records group by 1")
@@ -509,7 +509,8 @@ def _compact(spark, d):
     write_records(r, small)
     schema = "project_id bigint, service string, event_time_us bigint, record_id string, event_day date, kind string"
     M.rewrite(read_files(spark, schema, [small]), large, ("kind",))
-    return read_files(spark, schema, [large]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), A.ordered_hash("record_id").alias("identity_sha256"))
+    back = read_files(spark, schema, [large])
+    return A.with_ordered_hash(back.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), back, ["kind"], "record_id", "identity_sha256")
 
 
 @query("compact_verify", f"{RECORDS_SQL} select kind, count(*) as records, count(*) as payloads, true as paired from records group by 1")
