@@ -381,3 +381,19 @@ def test_divide_skip_and_blocks():
     assert (jaccard_join.shared_counts(rows, grams, 60, rows, grams, 60) == exact).all()
     for i, s in enumerate(sets):
         assert jaccard_join.divide_skip(s, rows, grams, sizes, 75).tolist() == np.flatnonzero(exact[i] >= need[i]).tolist()
+
+
+def test_divide_skip_probes_long_lists(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.permutation(2000)[:100]
+    sets = [np.unique(np.r_[base[rng.random(100) > 0.1], rng.integers(0, 2000, 8)]).astype(np.uint64) for _ in range(40)]
+    sizes = np.array([len(s) for s in sets])
+    probed, choose = [], jaccard_join.long_lists
+    monkeypatch.setattr(jaccard_join, "long_lists", lambda lens, need: probed.append(choose(lens, need)) or probed[-1])
+    for s in sets:
+        shared = np.array([len(np.intersect1d(s, x)) for x in sets])
+        found = jaccard_join.divide_skip(s, np.repeat(np.arange(40), sizes), np.concatenate(sets), sizes, 75)
+        assert found.tolist() == np.flatnonzero(100 * shared >= 75 * (len(s) + sizes - shared)).tolist()
+    assert all(len(longs) for longs in probed)
+    none = np.zeros(0, np.int64)
+    assert len(jaccard_join.divide_skip(sets[0], none, none.astype(np.uint64), none, 75)) == 0

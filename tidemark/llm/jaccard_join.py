@@ -220,6 +220,12 @@ def _list_pairs(percent: int):
     return run
 
 
+def long_lists(lens: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The lists that are probed: the longest ones, up to half the least overlap asked for."""
+    longs = np.argsort(-lens, kind="stable")[: int(need.min()) // 2 if len(need) else 0]
+    return longs[lens[longs] > max(4, len(need) // 2)]
+
+
 def divide_skip(lead: np.ndarray, rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Which sets reach the overlap with ``lead`` that ``percent`` asks for, by merging short lists and probing long ones.
 
@@ -233,8 +239,7 @@ def divide_skip(lead: np.ndarray, rows: np.ndarray, grams: np.ndarray, sizes: np
     at, rows = at[order], rows[order]
     ends = np.searchsorted(at, np.arange(len(lead) + 1))
     lens = np.diff(ends)
-    longs = np.argsort(-lens, kind="stable")[: max(0, int(need.min(initial=1)) // 2)]
-    longs = longs[lens[longs] > max(4, len(sizes) // 2)]
+    longs = long_lists(lens, need)
     in_long = np.zeros(len(lead), bool)
     in_long[longs] = True
     count = np.bincount(rows[~in_long[at]], minlength=len(sizes))
