@@ -296,6 +296,19 @@ def test_html(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def test_html_keeps_whole_articles():
+    long = "A sentence of the article, with commas, and a full stop."
+    items = "".join(f"<li>Item {i}: {long} {long}</li>" for i in range(9))
+    parts = {"ul": f"<ul>{items}</ul>", "div": "<div class='x'>" + items.replace("li>", "p>") + "</div>", "table": f"<table><tr><td>{long * 9}</td></tr></table>", "blockquote": f"<blockquote><p>{long * 9}</p></blockquote>", "section": f"<section><p>{long * 9}</p></section>"}
+    for outer in ("article", "main", "div"):
+        for name, part in parts.items():
+            text = html_text.main_text(PAGE.format(f"<{outer}><h1>Title</h1><p>First: {long}</p>{part}<p>Last: {long}</p></{outer}>"))
+            assert text.startswith(f"Title\nFirst: {long}\n") and text.endswith(f"\nLast: {long}"), (outer, name)
+            assert "cookies" not in text and "Buy now" not in text and "Great article" not in text
+    for tag in ("div class='content no-sidebar'", "main class='has-comments'", "div class='layout-sidebar-right'", "div class='article-header'", "div class='hidden'"):
+        assert html_text.main_text(f"<body><{tag}><h1>Title</h1><p>{long}</p></{tag.split()[0]}></body>") == f"Title\n{long}", tag
+
+
 # --- 10 ---
 
 

@@ -2,9 +2,10 @@
 
 Each block's root-to-leaf tag path collects text length and punctuation; the
 ratios per block of a path are fused, smoothed along the page and cut at a
-threshold. The container that holds most of the chosen text gives the
-article: all its blocks stay, short paragraphs and headings too. Regions that
-markup itself names as menus, notices, forms and the like never take part.
+threshold. The article or main element that holds most of the chosen text, or
+else the lowest container of all chosen blocks, gives the article: all its
+blocks stay, short paragraphs and headings too. Regions that markup itself
+names as menus, notices, forms and the like take no part, unless nothing else is there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ RAW = "script|style|textarea|title|xmp|noframes"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("head nav header footer aside form button select option fieldset noscript template iframe object svg canvas audio video map dialog menu script style textarea title".split())
-#: Words in class, id or role that name a region beside the article.
+#: Words of which a class, id or role consists that names a region beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs"
     " sidebar footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup"
@@ -31,6 +32,9 @@ BESIDE = frozenset(
 #: A start tag of the second kind ends an open element of the first kind.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Containers that are part of an article, never an article of their own.
+PARTS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure section p h1 h2 h3 h4 h5 h6 pre details".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LIST_EDGE = frozenset("ul ol dl table select article section div body".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+|[^>]*)>|<[!?][^>]*>", re.S | re.I)
@@ -39,7 +43,7 @@ _LETTERS = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。、，！？؟؛]")
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
+def blocks(html: str, beside: frozenset[str] = BESIDE) -> list[tuple[tuple[str, ...], str]]:
     """(block-level tag path, text) in page order, without the regions that markup leaves out."""
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, str, bool]] = []  # name, label, left out
@@ -91,9 +95,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
                     break
                 if stack[i][0] in LIST_EDGE:
                     break
-        words = {w for g in _ATTR.findall(m["attrs"]) for w in _LETTERS.findall("".join(g).lower())} if "=" in m["attrs"] else set()
+        names = [_LETTERS.findall(x) for g in _ATTR.findall(m["attrs"]) for x in "".join(g).lower().split()] if "=" in m["attrs"] else []
+        words = {w for x in names for w in x}
         label = name + "." + min(words) if words and name in ("div", "section", "td", "ul") else name
-        off = (bool(stack) and stack[-1][2]) or name in LEFT_OUT or (name not in ("html", "body") and bool(words & BESIDE))
+        off = (bool(stack) and stack[-1][2]) or name in LEFT_OUT or (name not in ("html", "body", "main") and any(x and beside.issuperset(x) for x in names))
         stack.append((name, label, off))
     if at < len(html) and not (stack and stack[-1][2]):
         part.append(html[at:])
@@ -101,9 +106,44 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
     return out
 
 
+def _shared(one: tuple[str, ...], two: tuple[str, ...]) -> int:
+    """Length of the common beginning of two paths."""
+    return next((i for i, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+
+
+def _container(found: list[tuple[tuple[str, ...], str]], chosen: np.ndarray) -> tuple[str, ...]:
+    """The path of the container whose blocks are the article."""
+    weight: dict[tuple[str, ...], int] = {}
+    for (path, t), ok in zip(found, chosen):
+        for d in range(len(path)):
+            if ok and path[d] in ("article", "main"):
+                weight[path[: d + 1]] = weight.get(path[: d + 1], 0) + len(t)
+    total = sum(len(t) for (_, t), ok in zip(found, chosen) if ok)
+    named = sorted((p for p, w in weight.items() if w >= 0.6 * total), key=len, reverse=True)
+    if named:
+        # The inner one, unless an outer one adds more text that is chosen than text that is not.
+        gain = np.zeros(len(named[0]) + 1, np.int64)
+        for (p, t), ok in zip(found, chosen):
+            gain[_shared(p, named[0])] += len(t) if ok else -len(t)
+        root = named[0]
+        for outer in named[1:]:
+            if gain[len(outer) : len(root)].sum() > 0:
+                root = outer
+        return root
+    paths = [p[:-1] for (p, _), ok in zip(found, chosen) if ok]
+    root = paths[0]
+    for p in paths[1:]:
+        root = root[: _shared(root, p)]
+    # Out of parts of an article, and past headings.
+    beside = {_shared(p, root) for p, _ in found if not p or p[-1] not in HEADINGS}
+    while root and (root[-1].split(".")[0] in PARTS or len(root) - 1 not in beside):
+        root = root[:-1]
+    return root
+
+
 def main_text(html: str, share: float = 0.2) -> str:
     """The article's blocks, joined by one newline."""
-    found = blocks(html)
+    found = blocks(html) or blocks(html, frozenset())
     if not found:
         return ""
     paths: dict[tuple[str, ...], list[float]] = {}
@@ -118,13 +158,7 @@ def main_text(html: str, share: float = 0.2) -> str:
     size = np.array([len(t) for _, t in found], float)
     fused = np.sqrt(ratio * smooth)
     chosen = fused >= share * (fused * size).sum() / size.sum()
-    weight: dict[tuple[str, ...], float] = {}
-    for (path, _), ok, w in zip(found, chosen, size):
-        if ok:
-            for d in range(len(path)):
-                weight[path[:d]] = weight.get(path[:d], 0) + w
-    total = weight.get((), 0)
-    root = max((p for p, w in weight.items() if w >= 0.6 * total), key=len, default=())
+    root = _container(found, chosen)
     return "\n".join(t for p, t in found if p[: len(root)] == root)
 
 
