@@ -180,6 +180,26 @@ def test_pii_terms_that_reveal(spark):
     assert len(clean) == 6 and all("zyxwvu" not in r.sanitised and "[EMAIL]" in r.sanitised and r.sanitised.endswith(r.text[-20:]) for r in clean)
 
 
+def test_pii_terms_far_from_the_value(spark):
+    """A term far from the value tells, wherever it stands in documents that hold the value; copies and one document alone tell nothing."""
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [f"Qwertzy {fill(60)} boss@corp.example {fill(60)} qwertzy, {'ö' * 200} Ümlautig" for _ in range(5)]
+    copied = f"onlycopied {fill(20)} copy@corp.example {fill(20)}"
+    texts += [copied + " " + fill(5) for _ in range(5)] + [f"{fill(9)} me@one.example {fill(9)} alone {fill(9)} me@one.example {fill(9)} me@one.example {fill(9)}"]
+    texts += [fill(30) for _ in range(200)]
+    df = frame(spark, texts)
+    spans = pii.find_spans(df)
+    found = {r.doc_id: [tuple(b) for b in r.disclosed] for r in spans.collect()}
+    for i in range(5):
+        assert [(s, e) for s, _, e, v in found[i] if v == "qwertzy"] == [m.span() for m in re.finditer("(?i)qwertzy", texts[i])]
+        assert any(v == "ümlautig" for _, _, _, v in found[i])
+    assert all(v == texts[d][s:e].lower() for d, b in found.items() for s, _, e, v in b)
+    assert not {v for b in found.values() for *_, v in b} & {*WORDS, "onlycopied", "alone", "boss", "corp"}
+    clean = pii.redact(df, spans).where("doc_id < 5").collect()
+    assert len(clean) == 5 and all("qwertzy" not in r.sanitised.lower() and "[EMAIL]" in r.sanitised for r in clean)
+
+
 # --- 6 ---
 
 

@@ -2,11 +2,12 @@
 
 Native: DataFrame and SQL functions only. The patterns find e-mail addresses,
 IP addresses, card and phone numbers; each distinct value is a protected
-entity. The terms near it are counted over distinct contexts, so copies add
-no evidence; with the document counts of those terms over the whole corpus,
-pointwise mutual information tells how much of an entity's information a term
-gives away. Terms over the threshold become spans too: ``redact`` removes
-them when they reveal the entity fully and generalises them otherwise.
+entity. The words of its documents, and again those near each place of it, are
+counted over distinct contexts, so copies add no evidence; with the document
+counts of those words over the whole corpus, pointwise mutual information tells
+how much of an entity's information a word gives away. Words over the threshold
+become spans wherever they stand in a document that holds the entity: ``redact``
+removes them when they reveal the entity fully and generalises them otherwise.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ KINDS = ("email", "ip", "card", "phone")
 GENERAL, GONE = 4, 5
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Words of context on each side of a protected value.
+#: Words on each side of a protected value that make up a context.
 WINDOW = 6
-#: Characters of context looked at on each side.
+#: Characters looked at on each side for these; a word that they cut is left to the count over documents.
 REACH = 120
 #: Distinct contexts in which a term must stand near an entity.
 SUPPORT = 3
@@ -89,21 +90,42 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(matches(text, k, p) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE)))))
 
 
-def _words(s: Column, offset: Column, last: bool) -> Column:
-    """The ``WINDOW`` words of ``s`` nearest the value: array<struct<word, start, end>>; ``offset`` is where s begins."""
-    pattern = r"[\p{L}\p{M}]+"
-    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-    pieces = F.split(s, pattern, -1)
-    start = F.struct(offset.cast("int").alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+_WORD = r"[\p{L}\p{M}]+"
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _near(s: Column, cut: Column, last: bool) -> Column:
+    """The ``WINDOW`` words of ``s`` nearest the value; a word at the far end goes where ``cut``, since s has only a part of it."""
+    whole = F.when(cut, F.regexp_replace(s, rf"^(?:{_WORD}|[^\p{{L}}\p{{M}}])" if last else rf"(?:{_WORD}|[^\p{{L}}\p{{M}}])$", "")).otherwise(s)
+    out = F.regexp_extract_all(F.lower(whole), F.lit(_WORD), F.lit(0))
+    return F.slice(out, F.greatest(F.size(out) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)) if last else F.slice(out, 1, WINDOW)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that other places stay where they are."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        lo = F.greatest(b["start"], acc["at"])
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, lo - acc["at"]), F.repeat(F.lit(" "), F.greatest(b["end"] - lo, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["end"] > acc["at"], grown).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _places(text: Column, wanted: Column) -> Column:
+    """All places of the words of ``wanted`` (map of word to kind), in order."""
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         b = acc["at"] + F.length(x["p"])
         e = b + F.length(x["m"])
-        one = F.array(F.struct(F.lower(x["m"]).alias("word"), b.alias("start"), e.alias("end")))
-        return F.struct(F.coalesce(e, b).alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        kind = F.try_element_at(wanted, F.coalesce(F.lower(x["m"]), F.lit("")))
+        one = F.array(F.struct(b.alias("start"), kind.alias("kind"), e.alias("end"), F.lower(x["m"]).alias("value")))
+        return F.struct(F.coalesce(e, b).alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    out = F.aggregate(F.arrays_zip(pieces.alias("p"), found.alias("m")), start, step)["out"]
-    return F.slice(out, F.greatest(F.size(out) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)) if last else F.slice(out, 1, WINDOW)
+    return F.aggregate(F.arrays_zip(F.split(text, _WORD, -1).alias("p"), found.alias("m")), start, step)["out"]
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,39 +137,53 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
-    # Of each value only the characters around it go on, with the words nearest to it.
+    # Texts go on where there are values, and the characters around each of these, with the words nearest to it.
     around = F.transform(
         "base",
         lambda b: F.struct(
             b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value"),
-            F.substring(F.col("text"), F.greatest(b["start"] - REACH, F.lit(0)) + 1, F.least(b["start"], F.lit(REACH))).alias("before"),
-            F.substring(F.col("text"), b["end"] + 1, F.lit(REACH)).alias("after"),
+            F.substring(F.col("text"), F.greatest(b["start"] - REACH - 1, F.lit(0)) + 1, F.least(b["start"], F.lit(REACH + 1))).alias("before"),
+            F.substring(F.col("text"), b["end"] + 1, F.lit(REACH + 1)).alias("after"),
         ),
     )
-    base = keep(found.select("doc_id", "text_hash", around.alias("around")))
+    base = keep(found.select("doc_id", "text_hash", around.alias("around"), F.when(F.size("base") > 0, _blanked(F.col("text"), F.col("base"))).alias("rest")))
     total = base.count()
+    key = ["doc_id", "text_hash"]
 
-    near = base.select("doc_id", "text_hash", F.explode("around").alias("x")).select(
-        "doc_id", "text_hash", F.concat_ws(":", F.col("x.kind"), ascii_lower(F.col("x.value"))).alias("entity"),
-        F.concat(_words(F.col("x.before"), F.greatest(F.col("x.start") - REACH, F.lit(0)), True), _words(F.col("x.after"), F.col("x.end"), False)).alias("words"),
+    near = base.select(*key, F.explode("around").alias("x")).select(
+        *key, F.concat_ws(":", F.col("x.kind"), ascii_lower(F.col("x.value"))).alias("entity"), F.col("x.start").alias("start"),
+        F.concat(_near(F.col("x.before"), F.length("x.before") > REACH, True), _near(F.col("x.after"), F.length("x.after") > REACH, False)).alias("words"),
     )
-    near = near.withColumn("context", F.xxhash64(F.transform("words", lambda w: w["word"])))
-    terms = near.select("doc_id", "text_hash", "entity", "context", F.explode("words").alias("w")).select("doc_id", "text_hash", "entity", "context", "w.*").where("length(word) >= 3")
-
-    contexts = terms.select("entity", "word", "context").distinct()
-    joint = contexts.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
-    entity_df = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n"))
+    near = near.withColumn("context", F.xxhash64("words"))
+    # A document is one context of each of its entities, and told apart by the words near the first place, as near copies share them.
+    held = keep(near.groupBy(*key, "entity").agg(F.min_by("context", "start").alias("context")))
+    texts = base.where("rest is not null").select(*key, "rest").dropDuplicates(key)
+    spoken_here = keep(texts.select(*key, F.filter(F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_WORD), F.lit(0))), lambda w: F.length(w) >= 3).alias("words")))
     # A term stands in at least as many documents as in the ones counted here; terms that cannot
     # reach the threshold even so need no count over the whole corpus.
-    beside = terms.select("word", "doc_id", "text_hash").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("term_n"))
+    beside = spoken_here.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("term_n"))
     n = F.lit(float(max(total, 2)))
     told = F.log2(F.col("joint") * n / (F.col("entity_n") * F.greatest("term_n", "joint")))
     share = told / F.greatest(F.log2(n / F.col("entity_n")), F.lit(1e-9))
-    joint = keep(joint.join(entity_df, "entity").join(beside, "word").where(share >= DISCLOSURE).drop("term_n"))
+
+    def often(contexts: DataFrame) -> DataFrame:
+        """(entity, entity_n): fewer contexts than ``SUPPORT`` reveal nothing."""
+        return contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT)
+
+    def scores(terms: DataFrame, entities: DataFrame) -> DataFrame:
+        joint = terms.distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
+        return joint.join(entities, "entity").join(beside, "word").where(share >= DISCLOSURE).drop("term_n")
+
+    near_terms = near.select("entity", "context", F.explode("words").alias("word")).where("length(word) >= 3")
+    known = keep(often(held))
+    some = held.join(known.select("entity"), "entity").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "entity", "context")
+    doc_terms = spoken_here.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("entity", "context", F.explode("words").alias("word"))
+    joint = keep(scores(near_terms, often(near)).union(scores(doc_terms, known).select("word", "entity", "joint", "entity_n")))
     candidates = keep(joint.select("word").distinct())
     n_terms = candidates.count()
+    none = F.array().cast(_SPANS)
     if n_terms == 0:
-        return base.select("doc_id", "text_hash", _plain("around").alias("base"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("disclosed"))
+        return base.select(*key, _plain("around").alias("base"), none.alias("disclosed"))
     spoken = src.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("word"))
     if n_terms <= SMALL_TERMS:
         spoken = spoken.join(F.broadcast(candidates), "word")
@@ -157,13 +193,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # Information that the term gives about the entity, against all the information the entity holds.
     scored = joint.join(term_df, "word").withColumn("share", share)
-    reveal = scored.where(F.col("share") >= DISCLOSURE).select("entity", "word", "share")
-
-    spans = terms.join(reveal, ["entity", "word"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", F.when(F.col("share") >= 1, GONE).otherwise(GENERAL).alias("kind"), "end", F.col("word").alias("value")))).alias("disclosed"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "disclosed")
-    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return joined.select("doc_id", "text_hash", _plain("around").alias("base"), F.coalesce("disclosed", empty).alias("disclosed"))
+    reveal = scored.where(F.col("share") >= DISCLOSURE).groupBy("entity", "word").agg(F.max(F.when(F.col("share") >= 1, GONE).otherwise(GENERAL)).alias("kind"))
+
+    per_word = held.join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
+    wanted = per_word.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("wanted"))
+    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "wanted")
+    joined = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    places = F.when(F.col("wanted").isNotNull(), _places(F.col("rest"), F.col("wanted"))).otherwise(none)
+    return joined.select(*key, _plain("around").alias("base"), places.alias("disclosed"))
 
 
 def _plain(name: str) -> Column:
