@@ -39,3 +39,10 @@ def test_sliding_windows_closed_by_the_watermark_are_exact(spark):
     every = records(spark, SF).select("project_id", "received_time_us").collect()
     for (project, end), n in list(got.items())[::97]:
         assert n == sum(1 for p, t in every if p == project and end - 300_000_000 <= t < end)
+
+
+@pytest.mark.parametrize("name", ["record_expired_all", "src_payload_all"])
+def test_every_record_has_its_row(spark, name):
+    from tidemark.sources.adapters import records
+
+    assert QUERIES[name](spark, SF).select("record_id").distinct().count() == records(spark, SF).select("record_id").distinct().count()

@@ -370,6 +370,12 @@ def _expired(spark, d):
     return records(spark, d).where("event_id % 10 = 0").select("record_id", (F.col("received_time_us") < START + DAY).alias("expired"))
 
 
+@query("record_expired_all", f"{RECORDS_SQL} select record_id, received_time_us < {START + DAY} as expired from records")
+def _expired_all(spark, d):
+    """The flag of every record."""
+    return records(spark, d).select("record_id", (F.col("received_time_us") < START + DAY).alias("expired"))
+
+
 @query("object_audit", f"{_MANIFEST} select file_id as object_id, case when lane_id = 2 then 'missing' when lane_id = 5 then 'size' else 'hash' end as problem from manifest where lane_id in (2, 5, 7)")
 def _audit(spark, d):
     m = manifest(spark, d).select(F.col("file_id").alias("object_id"), "bytes", F.sha2("file_id", 256).alias("sha256"), "lane_id")
@@ -449,6 +455,12 @@ def _payload(spark, d):
     return payloads(spark, d).join(ids, "record_id").select("record_id", "raw_json")
 
 
+@query("src_payload_all", f"{RECORDS_SQL} select record_id, props as raw_json from records")
+def _payload_all(spark, d):
+    """The payload of every record."""
+    return payloads(spark, d).join(records(spark, d).select("record_id"), "record_id").select("record_id", "raw_json")
+
+
 @query("src_provenance", "select event_type, count(*) as n, 1::bigint as files from events group by 1")
 def _provenance(spark, d):
     r = read_files(spark, "event_id bigint, event_type string", [f"{d}/events.parquet"], provenance=True)
