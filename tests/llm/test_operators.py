@@ -357,37 +357,40 @@ def near_copies(rng, n, length, rate, words):
     return [" ".join(rng.choice(words) if rng.random() < rate else w for w in base) for _ in range(n)]
 
 
-def test_jaccard_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "WIDE_BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "PAIRED", 30)
+TINY = dict(block=16, pivots=4, short=4, chunk=2000, part=3000)
+
+
+@pytest.mark.parametrize("sizes", [{}, {**TINY, "pivots": 0, "short": 2}])
+def test_jaccard_groups(spark, sizes):
     rng = random.Random(11)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]
     passage = " ".join(rng.choice(words) for _ in range(60))
-    texts = [*ODD[:7], "x y z", "X Y  z", *near_copies(rng, 120, 80, 0.02, words), *near_copies(rng, 60, 80, 0.008, words), *near_copies(rng, 30, 200, 0.01, words)]
+    texts = [*ODD, "x y z", "X Y  z", *near_copies(rng, 120, 80, 0.02, words), *near_copies(rng, 60, 80, 0.008, words), *near_copies(rng, 30, 200, 0.01, words)]
     texts += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.choice([3, 8, 15, 40]))) for _ in range(60)]
     texts += [" ".join(rng.choice(words) for _ in range(100)) for _ in range(40)] + [passage] * 40
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     rows = list(zip(ids, texts))
     df = frame(spark, texts, ids).withColumn("node", F.lit("clash")).withColumn("rank", F.lit(0))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df, **sizes).collect()}
     assert got == brute_groups(rows)
-    both = jaccard_join.jaccard_groups(frame(spark, ["a b c d e f", None, "a b c d e f", "q r s t u v"], [3, None, None, 3])).collect()
+    both = jaccard_join.jaccard_groups(frame(spark, ["a b c d e f", None, "a b c d e f", "q r s t u v"], [3, None, None, 3]), **sizes).collect()
     assert sorted((r.n_shingles, r.component_id or -1) for r in both) == [(0, -1), (2, -1), (2, 3), (2, 3)]
     assert jaccard_join.jaccard_groups(df.where("false")).count() == 0
 
 
-def test_jaccard_groups_with_cut_lists(spark, monkeypatch):
-    """Lists longer than a task gathers are cut; no link between their parts may go."""
-    monkeypatch.setattr(jaccard_join, "GATHERED", 24)
-    monkeypatch.setattr(jaccard_join, "WIDE_BLOCK", 16)
-    lists = jaccard_join._list_pairs(75)
-    batch = lambda lo: pa.record_batch([pa.array([7] * 10), pa.array(range(lo, lo + 10)), pa.array([2 * 80 + 1] * 10)], ["rank", "node", "mark"])
-    named = [(r["rank"], r["node"]) for b in lists(batch(lo) for lo in range(0, 100, 10)) for r in b.to_pylist() if r["rank"] is not None]
-    assert {n for _, n in named} == set(range(100)) and len({r for r, _ in named}) == 1
+def test_jaccard_ids_with_several_texts(spark):
+    """An id's texts tie their groups together; a row without an id has no component."""
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    df = frame(spark, [one, two, None, one, two, "alone in the whole wide world", None, one], [7, 7, 7, 5, 9, 1, None, None])
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()}
+    assert got == {(7, 4, 5), (7, 0, 5), (5, 4, 5), (9, 4, 5), (1, 2, 1), (None, 0, None), (None, 4, None)}
+    assert jaccard_join.jaccard_groups(df.where("false")).count() == 0
 
-    # Two groups around one passage that only their first sets link; smaller sets come first in the passage's lists.
+
+@pytest.mark.parametrize("sizes", [{}, TINY])
+def test_jaccard_links_between_parts_of_long_lists(spark, sizes):
+    """Two groups around one passage that only their first sets link, where lists run over partitions and blocks."""
     rng = random.Random(13)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]
     some = lambda n: [rng.choice(words) for _ in range(n)]
@@ -398,22 +401,18 @@ def test_jaccard_groups_with_cut_lists(spark, monkeypatch):
     rows = list(enumerate(texts))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, texts)).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, texts), **sizes).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_groups(rows)
 
 
-def test_divide_skip_and_blocks():
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 120, 80)).astype(np.uint64) for _ in range(60)]
-    sizes = np.array([len(s) for s in sets])
-    rows, grams = np.repeat(np.arange(60), sizes), np.concatenate(sets)
-    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
-    need = -(-75 * (sizes[:, None] + sizes[None, :]) // 175)
-    assert (jaccard_join.shared_counts(rows, grams, 60, rows, grams, 60) == exact).all()
-    for i, s in enumerate(sets):
-        assert jaccard_join.divide_skip(s, rows, grams, sizes, 75).tolist() == np.flatnonzero(exact[i] >= need[i]).tolist()
+def listed(sets):
+    """The inverted index of sets: members, and begin and length of each gram's list."""
+    own, grams = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    every, starts, lens = np.unique(grams[order], return_index=True, return_counts=True)
+    return own[order], every, starts, lens
 
 
 def test_divide_skip_probes_long_lists(monkeypatch):
@@ -423,10 +422,32 @@ def test_divide_skip_probes_long_lists(monkeypatch):
     sizes = np.array([len(s) for s in sets])
     probed, choose = [], jaccard_join.long_lists
     monkeypatch.setattr(jaccard_join, "long_lists", lambda lens, need: probed.append(choose(lens, need)) or probed[-1])
+    member, every, starts, lens = listed(sets)
     for s in sets:
         shared = np.array([len(np.intersect1d(s, x)) for x in sets])
-        found = jaccard_join.divide_skip(s, np.repeat(np.arange(40), sizes), np.concatenate(sets), sizes, 75)
+        at = np.searchsorted(every, s)
+        found = jaccard_join.divide_skip((member, starts[at], lens[at]), np.arange(40), jaccard_join.needed(75, len(s), sizes), 40)
         assert found.tolist() == np.flatnonzero(100 * shared >= 75 * (len(s) + sizes - shared)).tolist()
     assert all(len(longs) for longs in probed)
-    none = np.zeros(0, np.int64)
-    assert len(jaccard_join.divide_skip(sets[0], none, none.astype(np.uint64), none, 75)) == 0
+
+
+def test_search_block_joins_what_links():
+    """Sides and components restrict the search; what is left over joins just the sets that brute force joins."""
+    rng = np.random.default_rng(4)
+    base = [rng.permutation(500)[:60] for _ in range(4)]
+    sets = [np.unique(np.r_[b[rng.random(60) > 0.1], rng.integers(0, 500, 3)]).astype(np.uint64) for b in base for _ in range(15)]
+    sizes = np.array([len(s) for s in sets])
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+    for comp, side in ((np.arange(60), None), (np.arange(60) // 7, None), (np.arange(60), np.arange(60) % 2)):
+        pairs = [(i, j) for i, j in itertools.combinations(range(60), 2) if linked(i, j) and (side is None or side[i] != side[j])]
+        found = jaccard_join.search_block(sets, sizes, comp, 75, side)
+        assert found and {(min(p), max(p)) for p in found} <= set(pairs)
+
+        def tops(links):
+            top = comp.copy()
+            for i, j in links:
+                top[top == top[j]] = top[i]
+            return [top.tolist().index(t) for t in top]
+
+        assert tops(found) == tops(pairs)
+        assert len(found) == len(set(comp.tolist())) - len(set(tops(pairs)))

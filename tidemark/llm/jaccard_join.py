@@ -1,50 +1,49 @@
 """N-gram Jaccard join by T-occurrence search, exact, with connected groups.
 
-Inverted lists hold only each set's prefix (its globally rarest shingles: any
-two sets similar enough share one there), so common shingles stay out of the
-lists that make candidates. Short lists give all their pairs. A long list, as
-groups of copies make, first gives star and chain pairs only; the components
-that its sets then still belong to are compared pair by pair, in very long
-lists block by block, so no link between groups is lost and no group of copies
-is expanded into all its pairs.
-Candidates are verified by DivideSkip: the short inverted lists of a block of
-sets are merged and the long ones probed.
+1. All shingles are ordered from rare to common. Tasks send sorted, packed runs
+   of (shingle, set) to ranges of the hash space, where each shingle's sets are
+   counted; a shingle of one set says nothing and ends there. Shingles that are
+   frequent in any large run of documents are found first, count as the most
+   common ones, and are not gathered.
+2. A set's prefix is its rarest shingles, so many that two sets near enough
+   share one there. A set whose prefix holds only shingles of its own links with
+   nothing. The others' prefixes go to inverted lists.
+3. Short lists give their pairs; a pair goes on where the prefixes share as many
+   as the overlap still needs. Long lists give a chain through their sets by
+   size, which holds together whatever can link in them. Both together make
+   candidate clusters, each in one task, or in blocks where it is large.
+4. Each cluster is searched by DivideSkip: a set's short inverted lists are merged by
+   counting, its long ones are probed by binary search for the sets still able
+   to reach the overlap. Sets already in one component are not compared again.
+
+No texts, pairs of copies or lists come to the driver; a shingle's or group's
+rows are never gathered in one task beyond a block.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import NON_SPACE, find_words, gram_hashes, keep, keep_table, mix, row_bounds, text_slices
 from tidemark.llm.components import components
 
-#: Lists up to this many sets give all their pairs at once.
-SHORT = 8
-#: Sets that meet a leader in one verifying group.
-BLOCK = 256
-#: Open lists up to this many sets give their pairs; longer ones are searched in blocks.
-PAIRED = 128
-#: Sets in a block of the search between components.
-WIDE_BLOCK = 1024
-#: Shingles put last in the global order. Any order gives the same links; a longer list only saves work.
-HOT_LISTED = 200_000
-#: Pairs that an inverted list of two blocks gives by merging; longer ones are probed.
-MERGED = 64
-#: Shingles that are counted together for the global order.
-COUNTED = 2_000_000
-#: Rows of sorted lists that a task looks at together.
-GATHERED = 400_000
-#: Bits of the filter of wanted documents, and rows of that bitmap; its size does not depend on the data.
-FILTER_BITS, FILTER_ROWS = 24, 64
-#: Texts in one verifying group, on average.
-GROUP = 1500
+#: Sets, and members of sets, in a block of a large cluster; sets of the cluster that all its blocks share.
+BLOCK, BLOCK_MEMBERS, PIVOTS = 1024, 4_000_000, 256
+#: Inverted lists of shingles of up to this many sets are short.
+SHORT = 16
+#: Shingles that a task packs together, and that are counted together, on average.
+CHUNK, PART = 3_000_000, 3_000_000
+#: Share of the documents of a chunk that makes a shingle frequent, and how many such shingles are sent to
+#: all tasks. Any order of shingles gives the same links; more of them only save work.
+HOT_SHARE, HOT_LISTED = 1 / 500, 200_000
+#: Bits of a shingle's hash in its rank; the bits above say how common it is.
+RANK_BITS = 48
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,380 +68,397 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.array(total & ((1 << 64) - 1), np.uint64).view(np.int64))
 
 
-def _profile(k: int):
-    """Pass 1: each document's set size and hash; shingles common within a batch with their counts."""
+def commonness(sets: np.ndarray) -> np.ndarray:
+    """The class of a shingle that so many sets hold: 8 at two sets, and 8 more at each doubling; 255 is left for the frequent ones."""
+    return np.minimum(254, 8 * np.log2(sets)).astype(np.uint64)
 
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers packed byte plane by byte plane."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unsqueeze(packed: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeeze_sorted(a: np.ndarray) -> bytes:
+    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unsqueeze_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(packed, np.uint64), dtype=np.uint64)
+
+
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All indices of the runs that begin at ``starts``."""
+    return np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(starts, lens)
+
+
+def needed(percent: int, a, b):
+    """The overlap that sets of these sizes need."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+# --- 1: the order of shingles -------------------------------------------------------------------
+
+
+def _profile(k: int, chunk: int):
+    """Each document's set size and hash; shingles frequent within a chunk with their counts."""
     fields = ["doc_id", "node", "n", "g", "cnt"]
 
     def common(seen: list[np.ndarray]) -> pa.RecordBatch:
         g, c = np.unique(np.concatenate(seen), return_counts=True)
-        often = c >= 3
+        often = c >= max(3, HOT_SHARE * len(seen))
         none = pa.nulls(int(often.sum()), pa.int64())
         return pa.record_batch([none, none, none, pa.array(g[often].view(np.int64)), pa.array(c[often].astype(np.int64))], fields)
 
     def run(batches):
+        seen, held = [], 0
         for batch in batches:
-            nodes, sizes, seen, held = [], [], [], 0
+            nodes, sizes = [], []
             for _, s in shingle_sets(batch.column(1), k):
                 nodes.append(set_hash(s) if len(s) else None)
                 sizes.append(len(s))
                 seen.append(s)
                 held += len(s)
-                if held > COUNTED:
+                if held > chunk:
                     yield common(seen)
                     seen, held = [], 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], fields)
-            if seen:
-                yield common(seen)
+        if seen:
+            yield common(seen)
 
     return run
 
 
-def _ordered(shingles: np.ndarray, hot: np.ndarray, hot_class: np.ndarray) -> np.ndarray:
-    """Shingles as ranks: common ones last. Rank order is the same for all sets; 56 bits of the hash remain."""
-    rank = shingles >> np.uint64(8)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        rank = rank | np.where(hot[at] == shingles, hot_class[at], np.uint64(0)) << np.uint64(56)
-    return np.sort(rank)
+def _packed(k: int, parts: int, chunk: int, hot_shared):
+    """Packed runs of (shingle, set): each chunk's, by range of the shingle; those of frequent shingles by set."""
+    fields = ["part", "frequent", "nodes", "sizes", "grams", "owners"]
+
+    def packed(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        hot = hot_shared.value
+        node, size = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.uint32)
+        gram, own = np.concatenate(list(sets.values())), np.repeat(np.arange(len(node), dtype=np.uint32), size)
+        often = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram if len(hot) else np.zeros(len(gram), bool)
+        rows: list[tuple] = []
+        for frequent in (False, True):
+            g, o = gram[often == frequent], own[often == frequent]
+            by = mix(node.view(np.uint64))[o] if frequent else g
+            part = ((by >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.lexsort((g, part)) if frequent else np.argsort(g)
+            g, o, part = g[order] >> np.uint64(64 - RANK_BITS), o[order], part[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(g)]):
+                if a < b:
+                    here, at = np.unique(o[a:b], return_inverse=True)
+                    rows.append((int(part[a]), frequent, node[here].tobytes(), squeeze(size[here]), squeeze_sorted(g[a:b]), squeeze(at.astype(np.uint32))))
+        columns = list(zip(*rows))
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in columns[2:])], fields)
+
+    def run(batches):
+        sets, held = {}, 0
+        for batch in batches:
+            for _, s in shingle_sets(batch.column(1), k):
+                if len(s) and (node := set_hash(s)) not in sets:
+                    sets[node] = s
+                    held += len(s)
+                    if held > chunk:
+                        yield packed(sets)
+                        sets, held = {}, 0
+        if sets:
+            yield packed(sets)
+
+    return run
 
 
-def _postings(k: int, percent: int, hot_shared):
-    """Pass 2: (rank, node, size and index mark) for the prefix of every set, once per set and task."""
+def _tally(table: pa.Table) -> pa.Table:
+    """One range of shingles: (node, n, rank) of those that several sets hold, and of the frequent ones."""
+    nodes, sizes, grams, passed = [], [], [], []
+    for frequent, node, size, gram, own in zip(*(table.column(c).to_pylist() for c in ("frequent", "nodes", "sizes", "grams", "owners"))):
+        at, ranks = unsqueeze(own, np.uint32), unsqueeze_sorted(gram)
+        entries = np.frombuffer(node, np.int64)[at], unsqueeze(size, np.uint32)[at], ranks
+        if frequent:
+            passed.append((entries[0], entries[1], ranks | np.uint64(255 << RANK_BITS)))
+        else:
+            for x, y in zip((nodes, sizes, grams), entries):
+                x.append(y)
+    if grams:
+        node, size, gram = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(grams)
+        order = np.argsort(gram)
+        same = np.diff(gram[order]) == 0
+        several = order[np.append(same, False) | np.append(False, same)]
+        several = several[np.lexsort((node[several], gram[several]))]
+        node, size, gram = node[several], size[several], gram[several]
+        new = np.append(True, (np.diff(gram) != 0) | (np.diff(node) != 0))[: len(gram)]  # tasks that met copies of one set
+        node, size, gram = node[new], size[new], gram[new]
+        first = np.flatnonzero(np.append(True, np.diff(gram) != 0)[: len(gram)])
+        held = np.diff(np.append(first, len(gram)))
+        held = np.repeat(held, held)
+        passed.append((node[held > 1], size[held > 1], gram[held > 1] | commonness(held[held > 1]) << np.uint64(RANK_BITS)))
+    node, size, rank = (np.concatenate(x) for x in zip(*passed)) if passed else (np.zeros(0, np.int64),) * 3
+    return pa.table({"node": node, "n": size.astype(np.int64), "rank": rank.view(np.int64)})
+
+
+# --- 2: prefixes --------------------------------------------------------------------------------
+
+
+def _whole_groups(batches, key: int):
+    """Columns of sorted batches, cut where column ``key`` changes."""
+    held = None
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        cut = int(np.searchsorted(cols[key], cols[key][-1]))
+        if cut:
+            yield [c[:cut] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _surviving(percent: int):
+    """Rows sorted by (node, rank): the sets that may link, with their shared shingles, and how many of these their prefixes hold."""
 
     def run(batches):
-        hot, hot_class = hot_shared.value
-        done: set[tuple[int, int]] = set()
-        for batch in batches:
-            ranks, nodes, marks, held = [], [], [], 0
+        for node, n, rank in _whole_groups(batches, 0):
+            new = np.append(True, (np.diff(node) != 0) | (np.diff(rank) != 0))
+            node, n, rank = node[new], n[new], rank[new]
+            first = np.flatnonzero(np.append(True, np.diff(node) != 0))
+            shared = np.diff(np.append(first, len(node)))
+            size = n[first]
+            # The prefix begins with the shingles that no other set holds.
+            m = shared + 1 - -(-percent * size // 100)
+            some = np.flatnonzero(m > 0)
+            packed = [squeeze_sorted(rank[first[i] : first[i] + shared[i]].view(np.uint64)) for i in some]
+            yield pa.record_batch([pa.array(node[first[some]]), pa.array(size[some]), pa.array(m[some]), pa.array(packed, pa.binary())], ["node", "n", "m", "ranks"])
+
+    return run
 
-            def out():
-                return pa.record_batch([pa.array(np.concatenate(ranks).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(marks))], ["rank", "node", "mark"])
 
-            for _, s in shingle_sets(batch.column(1), k):
-                n = len(s)
-                if not n or (node := (set_hash(s), n)) in done:
-                    continue
-                done.add(node)
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
-                ranks.append(_ordered(s, hot, hot_class)[:probe])
-                nodes.append(np.full(probe, node[0], np.int64))
-                marks.append((2 * n + (np.arange(probe) < index)).astype(np.int64))
-                held += probe
-                if held > 500_000:
-                    yield out()
-                    ranks, nodes, marks, held = [], [], [], 0
-            if ranks:
-                yield out()
+def _postings(batches):
+    """The inverted lists' rows: each rank of a set's prefix, with the set's size and the last rank of its prefix."""
+    for batch in batches:
+        if batch.num_rows:
+            node, n, m = (np.asarray(batch.column(c)) for c in range(3))
+            heads = [unsqueeze_sorted(r.as_py())[:k].view(np.int64) for r, k in zip(batch.column(3), m)]
+            yield pa.record_batch([np.concatenate(heads), np.repeat(node, m), np.repeat(n, m), np.repeat([h[-1] for h in heads], m)], ["rank", "node", "n", "last"])
+
+
+# --- 3: candidate clusters ----------------------------------------------------------------------
+
+
+def _short_pairs(percent: int):
+    """Lists sorted by (rank, n, node): pairs near enough in size, how often they met here, and how often they must meet in prefixes."""
+
+    def run(batches):
+        for rank, node, n, last in _whole_groups(batches, 0):
+            found = []
+            i, d = np.arange(len(rank)), 1
+            while len(i):
+                i = i[i + d < len(rank)]
+                i = i[rank[i] == rank[i + d]]
+                x = i[n[i] * 100 >= percent * n[i + d]]
+                y = x + d
+                # Whatever they share beyond a prefix lies beyond the one that ends first.
+                rest = np.where(last[x] < last[y], n[x], n[y])
+                rest = np.where(last[x] == last[y], np.minimum(n[x], n[y]), rest)
+                must = needed(percent, n[x], n[y]) - (-(-percent * rest // 100) - 1)
+                found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), must]))
+                d += 1
+            pairs, met = np.unique(np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1), axis=1, return_counts=True)
+            yield pa.record_batch([*pairs, met.astype(np.int64)], ["a", "b", "must", "met"])
 
     return run
 
 
-def _list_pairs(percent: int):
-    """Streams lists sorted by (rank, mark, node): pairs (a smaller), and the rows of long lists."""
-    fields = ["a", "b", "rank", "node", "mark"]
-    seen: set[int] = set()
-
-    def close(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        return np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-
-    def lists(rank: np.ndarray, node: np.ndarray, mark: np.ndarray, known_long: int | None = None):
-        if not len(rank):
-            return
-        new = np.ones(len(rank), bool)
-        new[1:] = (rank[1:] != rank[:-1]) | (node[1:] != node[:-1])
-        rank, node, mark = rank[new], node[new], mark[new]
-        start = np.ones(len(rank), bool)
-        start[1:] = rank[1:] != rank[:-1]
-        begins = np.flatnonzero(start)
-        lens = np.diff(np.append(begins, len(rank)))
-        lens[rank[begins] == known_long] += SHORT
-        length, first = np.repeat(lens, np.diff(np.append(begins, len(rank)))), np.repeat(begins, np.diff(np.append(begins, len(rank))))
-        n, ix = mark >> 1, (mark & 1) == 1
-        a, b = [], []
-        i = np.arange(len(rank))
-        for d in range(1, SHORT):
-            x = i[:-d] if d < len(i) else i[:0]
-            x = x[(first[x] == first[x + d]) & ((length[x] <= SHORT) & ix[x] | (length[x] > SHORT) & (d == 1))]
-            x = x[close(n[x], n[x + d])]
-            a.append(node[x])
-            b.append(node[x + d])
-        y = i[(length > SHORT) & (i > first)]
-        y = y[close(n[y], n[first[y]])]
-        a.append(node[first[y]])
-        b.append(node[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        none = pa.nulls(pairs.shape[1], pa.int64())
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], fields)
-        # Lists of the same sets say the same: the first one of the task goes on, named by its members.
-        # The parts of a list that is cut are all named by its rank, so that they stay one list.
-        big = np.flatnonzero(lens > SHORT)
-        if len(big):
-            name = np.add.reduceat(mix(node.view(np.uint64)), begins)[big] + lens[big].astype(np.uint64)
-            part = rank[begins[big]] == known_long
-            name[part] = mix(rank[begins[big]][part].view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
-            _, once = np.unique(name, return_index=True)
-            fresh = np.zeros(len(lens), bool)
-            fresh[big[[i for i in once if part[i] or int(name[i]) not in seen]]] = True
-            seen.update(name[~part].tolist())
-            names = np.zeros(len(lens), np.uint64)
-            names[big] = name
-            per_row = np.diff(np.append(begins, len(rank)))
-            chosen = np.repeat(fresh, per_row)
-            none = pa.nulls(int(chosen.sum()), pa.int64())
-            yield pa.record_batch([none, none, pa.array(np.repeat(names, per_row)[chosen].view(np.int64)), pa.array(node[chosen]), pa.array(mark[chosen] | 1)], fields)
+def _chains(percent: int):
+    """Lists sorted by (rank, n, node): neighbours near enough in size; a partition's first and last row, where lists may go on."""
+    fields = ["a", "b", "rank", "node", "n"]
 
     def run(batches):
-        seen.clear()
-        held, more, waiting, known_long = [np.zeros(0, np.int64)] * 3, [], 0, None
+        last = None
         for batch in batches:
-            more.append(batch)
-            waiting += batch.num_rows
-            if waiting < GATHERED:
+            if not batch.num_rows:
                 continue
-            rows = [np.concatenate([h, *(np.asarray(b.column(c)) for b in more)]) for c, h in enumerate(held)]
-            more, waiting = [], 0
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            if cut:
-                yield from lists(*(r[:cut] for r in rows), known_long)
-                known_long = None
-            held = [r[cut:] for r in rows]
-            if len(held[0]) > GATHERED:  # of a list this long its first and last row go on; the others are done
-                known_long = int(held[0][0])
-                yield from lists(*held, known_long)
-                held = [h[[0, -1]] for h in held]
-        rows = [np.concatenate([h, *(np.asarray(b.column(c)) for b in more)]) for c, h in enumerate(held)]
-        yield from lists(*rows, known_long)
+            rank, node, n = (np.asarray(batch.column(c)) for c in range(3))
+            if last is None:
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, rank[:1], node[:1], n[:1]], fields)
+            else:
+                rank, node, n = (np.append(x, y) for x, y in zip(last, (rank, node, n)))
+            near = (rank[1:] == rank[:-1]) & (n[:-1] * 100 >= percent * n[1:]) & (node[1:] != node[:-1])
+            a, b = node[:-1][near], node[1:][near]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.record_batch([*pairs, none, none, none], fields)
+            last = rank[-1:], node[-1:], n[-1:]
+        if last is not None:
+            none = pa.nulls(1, pa.int64())
+            yield pa.record_batch([none, none, *last], fields)
 
     return run
 
 
+def _candidates(postings: DataFrame, percent: int, short: int) -> DataFrame:
+    """(a, b): whatever two sets may link, a path of these joins them."""
+    limit = F.lit(int(commonness(np.array([short]))[0]) + 1 << RANK_BITS)
+    lists = postings.where(F.col("rank") < limit).repartition("rank").sortWithinPartitions("rank", "n", "node")
+    met = lists.mapInArrow(_short_pairs(percent), "a long, b long, must long, met long")
+    pairs = met.groupBy("a", "b").agg(F.min("must").alias("must"), F.sum("met").alias("met")).where("met >= must")
+    order = ["rank", "n", "node"]
+    chained = postings.where(F.col("rank") >= limit).select("rank", "node", "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    chains = keep_table(chained.mapInArrow(_chains(percent), "a long, b long, rank long, node long, n long"))
+    # Two rows of each partition.
+    ends = chains.where("rank is not null").select("rank", "n", "node").distinct()
+    before = {c: F.lag(c).over(Window.orderBy(*order)).alias(f"{c}_before") for c in order}
+    over = ends.select(*order, *before.values()).where(f"rank = rank_before and n_before * 100 >= {percent} * n").select(F.least("node", "node_before").alias("a"), F.greatest("node", "node_before").alias("b"))
+    return pairs.select("a", "b").union(chains.where("a is not null").select("a", "b")).union(over).distinct()
+
+
+# --- 4: search ----------------------------------------------------------------------------------
+
+
 def long_lists(lens: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The lists that are probed: the longest ones, up to half the least overlap asked for."""
     longs = np.argsort(-lens, kind="stable")[: int(need.min()) // 2 if len(need) else 0]
     return longs[lens[longs] > max(4, len(need) // 2)]
 
 
-def divide_skip(lead: np.ndarray, rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets reach the overlap with ``lead`` that ``percent`` asks for, by merging short lists and probing long ones.
+def divide_skip(lists: list[np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray], alive: np.ndarray, need: np.ndarray, n_sets: int) -> np.ndarray:
+    """Which of the sets ``alive`` (ascending) stand in ``need`` or more of the lists.
 
-    ``rows``, ``grams``: the sets' members, by set; ``sizes``: their sizes.
+    ``lists``: members of all lists one after another, and where these lists
+    begin and how long they are. The short lists are merged by counting; the
+    long ones are probed for the sets that could still reach their need.
     """
-    need = -(-percent * (len(lead) + sizes) // (100 + percent))
-    at = np.minimum(np.searchsorted(lead, grams), len(lead) - 1)
-    hit = lead[at] == grams
-    at, rows = at[hit], rows[hit]
-    order = np.lexsort((rows, at))
-    at, rows = at[order], rows[order]
-    ends = np.searchsorted(at, np.arange(len(lead) + 1))
-    lens = np.diff(ends)
+    member, starts, lens = lists
     longs = long_lists(lens, need)
-    in_long = np.zeros(len(lead), bool)
-    in_long[longs] = True
-    count = np.bincount(rows[~in_long[at]], minlength=len(sizes))
-    alive = np.flatnonzero(count >= need - len(longs))
-    for j in longs:
-        own = rows[ends[j] : ends[j + 1]]
-        if not len(alive):
+    short = np.ones(len(lens), bool)
+    short[longs] = False
+    count = np.bincount(member[spread(starts[short], lens[short])], minlength=n_sets)[alive]
+    left = np.flatnonzero(count >= need - len(longs))
+    for done, j in enumerate(longs):
+        own = member[starts[j] : starts[j] + lens[j]]
+        count[left] += own[np.minimum(np.searchsorted(own, alive[left]), len(own) - 1)] == alive[left]
+        left = left[count[left] >= need[left] - (len(longs) - done - 1)]
+        if not len(left):
             break
-        p = np.minimum(np.searchsorted(own, alive), len(own) - 1)
-        count[alive] += own[p] == alive
-    return np.flatnonzero(count >= need)
-
-
-def _verify(k: int, percent: int):
-    """One group: texts of leaders and of the sets that meet them; each leader's sets are searched on their own."""
-
-    def run(table: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        ids, leads, blocks = (np.asarray(table.column(c)) for c in ("id", "lead", "blk"))
-        order = np.lexsort((ids, blocks, leads))
-        packed = table.column("packed").combine_chunks()
-        _, at = np.unique(np.stack([ids, np.asarray(table.column("twin"))]), axis=1, return_index=True)
-        of = ids[at]
-        texts = pa.array([open_.decompress(packed[int(i)].as_py()).decode("utf-8", "surrogatepass") for i in at], pa.large_string())
-        sets: dict[int, np.ndarray] = {}
-        for i, s in shingle_sets(texts, k):
-            if set_hash(s) == of[i]:  # a document id may stand for several texts
-                sets[int(of[i])] = s
-        a, b = [], []
-        change = np.flatnonzero((np.diff(leads[order]) != 0) | (np.diff(blocks[order]) != 0)) + 1
-        for part in np.split(order, change):
-            lead_id = int(leads[part[0]])
-            others = np.unique(ids[part][ids[part] != lead_id])
-            if not len(others):
-                continue
-            sizes = np.array([len(sets[x]) for x in others.tolist()], np.int64)
-            members = np.concatenate([sets[x] for x in others.tolist()])
-            found = others[divide_skip(sets[lead_id], np.repeat(np.arange(len(others)), sizes), members, sizes, percent)]
-            a.append(np.full(len(found), lead_id, np.int64))
-            b.append(found)
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+    return alive[left]
 
-    return run
 
+def search_block(sets: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the components ``comp`` of these sets, as many as join them; with ``side``, only of sets of different sides.
+
+    ``sets``: the shingles that matter, sorted; ``sizes``: of the whole sets.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sets, sizes, (_, label) = [sets[i] for i in order], sizes[order], np.unique(comp[order], return_inverse=True)
+    side = None if side is None else side[order]
+    held = np.array([len(s) for s in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    listed = np.argsort(at, kind="stable")
+    member = np.repeat(np.arange(len(sets)), held)[listed]
+    ends = np.searchsorted(at[listed], np.arange(at.max() + 2))
+    begin = np.cumsum(held) - held
+    out = []
+    for q in range(len(sets)):
+        # Sets by size: the others this one may link with are those after it, up to a size.
+        until = int(np.searchsorted(sizes, sizes[q] * 100 // percent, "right"))
+        alive = q + 1 + np.flatnonzero(label[q + 1 : until] != label[q])
+        if side is not None:
+            alive = alive[side[alive] != side[q]]
+        if not len(alive):
+            continue
+        own = at[begin[q] : begin[q] + held[q]]
+        for j in divide_skip((member, ends[own], ends[own + 1] - ends[own]), alive, needed(percent, sizes[q], sizes[alive]), len(sets)):
+            if label[j] != label[q]:
+                out.append((int(order[q]), int(order[j])))
+                label[label == label[j]] = label[q]
+    return out
+
+
+def _search(percent: int):
+    """Rows sorted by key: links of each key's sets that join different components; sides, if not null, are searched against each other."""
+
+    def linked(rows: list[tuple]) -> pa.RecordBatch:
+        node, comp, side, n, ranks = zip(*rows)
+        sides = None if side[0] is None else np.array(side)
+        found = search_block([unsqueeze_sorted(r) for r in ranks], np.array(n), np.array(comp), percent, sides)
+        return pa.record_batch([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], ["a", "b"])
 
-def shared_counts(rows_a: np.ndarray, grams_a: np.ndarray, n_a: int, rows_b: np.ndarray, grams_b: np.ndarray, n_b: int) -> np.ndarray:
-    """Overlaps of all sets of two blocks: short inverted lists are merged, long ones probed as columns of bits."""
-    grams, at = np.unique(np.concatenate([grams_a, grams_b]), return_inverse=True)
-    at_a, at_b = at[: len(grams_a)], at[len(grams_a) :]
-    len_a, len_b = np.bincount(at_a, minlength=len(grams)), np.bincount(at_b, minlength=len(grams))
-    work = len_a * len_b
-    count = np.zeros((n_a, n_b), np.float32)
-    # Long lists, a slice of columns at a time.
-    for cols in np.array_split(np.flatnonzero(work > MERGED), max(1, -(-int((work > MERGED).sum()) // 2048))):
-        place = np.full(len(grams), -1)
-        place[cols] = np.arange(len(cols))
-        bits = []
-        for rows, own, n in ((rows_a, at_a, n_a), (rows_b, at_b, n_b)):
-            m = np.zeros((n, len(cols)), np.float32)
-            here = place[own] >= 0
-            m[rows[here], place[own[here]]] = 1
-            bits.append(m)
-        count += bits[0] @ bits[1].T
-    # Short lists: every member of the one beside every member of the other.
-    order_b = np.argsort(at_b, kind="stable")
-    first_b = np.searchsorted(at_b[order_b], np.arange(len(grams) + 1))
-    short = np.flatnonzero((work[at_a] > 0) & (work[at_a] <= MERGED))
-    times = len_b[at_a[short]]
-    left = np.repeat(rows_a[short], times)
-    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    right = rows_b[order_b[np.repeat(first_b[at_a[short]], times) + step]]
-    return count + np.bincount(left * n_b + right, minlength=n_a * n_b).reshape(n_a, n_b)
-
-
-def _block_search(k: int, percent: int):
-    """One group: pairs of blocks of sets; links that join groups still apart, as many as join them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        ids, keys, sides, comps, twins = (np.asarray(table.column(c)) for c in ("id", "key", "side", "comp", "twin"))
-        packed = table.column("packed").combine_chunks()
-        _, at = np.unique(np.stack([ids, twins]), axis=1, return_index=True)
-        texts = pa.array([open_.decompress(packed[int(i)].as_py()).decode("utf-8", "surrogatepass") for i in at], pa.large_string())
-        sets = {int(ids[at[i]]): s for i, s in shingle_sets(texts, k) if set_hash(s) == ids[at[i]]}
-        a_out, b_out = [], []
-        order = np.argsort(keys, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-            comp_of = dict(zip(ids[part].tolist(), comps[part].tolist()))
-            blocks = [np.unique(ids[part][sides[part] == side]).tolist() for side in (0, 1)]
-            one, two = blocks[0], blocks[1] or blocks[0]
-            size = [np.array([len(sets[x]) for x in b], np.int64) for b in (one, two)]
-            rows = [np.repeat(np.arange(len(b)), z) for b, z in zip((one, two), size)]
-            grams = [np.concatenate([sets[x] for x in b]) for b in (one, two)]
-            count = shared_counts(rows[0], grams[0], len(one), rows[1], grams[1], len(two))
-            need = -(-percent * (size[0][:, None] + size[1][None, :]) // (100 + percent))
-            above: dict[int, int] = {}
-
-            def top(c: int) -> int:
-                while above.get(c, c) != c:  # noqa: B023
-                    c = above[c]  # noqa: B023
-                return c
-
-            for i, j in zip(*np.nonzero(count >= need)):
-                ca, cb = top(comp_of[one[i]]), top(comp_of[two[j]])
-                if ca != cb:
-                    above[max(ca, cb)] = min(ca, cb)
-                    a_out.append(one[i])
-                    b_out.append(two[j])
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[0] != key:
+                    yield linked(rows)
+                    rows = []
+                key = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield linked(rows)
 
     return run
 
 
-def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs of sets of different components, near enough in size, that share one of these lists."""
-    right = lists.select("rank", F.col("node").alias("node2"), F.col("mark").alias("mark2"), F.col("comp").alias("comp2"))
-    near = f"least(mark div 2, mark2 div 2) * 100 >= {percent} * greatest(mark div 2, mark2 div 2)"
-    return lists.join(right, "rank").where(f"comp != comp2 and node < node2 and {near}").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+def _links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links within each key of ``named`` (key, node, comp, side)."""
+    rows = named.join(sets.select("node", "n", "ranks"), "node").select("key", "node", "comp", "side", "n", "ranks")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_search(percent), "a long, b long")
+
+
+def _dealt(clusters: DataFrame, sets: DataFrame, block: int, pivots: int) -> DataFrame:
+    """(key, node, comp, side, cluster, blocks): each cluster's sets by block; some sets of a large cluster stand in all its blocks."""
+    sized = clusters.join(sets.select("node", "n"), "node")
+    per = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_MEMBERS)).alias("blocks"))
+    own = F.array(F.pmod(F.xxhash64("node"), "blocks"))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.col("m")) < pivots)
+    blk = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own))
+    return clusters.join(per, "cluster").select("node", "cluster", "blocks", blk.alias("blk")).select(F.xxhash64("cluster", "blk").alias("key"), "node", F.col("node").alias("comp"), F.lit(None).cast("int").alias("side"), "cluster", "blocks")
 
 
-def _block_links(open_lists: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that meet in long lists.
+def _between(open_lists: DataFrame, block: int) -> DataFrame:
+    """(key, node, comp, side): pairs of blocks of what meets in lists that still hold several components.
 
     Components that share lists, over any number of steps, form a cluster. Its
     sets are dealt into blocks, large components into blocks of their own, and
-    every two blocks that do not belong to one component are searched in a task.
+    every two blocks that do not belong to one component make a key.
     """
     lead = open_lists.groupBy("rank").agg(F.min("comp").alias("a"))
     clusters = components(open_lists.join(lead, "rank").select("a", F.col("comp").alias("b")).where("a != b").distinct())
     members = keep(open_lists.select("node", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "comp"))
-    size = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("big", F.col("m") > WIDE_BLOCK)
+    size = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("big", F.col("m") > block)
     pool = size.where("not big").groupBy("cluster").agg(F.sum("m").alias("pool"))
     dealt = members.join(size, ["cluster", "comp"]).join(pool, "cluster", "left")
-    own = F.concat(F.lit("c"), F.col("comp"), F.lit(":"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / WIDE_BLOCK)))
-    shared = F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / WIDE_BLOCK)))
+    own = F.concat(F.lit("c"), F.col("comp"), F.lit(":"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block)))
+    shared = F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / block)))
     dealt = keep(dealt.select("node", "comp", "cluster", F.when(F.col("big"), own).otherwise(shared).alias("blk"), F.when(F.col("big"), F.col("comp")).alias("of")))
     blocks = dealt.select("cluster", "blk", "of").distinct()
     other = blocks.select("cluster", F.col("blk").alias("blk2"), F.col("of").alias("of2"))
     both = blocks.join(other, "cluster").where("blk <= blk2 and not coalesce(of = of2, false)").select("cluster", "blk", "blk2", F.xxhash64("cluster", "blk", "blk2").alias("key"))
-    sides = both.select("cluster", "blk", "key", F.lit(0).alias("side")).union(both.where("blk != blk2").select("cluster", "blk2", "key", F.lit(1)))
-    wanted = keep(dealt.join(sides, ["cluster", "blk"]).join(reps, "node").select(F.col("node").alias("id"), "comp", "key", "side", F.col("rep").alias("doc")))
-    n = wanted.count()
-    groups = _texts_of(wanted, docs).withColumn("bucket", F.pmod("key", F.lit(max(1, n // GROUP))))
-    return groups.select("id", "comp", "key", "side", "packed", "twin", "bucket").groupBy("bucket").applyInArrow(_block_search(k, percent), "a long, b long")
+    within = both.where("blk = blk2").select("cluster", "blk", "key", F.lit(None).cast("int").alias("side"))
+    across = both.where("blk < blk2")
+    sides = within.union(across.select("cluster", "blk", "key", F.lit(0))).union(across.select("cluster", "blk2", "key", F.lit(1)))
+    return dealt.join(sides, ["cluster", "blk"]).select("key", "node", "comp", "side")
 
 
-def _packed(filter_shared):
-    """Compressed texts of the documents that the filter lets through, with a checksum that tells texts of one id apart."""
-
-    def run(batches):
-        bits = np.unpackbits(np.frombuffer(filter_shared.value, np.uint8)).astype(bool)
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            wanted = pa.array(bits[(mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            raw = [t.as_py() or b"" for t in batch.column(1).filter(wanted).cast(pa.large_binary())]
-            yield pa.record_batch([batch.column(0).filter(wanted), pa.array([press.compress(t) for t in raw], pa.binary()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], ["doc", "packed", "twin"])
-
-    return run
-
-
-def _texts_of(named: DataFrame, docs: DataFrame) -> DataFrame:
-    """``named`` (with doc) with the texts. A bitmap of fixed size spares the other documents the shuffle; the join is exact."""
-
-    def bits(batches):
-        out = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            out[(mix(np.asarray(batch.column(0)).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        part = np.packbits(out).reshape(FILTER_ROWS, -1)
-        some = np.flatnonzero(part.any(axis=1))
-        yield pa.record_batch([pa.array(some.astype(np.int64)), pa.array([part[i].tobytes() for i in some], pa.binary())], ["row", "bits"])
-
-    def either(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")]
-        return pa.table({"row": table.column("row").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-    rows = named.select("doc").mapInArrow(bits, "row long, bits binary").groupBy("row").applyInArrow(either, "row long, bits binary").toArrow().to_pydict()
-    bitmap = np.zeros((FILTER_ROWS, (1 << (FILTER_BITS - 3)) // FILTER_ROWS), np.uint8)
-    for r, x in zip(rows["row"], rows["bits"]):
-        bitmap[r] = np.frombuffer(x, np.uint8)
-    shared = named.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-    return named.join(docs.mapInArrow(_packed(shared), "doc long, packed binary, twin long"), "doc")
-
-
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. ``reps``: node, rep (the document whose text stands for the node)."""
-    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("blk"))
-    dealt = keep(dealt)
-    n_pairs = dealt.count()
-    buckets = -(-n_pairs * 2 // GROUP)
-    wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("lead"), "blk").union(dealt.select(F.col("a"), F.col("a"), "blk").distinct())
-    named = keep(wanted.join(reps, "node").select(F.col("node").alias("id"), "lead", "blk", F.col("rep").alias("doc")))
-    groups = _texts_of(named, docs).select("id", "lead", "blk", "packed", "twin", F.pmod(F.xxhash64("lead", "blk"), F.lit(max(1, buckets))).alias("bucket"))
-    return groups.groupBy("bucket").applyInArrow(_verify(k, percent), "a long, b long")
+def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rank, node, comp) of the lists that still hold several components."""
+    labelled = postings.select("rank", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = labelled.groupBy("rank").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("rank")
+    return labelled.join(several, "rank", "left_semi")
 
 
 def _has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK, pivots: int = PIVOTS, short: int = SHORT, chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of
@@ -450,44 +466,44 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str =
     links reach, the row's own included. Null or empty texts have an empty set
     and link with nothing; rows with a null id keep a null component and link
     with nothing. Rows that repeat an id take part with each of their texts
-    and share that id's component. Extra columns are ignored.
+    and share that id's component. Ties cannot arise; an empty table gives no
+    rows; texts of any length take part whole; extra columns are ignored,
+    whatever their names. The sizes of blocks, lists and chunks change the
+    plan, never the result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = keep(base.mapInArrow(_profile(k), "doc_id long, node long, n long, g long, cnt long"))
+    profile = keep(base.mapInArrow(_profile(k, chunk), "doc_id long, node long, n long, g long, cnt long"))
     rows = profile.where("n is not null").select("doc_id", "node", "n")
-    hot = profile.where("g is not null").groupBy("g").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "g").limit(HOT_LISTED).toArrow()
-    g = hot["g"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(g)
-    classes = np.minimum(255, 8 * np.log2(np.maximum(hot["c"].to_numpy().astype(np.float64), 1)) + 1).astype(np.uint64)
-    shared = base.sparkSession.sparkContext.broadcast((g[order], classes[order]))
-
-    with_id = rows.where("doc_id is not null and node is not null")
+    hot = profile.where("g is not null").groupBy("g").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "g").limit(HOT_LISTED).select("g").toArrow()
+    shared = base.sparkSession.sparkContext.broadcast(np.sort(hot["g"].to_numpy().astype(np.int64).view(np.uint64)))
+    members = rows.agg(F.sum("n")).first()[0] or 0
+
+    packed = base.where("doc_id is not null").mapInArrow(_packed(k, max(1, members // part), chunk, shared), "part long, frequent boolean, nodes binary, sizes binary, grams binary, owners binary")
+    ranked = packed.groupBy("part").applyInArrow(_tally, "node long, n long, rank long")
+    sets = keep_table(ranked.repartition("node").sortWithinPartitions("node", "rank").mapInArrow(_surviving(percent), "node long, n long, m long, ranks binary"))
+    postings = sets.mapInArrow(_postings, "rank long, node long, n long, last long")
+    clusters = components(_candidates(postings, percent, short)).withColumnRenamed("comp", "cluster")
+    dealt = keep(_dealt(clusters, sets, block, pivots))
+
+    # An empty set is a set of its id's own, which ties may join to the id's other texts.
+    rows = rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", F.xxhash64(F.lit("empty"), "doc_id"))))
+    with_id = rows.where("node is not null")
+    # An id with several texts ties their sets together.
+    tied = with_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    ties = with_id.join(tied, "doc_id").select("a", F.col("node").alias("b")).where("a != b").distinct()
+    labels = components(_links(dealt.drop("cluster", "blocks"), sets, percent).union(ties))
+    wide = dealt.where("blocks > 1").select("node").distinct()
+    if _has_rows(wide):
+        open_lists = keep(_open_lists(postings.join(wide, "node", "left_semi"), labels))
+        if _has_rows(open_lists):
+            labels = _merged(labels, _links(_between(open_lists, block), sets, percent))
+
+    # A component's name is the smallest id in it.
     reps = with_id.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    texts = base.where("doc_id is not null")
-    postings = texts.mapInArrow(_postings(k, percent, shared), "rank long, node long, mark long")
-    lists = keep_table(postings.repartition("rank").sortWithinPartitions("rank", "mark", "node").mapInArrow(_list_pairs(percent), "a long, b long, rank long, node long, mark long"))
-    long_lists = keep_table(lists.where("rank is not null").select("rank", "node", "mark").distinct())
-
-    pairs = lists.where("a is not null").select("a", "b").distinct()
-    labels = components(_links(pairs, texts, reps, k, percent))
-    open_lists = keep(_open_lists(long_lists, labels))
-    per = open_lists.groupBy("rank").agg(F.count(F.lit(1)).alias("m"))
-    sized = open_lists.join(per, "rank")
-    more = keep(_open_pairs(sized.where(F.col("m") <= PAIRED), percent).join(pairs, ["a", "b"], "left_anti"))
-    if _has_rows(more):
-        labels = _merged(labels, _links(more, texts, reps, k, percent))
-    huge = keep(_open_lists(sized.where(F.col("m") > PAIRED).select("rank", "node", "mark"), labels))
-    if _has_rows(huge):
-        labels = _merged(labels, _block_links(huge, texts, reps, k, percent))
-
-    named = with_id.join(labels.withColumnRenamed("comp", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
-    # A component's name is the smallest id in it; an id with several texts ties their components together.
-    ties = named.groupBy("doc_id").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a < b")
-    if _has_rows(ties):
-        named = named.join(components(ties).withColumnRenamed("node", "top"), "top", "left").withColumn("top", F.coalesce("comp", "top")).drop("comp")
-    names = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    own = named.join(names, "top").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = keep(labels.join(reps, "node"))
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("name"))
+    names = reps.join(named.join(smallest, "comp").select("node", "name"), "node", "left").select("node", F.coalesce("name", "rep").alias("component_id"))
+    return rows.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -501,10 +517,3 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     old = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     new = joined.join(labels, "node", "left_anti").select("node", "comp")
     return keep(old.union(new))
-
-
-def _open_lists(long_lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of long lists that still hold several components."""
-    labelled = long_lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = labelled.groupBy("rank").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("rank")
-    return labelled.join(several, "rank", "left_semi")
