@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +61,19 @@ def test_lines(spark):
     assert line_dedup.drop_shared_lines(df.where("false")).count() == 0
 
 
+def test_lines_of_very_long_texts(spark):
+    """Every other line is shared and goes from all but the last document; time follows the number of lines."""
+    took = []
+    for n in (4_000, 64_000):
+        texts = ["\n".join(f"line {i} that several documents hold" if i % 2 else f"own line {i} of document {d}" for i in range(n)) for d in range(3)]
+        began = time.time()
+        got = {r.doc_id: r for r in line_dedup.drop_shared_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+        took.append(time.time() - began)
+        assert {(r.n_lines, r.n_dropped) for d, r in got.items() if d < 2} == {(n, n // 2)} and got[2].n_dropped == 0
+        assert got[0].text == "\n".join(f"own line {i} of document 0" for i in range(0, n, 2)) and got[2].text == texts[2]
+    assert took[1] < 16 * took[0] + 10
+
+
 # --- 2 ---
 
 
