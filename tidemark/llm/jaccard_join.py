@@ -502,7 +502,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str =
     reps = with_id.groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = keep(labels.join(reps, "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("name"))
-    names = reps.join(named.join(smallest, "comp").select("node", "name"), "node", "left").select("node", F.coalesce("name", "rep").alias("component_id"))
+    # A written table: the last join then has plain shuffles on both sides, which adaptive execution splits where a set is hot.
+    names = keep_table(reps.join(named.join(smallest, "comp").select("node", "name"), "node", "left").select("node", F.coalesce("name", "rep").alias("component_id")))
     return rows.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
