@@ -194,6 +194,66 @@ def test_pii_terms_that_reveal(spark):
     assert len(clean) == 6 and all("zyxwvu" not in r.sanitised and "[EMAIL]" in r.sanitised and r.sanitised.endswith(r.text[-20:]) for r in clean)
 
 
+def brute_terms(texts):
+    """{doc: {(start, end)}} of the terms that documents' words, as one context each, or the words near a value reveal."""
+    word = re.compile(r"[^\W\d_]+")
+    parts = {0: lambda v: [f"account:{re.match('([^@0-9]*[^@0-9._%+-])?', v)[0]}", f"domain:{v.split('@')[1]}"], 1: lambda v: ["network:" + ".".join(v.split(".")[:2])], 2: lambda v: [f"issuer:{re.sub('[^0-9]', '', v)[:6]}"], 3: lambda v: [f"area:{re.sub('[^0-9]', '', v)[:5]}"]}
+    docs, near, held = {}, collections.defaultdict(set), collections.defaultdict(dict)
+    for d, t in enumerate(texts):
+        spans = brute_pii(t)
+        rest = t
+        for s, _, e, _ in spans:
+            rest = rest[:s] + " " * (e - s) + rest[e:]
+        docs[d] = [(m[0].lower(), m.span()) for m in word.finditer(rest)]
+        for s, kind, _, v in spans:
+            i = sum(1 for _, at in docs[d] if at[0] < s)
+            window = tuple(dict.fromkeys(w for w, _ in docs[d][max(0, i - 6) : i + 6]))
+            for entity in [f"{kind}:{v.lower()}", f"class:{kind}", *parts[kind](v.lower())]:
+                near[entity].add((d, window))
+                held[entity].setdefault(d, window)
+    everywhere = collections.Counter(w for ws in docs.values() for w in {w for w, _ in ws})
+    told = collections.defaultdict(set)
+    count = lambda pairs: min(len({d for d, _ in pairs}), len({w for _, w in pairs}))
+    for contexts in ({e: [(d, w, w) for d, w in c] for e, c in near.items()}, {e: [(d, w, {x for x, _ in docs[d]}) for d, w in c.items()] for e, c in held.items()}):
+        for entity, seen in contexts.items():
+            met = collections.defaultdict(set)
+            for d, window, ws in seen:
+                for w in ws:
+                    met[w].add((d, window))
+            p = count([(d, w) for d, w, _ in seen]) / len(texts)
+            for w, pairs in met.items():
+                joint = count(pairs)
+                after = (min(joint, everywhere[w]) + 3 * p) / (everywhere[w] + 3)
+                if after >= 0.5 and np.log2(after / p) >= 0.8 * -np.log2(p) and joint > 1:
+                    told[entity].add(w)
+    return {d: {at for w, at in ws if any(w in told[e] for e in held if d in held[e])} for d, ws in docs.items()}
+
+
+def test_pii_terms_match_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    people = [(f"name{chr(97 + i)}", f"name{chr(97 + i)}.{i}@host{i % 3}.example.com", f"10.{i}.3.4") for i in range(6)]
+    texts = [fill(40) for _ in range(150)]
+    for _ in range(60):
+        name, mail, ip = rng.choice(people)
+        texts.append(f"{fill(rng.randint(5, 30))} {rng.choice(['Mr ' + name, name, 'mailbox'])} {fill(rng.randint(0, 5))} {mail} {fill(rng.randint(1, 9))} {rng.choice(['server', fill(1)])} {ip} {fill(20)}")
+    got = {r.doc_id: {(b.start, b.end) for b in r.disclosed} for r in pii.find_spans(frame(spark, texts)).collect()}
+    expected = brute_terms(texts)
+    assert got == expected and sum(map(len, expected.values())) > 50
+
+
+def test_pii_secrets(spark):
+    token = "dfd1944d2e84f15e89902e34b677e0aa"
+    texts = [f'rata token = "{token}" tira', "a" * 40, "1234567890" * 4, "a-long-name-without-any-digits-in-it", f"x{token}", f"{token[:23]}", *(f'{w} token = "{i}{token}" {w}' for i, w in enumerate(WORDS[:9])), *(f"plain text {i}" for i in range(50))]
+    df = frame(spark, texts)
+    spans = pii.find_spans(df)
+    got = {r.doc_id: [(b.start, b.kind, b.end) for b in r.disclosed] for r in spans.collect()}
+    assert got[0] == [(5, pii.GONE, 10), (14, pii.SECRETS, 46)] or got[0] == [(5, pii.GENERAL, 10), (14, pii.SECRETS, 46)]
+    assert [got[i] for i in (1, 2, 3, 5)] == [[]] * 4 and [k for _, k, _ in got[4]] == [pii.SECRETS]
+    assert pii.redact(df, spans).where("doc_id = 0").first().sanitised in ('rata  = "[SECRET]" tira', 'rata [TERM] = "[SECRET]" tira')
+
+
 def test_pii_terms_far_from_the_value(spark):
     """A term far from the value tells, wherever it stands in documents that hold the value; copies and one document alone tell nothing."""
     rng = random.Random(8)

@@ -1,13 +1,16 @@
 """Personal data: patterns, and terms whose co-occurrence gives protected values away.
 
 Native: DataFrame and SQL functions only. The patterns find e-mail addresses,
-IP addresses, card and phone numbers; each distinct value is a protected
-entity. The words of its documents, and again those near each place of it, are
-counted over distinct contexts, so copies add no evidence; with the document
-counts of those words over the whole corpus, pointwise mutual information tells
-how much of an entity's information a word gives away. Words over the threshold
-become spans wherever they stand in a document that holds the entity: ``redact``
-removes them when they reveal the entity fully and generalises them otherwise.
+IP addresses, card and phone numbers, and secrets, long strings of high
+information. Each place stands for several protected entities: the value, what
+recurs of it (account, domain, network, issuer, area) and its class. The words
+of an entity's documents, and again those near each place of it, are counted
+over distinct contexts, so copies add no evidence. With the counts of those
+words over the whole corpus this estimates how probable the entity is once a
+word is seen, shrunk towards the entity's own probability, and how much of the
+entity's information the word gives away. Words over both thresholds become
+spans wherever they stand in a document that holds the entity: ``redact``
+removes them when they reveal the entity nearly surely and generalises them otherwise.
 """
 
 from __future__ import annotations
@@ -23,19 +26,20 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: A run of letters and digits this long is a secret if it has several of both and many different characters.
+SECRET = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{24,}+"
 KINDS = ("email", "ip", "card", "phone")
-#: Further kinds: a term that is generalised, and one that is removed since it gives the whole value away.
-GENERAL, GONE = 4, 5
+#: Further kinds: a term that is generalised, one that is removed since it gives the entity away, a secret.
+GENERAL, GONE, SECRETS = 4, 5, 6
+NAMES = (*KINDS, "term", "removed", "secret")
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: Words on each side of a protected value that make up a context.
 WINDOW = 6
-#: Characters looked at on each side for these; a word that they cut is left to the count over documents.
-REACH = 120
-#: Distinct contexts in which a term must stand near an entity.
-SUPPORT = 3
-#: Share of the entity's information that a term may give away.
-DISCLOSURE = 0.8
+#: Contexts that the estimate of an entity's probability after a word borrows from the corpus.
+PRIOR = 3.0
+#: Share of the entity's information that a term may give away, and its probability after the term; over the last, the term goes.
+DISCLOSURE, LIKELY, SURE = 0.8, 0.5, 0.9
 #: Candidate terms up to this many are sent to all tasks; more are joined by a shuffle.
 SMALL_TERMS = 200_000
 
@@ -57,6 +61,9 @@ def _passes(kind: str, value: Column) -> Column:
     if kind == "card":
         n = F.length(_digits(value))
         return F.when(n.between(14, 19), _luhn(_digits(value))).otherwise(False)
+    if kind == "secret":
+        n = F.length(_digits(value))
+        return (n >= 4) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4) & (F.size(F.array_distinct(F.split(F.lower(value), ""))) >= 10)
     if kind == "phone":
         return F.length(_digits(value)).between(10, 15)
     return F.lit(True)
@@ -76,11 +83,11 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), e.alias("end"), x["m"].alias("value")))
+        one = F.array(F.struct(s.alias("start"), F.lit(NAMES.index(kind)).alias("kind"), e.alias("end"), x["m"].alias("value")))
         return F.struct(F.coalesce(e, s).alias("at"), F.when(x["m"].isNotNull() & _passes(kind, x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     walked = F.aggregate(both, start, step)["out"]
-    probe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]")}[kind]
+    probe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "secret": text.rlike("[A-Za-z0-9_-]{24}")}[kind]
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     return F.when(probe & (F.size(found) > 0), walked).otherwise(none)
 
@@ -94,23 +101,48 @@ _WORD = r"[\p{L}\p{M}]+"
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _near(s: Column, cut: Column, last: bool) -> Column:
-    """The ``WINDOW`` words of ``s`` nearest the value; a word at the far end goes where ``cut``, since s has only a part of it."""
-    whole = F.when(cut, F.regexp_replace(s, rf"^(?:{_WORD}|[^\p{{L}}\p{{M}}])" if last else rf"(?:{_WORD}|[^\p{{L}}\p{{M}}])$", "")).otherwise(s)
-    out = F.regexp_extract_all(F.lower(whole), F.lit(_WORD), F.lit(0))
-    return F.slice(out, F.greatest(F.size(out) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)) if last else F.slice(out, 1, WINDOW)
+#: Stands for a place of a protected value in a blanked text.
+_MARK = "\x01"
 
 
 def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of the spans, so that other places stay where they are."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """struct<rest, marks>: ``text`` with a mark and spaces in place of the spans, so that other places stay where they are;
+    and for each span the number of its mark, which overlapping spans share."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("marks"))
 
     def step(acc: Column, b: Column) -> Column:
+        fresh = b["start"] >= acc["at"]
         lo = F.greatest(b["start"], acc["at"])
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, lo - acc["at"]), F.repeat(F.lit(" "), F.greatest(b["end"] - lo, F.lit(0))))
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["end"] > acc["at"], grown).otherwise(acc["out"]).alias("out"))
+        blank = F.repeat(F.lit(" "), F.greatest(b["end"] - lo - F.when(fresh, 1).otherwise(0), F.lit(0)))
+        k = acc["k"] + F.when(fresh, 1).otherwise(0)
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, lo - acc["at"]), F.when(fresh, F.lit(_MARK)).otherwise(""), blank)
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["end"] > acc["at"], grown).otherwise(acc["out"]).alias("out"), k.alias("k"), F.concat(acc["marks"], F.array(k)).alias("marks"))
+
+    return F.aggregate(spans, start, step, lambda a: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))).alias("rest"), a["marks"].alias("marks")))
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, lower-cased, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def signature(words: Column) -> Column:
+    """Tells documents apart as contexts: the smallest hash of three words in a row, which near copies mostly share."""
+    two = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+    return F.array_min(F.zip_with(two, F.slice(words, F.lit(3), F.size(words)), lambda a, b: F.xxhash64(a, b)))
+
+
+def entities_of(kind: Column, value: Column) -> Column:
+    """What a place protects: the value, what recurs of it, and its class."""
+    v, digits = ascii_lower(value), _digits(value)
+    name = F.get(F.array(*map(F.lit, NAMES)), kind)
+    part = F.when(kind == KINDS.index("ip"), F.concat(F.lit("network:"), F.substring_index(v, ".", 2)))
+    part = part.when(kind == KINDS.index("card"), F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))).when(kind == KINDS.index("phone"), F.concat(F.lit("area:"), F.substring(digits, 1, 5)))
+    mail = kind == KINDS.index("email")
+    name_of = F.nullif(F.regexp_extract(v, r"^([^@0-9]*[^@0-9._%+-])?", 0), F.lit(""))
+    account = F.when(mail, F.concat(F.lit("account:"), name_of))
+    domain = F.when(mail, F.concat(F.lit("domain:"), F.substring_index(v, "@", -1)))
+    return F.array_compact(F.array(F.concat_ws(":", name, v), F.concat(F.lit("class:"), name), part, account, domain))
 
 
 def _places(text: Column, wanted: Column) -> Column:
@@ -128,88 +160,86 @@ def _places(text: Column, wanted: Column) -> Column:
     return F.aggregate(F.arrays_zip(F.split(text, _WORD, -1).alias("p"), found.alias("m")), start, step)["out"]
 
 
+def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by document and text; ids may be null."""
+    right = right.withColumnsRenamed({"doc_id": "__d", "text_hash": "__t"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), how).drop("__d", "__t")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, base and disclosed spans, each array<struct<start, kind, end, value>>.
 
     Null texts are empty. Rows that repeat an id are told apart by a hash of
-    their texts; equal rows get equal spans, once each. Null ids are kept.
-    Disclosed spans have kind 4 (generalised) or 5 (removed); their value is the term.
+    their texts; equal rows get equal spans, once each. Null ids are kept. An
+    empty table gives no rows, texts of any length take part whole, extra
+    columns are ignored, and ties cannot arise, as thresholds decide.
+    Disclosed spans have kind 4 (generalised), 5 (removed) or 6 (a secret);
+    their value is the term or the secret.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
-    # Texts go on where there are values, and the characters around each of these, with the words nearest to it.
-    around = F.transform(
-        "base",
-        lambda b: F.struct(
-            b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value"),
-            F.substring(F.col("text"), F.greatest(b["start"] - REACH - 1, F.lit(0)) + 1, F.least(b["start"], F.lit(REACH + 1))).alias("before"),
-            F.substring(F.col("text"), b["end"] + 1, F.lit(REACH + 1)).alias("after"),
-        ),
-    )
-    base = keep(found.select("doc_id", "text_hash", around.alias("around"), F.when(F.size("base") > 0, _blanked(F.col("text"), F.col("base"))).alias("rest")))
+    found = src.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"), matches(F.col("text"), "secret", SECRET).alias("secrets"))
+    # Texts go on only where there are values.
+    base = keep(found.select("doc_id", "text_hash", "base", "secrets", F.when((F.size("base") > 0) | (F.size("secrets") > 0), F.col("text")).alias("text")))
     total = base.count()
     key = ["doc_id", "text_hash"]
+    some = base.where("text is not null").dropDuplicates(key).select(*key, F.translate("text", _MARK, " ").alias("text"), F.array_sort(F.concat("base", "secrets")).alias("held"))
+    some = some.select(*key, "held", _blanked(F.col("text"), F.col("held")).alias("b"))
+    some = keep(some.select(*key, "held", F.col("b.rest").alias("rest"), F.col("b.marks").alias("marks"), F.regexp_extract_all(F.lower("b.rest"), F.lit(rf"{_MARK}|{_WORD}"), F.lit(0)).alias("tokens")))
+    # Before the k-th mark stand as many words as tokens, less k.
+    marked = F.transform(F.filter(F.transform("tokens", lambda t, i: F.when(t == _MARK, i)), lambda i: i.isNotNull()), lambda i, k: i - k)
+    spoken = keep(some.select(*key, "held", "marks", marked.alias("at"), F.filter("tokens", lambda t: t != _MARK).alias("words")).withColumn("distinct", F.array_distinct("words")).withColumn("context", signature(F.col("words"))))
+
+    at = F.get(F.col("at"), F.col("mark"))
+    before = F.greatest(at - WINDOW, F.lit(0))
+    places = spoken.select(*key, "context", "at", "words", F.explode(F.arrays_zip("held", "marks")).alias("x")).select(*key, "context", "at", "words", F.col("x.held").alias("span"), F.col("x.marks").alias("mark"))
+    near = places.select(*key, "context", F.col("span.start").alias("start"), entities_of(F.col("span.kind"), F.col("span.value")).alias("entities"), F.array_distinct(F.slice("words", before + 1, at - before + WINDOW)).alias("words"))
+    near = near.withColumn("window", F.xxhash64("words")).select(*key, F.explode("entities").alias("entity"), "context", "window", "start", "words")
+    per_doc = keep(near.groupBy(*key, "entity").agg(F.min_by(F.struct("context", "window"), F.struct("start", "window")).alias("c")).select(*key, "entity", "c.context", "c.window"))
+    # Copies have the same signature or the same words near the value, so whichever differs less often counts.
+    contexts = F.least(F.count_distinct("context"), F.count_distinct("window"))
 
-    near = base.select(*key, F.explode("around").alias("x")).select(
-        *key, F.concat_ws(":", F.col("x.kind"), ascii_lower(F.col("x.value"))).alias("entity"), F.col("x.start").alias("start"),
-        F.concat(_near(F.col("x.before"), F.length("x.before") > REACH, True), _near(F.col("x.after"), F.length("x.after") > REACH, False)).alias("words"),
-    )
-    near = near.withColumn("context", F.xxhash64("words"))
-    # A document is one context of each of its entities, and told apart by the words near the first place, as near copies share them.
-    held = keep(near.groupBy(*key, "entity").agg(F.min_by("context", "start").alias("context")))
-    texts = base.where("rest is not null").select(*key, "rest").dropDuplicates(key)
-    spoken_here = keep(texts.select(*key, F.filter(F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_WORD), F.lit(0))), lambda w: F.length(w) >= 3).alias("words")))
-    # A term stands in at least as many documents as in the ones counted here; terms that cannot
-    # reach the threshold even so need no count over the whole corpus.
-    beside = spoken_here.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("term_n"))
     n = F.lit(float(max(total, 2)))
-    told = F.log2(F.col("joint") * n / (F.col("entity_n") * F.greatest("term_n", "joint")))
-    share = told / F.greatest(F.log2(n / F.col("entity_n")), F.lit(1e-9))
-
-    def often(contexts: DataFrame) -> DataFrame:
-        """(entity, entity_n): fewer contexts than ``SUPPORT`` reveal nothing."""
-        return contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT)
-
-    def scores(terms: DataFrame, entities: DataFrame) -> DataFrame:
-        joint = terms.distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
-        return joint.join(entities, "entity").join(beside, "word").where(share >= DISCLOSURE).drop("term_n")
-
-    near_terms = near.select("entity", "context", F.explode("words").alias("word")).where("length(word) >= 3")
-    known = keep(often(held))
-    some = held.join(known.select("entity"), "entity").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "entity", "context")
-    doc_terms = spoken_here.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("entity", "context", F.explode("words").alias("word"))
-    joint = keep(scores(near_terms, often(near)).union(scores(doc_terms, known).select("word", "entity", "joint", "entity_n")))
-    candidates = keep(joint.select("word").distinct())
+    joint = F.least("joint", "term_n")
+    p = F.col("entity_n") / n
+    after = (joint + PRIOR * p) / (F.col("term_n") + PRIOR)
+    share = F.log2(after / p) / F.greatest(-F.log2(p), F.lit(1e-9))
+    told = (after >= LIKELY) & (share >= DISCLOSURE)
+    # A term stands in at least as many contexts as in the ones counted here; terms that cannot
+    # reach the thresholds even so need no count over the whole corpus. One context never suffices.
+    beside = spoken.select("context", F.explode("distinct").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("term_n")).where("term_n >= 2")
+
+    def scores(terms: DataFrame, of: DataFrame) -> DataFrame:
+        entities = of.groupBy("entity").agg(contexts.alias("entity_n")).where("entity_n >= 2")
+        counted = terms.groupBy("entity", "word").agg(contexts.alias("joint")).where("joint >= 2")
+        return counted.join(entities, "entity").join(beside, "word").where(told).select("word", "entity", "joint", "entity_n")
+
+    recurring = keep(per_doc.groupBy("entity").count().where("count >= 2").select("entity"))
+    doc_terms = _joined(per_doc.join(recurring, "entity"), spoken.select(*key, "distinct")).select("entity", "context", "window", F.explode("distinct").alias("word"))
+    near_terms = near.join(recurring, "entity").select("entity", "context", "window", F.explode("words").alias("word"))
+    candidates_of = keep(scores(near_terms, near).union(scores(doc_terms, per_doc)))
+    candidates = keep(candidates_of.select("word").distinct())
     n_terms = candidates.count()
     none = F.array().cast(_SPANS)
     if n_terms == 0:
-        return base.select(*key, _plain("around").alias("base"), none.alias("disclosed"))
-    spoken = src.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("word"))
-    if n_terms <= SMALL_TERMS:
-        spoken = spoken.join(F.broadcast(candidates), "word")
-        term_df = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("term_n"))
-    else:
-        term_df = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("term_n")).join(candidates, "word")
-
-    # Information that the term gives about the entity, against all the information the entity holds.
-    scored = joint.join(term_df, "word").withColumn("share", share)
-    reveal = scored.where(F.col("share") >= DISCLOSURE).groupBy("entity", "word").agg(F.max(F.when(F.col("share") >= 1, GONE).otherwise(GENERAL)).alias("kind"))
-
-    per_word = held.join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
+        return base.select(*key, "base", F.col("secrets").alias("disclosed"))
+    # The documents without values, whose words are looked up among the candidates.
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    elsewhere = src.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
+    elsewhere = elsewhere.select(*key, signature(F.col("words")).alias("context"), F.array_distinct("words").alias("distinct")).select(*key, "context", F.explode("distinct").alias("word"))
+    elsewhere = elsewhere.join(F.broadcast(candidates) if n_terms <= SMALL_TERMS else candidates, "word")
+    elsewhere = _joined(elsewhere, spoken.select(*key), "left_anti").groupBy("word").agg(F.count_distinct("context").alias("more"))
+    term_df = beside.join(candidates, "word").join(elsewhere, "word", "left").select("word", (F.col("term_n") + F.coalesce("more", F.lit(0))).alias("term_n"))
+
+    reveal = candidates_of.join(term_df, "word").where(told).groupBy("entity", "word").agg(F.max(F.when(after >= SURE, GONE).otherwise(GENERAL)).alias("kind"))
+    per_word = per_doc.join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
     wanted = per_word.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "wanted")
-    joined = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    places = F.when(F.col("wanted").isNotNull(), _places(F.col("rest"), F.col("wanted"))).otherwise(none)
-    return joined.select(*key, _plain("around").alias("base"), places.alias("disclosed"))
-
-
-def _plain(name: str) -> Column:
-    return F.transform(name, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value")))
+    terms = _joined(some.select(*key, "rest"), wanted).select(*key, _places(F.col("rest"), F.col("wanted")).alias("terms"))
+    return _joined(base, terms, "left").select(*key, "base", F.array_sort(F.concat("secrets", F.coalesce("terms", none))).alias("disclosed"))
 
 
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the order given."""
-    names = F.array(*map(F.lit, (*KINDS, "term", "removed")))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda b: F.concat_ws(":", F.get(names, b["kind"]), b["start"], b["end"])), ",")
 
 
@@ -219,7 +249,7 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     found = spans.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.array_sort(F.concat("base", "disclosed")).alias("__s"))
     joined = src.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    names = F.array(*map(F.lit, ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")))
+    names = F.array(*map(F.lit, ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "", "[SECRET]")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
