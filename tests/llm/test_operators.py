@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import itertools
 import random
 import re
@@ -403,6 +404,59 @@ def test_html_keeps_whole_articles():
         assert html_text.main_text(f"<body><{tag}><h1>Title</h1><p>{long}</p></{tag.split()[0]}></body>") == f"Title\n{long}", tag
 
 
+def test_html_path_table():
+    """Scores against a table of paths made by plain loops."""
+    rng = random.Random(3)
+    paths = [("body", "div", "p"), ("body", "div", "li"), ("body", "main", "p"), ("body", "h1")]
+    found = [(rng.choice(paths), "".join(rng.choice("ab cd., é!") for _ in range(rng.randint(1, 60)))) for _ in range(80)]
+    ratio = []
+    for path, _ in found:
+        own = [t for p, t in found if p == path]
+        ratio.append(sum(map(len, own)) / len(own) * (1 + sum(c in ".,;:!?" for t in own for c in t) / len(own)))
+    expected = []
+    for i, r in enumerate(ratio):
+        left, right = ratio[max(i - 1, 0)], ratio[min(i + 1, len(ratio) - 1)]
+        expected.append((r * (left + 2 * r + right) / 4) ** 0.5)
+    assert np.allclose(html_text.fused_ratios(found), expected)
+
+
+class Article(html.parser.HTMLParser):
+    """The blocks of a page's article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts.append("") if tag not in html_text.INLINE | {"br"} else None
+        self.parts[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts.append("") if tag not in html_text.INLINE else None
+
+    def handle_data(self, data):
+        self.parts[-1] += data if self.depth else ""
+
+
+def test_html_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        known = Article()
+        known.feed(r.html or "")
+        known.close()
+        assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in known.parts if x.split()), r.page_id
+
+
+def test_html_odd_rows(spark):
+    body = "<article><h1>Title</h1>" + "<p>A paragraph with some words, and a full stop.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", PAGE.format(body)), (1, "u", PAGE.format(body)), (1, "v", "<p>Other</p>"), (None, None, "<p>No id</p>")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted(r.text.count("\n") for r in got) == [0, 0, 20_000, 20_000] and {r.page_id for r in got} == {1, None}
+
+
 # --- 10 ---
 
 

@@ -141,11 +141,8 @@ def _container(found: list[tuple[tuple[str, ...], str]], chosen: np.ndarray) ->
     return root
 
 
-def main_text(html: str, share: float = 0.2) -> str:
-    """The article's blocks, joined by one newline."""
-    found = blocks(html) or blocks(html, frozenset())
-    if not found:
-        return ""
+def fused_ratios(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
+    """Each block's score: text length and punctuation per block of its tag path, fused, and fused again with what smoothing along the page makes of it."""
     paths: dict[tuple[str, ...], list[float]] = {}
     for path, text in found:
         p = paths.setdefault(path, [0.0, 0.0, 0.0])
@@ -155,15 +152,28 @@ def main_text(html: str, share: float = 0.2) -> str:
     ratio = np.array([paths[p][0] / paths[p][2] * (1 + paths[p][1] / paths[p][2]) for p, _ in found])
     padded = np.pad(ratio, 1, mode="edge")
     smooth = padded[:-2] / 4 + padded[1:-1] / 2 + padded[2:] / 4
+    return np.sqrt(ratio * smooth)
+
+
+def main_text(html: str, share: float = 0.2) -> str:
+    """The article's blocks, joined by one newline."""
+    found = blocks(html) or blocks(html, frozenset())
+    if not found:
+        return ""
+    fused = fused_ratios(found)
     size = np.array([len(t) for _, t in found], float)
-    fused = np.sqrt(ratio * smooth)
     chosen = fused >= share * (fused * size).sum() / size.sum()
     root = _container(found, chosen)
     return "\n".join(t for p, t in found if p[: len(root)] == root)
 
 
 def extract_text(pages: DataFrame, share: float = 0.2) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of ``pages``; a null or empty page has an empty text. Extra columns are ignored."""
+    """(page_id, url, text, n_chars) per row of ``pages``; a null or empty page has an empty text.
+
+    Rows that repeat an id or a page each have their own row; null ids are kept;
+    an empty table gives no rows; pages of any length are read whole; there are
+    no ties, as a threshold decides; extra columns are ignored, whatever their names.
+    """
 
     def run(batches):
         for batch in batches:
