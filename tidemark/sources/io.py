@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 FILE_ROWS = 4_000_000
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names for checkpoints; a temporary one only where none is set."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for checkpoints. A temporary folder stands in for it only in local mode:
+    on a cluster that would be one machine's disk, so a session without the setting is refused there."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
-        root = held.get()
-    else:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_files(spark: SparkSession, schema, paths: list[str], provenance: bool = False) -> DataFrame:
