@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.io import checkpoint_folder, shared_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    use_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def keep_table(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: smaller there than ``keep`` for many rows."""
     spark = df.sparkSession
-    path = f"{use_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -149,8 +149,13 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
-    """Learns from at most ``FIT_ROWS`` labelled rows (docs: doc_id, text; labels: doc_id, quality), drawn by a hash of the id."""
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("long").alias("y")).dropDuplicates(["doc_id"])
+    """Learns from at most ``FIT_ROWS`` labelled rows (docs: doc_id, text; labels: doc_id, quality), drawn by a hash of the id.
+
+    Of labels that contradict each other 1 counts; labels that are null or neither 0 nor 1, or whose
+    document is missing, teach nothing, and documents that share an id each teach their id's label.
+    Without labels of both kinds every text gets the same kind of score. Extra columns are ignored.
+    """
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("long").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(FIT_ROWS)
 
     def run(batches):
@@ -164,7 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
 
 
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, statistics array<double>) per row of ``docs``; null texts count as empty."""
+    """(doc_id, score, statistics array<double>) per row of ``docs``.
+
+    Null texts count as empty; null ids stay; rows that repeat an id each have
+    their own row, equal texts equal scores, and texts of any length are read
+    whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):

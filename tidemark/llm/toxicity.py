@@ -141,9 +141,14 @@ def _counts(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    """Learns from at most ``FIT_ROWS`` labelled rows (docs: doc_id, text; labels: doc_id, toxic), drawn by a hash of the id."""
+    """Learns from at most ``FIT_ROWS`` labelled rows (docs: doc_id, text; labels: doc_id, toxic), drawn by a hash of the id.
+
+    Of labels that contradict each other 1 counts; labels that are null or neither 0 nor 1, or whose
+    document is missing, teach nothing, and documents that share an id each teach their id's label.
+    Without labels of both kinds every text gets the same kind of score. Extra columns are ignored.
+    """
     spark = docs.sparkSession
-    chosen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("y")).dropDuplicates(["doc_id"])
+    chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y"))
     chosen = chosen.withColumn("r", F.xxhash64(F.lit("toxic"), "doc_id")).orderBy("r", "doc_id").limit(FIT_ROWS)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
     sums = rows.mapInArrow(_counts, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
@@ -274,7 +279,10 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     Spans join neighbouring tokens of marginals of at least 0.5, in code
     points, end exclusive; p is the largest. Null and empty texts have no
-    spans and the score of a text without any known feature. Null ids stay.
+    spans and the score of a text without any known feature. Null ids stay;
+    rows that repeat an id each have their own row, equal texts equal scores,
+    and texts of any length are read whole. An empty table gives no rows. Extra
+    columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -291,7 +299,11 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, field: Field, below: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score less than ``below``."""
+    """The rows of ``docs``, with all their columns, that score less than ``below``.
+
+    Each row is judged by its own text, null as an empty one; a score of just
+    ``below`` goes. Repeated rows stay or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     column = docs.columns.index(text_col)
 
