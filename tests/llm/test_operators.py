@@ -199,7 +199,7 @@ def brute_terms(texts):
     """{doc: {(start, end)}} of the terms that documents' words, as one context each, or the words near a value reveal."""
     word = re.compile(r"[^\W\d_]+")
     parts = {0: lambda v: [f"account:{re.match('([^@0-9]*[^@0-9._%+-])?', v)[0]}", f"domain:{v.split('@')[1]}"], 1: lambda v: ["network:" + ".".join(v.split(".")[:2])], 2: lambda v: [f"issuer:{re.sub('[^0-9]', '', v)[:6]}"], 3: lambda v: [f"area:{re.sub('[^0-9]', '', v)[:5]}"]}
-    docs, near, held = {}, collections.defaultdict(set), collections.defaultdict(dict)
+    docs, held = {}, collections.defaultdict(dict)
     for d, t in enumerate(texts):
         spans = brute_pii(t)
         rest = t
@@ -210,20 +210,14 @@ def brute_terms(texts):
             i = sum(1 for _, at in docs[d] if at[0] < s)
             window = tuple(dict.fromkeys(w for w, _ in docs[d][max(0, i - 6) : i + 6]))
             for entity in [f"{kind}:{v.lower()}", f"class:{kind}", *parts[kind](v.lower())]:
-                near[entity].add((d, window))
                 held[entity].setdefault(d, window)
     everywhere = collections.Counter(w for ws in docs.values() for w in {w for w, _ in ws})
     told = collections.defaultdict(set)
-    count = lambda pairs: min(len({d for d, _ in pairs}), len({w for _, w in pairs}))
-    for contexts in ({e: [(d, w, w) for d, w in c] for e, c in near.items()}, {e: [(d, w, {x for x, _ in docs[d]}) for d, w in c.items()] for e, c in held.items()}):
-        for entity, seen in contexts.items():
-            met = collections.defaultdict(set)
-            for d, window, ws in seen:
-                for w in ws:
-                    met[w].add((d, window))
-            p = count([(d, w) for d, w, _ in seen]) / len(texts)
-            for w, pairs in met.items():
-                joint = count(pairs)
+    for entity, windows in held.items():
+        assert len(set(windows.values())) == len(windows)
+        p = len(windows) / len(texts)
+        for words_in in (lambda d: windows[d], lambda d: {w for w, _ in docs[d]}):
+            for w, joint in collections.Counter(w for d in windows for w in words_in(d)).items():
                 after = (min(joint, everywhere[w]) + 3 * p) / (everywhere[w] + 3)
                 if after >= 0.5 and np.log2(after / p) >= 0.8 * -np.log2(p) and joint > 1:
                     told[entity].add(w)

@@ -194,9 +194,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = spoken.select(*key, "context", "at", "words", F.explode(F.arrays_zip("held", "marks")).alias("x")).select(*key, "context", "at", "words", F.col("x.held").alias("span"), F.col("x.marks").alias("mark"))
     near = places.select(*key, "context", F.col("span.start").alias("start"), entities_of(F.col("span.kind"), F.col("span.value")).alias("entities"), F.array_distinct(F.slice("words", before + 1, at - before + WINDOW)).alias("words"))
     near = near.withColumn("window", F.xxhash64("words")).select(*key, F.explode("entities").alias("entity"), "context", "window", "start", "words")
-    per_doc = keep(near.groupBy(*key, "entity").agg(F.min_by(F.struct("context", "window"), F.struct("start", "window")).alias("c")).select(*key, "entity", "c.context", "c.window"))
-    # Copies have the same signature or the same words near the value, so whichever differs less often counts.
-    contexts = F.least(F.count_distinct("context"), F.count_distinct("window"))
+    near = keep(near)
+    # Copies have the same signature or the same words near the value: a place counts for each signature, and of these one for each window.
+    place = F.struct(*key, "start", "window", "words")
+    first = near.groupBy("entity", "context").agg(F.min_by(place, F.struct("start", "window")).alias("p"))
+    told_by = first.groupBy("entity", F.col("p.window").alias("window")).agg(F.min_by("p", "context").alias("p"))
+    counted = keep(told_by.select("entity", "p.doc_id", "p.text_hash", "p.words"))
+    entities = counted.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where("entity_n >= 2")
 
     n = F.lit(float(max(total, 2)))
     joint = F.least("joint", "term_n")
@@ -208,15 +212,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # reach the thresholds even so need no count over the whole corpus. One context never suffices.
     beside = spoken.select("context", F.explode("distinct").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("term_n")).where("term_n >= 2")
 
-    def scores(terms: DataFrame, of: DataFrame) -> DataFrame:
-        entities = of.groupBy("entity").agg(contexts.alias("entity_n")).where("entity_n >= 2")
-        counted = terms.groupBy("entity", "word").agg(contexts.alias("joint")).where("joint >= 2")
-        return counted.join(entities, "entity").join(beside, "word").where(told).select("word", "entity", "joint", "entity_n")
+    def scores(terms: DataFrame) -> DataFrame:
+        met = terms.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where("joint >= 2")
+        return met.join(entities, "entity").join(beside, "word").where(told).select("word", "entity", "joint", "entity_n")
 
-    recurring = keep(per_doc.groupBy("entity").count().where("count >= 2").select("entity"))
-    doc_terms = _joined(per_doc.join(recurring, "entity"), spoken.select(*key, "distinct")).select("entity", "context", "window", F.explode("distinct").alias("word"))
-    near_terms = near.join(recurring, "entity").select("entity", "context", "window", F.explode("words").alias("word"))
-    candidates_of = keep(scores(near_terms, near).union(scores(doc_terms, per_doc)))
+    recurring = counted.join(entities.select("entity"), "entity")
+    doc_terms = _joined(recurring.drop("words"), spoken.select(*key, "distinct")).select("entity", F.explode("distinct").alias("word"))
+    candidates_of = keep(scores(recurring.select("entity", F.explode("words").alias("word"))).union(scores(doc_terms)))
     candidates = keep(candidates_of.select("word").distinct())
     n_terms = candidates.count()
     none = F.array().cast(_SPANS)
@@ -226,12 +228,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
     elsewhere = src.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
     elsewhere = elsewhere.select(*key, signature(F.col("words")).alias("context"), F.array_distinct("words").alias("distinct")).select(*key, "context", F.explode("distinct").alias("word"))
-    elsewhere = elsewhere.join(F.broadcast(candidates) if n_terms <= SMALL_TERMS else candidates, "word")
+    # Kept, or else the anti join would be made before the words are looked up, with all texts.
+    elsewhere = keep(elsewhere.join(F.broadcast(candidates) if n_terms <= SMALL_TERMS else candidates, "word"))
     elsewhere = _joined(elsewhere, spoken.select(*key), "left_anti").groupBy("word").agg(F.count_distinct("context").alias("more"))
     term_df = beside.join(candidates, "word").join(elsewhere, "word", "left").select("word", (F.col("term_n") + F.coalesce("more", F.lit(0))).alias("term_n"))
 
     reveal = candidates_of.join(term_df, "word").where(told).groupBy("entity", "word").agg(F.max(F.when(after >= SURE, GONE).otherwise(GENERAL)).alias("kind"))
-    per_word = per_doc.join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
+    per_word = near.select(*key, "entity").join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
     wanted = per_word.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("wanted"))
     terms = _joined(some.select(*key, "rest"), wanted).select(*key, _places(F.col("rest"), F.col("wanted")).alias("terms"))
     return _joined(base, terms, "left").select(*key, "base", F.array_sort(F.concat("secrets", F.coalesce("terms", none))).alias("disclosed"))
