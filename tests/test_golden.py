@@ -137,3 +137,63 @@ def test_ordered_hash_streams_groups_larger_than_a_batch(spark):
     values = {k: sorted(v for x, v in rows if x == k and v is not None) for k in ("a", None, "b")}
     assert got == {"none": None} | {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in values.items()}
     assert "listagg" not in hashes._jdf.queryExecution().toString()
+
+
+def test_group_key_bytes(spark):
+    """Doubles give their eight big-endian bytes, zero without a sign; negative ones come last."""
+    import struct
+
+    values = [0.0, -0.0, 0.1, 2.5, 1e300, -1.5, 5e-324]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = dict(df.select("i", A.key_bytes(A.key_of(F.col("x"), "double"))).collect())
+    assert {i: bytes(b) for i, b in got.items()} == {i: b"d" + struct.pack(">d", v if v else 0.0) for i, v in enumerate(values)}
+
+
+def test_timestamps(spark):
+    from tidemark.functions import scalars as S
+
+    known = {
+        "1": (1_000_000, 0), "-1": (-1_000_000, 0), "1.0000000019": (1_000_000, 1), "1.9999999999999999999": (1_999_999, 999), "-1e-20": (-1, 999), "1e-20": (0, 0), "-0.0000000015": (-1, 998), "12e2": (1_200_000_000, 0),
+        "1e30": (None, None), "999999999999e40": (None, None), "0e99": (0, 0), "1700000000.123456789": (1_700_000_000_123_456, 789), "abc": (None, None), "1\n": (None, None), "-1e-3": (-1000, 0), "9223372036854.775807": (9223372036854775807, 0), "9223372036854.775808": (None, None),
+        "1970-01-01T00:00:01.5Z": (1_500_000, 0), "1969-12-31T23:59:59.999999999Z": (-1, 999),
+    }
+    us, ns = S.parse_timestamp(F.col("raw"))
+    got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(k,) for k in known], "raw string").select("raw", us, ns).collect()}
+    assert got == known
+
+
+def test_ids_levels_and_types(spark):
+    from tidemark.functions import scalars as S
+
+    r = spark.range(1).select(
+        S.trace_id(F.lit("a" * 32 + "\n")).alias("newline"), S.span_id(F.lit("AB" * 8)).alias("span"), S.span_id(F.lit("0" * 16)).alias("zero"),
+        S.level(F.lit(" error "), True).alias("blank"), S.level(F.lit("WARN"), True).alias("warn"), S.unsupported_type(F.lit("é" * 90)).alias("type"), S.unsupported_type(F.lit("x" + "é" * 90)).alias("odd"),
+    ).first()
+    assert (r.newline, r.span, r.zero, r.blank, r.warn) == (None, "ab" * 8, None, "unknown", "warning")
+    tail = lambda t: "#" + hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert r.type == "é" * 50 + tail("é" * 90) and r.odd == "x" + "é" * 49 + tail("x" + "é" * 90)
+
+
+def test_issue_groups(spark):
+    import json
+
+    from tidemark.operators import issues
+
+    frame = lambda **k: {"module": "m", "function": "f", "filename": "a.py", **k}
+    thrown = lambda *frames, kind="T", value="v": {"type": kind, "value": value, "stacktrace": {"frames": list(frames)}}
+    raws = {
+        "own": [thrown(frame(in_app=True), frame(function="lib"))], "own_value": [thrown(frame(in_app=True), value="other")], "foreign": [thrown(frame(function="lib"))], "windows": [thrown(frame(filename="x\\a.py"))], "posix": [thrown(frame(filename="x/a.py"))],
+        "first_differs": [thrown(frame(function="z"), kind="A"), thrown(frame(in_app=True))], "first_same": [thrown(frame(function="y"), kind="A"), thrown(frame(in_app=True))], "bare": [{"type": "T", "value": "1"}], "bare_other": [{"type": "T", "value": "2"}],
+    }
+    rows = [(k, 1, json.dumps({"exception": {"values": v}}), "m", None) for k, v in raws.items()] + [("project", 2, json.dumps({"exception": {"values": raws["own"]}}), "m", None)]
+    rows += [(k, 1, json.dumps({"fingerprint": f}), "said", "t") for k, f in (("custom", ["a", "{{ default }}"]), ("custom_same", ["a", "{{default}}"]), ("joined", ["a|b"]), ("apart", ["a", "b"]), ("number", ["a", 5]), ("none", []))]
+    rows += [("template", 1, "{}", "other", "t"), ("message", 1, "{}", "said", None)]
+    df = spark.createDataFrame(rows, "k string, p int, raw string, message string, template string")
+    got = dict(df.select("k", issues.fingerprint(F.col("p"), F.col("raw"), F.col("message"), F.col("template"))).collect())
+    same = [{"own", "own_value"}, {"windows", "posix"}, {"first_differs", "first_same"}, {"custom", "custom_same"}, {"number", "none", "template"}]
+    groups = {}
+    for k, v in got.items():
+        groups.setdefault(v, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == sorted([*map(sorted, same), *([k] for k in got if not any(k in s for s in same))])
+    title = lambda m, t, v: spark.range(1).select(issues.title(*(F.lit(x).cast("string") for x in (m, t, v)))).first()[0]
+    assert (title("said", "T", "v"), title("", "T", "v"), title(None, "T", ""), title("", "", "v")) == ("said", "T: v", "T", "v")

@@ -17,7 +17,7 @@ FILTERED = "[Filtered]"
 
 def level(raw: Column, for_event: bool) -> Column:
     """Lower-cased level; warn and critical have other names; empty is error for events and unknown for logs."""
-    low = F.lower(F.trim(raw))
+    low = F.lower(raw)
     named = F.when(low == "warn", "warning").when(low == "critical", "fatal").when(low.isin(*LEVELS), low)
     return F.when(low.isNull() | (low == ""), "error" if for_event else "unknown").otherwise(F.coalesce(named, F.lit("unknown")))
 
@@ -47,10 +47,21 @@ def representative_severity(name: Column) -> Column:
 
 def parse_timestamp(raw: Column) -> tuple[Column, Column]:
     """(microseconds, remaining nanoseconds) of RFC 3339 text or decimal epoch seconds; floors before the epoch; null if neither."""
-    decimal = F.when(raw.rlike(r"^-?[0-9]{1,12}(\.[0-9]+)?([eE][+-]?[0-9]{1,2})?$"), raw.cast("decimal(38,18)"))
-    nanos = F.floor(decimal * F.lit("1000000000").cast("decimal(10,0)")).cast("decimal(28,0)")
-    decimal_us = F.floor(nanos / 1000).cast("bigint")
-    decimal_ns = F.pmod(nanos, F.lit(1000).cast("decimal(4,0)")).cast("smallint")
+    # The digits before the point, shifted by the exponent and nine places, are the nanoseconds; what is cut off
+    # a negative number makes it one less. Anything outside 64 bits of microseconds is null.
+    number = r"\A(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?\z"
+    part = lambda i: F.regexp_extract(raw, number, i)
+    digits = F.concat(part(2), part(3))
+    point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0)) + 9
+    whole_part = F.when(point > 0, F.substring(F.rpad(digits, F.least(point, F.length(digits) + 60), "0"), F.lit(1), point)).otherwise("0")
+    cut = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(digits)
+    size = F.regexp_replace(whole_part, r"\A0+(?=[0-9])", "")
+    fits = raw.rlike(number) & (F.length(size) <= 28) & ((point <= F.length(digits) + 60) | (size == "0"))
+    size = F.when(fits, size).try_cast("decimal(28,0)")
+    nanos = F.when(part(1) == "-", -size - F.when(cut.rlike("[1-9]"), 1).otherwise(0).cast("decimal(1,0)")).otherwise(size).cast("decimal(29,0)")
+    remainder = F.pmod(nanos, F.lit(1000).cast("decimal(4,0)"))
+    decimal_us = ((nanos - remainder) / F.lit(1000).cast("decimal(4,0)")).try_cast("bigint")
+    decimal_ns = F.when(decimal_us.isNotNull(), remainder.cast("smallint"))
     rfc = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
     fraction = F.rpad(F.regexp_extract(raw, r"\.([0-9]+)", 1), 9, "0")
     whole = F.try_to_timestamp(F.regexp_replace(F.upper(raw), r"\.[0-9]+", ""), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
@@ -80,7 +91,7 @@ def span_id(raw: Column) -> Column:
 
 
 def _hex(text: Column, width: int) -> Column:
-    return F.when(text.rlike(f"^[0-9a-f]{{{width}}}$") & ~text.rlike("^0+$"), text)
+    return F.when(text.rlike(rf"\A[0-9a-f]{{{width}}}\z") & ~text.rlike(r"\A0+\z"), text)
 
 
 def record_id(domain: str, *parts: Column) -> Column:
@@ -119,8 +130,9 @@ def truncate_runes(text: Column, most: int = 512) -> Column:
 
 
 def unsupported_type(kind: Column) -> Column:
-    """Types over 128 bytes keep a prefix of 100 and a short hash."""
-    return F.when(F.octet_length(kind) > 128, F.concat(F.substring(kind, 1, 100), F.lit("#"), F.substring(F.sha2(kind, 256), 1, 16))).otherwise(kind)
+    """Types over 128 bytes keep a prefix of at most 100 bytes, whole characters only, and a short hash."""
+    head = F.coalesce(*(F.try_validate_utf8(F.substring(F.encode(kind, "UTF-8"), 1, n).cast("string")) for n in (100, 99, 98, 97)))
+    return F.when(F.octet_length(kind) > 128, F.concat(head, F.lit("#"), F.substring(F.sha2(kind, 256), 1, 16))).otherwise(kind)
 
 
 def scrub_url(url: Column) -> Column:

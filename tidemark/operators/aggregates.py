@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +71,17 @@ def key_text(key: Column) -> Column:
     return F.coalesce(key["string_value"], key["integer_value"].cast("string"), key["double_value"].cast("string"), key["boolean_value"].cast("string"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _double_bytes(values: pd.Series) -> pd.Series:
+    """The eight big-endian bytes of each double; zero has no sign."""
+    x = values.to_numpy(np.float64, na_value=np.nan)
+    raw = np.where(x == 0, 0.0, x).astype(">f8").tobytes()
+    return pd.Series([raw[i : i + 8] for i in range(0, len(raw), 8)])
+
+
 def key_bytes(key: Column) -> Column:
     """Bytes that order groups: a type tag (b < d < i < m < n < s), then the value; strings and integers behind the
-    varint of their length. Runs on reduced groups."""
+    varint of their length, doubles as their eight big-endian bytes. Runs on reduced groups."""
 
     def sized(text: Column) -> Column:
         raw = F.encode(text, "UTF-8")
@@ -82,10 +91,9 @@ def key_bytes(key: Column) -> Column:
         return F.concat(varint, raw)
 
     tag = lambda c: F.encode(F.lit(c), "UTF-8")
-    bits = F.conv(F.hex(F.encode(F.format_string("%.17g", key["double_value"]), "UTF-8")), 16, 16)
     return (
         F.when(key["type"] == "boolean", F.concat(tag("b"), F.when(key["boolean_value"], F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))))
-        .when(key["type"] == "double", F.concat(tag("d"), F.unhex(bits)))
+        .when(key["type"] == "double", F.concat(tag("d"), _double_bytes(key["double_value"])))
         .when(key["type"] == "integer", F.concat(tag("i"), sized(key["integer_value"].cast("string"))))
         .when(key["type"] == "missing", tag("m"))
         .when(key["type"] == "null", tag("n"))

@@ -12,24 +12,34 @@ ISSUE = ["project_id", "issue_id"]
 MOMENT = ("event_time_us", "event_time_ns_remainder", "record_id")
 
 
-def fingerprint(raw: Column, template: Column) -> Column:
-    """sha256 of the group text: a custom fingerprint ({{default}} stands for the rest), else the last eight in-app
-    frames with the exception types, else types, else the message template."""
+def fingerprint(project_id: Column, raw: Column, message: Column, template: Column) -> Column:
+    """sha256 of the group as JSON text: the project, then a custom fingerprint, where {{default}} stands for the rest, or
+    that rest: all exception types with the last eight frames of the last exception (those in the app, if any are),
+    else its type and value, else the message template, else the message."""
     chain = S.exceptions(raw)
-    types = F.array_join(F.transform(chain, lambda e: F.coalesce(e["type"], F.lit(""))), "|")
-    frames = F.flatten(F.transform(chain, lambda e: F.coalesce(e["stacktrace"]["frames"], F.array().cast("array<struct<module:string,function:string,filename:string,in_app:boolean>>"))))
-    own = F.filter(frames, lambda f: F.coalesce(f["in_app"], F.lit(False)))
-    last = F.slice(own, F.greatest(F.size(own) - 7, F.lit(1)), F.lit(8))
-    stack = F.array_join(F.transform(last, lambda f: F.concat_ws("\x1f", F.coalesce(f["module"], f["filename"], F.lit("")), F.coalesce(f["function"], F.lit("")))), "\x1e")
-    default = F.when(F.size(own) > 0, F.concat(F.lit("stack\x1d"), types, F.lit("\x1d"), stack)).when(F.size(chain) > 0, F.concat(F.lit("exception\x1d"), types)).otherwise(F.concat(F.lit("message\x1d"), F.coalesce(template, F.lit(""))))
-    custom = F.from_json(F.get_json_object(raw, "$.fingerprint"), "array<string>")
-    named = F.array_join(F.transform(custom, lambda p: F.when(p == "{{default}}", default).otherwise(p)), "\x1d")
-    return F.sha2(F.when(F.size(custom) > 0, F.concat(F.lit("custom\x1d"), named)).otherwise(default), 256)
+    last = F.element_at(chain, -1)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    every = F.filter(F.coalesce(last["stacktrace"]["frames"], F.array().cast("array<struct<module:string,function:string,filename:string,in_app:boolean>>")), lambda f: f.isNotNull())
+    own = F.filter(every, lambda f: F.coalesce(f["in_app"], F.lit(False)))
+    chosen = F.when(F.size(own) > 0, own).otherwise(every)
+    frames = F.transform(F.slice(chosen, F.greatest(F.size(chosen) - 7, F.lit(1)), F.lit(8)), lambda f: F.array(text(f["module"]), text(f["function"]), F.replace(text(f["filename"]), F.lit("\\"), F.lit("/"))))
+    types = F.transform(chain, lambda e: text(e["type"]))
+    stack = F.concat(F.lit('["stack",'), F.to_json(types), F.lit(","), F.to_json(frames), F.lit("]"))
+    thrown = F.to_json(F.array(F.lit("exception"), text(last["type"]), text(last["value"])))
+    said = F.to_json(F.array(F.lit("message"), F.coalesce(template, message, F.lit(""))))
+    default = F.when(F.coalesce(F.size(chain), F.lit(0)) <= 0, said).when(F.size(every) > 0, stack).otherwise(thrown)
+    given = F.get_json_object(raw, "$.fingerprint")
+    custom = F.from_json(given, "array<string>")
+    # Only a list of nothing but strings counts.
+    named = F.transform(custom, lambda p: F.when(p.isin("{{default}}", "{{ default }}"), F.concat(F.lit('["default",'), default, F.lit("]"))).otherwise(F.to_json(F.array(F.lit("literal"), p))))
+    group = F.when((F.size(custom) > 0) & (F.to_json(custom) == given), F.concat(F.lit('["custom",['), F.array_join(named, ","), F.lit("]]"))).otherwise(default)
+    return F.sha2(F.concat(F.lit('["grouping-v1",'), F.to_json(F.array(project_id.cast("string"))), F.lit(","), group, F.lit("]")), 256)
 
 
 def title(message: Column, kind: Column, value: Column) -> Column:
-    """The message, or type and value of the exception; 512 characters."""
-    return S.truncate_runes(F.when(kind.isNotNull(), F.concat_ws(": ", kind, value)).otherwise(message))
+    """The message; without one, type and value of the exception; 512 characters."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    return S.truncate_runes(F.coalesce(said(message), F.concat_ws(": ", said(kind), said(value))))
 
 
 def summarise(occurrences: DataFrame) -> DataFrame:

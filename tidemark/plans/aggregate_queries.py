@@ -155,10 +155,19 @@ def _empty(spark, d):
     return out.withColumn("high", F.col("high").cast("bigint"))
 
 
-@query("src_series", f"select unnest(range({START}, {START} + 2 * {HOUR}, 300000000)) as bucket")
+@query("src_series", f"{RECORDS_SQL} select unnest(range(min(event_time_us) - min(event_time_us) % 86400000000, max(event_time_us) + 1, 86400000000)) as bucket from records")
 def _series(spark, d):
-    """Bucket starts; the records only bound them."""
-    return A.series(spark, START, START + 2 * HOUR, A.INTERVALS["5m"])
+    """The start of each day from the first record's to the last one's, with or without records of its own."""
+    ends = records(spark, d).agg(F.min("event_time_us").alias("lo"), F.max("event_time_us").alias("hi"))
+    return ends.select(F.explode(F.sequence(A.bucket(F.col("lo"), A.INTERVALS["1d"]), A.bucket(F.col("hi"), A.INTERVALS["1d"]), F.lit(A.INTERVALS["1d"]))).alias("bucket"))
+
+
+@query("group_key_bytes_double", "with g as (select l_discount as x, count(*) as n from lineitem group by 1) select x, n, row_number() over (order by x < 0, abs(x)) as place from g")
+def _key_bytes_double(spark, d):
+    """Doubles in the order of their bytes: by size from zero, negative ones last. The groups are few."""
+    out = A.aggregate(table(spark, d, "lineitem"), {"key": A.key_of(F.col("l_discount").cast("double"), "double")}, [A.Metric("n", "count")])
+    ranked = out.withColumn("place", F.row_number().over(Window.orderBy(F.hex(A.key_bytes(F.col("key"))))))
+    return ranked.select(F.col("key.double_value").alias("x"), "n", "place")
 
 
 @query("union_histogram_fill", f"{_FILL} select bucket, n from g union all select bucket, 0 from every where bucket not in (select bucket from g)")

@@ -121,17 +121,24 @@ def _upsert(spark, d):
     return _flat(S.upsert(S.summarise(old), old, o.where("event_id % 3 = 0 or event_id % 2 = 0")))
 
 
-@query("issue_title", f"{RECORDS_SQL} select record_id, substr(case when exception_type is not null then exception_type || ': ' || message else message end, 1, 512) as title from records")
+@query("issue_title", f"{RECORDS_SQL} select record_id, substr(case when event_id % 3 = 0 then coalesce(exception_type, '') when message <> '' then message else coalesce(exception_type, '') end, 1, 512) as title from records")
 def _title(spark, d):
-    return records(spark, d).select("record_id", S.title(F.col("message"), F.col("exception_type"), F.col("message")).alias("title"))
+    """The message comes first; every third record has none, and no value either."""
+    r = records(spark, d)
+    return r.select("record_id", S.title(F.when(F.col("event_id") % 3 != 0, F.col("message")), F.col("exception_type"), F.lit("")).alias("title"))
+
 
+_FINGERPRINT = """select event_id, sha256('["grouping-v1",["' || user_id % 4 || '"],' || case
+    when event_id % 2 = 0 then '["stack",["Base","E' || user_id % 5 || '"],[["m' || user_id % 3 || '","f","a.py"]]]'
+    when event_id % 3 = 0 then '["message","took %s"]' when event_id % 5 = 0 then '["message","plain ' || event_id % 11 || '"]' else '["message",""]' end || ']') as issue_id from events"""
 
-@query("issue_fingerprint")
+
+@query("issue_fingerprint", _FINGERPRINT)
 def _fingerprint(spark, d):
     from tidemark.plans.scalar_queries import raw_events
 
-    _, template = scalars.event_message(F.col("raw"))
-    return raw_events(spark, d).select("event_id", S.fingerprint(F.col("raw"), template).alias("issue_id"))
+    message, template = scalars.event_message(F.col("raw"))
+    return raw_events(spark, d).select("event_id", S.fingerprint(F.col("user_id") % 4, F.col("raw"), message, template).alias("issue_id"))
 
 
 @query("issue_transitions", f"""{RECORDS_SQL}, state as (select project_id, issue_id, case when project_id % 2 = 0 then 'resolved' else 'ignored' end as status, 3 as revision from (select distinct project_id, issue_id, exception_type from records where issue_id is not null) where exception_type <> 'E1'),
@@ -365,14 +372,8 @@ def _gc(spark, d):
     return M.unreferenced(m, [m.where("lane_id % 5 = 4"), m.where("lane_id % 3 = 0")], 40).select("object_id")
 
 
-@query("record_expired", f"{RECORDS_SQL} select record_id, received_time_us < {START + DAY} as expired from records where event_id % 10 = 0")
+@query("record_expired", f"{RECORDS_SQL} select record_id, received_time_us < {START + DAY} as expired from records")
 def _expired(spark, d):
-    return records(spark, d).where("event_id % 10 = 0").select("record_id", (F.col("received_time_us") < START + DAY).alias("expired"))
-
-
-@query("record_expired_all", f"{RECORDS_SQL} select record_id, received_time_us < {START + DAY} as expired from records")
-def _expired_all(spark, d):
-    """The flag of every record."""
     return records(spark, d).select("record_id", (F.col("received_time_us") < START + DAY).alias("expired"))
 
 
@@ -449,15 +450,8 @@ def _parquet(spark, d):
     return read_files(spark, "event_id bigint, event_type string", [f"{d}/events.parquet"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_payload", f"{RECORDS_SQL} select record_id, props as raw_json from records where event_id % 50 = 1")
+@query("src_payload", f"{RECORDS_SQL} select record_id, props as raw_json from records")
 def _payload(spark, d):
-    ids = records(spark, d).where("event_id % 50 = 1").select("record_id")
-    return payloads(spark, d).join(ids, "record_id").select("record_id", "raw_json")
-
-
-@query("src_payload_all", f"{RECORDS_SQL} select record_id, props as raw_json from records")
-def _payload_all(spark, d):
-    """The payload of every record."""
     return payloads(spark, d).join(records(spark, d).select("record_id"), "record_id").select("record_id", "raw_json")
 
 
