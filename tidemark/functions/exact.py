@@ -25,23 +25,24 @@ def limb_sums(x: Column, prefix: str) -> list[Column]:
 def finish_sum(limbs: list[Column]) -> Column:
     """The sum as decimal(38,0), null for no values; only the final total can overflow, which is an error."""
     base = F.lit("1" + "0" * 9).cast("decimal(10,0)")
-    carry: Column = F.lit(0).cast("decimal(38,0)")
-    low: list[Column] = []
-    for i in range(LIMBS - 1):
-        value = (limbs[i] + carry).cast("decimal(38,0)")
-        digit = F.pmod(value, base).cast("decimal(38,0)")
-        low.append(digit)
-        carry = ((value - digit) / base).cast("decimal(38,0)")
-    top = (limbs[LIMBS - 1] + carry).cast("decimal(38,0)")
-    rest: Column = low[0]
-    for i in range(1, LIMBS - 1):
-        rest = (rest + low[i] * F.lit("1" + "0" * (9 * i)).cast(f"decimal({9 * i + 1},0)")).cast("decimal(38,0)")
-    unit = F.lit("1" + "0" * 36).cast("decimal(37,0)")
-    fits = (top < 100) & ((top > -100) | ((top == -100) & (rest > 0)))
-    up = (top.cast("decimal(3,0)") * unit + rest).cast("decimal(38,0)")
-    down = ((top + 1).cast("decimal(3,0)") * unit - (unit - rest)).cast("decimal(38,0)")
-    total = F.when(top >= 0, up).otherwise(down)
-    return F.when(top.isNull(), F.lit(None).cast("decimal(38,0)")).when(fits, total).otherwise(F.raise_error(F.lit("the integer sum has more than 38 digits")).cast("decimal(38,0)"))
+    wide = "decimal(38,0)"
+    # A fold keeps the expression small: each step's carry is bound once, not written into the next one.
+    start = F.struct(F.lit(0).cast(wide).alias("carry"), F.lit(0).cast(wide).alias("rest"), F.lit(1).cast(wide).alias("unit"))
+
+    def step(s: Column, limb: Column) -> Column:
+        value = (limb + s["carry"]).cast(wide)
+        digit = F.pmod(value, base).cast(wide)
+        return F.struct(((value - digit) / base).cast(wide).alias("carry"), (s["rest"] + digit * s["unit"]).cast(wide).alias("rest"), (s["unit"] * base).cast(wide).alias("unit"))
+
+    def whole(s: Column) -> Column:
+        top, rest, unit = (limbs[LIMBS - 1] + s["carry"]).cast(wide), s["rest"], s["unit"]
+        fits = (top < 100) & ((top > -100) | ((top == -100) & (rest > 0)))
+        up = (top.cast("decimal(3,0)") * unit.cast("decimal(37,0)") + rest).cast(wide)
+        down = ((top + 1).cast("decimal(3,0)") * unit.cast("decimal(37,0)") - (unit - rest)).cast(wide)
+        overflow = F.raise_error(F.lit("the integer sum has more than 38 digits")).cast(wide)
+        return F.when(top.isNull(), F.lit(None).cast(wide)).when(~fits, overflow).when(top >= 0, up).otherwise(down)
+
+    return F.aggregate(F.array(*(x.cast(wide) for x in limbs[: LIMBS - 1])), start, step, whole)
 
 
 def _numerator(parts) -> int:
