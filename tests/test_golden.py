@@ -197,3 +197,28 @@ def test_issue_groups(spark):
     assert sorted(map(sorted, groups.values())) == sorted([*map(sorted, same), *([k] for k in got if not any(k in s for s in same))])
     title = lambda m, t, v: spark.range(1).select(issues.title(*(F.lit(x).cast("string") for x in (m, t, v)))).first()[0]
     assert (title("said", "T", "v"), title("", "T", "v"), title(None, "T", ""), title("", "", "v")) == ("said", "T: v", "T", "v")
+
+
+def test_running_sums_over_ranges(spark):
+    """A key that holds most rows, a null key, many ranges."""
+    import itertools
+
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 5}", i * 7919 % 1000, i % 17) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, at int, n int").repartition(7)
+    got = {(r.k, r["at"]): r.until for r in R.running(df, ["k"], [F.col("at").asc()], F.col("n"), "until").collect()}
+    expected = {}
+    for k, group in itertools.groupby(sorted(rows, key=lambda r: (r[0] or "", r[1])), key=lambda r: r[0]):
+        for (_, at, _), until in zip(group := list(group), itertools.accumulate(n for *_, n in group)):
+            expected[k, at] = until
+    assert got == expected and len(got) == 1000
+
+
+def test_dedupe_hash(spark):
+    from tidemark.operators import ingest
+
+    own = "a" * 32
+    rows = [("error", own, '{"b":1,"event_id":"x","a":2}'), ("error", own.upper(), '{"a":2, "b":1, "event_id":"y"}'), ("error", own, '{"a":2,"b":1.0}'), ("transaction", own, '{"a":2,"b":1}'), ("log", own, "{}"), ("error", "0" * 32, "{}"), ("error", None, "{}"), ("error", own, "[1]"), ("error", own, "no")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, id string, raw string")
+    got = dict(df.select("i", ingest.dedupe_hash(F.col("kind"), F.col("id"), F.col("raw"))).collect())
+    assert got[0] == got[1] == hashlib.sha256(f'{{"version":1,"kind":"error","source_event_id":"{own}","raw":{{"a":2,"b":1}}}}'.encode()).hexdigest()
+    assert len({got[0], got[2], got[3]}) == 3 and all(got[i] is None for i in (4, 5, 6, 7, 8))

@@ -190,8 +190,8 @@ def event_message(raw: Column) -> tuple[Column, Column]:
     return message, F.coalesce(at("$.logentry.message"), at("$.message.message"), text)
 
 
-def _canonical(text: str | None) -> str | None:
-    """Keys sorted, no spaces, numbers spelled as they stand."""
+def _canonical(text: str | None, without: str | None = None) -> str | None:
+    """Keys sorted, no spaces, numbers spelled as they stand; of an object, the key ``without`` goes."""
     if text is None:
         return None
 
@@ -212,16 +212,17 @@ def _canonical(text: str | None) -> str | None:
         return v.token if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
 
     try:
-        return write(json.loads(text, parse_int=number, parse_float=number))
+        value = json.loads(text, parse_int=number, parse_float=number)
+        return write({k: v for k, v in value.items() if k != without} if isinstance(value, dict) else value)
     except (ValueError, OverflowError):
         return None
 
 
-def json_canonical(raw: Column) -> Column:
+def json_canonical(raw: Column, without: str | None = None) -> Column:
     """Canonical JSON text for hashes; null where the text is no JSON. Arrow batches."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_canonical, na_action="ignore")
+        return texts.map(lambda t: _canonical(t, without), na_action="ignore")
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, StringType())(raw)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import scalars as S
+
 KEY = ["project_id", "kind", "source_event_id"]
 DAY_US = 86_400_000_000
 
@@ -68,3 +70,14 @@ def differences(expected: DataFrame, found: DataFrame, keys: list[str], column:
 def limit_reason(bytes_: Column, attributes: Column, most_bytes: int = 1 << 20, most_attributes: int = 1000) -> Column:
     """Why a record is rejected, or null."""
     return F.when(bytes_ > most_bytes, "record_too_large").when(attributes > most_attributes, "too_many_attributes")
+
+
+def dedupe_hash(kind: Column, source_event_id: Column, raw: Column) -> Column:
+    """sha256 that tells payloads of one source id apart: kind, id and the raw object without its event_id, in canonical form.
+
+    Null for logs, and for records without a valid source id or a raw object.
+    """
+    own = S.event_id(source_event_id)
+    body = F.when(F.ltrim(raw).startswith("{"), S.json_canonical(raw, "event_id"))
+    text = F.concat(F.lit('{"version":1,"kind":"'), kind, F.lit('","source_event_id":"'), own, F.lit('","raw":'), body, F.lit("}"))
+    return F.when(kind.isin("error", "transaction"), F.sha2(text, 256))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.sources.io import shared_path
 from tidemark.sources.schema import DETAIL_COLUMNS, LIST_COLUMNS
 
 EVENT_ORDER = ("event_time_us", "event_time_ns_remainder", "record_id")
@@ -32,7 +34,6 @@ def with_more(paged: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
 
     Runs on at most ``size`` + 1 rows.
     """
-    from pyspark.sql.window import Window
 
     w = Window.partitionBy(F.lit(0)).orderBy(*(F.col(c).desc() for c in order))
     every = Window.partitionBy(F.lit(0))
@@ -71,7 +72,6 @@ def detail(records: DataFrame, payloads: DataFrame, record_id: str) -> DataFrame
 
 
 def _all():
-    from pyspark.sql.window import Window
 
     return Window.partitionBy(F.lit(0))
 
@@ -99,9 +99,30 @@ def first_page_files(manifest: DataFrame, size: int) -> DataFrame:
     Files by descending smallest time; once enough rows stand above a smallest
     time, files whose largest time is below it cannot matter. Ties stay.
     """
-    from pyspark.sql.window import Window
 
     w = Window.orderBy(F.col("min_event_time_us").desc(), "file_id").rowsBetween(Window.unboundedPreceding, 0)
     seen = manifest.withColumn("__rows", F.sum("row_count").over(w))
     bound = seen.where(F.col("__rows") >= size + 1).agg(F.max("min_event_time_us").alias("__bound"))
     return manifest.crossJoin(F.broadcast(bound)).where("__bound is null or max_event_time_us >= __bound").drop("__bound")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``amount`` over the key's rows up to this one, in an order without ties.
+
+    Rows are dealt by ranges of key and order, so a key with a third of all
+    rows fills as many tasks as its rows need; each range sums on its own, and
+    the few totals of the ranges before it, one per range and key, are added.
+    """
+    every = [F.col(k).asc_nulls_first() for k in keys] + order
+    dealt = rows.withColumn("__amount", amount.cast("bigint")).repartitionByRange(*every).withColumn("__part", F.spark_partition_id())
+    path = shared_path(rows.sparkSession, "ranges")
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    own = F.sum("__amount").over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = dealt.groupBy("__part", *keys).agg(F.sum("__amount").alias("__total"))
+    before = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("__part", *(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("__before")).withColumnRenamed("__part", "__p")
+    met = F.col("__part") == F.col("__p")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return dealt.withColumn("__own", own).join(starts, met).select(*rows.columns, (F.col("__own") + F.col("__before")).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import aggregates as A
+from tidemark.operators import rows as R
 from tidemark.plans.registry import query
 from tidemark.plans.search_queries import DAY, SCOPE, SCOPE_SQL, START, K, VALUE
 from tidemark.sources.adapters import RECORDS_SQL, records, table
@@ -271,9 +272,9 @@ def _preceding(spark, d):
 
 @query("win_chunk_by_bytes", "select doc_id, (sum(strlen(text)) over (partition by source order by doc_id) - 1)::bigint // 4194304 as chunk from documents")
 def _chunks(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sizes = table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("bigint").alias("bytes"))
-    return sizes.select("doc_id", F.floor((F.sum("bytes").over(w) - 1) / 4194304).alias("chunk"))
+    summed = R.running(sizes, ["source"], [F.col("doc_id").asc()], F.col("bytes"), "until")
+    return summed.select("doc_id", F.floor((F.col("until") - 1) / 4194304).alias("chunk"))
 
 
 @query("win_first_per_key", f"{RECORDS_SQL} select record_id, row_number() over (partition by project_id, kind, source_event_id order by batch_seq, record_ordinal, record_id) = 1 as first from records")

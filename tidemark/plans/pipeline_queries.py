@@ -48,11 +48,20 @@ def _classify(spark, d):
     return classified(spark, d).select("record_id", "class")
 
 
-@query("dedupe_hash", "select event_id, case when event_type in ('click', 'view', 'signup') then null else sha256('{\"kind\":\"' || event_type || '\",\"raw\":{\"a\":' || (event_id % 5) || ',\"b\":1.50},\"version\":1}') end as hash from events")
+_DEDUPE_RAW = """'{' || case when event_id % 2 = 0 then '"exception":{"values":[{"type":"Base","value":"v"},{"mechanism":{"handled":' || case when event_id % 4 = 0 then 'true' else 'false' end || '},"stacktrace":{"frames":[{"filename":"a.py","function":"f","in_app":true,"module":"m' || user_id % 3 || '"}]},"type":"E' || user_id % 5 || '","value":"' || event_type || ' failed"}]},' else '' end
+    || '"level":"' || event_type || '",' || case when event_id % 3 = 0 then '"logentry":{"formatted":"took ' || event_id % 50 || '","message":"took %s"},' when event_id % 5 = 0 then '"message":"plain ' || event_id % 11 || '",' else '' end
+    || '"tags":{"a.b":"x' || event_id || '","service.name":"svc-' || user_id % 7 || '"},"user":{"id":' || user_id || ',"password":"p' || user_id || '"}}'"""
+
+
+@query("dedupe_hash", f"""select event_id, case when event_id % 3 < 2 and event_id % 7 > 0 then sha256('{{"version":1,"kind":"' || case event_id % 3 when 0 then 'error' else 'transaction' end || '","source_event_id":"' || md5(event_id::varchar) || '","raw":' || {_DEDUPE_RAW} || '}}') end as hash from events""")
 def _hash(spark, d):
-    raw = F.expr("""concat('{"version":1, "raw":{"b":1.50,"a":', event_id % 5, '},"kind":"', event_type, '"}')""")
-    hashed = F.when(~F.col("event_type").isin("click", "view", "signup"), F.sha2(scalars.json_canonical(raw), 256))
-    return table(spark, d, "events").select("event_id", hashed.alias("hash"))
+    """Errors, transactions and logs in turn; every seventh has no valid id, and ids come with hyphens and capitals."""
+    from tidemark.plans.scalar_queries import raw_events
+
+    own = F.upper(F.md5(F.col("event_id").cast("string")))
+    source = F.when(F.col("event_id") % 7 == 0, "not-an-id").otherwise(F.concat(F.substring(own, 1, 8), F.lit("-"), F.substring(own, 9, 24)))
+    kind = F.get(F.array(*map(F.lit, ("error", "transaction", "log"))), (F.col("event_id") % 3).cast("int"))
+    return raw_events(spark, d).select("event_id", I.dedupe_hash(kind, source, F.col("raw")).alias("hash"))
 
 
 @query("dedupe_expiry", f"""{_CLAIMS}, fresh as (select project_id, kind, sid, hash, received_time_us + 37 * 86400000000 as expires from classified where class = 'accepted' and sid is not null)

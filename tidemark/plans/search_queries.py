@@ -144,10 +144,9 @@ def _live(spark, d):
 
 @query("sort_layout", f"""{RECORDS_SQL} select project_id, service, event_time_us, record_id, row_number() over (partition by kind order by project_id, service nulls first, event_time_us, record_id) as place from records""")
 def _layout(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("kind").orderBy("project_id", F.col("service").asc_nulls_first(), "event_time_us", "record_id")
-    return records(spark, d).select("project_id", "service", "event_time_us", "record_id", F.row_number().over(w).alias("place"))
+    order = [F.col("project_id").asc(), F.col("service").asc_nulls_first(), F.col("event_time_us").asc(), F.col("record_id").asc()]
+    r = records(spark, d).select("kind", "project_id", "service", "event_time_us", "record_id")
+    return R.running(r, ["kind"], order, F.lit(1), "place").select("project_id", "service", "event_time_us", "record_id", "place")
 
 
 @query("join_related", f"""{RECORDS_SQL}, seeds as (select * from records where event_id % 500 = 7)
