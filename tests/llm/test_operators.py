@@ -140,6 +140,22 @@ def test_quality_held_out(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_models_with_odd_labels(spark, module, label):
+    """Labels that contradict each other count as 1 whatever their order; repeated rows and clashing columns change no score."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(20)) + (" nasty" * 3 if i % 2 else " nice.") for i in range(80)]
+    one = [(i, i % 2) for i in range(80)]
+    odd = [*one, (1, 0), (3, 0), (None, 1), (5, None), (7, 9)]
+    labels = lambda rows: spark.createDataFrame(rows, f"doc_id bigint, {label} int")
+    docs = frame(spark, texts)
+    scores = lambda rows, df: sorted((r.doc_id, round(r.score, 9)) for r in module.score(df, module.fit(docs, labels(rows))).collect())
+    plain = scores(one, docs)
+    assert scores(odd, docs) == plain == scores(odd[::-1], docs)
+    twice = docs.union(docs).withColumn("score", F.lit("clash")).withColumn("spans", F.lit(1))
+    assert scores(odd, twice) == sorted(plain * 2)
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
 def test_models_without_labels(spark, module, label):
     labels = spark.createDataFrame([], f"doc_id bigint, {label} int")
@@ -336,6 +352,24 @@ def test_nearest(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(few).collect()] == [(0, 5)]
 
 
+def test_nearest_recall_on_embeddings(spark):
+    """At least 0.9 of the ten nearest by brute force, over the whole table."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids = np.array(sorted(rows))
+    vectors = np.stack([rows[i] for i in ids])
+    got = collections.defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in (queries := [i for i in ids.tolist() if i % 100 == 0]):
+        far = np.linalg.norm(vectors - rows[q], axis=1)
+        far[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, far))[:10]].tolist()) & set(got[q]))
+    assert set(got) == set(queries) and all(len(x) == 10 for x in got.values())
+    assert hits >= 0.9 * 10 * len(queries)
+
+
 # --- 8 ---
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
