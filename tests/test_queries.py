@@ -32,3 +32,9 @@ def test_every_record_has_its_row(spark, name):
     from tidemark.sources.adapters import records
 
     assert QUERIES[name](spark, SF).select("record_id").distinct().count() == records(spark, SF).select("record_id").distinct().count()
+
+
+def test_search_filters_reach_parquet(spark):
+    plan = QUERIES["bench_structured"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "EqualTo(service,svc-2)" in pushed and "EqualTo(level,error)" in pushed

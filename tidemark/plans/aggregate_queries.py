@@ -9,7 +9,7 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import rows as R
 from tidemark.plans.registry import query
 from tidemark.plans.search_queries import DAY, SCOPE, SCOPE_SQL, START, K, VALUE
-from tidemark.sources.adapters import RECORDS_SQL, records, table
+from tidemark.sources.adapters import RECORDS_SQL, records, stored_records, table
 
 HOUR = 3_600_000_000
 def cents():
@@ -25,7 +25,7 @@ _CENTS = "round(l_extendedprice * 100)::hugeint"
 
 
 def _scoped(spark, d):
-    return SCOPE.apply(records(spark, d))
+    return SCOPE.apply(stored_records(spark, d))
 
 
 @query("agg_count", f"{RECORDS_SQL} select kind, count(*) as n from records where {SCOPE_SQL} group by 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import predicates as P
 from tidemark.operators import rows as R
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import RECORDS_SQL, payloads, records, table
+from tidemark.sources.adapters import RECORDS_SQL, payloads, records, stored_records, table
 
 DAY = 86_400_000_000
 START = 1_704_067_200_000_000  # 2024-01-01
@@ -34,7 +34,7 @@ def TYPE() -> Column:
 
 def _pred(name: str, where: Callable[[], Column], sql: str) -> None:
     """Registers a predicate over the scoped records."""
-    query(name, f"{RECORDS_SQL} select record_id, kind from records where {SCOPE_SQL} and ({sql})")(lambda spark, d: SCOPE.apply(records(spark, d)).where(where()).select("record_id", "kind"))
+    query(name, f"{RECORDS_SQL} select record_id, kind from records where {SCOPE_SQL} and ({sql})")(lambda spark, d: SCOPE.apply(stored_records(spark, d)).where(where()).select("record_id", "kind"))
 
 
 _pred("scope_filter", lambda: P.constant(True), "true")
@@ -66,7 +66,7 @@ _pred("pred_attr_ops", lambda: P.all_of(P.starts_with(TYPE(), "si"), P.contains(
 @query("scope_lane_cut", f"{RECORDS_SQL} select record_id, lane_id from records where {SCOPE_SQL} and batch_seq <= 1 + 3 * lane_id")
 def _lane_cut(spark, d):
     cuts = spark.range(16).select(F.col("id").cast("int").alias("lane_id"), (1 + 3 * F.col("id")).alias("cut_seq"))
-    return P.lane_cut(SCOPE.apply(records(spark, d)), cuts).select("record_id", "lane_id")
+    return P.lane_cut(SCOPE.apply(stored_records(spark, d)), cuts).select("record_id", "lane_id")
 
 
 LISTED = "project_id, record_id, kind, event_time_us, event_time_ns_remainder, received_time_us, lane_id, batch_seq, record_ordinal, level, severity_number, message, service, environment, release, trace_id, issue_id"
@@ -74,7 +74,7 @@ LISTED = "project_id, record_id, kind, event_time_us, event_time_ns_remainder, r
 
 @query("proj_list", f"{RECORDS_SQL} select {LISTED} from records where {SCOPE_SQL}")
 def _list(spark, d):
-    return R.list_projection(SCOPE.apply(records(spark, d)))
+    return R.list_projection(SCOPE.apply(stored_records(spark, d)))
 
 
 @query(
@@ -112,12 +112,12 @@ _ROW = "record_id, event_time_us, event_time_ns_remainder"
 
 @query("rows_event_desc", f"{RECORDS_SQL} select {_ROW} from records where {SCOPE_SQL} order by {_EVENT} limit 101")
 def _rows_event(spark, d):
-    return R.page(SCOPE.apply(records(spark, d)), R.EVENT_ORDER, 100).select("record_id", "event_time_us", "event_time_ns_remainder")
+    return R.page(SCOPE.apply(stored_records(spark, d)), R.EVENT_ORDER, 100).select("record_id", "event_time_us", "event_time_ns_remainder")
 
 
 @query("rows_received_desc", f"{RECORDS_SQL} select record_id, received_time_us, lane_id, batch_seq, record_ordinal from records where {SCOPE_SQL} order by {_RECEIVED} limit 101")
 def _rows_received(spark, d):
-    return R.page(SCOPE.apply(records(spark, d)), R.RECEIVED_ORDER, 100).select("record_id", "received_time_us", "lane_id", "batch_seq", "record_ordinal")
+    return R.page(SCOPE.apply(stored_records(spark, d)), R.RECEIVED_ORDER, 100).select("record_id", "received_time_us", "lane_id", "batch_seq", "record_ordinal")
 
 
 LAST = (START + 6 * DAY, 500, "8")
@@ -126,19 +126,19 @@ LAST = (START + 6 * DAY, 500, "8")
 @query("rows_keyset", f"{RECORDS_SQL} select {_ROW} from records where {SCOPE_SQL} and (event_time_us, event_time_ns_remainder, record_id) < ({LAST[0]}, {LAST[1]}, '{LAST[2]}') order by {_EVENT} limit 51")
 def _keyset(spark, d):
     last = (LAST[0], LAST[1], LAST[2])
-    return R.page(SCOPE.apply(records(spark, d)), R.EVENT_ORDER, 50, last).select("record_id", "event_time_us", "event_time_ns_remainder")
+    return R.page(SCOPE.apply(stored_records(spark, d)), R.EVENT_ORDER, 50, last).select("record_id", "event_time_us", "event_time_ns_remainder")
 
 
 @query("rows_has_more", f"""{RECORDS_SQL}, p as (select {_ROW} from records where {SCOPE_SQL} order by {_EVENT} limit 21), q as (select *, row_number() over (order by {_EVENT}) as i, count(*) over () as n from p)
   select {_ROW}, n > 20 as has_more, i = least(n, 20) as is_last from q where i <= 20""")
 def _has_more(spark, d):
-    paged = R.page(SCOPE.apply(records(spark, d)), R.EVENT_ORDER, 20).select("record_id", "event_time_us", "event_time_ns_remainder")
+    paged = R.page(SCOPE.apply(stored_records(spark, d)), R.EVENT_ORDER, 20).select("record_id", "event_time_us", "event_time_ns_remainder")
     return R.with_more(paged, R.EVENT_ORDER, 20)
 
 
 @query("live_asc", f"{RECORDS_SQL} select record_id, lane_id, batch_seq, record_ordinal from records where {SCOPE_SQL} and batch_seq > 1 + lane_id order by lane_id, batch_seq, record_ordinal, record_id limit 101")
 def _live(spark, d):
-    rows = SCOPE.apply(records(spark, d)).where("batch_seq > 1 + lane_id")
+    rows = SCOPE.apply(stored_records(spark, d)).where("batch_seq > 1 + lane_id")
     return R.page(rows, R.APPEND_ORDER, 100, descending=False).select("record_id", "lane_id", "batch_seq", "record_ordinal")
 
 
@@ -153,13 +153,15 @@ def _layout(spark, d):
   select s.record_id as seed_id, r.record_id from seeds s join records r on r.record_id <> s.record_id and r.project_id = s.project_id and
     case when s.trace_id is not null then r.trace_id = s.trace_id else r.service is not distinct from s.service and abs(r.event_time_us - s.event_time_us) <= 300000000 end""")
 def _related(spark, d):
-    r = records(spark, d)
+    r = stored_records(spark, d)
     return R.related(r, r.where("event_id % 500 = 7"))
 
 
 @query("bench_structured", f"{RECORDS_SQL} select record_id, event_time_us from records where service = 'svc-2' and level = 'error' and k > 10 order by {_EVENT} limit 100")
 def _bench_structured(spark, d):
-    found = records(spark, d).where(P.all_of(P.eq(P.field("service"), "svc-2"), P.eq(P.field("level"), "error"), P.gt(K(), 10)))
+    # The plain comparisons reach Parquet; two-valued leaves, which coalesce, do not.
+    narrowed = stored_records(spark, d).where((F.col("service") == "svc-2") & (F.col("level") == "error"))
+    found = narrowed.where(P.all_of(P.eq(P.field("service"), "svc-2"), P.eq(P.field("level"), "error"), P.gt(K(), 10)))
     return found.orderBy(*(F.desc(c) for c in R.EVENT_ORDER)).limit(100).select("record_id", "event_time_us")
 
 
@@ -173,4 +175,4 @@ def _bench_text(spark, d):
 @query("bench_histogram", f"{RECORDS_SQL} select event_time_us - event_time_us % 60000000 as bucket, count(*) as n from records where {SCOPE_SQL} group by 1")
 def _bench_histogram(spark, d):
     t = F.col("event_time_us")
-    return SCOPE.apply(records(spark, d)).groupBy((t - F.pmod(t, F.lit(60_000_000))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return SCOPE.apply(stored_records(spark, d)).groupBy((t - F.pmod(t, F.lit(60_000_000))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.io import shared_path
 from tidemark.sources.schema import ATTRIBUTE
 
 LANES = 16
@@ -67,6 +68,28 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_of(table(spark, sf_dir, "events"))
 
 
+#: Paths of written records tables, by session and input.
+_written: dict[tuple[str, str], str] = {}
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a table in the shared folder, in files by time, written once a session and input. Searches read
+    it, so that their filters on record columns reach Parquet and no identity is computed again."""
+    key = spark.sparkContext.applicationId, sf_dir
+    rows = records(spark, sf_dir)
+    path = _written.get(key)
+    if path is None or not _exists(spark, path):
+        path = shared_path(spark, "records")
+        rows.repartitionByRange("event_time_us").sortWithinPartitions("event_time_us").write.option("compression", "zstd").parquet(path)
+        _written[key] = path
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload of each record, beside the records: only details read it."""
     e = table(spark, sf_dir, "events")
