@@ -222,3 +222,44 @@ def test_dedupe_hash(spark):
     got = dict(df.select("i", ingest.dedupe_hash(F.col("kind"), F.col("id"), F.col("raw"))).collect())
     assert got[0] == got[1] == hashlib.sha256(f'{{"version":1,"kind":"error","source_event_id":"{own}","raw":{{"a":2,"b":1}}}}'.encode()).hexdigest()
     assert len({got[0], got[2], got[3]}) == 3 and all(got[i] is None for i in (4, 5, 6, 7, 8))
+
+
+def test_request_limits(spark):
+    from tidemark.operators.ingest import request_limits
+
+    rows = spark.range(40).selectExpr("id div 4 as request", "if(id = 5, 100, 10) as size", "if(id = 9, 2000, if(id = 12, null, 1)) as attrs").union(spark.range(7).selectExpr("99L", "1", "1"))
+    got = {r["request"]: (r["records"], r["total_bytes"], r["reason"]) for r in request_limits(rows, ["request"], F.col("size"), F.col("attrs"), most_records=6, most_total=42, most_bytes=50).collect()}
+    assert got[0] == (4, 43, "request_too_large") and got[1] == (4, 133, "record_too_large") and got[2][2] == "too_many_attributes" and got[99] == (7, 13, "too_many_records")
+    assert request_limits(rows, ["request"], F.col("size"), F.col("attrs")).where("request = 0").first()["reason"] is None
+    assert request_limits(rows.limit(0), ["request"], F.col("size"), F.col("attrs")).count() == 0
+
+
+def test_json_guard_limits():
+    from tidemark.operators.normalize import guarded
+
+    nest = lambda n: "[" * n + "]" * n
+    assert guarded(nest(64))[1] is None and guarded(nest(65))[1] == "too_deep" and guarded(nest(100_000))[1] == "too_deep"
+    assert guarded("[" + ",".join(["1"] * 19_999) + "]")[1] is None and guarded("[" + ",".join(["1"] * 20_000) + "]")[1] == "too_many_nodes"
+    assert guarded('{"a":1,"a":2}')[1] == "repeated_key" and guarded('{"b":{"a":1},"a":2}')[1] is None and guarded("1 2")[1] == guarded("[NaN]")[1] == "no_json" and guarded(None)[1] == "empty"
+
+
+def test_lone_surrogates_are_replaced(spark):
+    from tidemark.operators.normalize import guard_and_scrub
+
+    rows = spark.createDataFrame([(r'{"a":"\ud800x\ud83d\ude00"}',)], "raw string")
+    r = guard_and_scrub(rows).first()
+    assert r["reject_reason"] is None and r["raw"] == '{"a":"\ufffdx\U0001f600"}'
+
+
+def test_log_fields_keep_their_types(spark):
+    from tidemark.operators.normalize import normalize_logs
+
+    texts = [
+        '{"level":"info","severity_number":null}', '{"level":"bogus","severity_number":5.0}', '{"attributes":{"sentry.severity_number":null}}', '{"attributes":{"server.address":1,"server.name":"s"}}',
+        '{"attributes":{"sentry.severity_text":"warn"},"severity_number":21}', "no json", None, '{"body":5,"severity_number":25}',
+    ]
+    got = [r for r in normalize_logs(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string"), "d").orderBy("i").collect()]
+    assert [r["level"] for r in got] == ["info", "unknown", "unknown", "unknown", "warning", "unknown", "unknown", "unknown"]
+    assert [r["severity_number"] for r in got] == [9, None, None, None, 21, None, None, None]
+    assert [r["warnings"] for r in got] == [[], ["invalid_severity_number"], ["invalid_severity_number"], [], [], [], [], ["invalid_severity_number"]]
+    assert [r["server_name"] for r in got] == [None] * 8 and got[3]["service"] == "d" and got[7]["message"] == ""

@@ -181,13 +181,16 @@ def last_exception(raw: Column) -> Column:
 
 
 def event_message(raw: Column) -> tuple[Column, Column]:
-    """(message, template): formatted log entry, message text, formatted message, last exception, log entry template."""
+    """(message, template): formatted log entry, message text, formatted message, last exception, log entry template.
+    Only the log entry and the message object have a template, and only for their own text."""
     at = lambda path: F.nullif(F.get_json_object(raw, path), F.lit(""))
     text = F.when(F.get_json_object(raw, "$.message").startswith("{"), F.lit(None).cast("string")).otherwise(at("$.message"))
     last = last_exception(raw)
     thrown = F.coalesce(F.nullif(last["value"], F.lit("")), F.nullif(last["type"], F.lit("")))
     message = F.coalesce(at("$.logentry.formatted"), text, at("$.message.formatted"), thrown, at("$.logentry.message"), F.lit(""))
-    return message, F.coalesce(at("$.logentry.message"), at("$.message.message"), text)
+    entry, formatted = at("$.logentry.message"), at("$.message.formatted")
+    template = F.when(at("$.logentry.formatted").isNotNull(), entry).when(text.isNotNull(), None).when(formatted.isNotNull(), at("$.message.message")).when(thrown.isNull(), entry)
+    return message, template
 
 
 def _canonical(text: str | None, without: str | None = None) -> str | None:

@@ -72,6 +72,17 @@ def limit_reason(bytes_: Column, attributes: Column, most_bytes: int = 1 << 20,
     return F.when(bytes_ > most_bytes, "record_too_large").when(attributes > most_attributes, "too_many_attributes")
 
 
+def request_limits(records: DataFrame, request: list[str], bytes_: Column, attributes: Column, most_records: int = 10_000, most_total: int = 20 << 20, most_bytes: int = 1 << 20, most_attributes: int = 1000) -> DataFrame:
+    """Per request: records, total_bytes (with a comma between records) and reason, null if it is accepted. One record
+    beyond its limits rejects the request as a whole."""
+    sums = records.groupBy(*request).agg(F.count(F.lit(1)).alias("records"), (F.coalesce(F.sum(bytes_), F.lit(0)) + F.count(F.lit(1)) - 1).alias("total_bytes"), F.max(bytes_).alias("__b"), F.max(attributes).alias("__a"))
+    reason = (
+        F.when(F.col("__a") > most_attributes, "too_many_attributes").when(F.col("records") > most_records, "too_many_records")
+        .when(F.col("__b") > most_bytes, "record_too_large").when(F.col("total_bytes") > most_total, "request_too_large")
+    )
+    return sums.select(*request, "records", "total_bytes", reason.alias("reason"))
+
+
 def dedupe_hash(kind: Column, source_event_id: Column, raw: Column) -> Column:
     """sha256 that tells payloads of one source id apart: kind, id and the raw object without its event_id, in canonical form.
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions import scalars as S
 from tidemark.sources.schema import ATTRIBUTE
@@ -97,48 +98,44 @@ class _Repeated(ValueError):
     pass
 
 
-def json_problem(text: str | None) -> str | None:
-    """Why a document is refused: a repeated key, too deep, too many nodes, lone surrogates, no JSON; or null."""
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def guarded(text: str | None) -> tuple[object, str | None]:
+    """(value, problem): why a document is refused (repeated key, too deep, too many nodes, no JSON), or null.
+
+    Keys are no nodes. Lone surrogates are replaced later, not refused.
+    """
     if text is None:
-        return "empty"
-    nodes = 0
+        return None, "empty"
 
     def pairs(items):
-        nonlocal nodes
-        nodes += len(items)
         if len({k for k, _ in items}) < len(items):
             raise _Repeated
         return dict(items)
 
-    depth = deepest = 0
-    in_string = escaped = False
-    for ch in text:
-        if in_string:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                in_string = False
-        elif ch == '"':
-            in_string = True
-        elif ch in "[{":
-            depth += 1
-            deepest = max(deepest, depth)
-        elif ch in "]}":
-            depth -= 1
-    if deepest > DEPTH:
-        return "too_deep"
     try:
-        value = json.loads(text, object_pairs_hook=pairs)
-        json.dumps(value, ensure_ascii=False).encode()
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=_refuse)
     except _Repeated:
-        return "repeated_key"
-    except UnicodeEncodeError:
-        return "lone_surrogate"
+        return None, "repeated_key"
+    except RecursionError:
+        return None, "too_deep"
     except ValueError:
-        return "no_json"
-    return "too_many_nodes" if nodes > NODES else None
+        return None, "no_json"
+    # Level by level: how many there are is the depth.
+    level, depth, nodes = [value], 0, 0
+    while level:
+        depth, nodes = depth + 1, nodes + len(level)
+        if depth > DEPTH:
+            return None, "too_deep"
+        if nodes > NODES:
+            return None, "too_many_nodes"
+        level = [v for c in level if isinstance(c, (dict, list)) for v in (c.values() if isinstance(c, dict) else c)]
+    return value, None
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
 
 
 _SECRET = re.compile(rf"(^|[._])({'|'.join(S.SECRET_WORDS)})$")
@@ -162,19 +159,21 @@ def scrub_value(value, key: str = ""):
 
 
 def guard_and_scrub(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """``rows`` with ``reject_reason``, and the raw text scrubbed where there is none."""
+    """``rows`` with ``reject_reason``, and the raw text scrubbed where there is none, lone surrogates replaced."""
     names = rows.columns
     at = names.index(raw)
 
+    def one(text):
+        value, problem = guarded(text)
+        if problem:
+            return text, problem
+        return _SURROGATE.sub("\ufffd", json.dumps(scrub_value(value), ensure_ascii=False, separators=(",", ":"))), None
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            problems = [json_problem(t) for t in texts]
-            clean = [t if p else json.dumps(scrub_value(json.loads(t)), ensure_ascii=False, separators=(",", ":")) for t, p in zip(texts, problems)]
-            columns = [pa.array(clean, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.record_batch([*columns, pa.array(problems, pa.string())], [*names, "reject_reason"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            done = [one(t) for t in batch.column(at).to_pylist()]
+            columns = [pa.array([t for t, _ in done], batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.record_batch([*columns, pa.array([p for _, p in done], pa.string())], [*names, "reject_reason"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("reject_reason", StringType())]))
 
@@ -284,13 +283,13 @@ def search_values(message: Column, attrs: Column) -> Column:
 #: What normalisation reads of an event payload: one parse per row.
 PAYLOAD = (
     "type string, event_id string, timestamp string, level string, environment string, release string, message string, tags map<string,string>,"
-    " contexts struct<`service.name`:string,trace:struct<trace_id:string,span_id:string>>, logentry struct<message:string,formatted:string>,"
+    " contexts struct<service:struct<name:string>,trace:struct<trace_id:string,span_id:string>>, logentry struct<message:string,formatted:string>,"
     f" exception struct<values:{S.EXCEPTIONS}>"
 )
 
 
 def normalize_events(rows: DataFrame, default_service: str = "unknown", raw: str = "raw") -> DataFrame:
-    """Record columns of event payloads, beside the columns of ``rows``."""
+    """Record columns of event payloads, beside the columns of ``rows``. Events have a level and no severity number."""
     r, p = F.col(raw), F.col("__p")
     filled = lambda c: F.nullif(c, F.lit(""))
     # A message is text or an object; an exception is an object with values or a bare list.
@@ -301,44 +300,111 @@ def normalize_events(rows: DataFrame, default_service: str = "unknown", raw: str
     inner = lambda key: F.when(has_object, filled(F.get_json_object(p["message"], f"$.{key}")))
     text = F.when(~has_object, filled(p["message"]))
     message = F.coalesce(filled(p["logentry"]["formatted"]), text, inner("formatted"), filled(last["value"]), filled(last["type"]), filled(p["logentry"]["message"]), F.lit(""))
-    template = F.coalesce(filled(p["logentry"]["message"]), inner("message"), text)
+    # The template belongs to the place that the message is from.
+    entry, formatted = filled(p["logentry"]["message"]), filled(p["logentry"]["formatted"])
+    thrown = F.coalesce(filled(last["value"]), filled(last["type"]))
+    template = F.when(formatted.isNotNull(), entry).when(text.isNotNull(), None).when(inner("formatted").isNotNull(), inner("message")).when(thrown.isNull(), entry)
     us, ns = S.parse_timestamp(filled(p["timestamp"]))
     lvl = S.level(p["level"], True)
-    service = F.coalesce(p["tags"]["service.name"], p["contexts"]["service.name"], F.lit(default_service))
+    service = F.coalesce(p["tags"]["service.name"], p["contexts"]["service"]["name"], F.lit(default_service))
     kind = F.when(p["type"] == "transaction", "transaction").otherwise("error")
     trace = p["contexts"]["trace"]
     return parsed.select(
         *rows.columns, kind.alias("record_kind"), S.event_id(filled(p["event_id"])).alias("source_event_id"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), S.timestamp_source(p["timestamp"]).alias("timestamp_source"),
-        lvl.alias("level"), S.representative_severity(lvl).alias("severity_number"), message.alias("message"), template.alias("message_template"), service.alias("service"), filled(p["environment"]).alias("environment"), filled(p["release"]).alias("release"),
+        lvl.alias("level"), F.lit(None).cast("smallint").alias("severity_number"), message.alias("message"), template.alias("message_template"), service.alias("service"), filled(p["environment"]).alias("environment"), filled(p["release"]).alias("release"),
         S.trace_id(trace["trace_id"]).alias("trace_id"), S.span_id(trace["span_id"]).alias("span_id"), last["type"].alias("exception_type"), last["value"].alias("exception_value"), last["mechanism"]["handled"].alias("handled"),
     )
 
 
-def normalize_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """Record columns of log items: attributes override release, environment, service and logger."""
-    r = F.col(raw)
-    at = lambda path: F.nullif(F.get_json_object(r, path), F.lit(""))
-    attribute = lambda key: F.nullif(F.get_json_object(r, f"$.attributes['{key}'].value"), F.lit(""))
-    number = S.severity_number(at("$.severity_number"), attribute("sentry.severity_number"))
-    named = S.level(at("$.level"), False)
-    us, ns = S.parse_timestamp(at("$.timestamp"))
-    return rows.select(
-        "*", F.lit("log").alias("record_kind"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), F.when(at("$.level").isNull() & number.isNotNull(), S.severity_level(number)).otherwise(named).alias("level"),
-        F.coalesce(number, S.representative_severity(named)).alias("severity_number"), F.coalesce(at("$.body"), F.lit("")).alias("message"), F.coalesce(attribute("service.name"), at("$.service")).alias("service"),
-        F.coalesce(attribute("sentry.environment"), at("$.environment")).alias("environment"), F.coalesce(attribute("sentry.release"), at("$.release")).alias("release"), S.trace_id(at("$.trace_id")).alias("trace_id"), S.span_id(F.coalesce(at("$.span_id"), attribute("sentry.trace.parent_span_id"))).alias("span_id"),
+def _spelled(v: Column) -> Column:
+    """The text of a JSON string; null for anything else."""
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+
+
+class _Log:
+    """Columns over a log parsed once as a variant ``v``, so that text and numbers stay apart."""
+
+    def __init__(self, v: str):
+        self.v = v
+
+    def at(self, key: str) -> Column:
+        """The text of a top-level key, empty if it is missing or no text."""
+        return F.coalesce(_spelled(self.field(key)), F.lit(""))
+
+    def field(self, key: str) -> Column:
+        return F.try_variant_get(self.v, f"$.{key}", "variant")
+
+    def held(self, key: str) -> Column:
+        """The attribute as it stands, null only where there is none."""
+        return F.try_variant_get(self.v, f'$.attributes["{key}"]', "variant")
+
+    def value(self, key: str) -> Column:
+        """The attribute's value, out of its wrapper."""
+        held = self.held(key)
+        return F.when(F.schema_of_variant(held).startswith("OBJECT"), F.try_variant_get(held, "$.value", "variant")).otherwise(held)
+
+    def text(self, *keys: str, fallback: Column | None = None) -> Column:
+        """The first of the attributes that is there, null if it is no text; the fallback only where none is there."""
+        out = F.lit(None).cast("string") if fallback is None else fallback
+        for key in reversed(keys):
+            out = F.when(self.held(key).isNotNull(), _spelled(self.value(key))).otherwise(out)
+        return out
+
+    def severity(self) -> Column:
+        """An integer of 1 to 24, the field's or else the attribute's."""
+
+        def one(v: Column) -> Column:
+            n = F.when(F.schema_of_variant(v) == "BIGINT", v.cast("bigint"))
+            return F.when(n.between(1, 24), n.cast("smallint"))
+
+        return F.coalesce(one(self.field("severity_number")), one(self.value("sentry.severity_number")))
+
+
+def normalize_logs(rows: DataFrame, default_service: str | None = None, sdk: tuple[Column, Column] | None = None, raw: str = "raw") -> DataFrame:
+    """Record columns of log items and their ``warnings``. Release, environment, service, logger, server and SDK come
+    from attributes; service, logger and SDK have fall-backs (a default, the log's own field, the envelope's ``sdk`` name and version)."""
+    log, r = _Log("__v"), F.col(raw)
+    number, level = log.severity(), log.at("level")
+    said = F.when(level != "", level).otherwise(F.coalesce(log.text("sentry.severity_text"), F.lit("")))
+    own, lvl = S.level(level, False), S.level(said, False)
+    us, ns = S.parse_timestamp(F.nullif(F.get_json_object(r, "$.timestamp"), F.lit("")))
+    span = F.coalesce(F.nullif(log.at("span_id"), F.lit("")), F.nullif(log.text("sentry.trace.parent_span_id"), F.lit("")))
+    trace = F.nullif(log.at("trace_id"), F.lit(""))
+    name, version = sdk or (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    given = F.coalesce(~F.is_variant_null(log.field("severity_number")) & log.field("severity_number").isNotNull(), F.lit(False)) | log.held("sentry.severity_number").isNotNull()
+    warned = F.array(
+        F.when((S.severity_level(number) != own) & (own != "unknown"), "severity_level_conflict"), F.when(number.isNull() & given, "invalid_severity_number"),
+        F.when(trace.isNotNull() & S.trace_id(trace).isNull(), "invalid_trace_id"), F.when(span.isNotNull() & S.span_id(span).isNull(), "invalid_span_id"),
+    )
+    return rows.withColumn("__v", F.try_parse_json(r)).select(
+        *rows.columns, F.lit("log").alias("record_kind"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), said.alias("original_level"), lvl.alias("level"),
+        F.coalesce(number, S.representative_severity(lvl)).alias("severity_number"), log.at("body").alias("message"), F.nullif(log.text("sentry.message.template"), F.lit("")).alias("message_template"),
+        log.text("service.name", fallback=F.lit(default_service).cast("string")).alias("service"), log.text("logger.name", fallback=_spelled(log.field("logger"))).alias("logger"),
+        log.text("server.address", "sentry.server.address", "server.name").alias("server_name"), log.text("sentry.environment").alias("environment"), log.text("sentry.release").alias("release"),
+        log.text("sentry.sdk.name", fallback=name).alias("sdk_name"), log.text("sentry.sdk.version", fallback=version).alias("sdk_version"),
+        S.trace_id(trace).alias("trace_id"), S.span_id(span).alias("span_id"), F.array_compact(warned).alias("warnings"),
     )
 
 
-def warnings(raw: Column, envelope_event_id: Column) -> Column:
-    """What normalisation had to set aside."""
-    at = lambda path: F.nullif(F.get_json_object(raw, path), F.lit(""))
-    own, number, lvl = at("$.event_id"), at("$.severity_number"), at("$.level")
+def event_warnings(raw: Column, envelope_event_id: Column) -> Column:
+    """What normalisation of an event had to set aside. The envelope's id goes before the payload's."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    at = lambda path: filled(F.get_json_object(raw, path))
+    own, outer = at("$.event_id"), filled(envelope_event_id)
+    chosen = F.coalesce(outer, own)
+    same = F.coalesce(S.event_id(own) == S.event_id(outer), own == outer)
     trace, span = at("$.contexts.trace.trace_id"), at("$.contexts.trace.span_id")
-    parsed = S.severity_number(number)
     return F.array_compact(
         F.array(
-            F.when(S.event_id(own) != S.event_id(envelope_event_id), "event_id_conflict"), F.when(own.isNotNull() & S.event_id(own).isNull(), "invalid_event_id"),
-            F.when(parsed.isNotNull() & lvl.isNotNull() & (S.severity_level(parsed) != S.level(lvl, True)), "severity_level_conflict"), F.when(number.isNotNull() & parsed.isNull(), "invalid_severity_number"),
+            F.when(~same, "event_id_conflict"), F.when(chosen.isNotNull() & S.event_id(chosen).isNull(), "invalid_event_id"),
             F.when(trace.isNotNull() & S.trace_id(trace).isNull(), "invalid_trace_id"), F.when(span.isNotNull() & S.span_id(span).isNull(), "invalid_span_id"),
         )
     )
+
+
+def item_warnings(payload: Column, kind: Column) -> Column:
+    """Warnings that every record of an item inherits: a log container that asks for inferred fields, and lone surrogates."""
+    asked = lambda key: F.coalesce(F.get_json_object(payload, f"$.ingest_settings.{key}") != "never", F.lit(False))
+    # Escaped backslashes and whole pairs out of the way, any escape of a surrogate left is a lone one.
+    rest = F.regexp_replace(F.regexp_replace(payload, r"\\\\", " "), r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", " ")
+    return F.array_compact(F.array(F.when((kind == "log") & (asked("infer_ip") | asked("infer_user_agent")), "inference_disabled"), F.when(rest.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"), "lone_surrogate_replaced")))

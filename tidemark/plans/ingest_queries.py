@@ -40,7 +40,7 @@ def _store(spark, d):
 _BROKEN = """case event_id % 6 when 0 then concat('{"a":1,"a":', event_id, '}') when 1 then concat(repeat('[', 70), repeat(']', 70)) when 2 then concat('{"a":', event_id) when 3 then concat('{"a":1} ', event_id) when 4 then concat('["\\\\ud800",', event_id, ']') else raw end"""
 
 
-@query("src_json_guard", "select event_id, case event_id % 6 when 0 then 'repeated_key' when 1 then 'too_deep' when 2 then 'no_json' when 3 then 'no_json' when 4 then 'lone_surrogate' end as reject_reason from events")
+@query("src_json_guard", "select event_id, case event_id % 6 when 0 then 'repeated_key' when 1 then 'too_deep' when 2 then 'no_json' when 3 then 'no_json' end as reject_reason from events")
 def _guard(spark, d):
     return N.guard_and_scrub(raw_events(spark, d).select("event_id", F.expr(_BROKEN).alias("raw"))).select("event_id", "reject_reason")
 
@@ -68,32 +68,59 @@ def _outcomes(spark, d):
     return N.client_outcomes(items(spark, d))
 
 
-@query("normalize_events", """select event_id, md5(event_id::varchar) as source_event_id, case when event_type = 'error' then 'error' else 'unknown' end as level, case when event_type = 'error' then 17 end::smallint as severity_number,
+@query("normalize_events", """select event_id, md5(event_id::varchar) as source_event_id, case when event_type = 'error' then 'error' else 'unknown' end as level, null::smallint as severity_number,
   'svc-' || (user_id % 7) as service, case when event_id % 3 = 0 then 'took ' || (event_id % 50) when event_id % 5 = 0 then 'plain ' || (event_id % 11) when event_id % 2 = 0 then event_type || ' failed' else '' end as message,
   case when event_id % 2 = 0 then 'E' || (user_id % 5) end as exception_type from events""")
 def _events(spark, d):
     return N.normalize_events(raw_events(spark, d)).select("event_id", "source_event_id", "level", "severity_number", "service", "message", "exception_type")
 
 
-_LOG = """concat('{"body":"', event_type, ' ', event_id, '","level":"', if(event_id % 3 = 0, 'warn', ''), '","severity_number":', event_id % 30, ',"timestamp":', event_id, '.5,"service":"outer","release":"r0","attributes":{"service.name":{"type":"string","value":"svc-', user_id % 7, '"},"bad":{"type":"integer","value":"x"},"size":{"type":"double","value":3,"unit":"byte"},"n":', user_id, '}}')"""
+#: Attributes bare, wrapped and of a wrong type; texts and numbers in the fields that want the other.
+_LOG = """concat('{"body":"', event_type, ' ', event_id, '","level":"', if(event_id % 3 = 0, 'warn', ''), '","severity_number":', if(event_id % 10 = 9, '"5"', string(event_id % 30)), ',"timestamp":', event_id, '.5,"service":"outer","release":"outer","logger":"own","span_id":"",
+ "trace_id":"', if(event_id % 13 = 0, 'zz', md5(string(event_id))), '","attributes":{"bad":{"type":"integer","value":"x"},"size":{"type":"double","value":3,"unit":"byte"},"n":', user_id,
+ case event_id % 3 when 0 then concat(',"service.name":{"type":"string","value":"svc-', user_id % 7, '"}') when 1 then ',"service.name":7' else '' end,
+ if(event_id % 4 = 0, ',"server.name":"last","sentry.server.address":{"value":"middle"}', if(event_id % 4 = 1, ',"server.name":"last"', '')), if(event_id % 5 = 0, ',"logger.name":"attr"', ''),
+ if(event_id % 6 = 1, ',"sentry.severity_text":"CRITICAL"', ''), if(event_id % 7 = 0, ',"sentry.severity_number":{"type":"integer","value":2}', ''), ',"sentry.release":"r0","sentry.sdk.name":"kit","sentry.trace.parent_span_id":"00000000000000AB","sentry.message.template":"t %s"}}')"""
 
 
 def raw_logs(spark, d):
     return table(spark, d, "events").withColumn("raw", F.expr(_LOG))
 
 
-@query("normalize_logs", """select event_id, event_type || ' ' || event_id as message, case when event_id % 3 = 0 then 'warning' when n is not null then ['trace', 'debug', 'info', 'warning', 'error', 'fatal'][1 + (n - 1) // 4] else 'unknown' end as level,
-  (case when n is not null then n when event_id % 3 = 0 then 13 end)::smallint as severity_number, 'svc-' || (user_id % 7) as service, 'r0' as release, event_id * 1000000 + 500000 as event_time_us from (select *, case when event_id % 30 between 1 and 24 then event_id % 30 end as n from events)""")
+_LOG_SQL = """with named as (select *, case when event_id % 10 <> 9 and event_id % 30 between 1 and 24 then event_id % 30 when event_id % 7 = 0 then 2 end as n, case when event_id % 3 = 0 then 'warning' when event_id % 6 = 1 then 'fatal' else 'unknown' end as lvl from events)"""
+
+
+@query("normalize_logs", f"""{_LOG_SQL} select event_id, event_type || ' ' || event_id as message, 't %s' as message_template, lvl as level, case when event_id % 3 = 0 then 'warn' when event_id % 6 = 1 then 'CRITICAL' else '' end as original_level,
+  coalesce(n, case lvl when 'warning' then 13 when 'fatal' then 21 end)::smallint as severity_number, case event_id % 3 when 0 then 'svc-' || (user_id % 7) when 2 then 'fallback' end as service,
+  case when event_id % 4 = 0 then 'middle' when event_id % 4 = 1 then 'last' end as server_name, case when event_id % 5 = 0 then 'attr' else 'own' end as logger, 'r0' as release, 'kit' as sdk_name, '1.2' as sdk_version,
+  case when event_id % 13 <> 0 then md5(event_id::varchar) end as trace_id, '00000000000000ab' as span_id, event_id * 1000000 + 500000 as event_time_us from named""")
 def _normalize_logs(spark, d):
-    return N.normalize_logs(raw_logs(spark, d)).select("event_id", "message", "level", "severity_number", "service", "release", "event_time_us")
+    logs = N.normalize_logs(raw_logs(spark, d), "fallback", (F.lit("envelope"), F.lit("1.2")))
+    return logs.select("event_id", "message", "message_template", "level", "original_level", "severity_number", "service", "server_name", "logger", "release", "sdk_name", "sdk_version", "trace_id", "span_id", "event_time_us")
+
+
+@query("log_warnings", f"""{_LOG_SQL} select event_id, list_filter([case when event_id % 3 = 0 and n is not null and n not between 13 and 16 then 'severity_level_conflict' end, case when n is null then 'invalid_severity_number' end,
+  case when event_id % 13 = 0 then 'invalid_trace_id' end], lambda x: x is not null) as warnings from named""")
+def _log_warnings(spark, d):
+    return N.normalize_logs(raw_logs(spark, d)).select("event_id", "warnings")
 
 
-@query("normalize_warnings", "select event_id, list_filter([case when event_id % 4 = 0 then 'event_id_conflict' end, case when event_id % 4 = 1 then 'invalid_event_id' end], lambda x: x is not null) as warnings from events")
+@query("normalize_warnings", "select event_id, list_filter([case when event_id % 4 in (0, 1) then 'event_id_conflict' end, case when event_id % 4 = 2 then 'invalid_event_id' end], lambda x: x is not null) as warnings from events")
 def _warnings(spark, d):
+    """The envelope names another id, the payload one that is none, or both the same one that is none."""
     e = raw_events(spark, d)
-    raw = F.when(F.col("event_id") % 4 == 1, F.replace("raw", F.md5(F.col("event_id").cast("string")), F.lit("nope"))).otherwise(F.col("raw"))
-    outer = F.md5(F.when(F.col("event_id") % 4 == 0, F.col("event_id") + 1).otherwise(F.col("event_id")).cast("string"))
-    return e.select("event_id", N.warnings(raw, outer).alias("warnings"))
+    i = F.col("event_id")
+    raw = F.when((i % 4).isin(1, 2), F.replace("raw", F.md5(i.cast("string")), F.lit("nope"))).otherwise(F.col("raw"))
+    outer = F.when(i % 4 == 2, F.lit("nope")).otherwise(F.md5(F.when(i % 4 == 0, i + 1).otherwise(i).cast("string")))
+    return e.select("event_id", N.event_warnings(raw, outer).alias("warnings"))
+
+
+_CONTAINER = r"""concat('{"ingest_settings":{"infer_ip":"', if(event_id % 3 = 0, 'always', 'never'), '"},"items":[{"body":"', case event_id % 5 when 0 then R'\ud83d' when 1 then R'😀' when 2 then R'\\ud83d' else event_type end, '"}]}')"""
+
+
+@query("item_warnings", "select event_id, list_filter([case when event_id % 3 = 0 then 'inference_disabled' end, case when event_id % 5 = 0 then 'lone_surrogate_replaced' end], lambda x: x is not null) as warnings from events")
+def _item_warnings(spark, d):
+    return table(spark, d, "events").select("event_id", N.item_warnings(F.expr(_CONTAINER), F.lit("log")).alias("warnings"))
 
 
 def _flat(rows):
@@ -106,10 +133,10 @@ def _flatten_event(spark, d):
     return _flat(N.with_attributes(raw_events(spark, d).select("event_id", "raw"), "event"))
 
 
-@query("flatten_attrs_log", """select event_id, '/service.name' as path, 'string' as value_type, 'svc-' || (user_id % 7) as value from events union all select event_id, '/bad', 'invalid', '"x"' from events
-  union all select event_id, '/size', 'double', '3.0' from events union all select event_id, '/n', 'integer', user_id::varchar from events""")
+@query("flatten_attrs_log", """select event_id, '/bad' as path, 'invalid' as value_type, '"x"' as value from events union all select event_id, '/size', 'double', '3.0' from events
+  union all select event_id, '/service.name', 'string', 'svc-' || (user_id % 7) from events where event_id % 3 = 0 union all select event_id, '/service.name', 'integer', '7' from events where event_id % 3 = 1 union all select event_id, '/n', 'integer', user_id::varchar from events""")
 def _flatten_log(spark, d):
-    return _flat(N.with_attributes(raw_logs(spark, d).select("event_id", "raw"), "log"))
+    return _flat(N.with_attributes(raw_logs(spark, d).select("event_id", "raw"), "log")).where(F.col("path").isin("/bad", "/size", "/service.name", "/n"))
 
 
 _TYPED = """concat('{"tags":{"v":', case event_id % 8 when 0 then '1' when 1 then '1.0' when 2 then '1e0' when 3 then repeat('9', 40) when 4 then 'true' when 5 then 'null' when 6 then '[]' else '{}' end, '}}')"""

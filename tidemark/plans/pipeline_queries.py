@@ -104,6 +104,14 @@ def _gate(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
+@query("limit_requests", """with r as (select doc_id // 16 as request, count(*) as records, coalesce(sum(strlen(text)), 0) + count(*) - 1 as total_bytes, max(strlen(text)) as b, max(len(string_split(text, ' '))) as a from documents group by 1)
+  select request, records, total_bytes, case when a > 1000 then 'too_many_attributes' when b > 5000 then 'record_too_large' when total_bytes > 16000 then 'request_too_large' end as reason from r""")
+def _limit_requests(spark, d):
+    """Documents as requests of sixteen, with limits low enough to meet."""
+    docs = table(spark, d, "documents").withColumn("request", F.floor(F.col("doc_id") / 16))
+    return I.request_limits(docs, ["request"], F.octet_length("text"), F.size(F.split("text", " ")), most_total=16_000, most_bytes=5_000)
+
+
 # --- issues -------------------------------------------------------------------------------------
 
 _ISSUES = "select project_id, issue_id, count(*) as occurrences, min(event_time_us) as first_us, max(event_time_us) as last_us, max(received_time_us) as last_received_us, min_by(message, (event_time_us, event_time_ns_remainder, record_id)) as title from records where issue_id is not null group by all"

@@ -177,7 +177,7 @@ def _exception(spark, d):
 
 
 @query("fn_event_message", """select event_id, case when event_id % 3 = 0 then 'took ' || (event_id % 50) when event_id % 5 = 0 then 'plain ' || (event_id % 11) when event_id % 2 = 0 then event_type || ' failed' else '' end as message,
-  case when event_id % 3 = 0 then 'took %s' when event_id % 5 = 0 then 'plain ' || (event_id % 11) end as template from events""")
+  case when event_id % 3 = 0 then 'took %s' end as template from events""")
 def _message(spark, d):
     message, template = S.event_message(F.col("raw"))
     return raw_events(spark, d).select("event_id", message.alias("message"), template.alias("template"))
