@@ -263,3 +263,17 @@ def test_log_fields_keep_their_types(spark):
     assert [r["severity_number"] for r in got] == [9, None, None, None, 21, None, None, None]
     assert [r["warnings"] for r in got] == [[], ["invalid_severity_number"], ["invalid_severity_number"], [], [], [], [], ["invalid_severity_number"]]
     assert [r["server_name"] for r in got] == [None] * 8 and got[3]["service"] == "d" and got[7]["message"] == ""
+
+
+def test_compaction_inputs(spark):
+    from tidemark.operators.maintenance import verify_inputs
+
+    sha = lambda ids: hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
+    held = {"ok": "ab", "lost": "ab", "foreign": "ab", "swapped": "ab", "gone": "ab"}
+    inputs = spark.createDataFrame([(k, sha(v)) for k, v in held.items()], "input string, identity_sha256 string")
+    left = [("ok", "a", 1), ("ok", "b", 1), ("lost", "a", 1), ("lost", "b", 1), ("foreign", "a", 1), ("foreign", "b", None), ("swapped", "a", 1), ("swapped", "c", 1), ("gone", "a", 1), ("gone", "b", 1)]
+    right = [("ok", "b"), ("ok", "a"), ("lost", "a"), ("foreign", "a"), ("foreign", "b"), ("swapped", "a"), ("swapped", "c")]
+    analytics, payloads = spark.createDataFrame(left, "input string, record_id string, lane int"), spark.createDataFrame(right, "input string, record_id string")
+    got = {r["input"]: r["problem"] for r in verify_inputs(inputs, analytics, payloads, F.col("lane") == 1).collect()}
+    assert got == {"ok": None, "lost": "identity", "foreign": "scope", "swapped": "identity", "gone": "missing"}
+    assert verify_inputs(inputs.limit(0), analytics, payloads, F.col("lane") == 1).count() == 0

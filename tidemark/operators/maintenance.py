@@ -37,6 +37,23 @@ def rewrite(rows: DataFrame, path: str, by: tuple[str, ...] = ("event_day", "kin
     write_records(rows, path, by)
 
 
+def verify_inputs(inputs: DataFrame, analytics: DataFrame, payloads: DataFrame, scope) -> DataFrame:
+    """(input, records, payloads, problem) of every input pair of a compaction: null if both roles hold exactly the ids
+    that ``inputs`` (input, identity_sha256) states and all its rows are in ``scope``, a condition on ``analytics``.
+
+    Both roles carry ``input``, the pair that a row's file belongs to. Problems, the first that holds: missing (a role
+    has no rows), scope, identity, count.
+    """
+    from tidemark.operators.aggregates import with_ordered_hash
+
+    a = analytics.groupBy("input").agg(F.count(F.lit(1)).alias("records"), F.bool_and(F.coalesce(scope, F.lit(False))).alias("scoped"))
+    p = payloads.groupBy("input").agg(F.count(F.lit(1)).alias("payloads"))
+    both = inputs.join(with_ordered_hash(a, analytics, ["input"], "record_id", "a_sha"), "input", "left").join(with_ordered_hash(p, payloads, ["input"], "record_id", "p_sha"), "input", "left")
+    right = lambda c: F.coalesce(F.col(c) == F.col("identity_sha256"), F.lit(False))
+    problem = F.when(F.col("records").isNull() | F.col("payloads").isNull(), "missing").when(~F.col("scoped"), "scope").when(~right("a_sha") | ~right("p_sha"), "identity").when(F.col("records") != F.col("payloads"), "count")
+    return both.select("input", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("payloads", F.lit(0)).alias("payloads"), problem.alias("problem"))
+
+
 def retention_floor(old_floor, now_us, old_days, new_days):
     """The floor never goes back: the greatest of the old one and both retentions counted from now."""
     day = 86_400_000_000

@@ -536,8 +536,18 @@ def _compact(spark, d):
     return A.with_ordered_hash(back.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), back, ["kind"], "record_id", "identity_sha256")
 
 
-@query("compact_verify", f"{RECORDS_SQL} select kind, count(*) as records, count(*) as payloads, true as paired from records group by 1")
+@query("compact_verify", f"""{RECORDS_SQL} select kind || '/' || ts::date as input, count(*) as records, count(*) filter (where event_id <> 7) as payloads,
+  case when bool_and(event_id = 7) then 'missing' when bool_or(event_id = 7) then 'identity' end as problem from records group by 1""")
 def _verify(spark, d):
-    r, p = records(spark, d).select("record_id", "kind"), payloads(spark, d).select("record_id", F.lit(1).alias("has"))
-    both = r.join(p, "record_id", "full_outer").groupBy("kind").agg(F.count(F.lit(1)).alias("records"), F.count("has").alias("payloads"))
-    return both.withColumn("paired", F.col("records") == F.col("payloads"))
+    """Pairs of records and payloads by kind and day, checked file side by file side; the payload of event 7 was lost."""
+    r = records(spark, d).withColumn("event_day", scalars.event_day(F.col("event_time_us")))
+    left, right = shared_path(spark, "analytics"), shared_path(spark, "paired")
+    write_records(r.select("event_day", "kind", "project_id", "service", "event_time_us", "record_id"), left)
+    r.where("event_id != 7").select("event_day", "kind", "record_id").write.partitionBy("event_day", "kind").parquet(right)
+    named = F.concat_ws("/", "kind", "event_day")
+    stated = r.select(named.alias("input"), "record_id")
+    inputs = A.ordered_hashes(stated, ["input"], "record_id", "identity_sha256")
+    analytics = read_files(spark, "project_id bigint, event_time_us bigint, record_id string, event_day date, kind string", [left]).withColumn("input", named)
+    paired = read_files(spark, "record_id string, event_day date, kind string", [right]).withColumn("input", named)
+    scope = (scalars.event_day(F.col("event_time_us")) == F.col("event_day")) & (F.col("project_id") > 0) & F.col("kind").isin("error", "log", "transaction")
+    return M.verify_inputs(inputs, analytics, paired, scope)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import RECORDS_SQL, records
+from tidemark.sources.adapters import RECORDS_SQL, records, table
 from tidemark.streaming import jobs as J
 
 
@@ -13,18 +14,26 @@ def _stream(spark, d):
     return J.stream_records(spark, f"{d}/events.parquet")
 
 
+def _in_files(spark, d):
+    """The events dealt over four files, so that a stream takes several micro-batches that overlap in time."""
+    path = J.shared_path(spark, "arrivals")
+    table(spark, d, "events").repartition(4, "event_id").write.parquet(path)
+    return J.stream_records(spark, path)
+
+
 @query("st_ingest", f"{RECORDS_SQL} select record_id, kind, project_id from records")
 def _ingest(spark, d):
     return J.run_to_table(_stream(spark, d).select("record_id", "kind", "project_id"), name="ingest")
 
 
-@query("st_seq", f"{RECORDS_SQL} select lane_id, count(*) as n, true as contiguous from records group by 1")
+@query("st_seq", f"{RECORDS_SQL} select lane_id, count(*) as n, true as contiguous, true as in_order from records group by 1")
 def _seq(spark, d):
-    """Ordinals of each lane and micro-batch run from 0 without gaps."""
-    path = J.run_batches(_stream(spark, d).select("lane_id", "record_id", "received_time_us"), lambda df, i, out: J.with_sequence(df, i).write.mode("overwrite").parquet(f"{out}/batch={i}"), "sequence")
+    """Ordinals of each lane and micro-batch run from 0 without gaps, and received times never go back from batch to batch."""
+    path = J.run_batches(_in_files(spark, d).select("lane_id", "record_id", "received_time_us"), J.write_sequence, "sequence")
     rows = spark.read.schema("lane_id int, record_id string, received_time_us bigint, stream_seq bigint, stream_ordinal int").option("basePath", path).parquet(f"{path}/batch=*")
-    per = rows.groupBy("lane_id", "stream_seq").agg(F.count(F.lit(1)).alias("n"), F.max("stream_ordinal").alias("top"))
-    return per.groupBy("lane_id").agg(F.sum("n").alias("n"), F.bool_and(F.col("top") == F.col("n") - 1).alias("contiguous"))
+    per = rows.groupBy("lane_id", "stream_seq").agg(F.count(F.lit(1)).alias("n"), F.max("stream_ordinal").alias("top"), F.min("received_time_us").alias("lo"), F.max("received_time_us").alias("hi"))
+    per = per.withColumn("before", F.lag("hi").over(Window.partitionBy("lane_id").orderBy("stream_seq")))
+    return per.groupBy("lane_id").agg(F.sum("n").alias("n"), F.bool_and(F.col("top") == F.col("n") - 1).alias("contiguous"), F.bool_and(F.coalesce(F.col("lo") >= F.col("before"), F.lit(True))).alias("in_order"))
 
 
 POSITIONS = [(2 + lane // 4, 64) for lane in range(16)]
@@ -44,12 +53,21 @@ def _init(spark, d):
     return r.crossJoin(F.broadcast(newest)).where("received_time_us <= limit").groupBy("lane_id").agg(F.max("batch_seq").alias("batch_seq"))
 
 
-@query("st_resume", f"{RECORDS_SQL} select count(*) as n, count(distinct record_id) as ids from records")
+@query("st_resume", f"{RECORDS_SQL} select count(*) as n, count(distinct record_id) as ids, count(*) as after_replay from records")
 def _resume(spark, d):
-    """A second start from the same checkpoint delivers nothing again; a replayed read is deduplicated by id."""
-    rows = J.run_to_table(_stream(spark, d).select("record_id"), name="resume")
-    again = rows.union(rows.limit(50)).dropDuplicates(["record_id"])
-    return again.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"))
+    """Half of the events, a stop, the other half and a start from the same checkpoint, then a start with nothing new:
+    the table holds each record once. A reader that replays the table drops what it saw by id."""
+    e, source, out = table(spark, d, "events"), J.shared_path(spark, "arrivals"), J.shared_path(spark, "resume")
+    middle = e.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("bigint")).cast("timestamp_ntz")).first()[0]
+    early = F.coalesce(F.col("ts") < F.lit(middle), F.lit(False))
+    start = lambda: J.run_to_table(J.stream_records(spark, source).select("record_id"), out=out)
+    e.where(early).write.parquet(source)
+    start()
+    e.where(~early).write.mode("append").parquet(source)
+    start()
+    rows = start()
+    replayed = rows.unionAll(rows).dropDuplicates(["record_id"]).agg(F.count(F.lit(1)).alias("after_replay"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids")).join(replayed)
 
 
 @query("sink_rows_stream", f"{RECORDS_SQL} select record_id, event_time_us from records where level = 'error'")
@@ -59,13 +77,11 @@ def _rows(spark, d):
 
 @query("sink_outbox", f"{RECORDS_SQL} select distinct project_id, received_time_us // 3600000000 as hour from records where level = 'error'")
 def _outbox(spark, d):
-    decided = _stream(spark, d).where("level = 'error'").select("project_id", F.floor(F.col("received_time_us") / 3_600_000_000).alias("hour"))
+    decided = _in_files(spark, d).where("level = 'error'").select("project_id", F.floor(F.col("received_time_us") / 3_600_000_000).alias("hour"))
     path = J.run_batches(decided, lambda df, i, out: J.append_once(df.sparkSession, df, out, ["project_id", "hour"], i), "outbox")
     return spark.read.schema("project_id bigint, hour bigint").option("basePath", path).parquet(f"{path}/batch=*").select("project_id", "hour")
 
 
-
-
 @query("st_sliding_count")
 def _sliding(spark, d):
     return J.run_to_table(J.sliding_counts(_stream(spark, d), "5 minutes"), name="sliding")
@@ -87,9 +103,19 @@ def _dedupe(spark, d):
     return J.run_to_table(J.classify_stream(_stream(spark, d), 3_600_000), name="dedupe")
 
 
-@query("st_issue_state", f"{RECORDS_SQL} select project_id, issue_id, count(*) as occurrences, min(event_time_us) as first_us, max(event_time_us) as last_us from records where issue_id is not null group by 1, 2")
+@query("st_issue_state", f"""{RECORDS_SQL}, state as (select project_id, issue_id, case when project_id % 2 = 0 then 'resolved' else 'ignored' end as status, 3 as revision from (select distinct project_id, issue_id, exception_type from records where issue_id is not null) where exception_type <> 'E1'),
+  hit as (select r.*, s.status, s.revision, s.status is null or (s.status = 'resolved' and batch_seq > 5 + lane_id) as hit from records r left join state s using (project_id, issue_id) where issue_id is not null)
+  select project_id, issue_id, count(*) as occurrences, min(event_time_us) as first_us, max(event_time_us) as last_us, case when not bool_or(hit) then null when max(status) is null then 'created' else 'regressed' end as type,
+  min_by(record_id, (batch_seq, lane_id, record_ordinal, record_id)) filter (where hit) as record_id, (coalesce(max(revision), 0) + bool_or(hit)::int)::int as revision from hit group by 1, 2""")
 def _issues(spark, d):
-    return J.latest_states(J.run_to_table(J.issue_states(_stream(spark, d)), name="issues"))
+    """Issues of E1 are new to the stream; of the others, projects of even number are resolved, the rest ignored."""
+    found = records(spark, d).where("issue_id is not null and exception_type != 'E1'").select("project_id", "issue_id").distinct()
+    known = found.select("project_id", "issue_id", F.when(F.col("project_id") % 2 == 0, "resolved").otherwise("ignored").alias("status"), F.lit(3).alias("revision"), F.sequence(F.lit(5).cast("bigint"), F.lit(20).cast("bigint")).alias("resolved_cut"))
+    path = J.shared_path(spark, "known")
+    known.write.parquet(path)
+    states = J.issue_states(_in_files(spark, d), spark.read.parquet(path))
+    out = J.run_batches(states, lambda df, i, to: df.write.mode("overwrite").parquet(f"{to}/batch={i}"), "issues", "update")
+    return J.latest_states(spark.read.option("basePath", out).parquet(f"{out}/batch=*"))
 
 
 @query("st_late_data", f"{RECORDS_SQL} select kind, count(*) as n from records group by 1")

@@ -28,27 +28,40 @@ def stream_records(spark: SparkSession, path: str, files_per_batch: int = 1) ->
     return records_of(events).withColumn("received", F.timestamp_micros("received_time_us"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """All that is available now, through an exactly-once file sink in the shared folder, read back as a table."""
+def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream", out: str | None = None) -> DataFrame:
+    """All that is available now, through an exactly-once file sink in the shared folder, read back as a table.
+    With the ``out`` of an earlier run, it goes on from that run's checkpoint."""
     spark = stream.sparkSession
-    out = shared_path(spark, name)
+    out = out or shared_path(spark, name)
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).format("parquet").start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], name: str = "batches") -> str:
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], name: str = "batches", mode: str = "append") -> str:
     """``each`` (batch, batch id, output path) for every micro-batch; a batch that is tried again writes the same path."""
     out = shared_path(stream.sparkSession, name)
-    q = stream.writeStream.foreachBatch(lambda df, i: each(df, i, out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: each(df, i, out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return out
 
 
-def with_sequence(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Lane positions of a micro-batch: its id as sequence, row numbers per lane as ordinals, received times that never go back."""
+def with_sequence(batch: DataFrame, batch_id: int, floors: DataFrame) -> DataFrame:
+    """Lane positions of a micro-batch: its id as sequence, row numbers per lane as ordinals. Received times never go
+    back: no row is before ``floors`` (lane_id, floor_us), the last times of earlier batches."""
     w = Window.partitionBy("lane_id").orderBy("received_time_us", "record_id")
-    return batch.withColumn("stream_seq", F.lit(batch_id).cast("bigint")).withColumn("stream_ordinal", F.row_number().over(w) - 1)
+    lifted = batch.join(F.broadcast(floors), "lane_id", "left").withColumn("received_time_us", F.greatest("received_time_us", "floor_us")).drop("floor_us")
+    return lifted.withColumn("stream_seq", F.lit(batch_id).cast("bigint")).withColumn("stream_ordinal", F.row_number().over(w) - 1)
+
+
+def write_sequence(batch: DataFrame, batch_id: int, out: str) -> None:
+    """A micro-batch with its positions, and beside it the last received time of each lane, one row a lane."""
+    spark = batch.sparkSession
+    schema = "lane_id int, floor_us bigint"
+    floors = spark.read.schema(schema).parquet(f"{out}-floors/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+    with_sequence(batch, batch_id, floors).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    written = spark.read.parquet(f"{out}/batch={batch_id}").groupBy("lane_id").agg(F.max("received_time_us").alias("floor_us"))
+    written.unionByName(floors).groupBy("lane_id").agg(F.max("floor_us").alias("floor_us")).coalesce(1).write.mode("overwrite").parquet(f"{out}-floors/batch={batch_id}")
 
 
 def append_once(spark: SparkSession, decisions: DataFrame, outbox: str, keys: list[str], batch_id: int) -> None:
@@ -117,28 +130,27 @@ def classify_stream(stream: DataFrame, keep_ms: int) -> DataFrame:
     return keyed.withWatermark("received", "10 minutes").groupBy("project_id", "kind", "source_event_id").applyInPandasWithState(step, CLASSES, "hash string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-ISSUES = "project_id bigint, issue_id string, occurrences bigint, first_us bigint, last_us bigint"
-
-
-def issue_states(stream: DataFrame) -> DataFrame:
-    """The state of each issue after every micro-batch that touches it: count, first and last event time.
+def issue_states(stream: DataFrame, known: DataFrame) -> DataFrame:
+    """The state of each issue that a micro-batch touches (update mode): count, first and last event time, revision, and
+    its transition: created where ``known`` lacks the issue, regressed where that is resolved and a row lies beyond the
+    cut that the resolution took of its lane. ``record_id`` is the first such row in append order, as far as rows came.
 
-    Occurrences of one issue shrink to a row per task before they meet its state.
+    ``known``: project_id, issue_id, status, revision, resolved_cut array<bigint> (by lane), as the stream starts. Tasks
+    send one row per issue to the state, so a hot issue costs no more than others.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, lo, hi = state.get if state.exists else (0, None, None)
-        for f in frames:
-            n += len(f)
-            low, high = int(f["event_time_us"].min()), int(f["event_time_us"].max())
-            lo, hi = low if lo is None else min(lo, low), high if hi is None else max(hi, high)
-        state.update((n, lo, hi))
-        yield pd.DataFrame([(*key, n, lo, hi)], columns=["project_id", "issue_id", "occurrences", "first_us", "last_us"])
-
-    found = stream.where("issue_id is not null").select("project_id", "issue_id", "event_time_us")
-    return found.groupBy("project_id", "issue_id").applyInPandasWithState(step, ISSUES, "n long, lo long, hi long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.where("issue_id is not null").join(known, ["project_id", "issue_id"], "left")
+    beyond = (F.col("status") == "resolved") & (F.col("batch_seq") > F.get("resolved_cut", F.col("lane_id")))
+    moment = F.when(F.col("status").isNull() | beyond, F.struct("batch_seq", "lane_id", "record_ordinal", "record_id"))
+    state = rows.groupBy("project_id", "issue_id").agg(
+        F.count(F.lit(1)).alias("occurrences"), F.min("event_time_us").alias("first_us"), F.max("event_time_us").alias("last_us"),
+        F.min(moment).alias("at"), F.max("status").alias("status"), F.max("revision").alias("revision"),
+    )
+    kind = F.when(F.col("at").isNull(), None).when(F.col("status").isNull(), "created").otherwise("regressed")
+    revision = F.coalesce("revision", F.lit(0)) + F.col("at").isNotNull().cast("int")
+    return state.select("project_id", "issue_id", "occurrences", "first_us", "last_us", kind.alias("type"), F.col("at.record_id").alias("record_id"), revision.alias("revision"))
 
 
 def latest_states(written: DataFrame) -> DataFrame:
-    """Of the states written so far, the last one of each issue."""
-    return written.groupBy("project_id", "issue_id").agg(F.max("occurrences").alias("occurrences"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    """Of the states written so far, each in its ``batch``, the last one of each issue."""
+    rest = [c for c in written.columns if c not in ("project_id", "issue_id", "batch")]
+    return written.groupBy("project_id", "issue_id").agg(F.max_by(F.struct(*rest), "batch").alias("s")).select("project_id", "issue_id", "s.*")
