@@ -277,3 +277,29 @@ def test_compaction_inputs(spark):
     got = {r["input"]: r["problem"] for r in verify_inputs(inputs, analytics, payloads, F.col("lane") == 1).collect()}
     assert got == {"ok": None, "lost": "identity", "foreign": "scope", "swapped": "identity", "gone": "missing"}
     assert verify_inputs(inputs.limit(0), analytics, payloads, F.col("lane") == 1).count() == 0
+
+
+def test_issue_decisions(spark):
+    from tidemark.operators.alerts import decisions
+
+    second = 1_000_000
+    # Lane, sequence and id order them; the third row's time is behind, so it counts as at 100; the fourth shares that time.
+    rows = [(1, 0, 1, "a", 0), (1, 0, 2, "b", 100), (1, 0, 3, "c", 40), (1, 1, 1, "d", 100), (1, 1, 2, "e", 159), (1, 1, 2, "f", 160), (2, 0, 1, "g", 5), (3, 0, 1, "h", 5), (3, 0, 2, "i", 5)]
+    p = spark.createDataFrame([(a, l, b, r, t * second) for a, l, b, r, t in rows], "alert_id int, lane_id int, batch_seq int, record_id string, received_time_us bigint")
+    got = {r["record_id"]: r["decision"] for r in decisions(p, F.col("alert_id") != 2, F.when(F.col("alert_id") == 3, 0).otherwise(60)).collect()}
+    assert got == dict(a="sent", b="sent", c="cooldown", d="cooldown", e="cooldown", f="sent", g="disabled", h="sent", i="sent")
+    assert decisions(p.limit(0), F.lit(True), F.lit(60)).count() == 0
+
+
+def test_retention_of_occurrences_links_and_claims(spark):
+    from tidemark.operators import maintenance as M
+
+    o = spark.createDataFrame([(1, "a", 5), (1, "b", 15), (1, "c", 25), (2, "d", 15)], "tenant_id int, record_id string, received_time_us bigint")
+    live = spark.createDataFrame([(1, 18), (1, 12)], "tenant_id int, floor_us bigint")
+    gone = M.expired_occurrences(o, 20, live)
+    assert sorted(r[0] for r in gone.collect()) == ["a", "d"]
+    links = M.unlink(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, record_id string"), gone.union(gone))
+    assert sorted(map(tuple, links.collect())) == [(1, None), (2, "b"), (3, None)]
+    day = 86_400_000_000
+    claims = spark.createDataFrame([("new", 30 * day, 1), ("live", 0, 50 * day), ("old", 0, 1), ("open", 0, None)], "id string, created_us bigint, expires_us bigint")
+    assert sorted(r["id"] for r in M.live_claims(claims, 40 * day, 30).collect()) == ["live", "new", "open"]

@@ -62,6 +62,23 @@ def with_cooldown(hits: DataFrame, keys: list[str], at: str, cooldown: str) -> D
     return gathered.select(*keys, F.aggregate("__t", start, step)["fired"].alias("fired"))
 
 
+def decisions(pending: DataFrame, enabled: Column, cooldown: Column) -> DataFrame:
+    """``pending`` (alert_id, lane_id, batch_seq, record_id, received_time_us and more) with ``decision``: disabled, sent or cooldown.
+
+    An alert's transitions are taken by lane, sequence and id. Evaluation times never go back, and of rows that share
+    the time of a firing the first one is sent; without a cooldown (0 seconds) all are.
+    """
+    order = Window.partitionBy("alert_id").orderBy("lane_id", "batch_seq", "record_id")
+    so_far = F.max("received_time_us").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = pending.withColumn("__enabled", F.coalesce(enabled, F.lit(False))).withColumn("__cooldown", cooldown.cast("bigint")).withColumn("__at", so_far)
+    rows = rows.withColumn("__new", F.coalesce(F.col("__at") > F.lag("__at").over(order), F.lit(True)))
+    hits = rows.where("__enabled and __new and __cooldown > 0")
+    fired = with_cooldown(hits, ["alert_id"], "__at", "__cooldown").select("alert_id", F.explode("fired").alias("__at")).withColumn("__fired", F.lit(True))
+    sent = (F.col("__cooldown") <= 0) | (F.col("__fired") & F.col("__new"))
+    decided = F.when(~F.col("__enabled"), "disabled").when(sent, "sent").otherwise("cooldown")
+    return rows.join(fired, ["alert_id", "__at"], "left").withColumn("decision", decided).select(*pending.columns, "decision")
+
+
 def complete(windows: DataFrame, lanes: DataFrame) -> DataFrame:
     """Windows with ``state``: ready when every lane has published its reserved cut, failed when the retention floor has passed the start, else waiting.
 

@@ -60,6 +60,38 @@ def retention_floor(old_floor, now_us, old_days, new_days):
     return F.greatest(old_floor, now_us - old_days * day, now_us - new_days * day)
 
 
+def expired_occurrences(occurrences: DataFrame, floor_us: int, snapshots: DataFrame) -> DataFrame:
+    """(record_id) below the floor that no live snapshot of the tenant can see: it sees what its own floor lets through.
+
+    ``snapshots``: tenant_id, floor_us, of live snapshots only.
+    """
+    seen = snapshots.groupBy("tenant_id").agg(F.min("floor_us").alias("seen_us"))
+    below = occurrences.where(F.col("received_time_us") < floor_us).join(seen, "tenant_id", "left")
+    return below.where(F.col("seen_us").isNull() | (F.col("received_time_us") < F.col("seen_us"))).select("record_id")
+
+
+def unlink(transitions: DataFrame, expired: DataFrame) -> DataFrame:
+    """``transitions`` without the record ids that have expired; the transitions stay."""
+    gone = expired.select("record_id").distinct().withColumn("__gone", F.lit(True))
+    kept = F.when(F.col("__gone").isNull(), F.col("record_id"))
+    return transitions.join(gone, "record_id", "left").withColumn("record_id", kept).select(*transitions.columns)
+
+
+def live_claims(claims: DataFrame, now_us: int, keep_days: int) -> DataFrame:
+    """Claims that stay: not yet expired, or made within the days of deduplication and a week more."""
+    old = F.col("created_us") + (keep_days + 7) * 86_400_000_000 <= now_us
+    return claims.where(~F.coalesce((F.col("expires_us") <= now_us) & old, F.lit(False)))
+
+
+def inventory(objects: DataFrame) -> DataFrame:
+    """One row: referenced_objects, referenced_bytes and inventory_sha256, over key, size and hash of each object by key."""
+    from tidemark.operators.aggregates import with_ordered_hash
+
+    one = objects.select(F.lit(1).alias("one"), "bytes", F.concat_ws("\0", "object_id", F.col("bytes").cast("string"), "sha256").alias("line"))
+    sums = one.groupBy("one").agg(F.count(F.lit(1)).alias("referenced_objects"), F.sum("bytes").alias("referenced_bytes"))
+    return with_ordered_hash(sums, one, ["one"], "line", "inventory_sha256").drop("one")
+
+
 def retention_candidates(manifest: DataFrame, floor_us: int) -> DataFrame:
     """Files with rows below the floor; those wholly below come first."""
     below = manifest.where(F.col("min_received_time_us") < floor_us)

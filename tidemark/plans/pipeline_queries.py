@@ -260,7 +260,7 @@ _TRANS = f"""{RECORDS_SQL}, trans as (select project_id, issue_id, case when eve
 def pending(spark, d):
     t = occurrences(spark, d).where("event_id % 3 = 0").withColumn("type", F.when(F.col("event_id") % 2 == 0, "created").otherwise("regressed"))
     rules = records(spark, d).select("project_id").distinct().select((F.col("project_id") * 100).alias("alert_id"), "project_id", F.when(F.col("project_id") % 2 == 0, F.array(F.lit("created"))).otherwise(F.array(F.lit("created"), F.lit("regressed"))).alias("events"), F.sequence(F.lit(2).cast("bigint"), F.lit(17).cast("bigint")).alias("enabled_cut"))
-    return t.join(F.broadcast(rules), "project_id").where(F.array_contains("events", F.col("type")) & (F.col("batch_seq") > F.get("enabled_cut", F.col("lane_id"))))
+    return t.join(rules, "project_id").where(F.array_contains("events", F.col("type")) & (F.col("batch_seq") > F.get("enabled_cut", F.col("lane_id"))))
 
 
 @query("join_issue_alerts", f"{_TRANS} select alert_id, record_id, type from pending")
@@ -274,15 +274,13 @@ def _evaluated(spark, d):
     return pending(spark, d).join(done, "record_id", "left_anti").select("alert_id", "record_id")
 
 
-@query("alert_issue_decisions", f"""{_TRANS.replace("with records", "with recursive records", 1)}, fire as (
-   select alert_id, min(received_time_us) as fired_us from pending group by 1
-   union all select f.alert_id, (select min(h.received_time_us) from pending h where h.alert_id = f.alert_id and h.received_time_us >= f.fired_us + 3600000000) as fired_us from fire f where f.fired_us is not null)
-  select p.alert_id, p.record_id, case when p.alert_id % 300 = 0 then 'disabled' when exists (select 1 from fire f where f.alert_id = p.alert_id and f.fired_us = p.received_time_us) then 'sent' else 'cooldown' end as decision from pending p""")
+@query("alert_issue_decisions", f"""{_TRANS.replace("with records", "with recursive records", 1)}, timed as (select *, max(received_time_us) over (partition by alert_id order by lane_id, batch_seq, record_id) as at_us from pending),
+  ranked as (select *, row_number() over (partition by alert_id, at_us order by lane_id, batch_seq, record_id) as i from timed), fire as (
+   select alert_id, min(at_us) as fired_us from timed group by 1
+   union all select f.alert_id, (select min(h.at_us) from timed h where h.alert_id = f.alert_id and h.at_us >= f.fired_us + 3600000000) as fired_us from fire f where f.fired_us is not null)
+  select r.alert_id, r.record_id, case when r.alert_id % 300 = 0 then 'disabled' when i = 1 and exists (select 1 from fire f where f.alert_id = r.alert_id and f.fired_us = r.at_us) then 'sent' else 'cooldown' end as decision from ranked r""")
 def _decisions(spark, d):
-    p = pending(spark, d).withColumn("cooldown", F.lit(3600).cast("bigint"))
-    fired = L.with_cooldown(p, ["alert_id"], "received_time_us", "cooldown").select("alert_id", F.explode("fired").alias("received_time_us")).withColumn("sent", F.lit(True))
-    decided = F.when(F.col("alert_id") % 300 == 0, "disabled").when(F.col("sent"), "sent").otherwise("cooldown")
-    return p.join(fired, ["alert_id", "received_time_us"], "left").select("alert_id", "record_id", decided.alias("decision"))
+    return L.decisions(pending(spark, d), F.col("alert_id") % 300 != 0, F.lit(3600)).select("alert_id", "record_id", "decision")
 
 
 @query("alert_body", f"""{_ALERTS} select alert_id, window_end_us, '{{"alert":' || alert_id || ',"window_end_us":' || window_end_us || ',"count":' || observed || '}}' as body from hits where hit""")
@@ -360,13 +358,35 @@ def _retention_rewrite(spark, d):
     return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("received_time_us").alias("oldest")).join(paid, "kind")
 
 
-@query("retention_cleanup", f"{RECORDS_SQL} select record_id from records where issue_id is not null and (received_time_us >= {START + DAY} or lane_id = 3)")
+_EXPIRED = f"{RECORDS_SQL}, expired as (select record_id from records where issue_id is not null and received_time_us < {START + DAY} and received_time_us < (select min(received_time_us) + {DAY // 2} from records))"
+
+
+def expired(spark, d):
+    """Occurrences of the first day, but for those that a snapshot from half a day after the first record on still sees."""
+    snapshots = records(spark, d).groupBy("tenant_id").agg((F.min("received_time_us") + DAY // 2).alias("floor_us"))
+    return M.expired_occurrences(occurrences(spark, d), START + DAY, snapshots)
+
+
+@query("retention_cleanup", f"{_EXPIRED} select record_id from records where issue_id is not null and record_id not in (select record_id from expired)")
 def _cleanup(spark, d):
-    """Occurrences below the floor go unless a live snapshot pins their lane."""
-    o = occurrences(spark, d)
-    pinned = o.select("lane_id").distinct().where("lane_id = 3")
-    expired = o.where(F.col("received_time_us") < START + DAY).join(F.broadcast(pinned), "lane_id", "left_anti").select("record_id")
-    return o.join(expired, "record_id", "left_anti").select("record_id")
+    return occurrences(spark, d).join(expired(spark, d), "record_id", "left_anti").select("record_id")
+
+
+@query("retention_links", f"{_EXPIRED}, first as (select project_id, issue_id, min_by(record_id, (batch_seq, lane_id, record_ordinal, record_id)) as record_id from records where issue_id is not null group by 1, 2) select project_id, issue_id, e.record_id is null as linked, case when e.record_id is null then f.record_id end as record_id from first f left join expired e using (record_id)")
+def _links(spark, d):
+    """The transitions that created the issues keep their rows and lose the ids of expired occurrences."""
+    order = F.struct("batch_seq", "lane_id", "record_ordinal", "record_id")
+    made = occurrences(spark, d).groupBy("project_id", "issue_id").agg(F.min_by("record_id", order).alias("record_id"))
+    return M.unlink(made, expired(spark, d)).withColumn("linked", F.col("record_id").isNotNull())
+
+
+_NOW = START + 40 * DAY
+
+
+@query("retention_claims", f"{RECORDS_SQL}, c as (select project_id, kind, source_event_id, min(received_time_us) as created_us, max(received_time_us) + 37 * {DAY} as expires_us from records group by 1, 2, 3) select * from c where not (expires_us <= {_NOW} and created_us + 37 * {DAY} <= {_NOW})")
+def _claims_kept(spark, d):
+    made = records(spark, d).groupBy("project_id", "kind", "source_event_id").agg(F.min("received_time_us").alias("created_us"), (F.max("received_time_us") + 37 * DAY).alias("expires_us"))
+    return M.live_claims(made, _NOW, 30)
 
 
 @query("except_expired", f"{RECORDS_SQL} select record_id from records where not (received_time_us < {START + DAY} and event_id % 2 = 0)")
@@ -401,6 +421,11 @@ def _audit(spark, d):
     return M.audit(m, listed)
 
 
+@query("object_inventory", f"{_MANIFEST} select count(*) as referenced_objects, sum(bytes)::bigint as referenced_bytes, sha256(string_agg(file_id || chr(0) || bytes || chr(0) || sha256(file_id), chr(10) order by file_id || chr(0) || bytes || chr(0) || sha256(file_id))) as inventory_sha256 from manifest")
+def _inventory(spark, d):
+    return M.inventory(manifest(spark, d).select(F.col("file_id").alias("object_id"), "bytes", F.sha2("file_id", 256).alias("sha256")))
+
+
 @query("join_compact_layout", f"{RECORDS_SQL} select record_id, props as raw_json, project_id, service from records where received_time_us >= {START + DAY}")
 def _layout(spark, d):
     keys = records(spark, d).where(F.col("received_time_us") >= START + DAY).select("record_id", "project_id", "service")
