@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,28 +46,58 @@ def representative_severity(name: Column) -> Column:
     return out
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it; nested expressions would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_timestamp(raw: Column) -> tuple[Column, Column]:
     """(microseconds, remaining nanoseconds) of RFC 3339 text or decimal epoch seconds; floors before the epoch; null if neither."""
-    # The digits before the point, shifted by the exponent and nine places, are the nanoseconds; what is cut off
-    # a negative number makes it one less. Anything outside 64 bits of microseconds is null.
-    number = r"\A(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?\z"
-    part = lambda i: F.regexp_extract(raw, number, i)
-    digits = F.concat(part(2), part(3))
-    point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0)) + 9
-    whole_part = F.when(point > 0, F.substring(F.rpad(digits, F.least(point, F.length(digits) + 60), "0"), F.lit(1), point)).otherwise("0")
-    cut = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(digits)
-    size = F.regexp_replace(whole_part, r"\A0+(?=[0-9])", "")
-    fits = raw.rlike(number) & (F.length(size) <= 28) & ((point <= F.length(digits) + 60) | (size == "0"))
-    size = F.when(fits, size).try_cast("decimal(28,0)")
-    nanos = F.when(part(1) == "-", -size - F.when(cut.rlike("[1-9]"), 1).otherwise(0).cast("decimal(1,0)")).otherwise(size).cast("decimal(29,0)")
-    remainder = F.pmod(nanos, F.lit(1000).cast("decimal(4,0)"))
-    decimal_us = ((nanos - remainder) / F.lit(1000).cast("decimal(4,0)")).try_cast("bigint")
-    decimal_ns = F.when(decimal_us.isNotNull(), remainder.cast("smallint"))
-    rfc = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
-    fraction = F.rpad(F.regexp_extract(raw, r"\.([0-9]+)", 1), 9, "0")
-    whole = F.try_to_timestamp(F.regexp_replace(F.upper(raw), r"\.[0-9]+", ""), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    rfc_us = F.unix_micros(whole) + F.substring(fraction, 1, 6).cast("bigint")
-    return F.when(rfc, rfc_us).otherwise(decimal_us), F.when(rfc & whole.isNotNull(), F.substring(fraction, 7, 3).cast("smallint")).otherwise(decimal_ns)
+    rfc = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+    moment = _let(raw, lambda t: F.when(t.rlike(rfc), _rfc_moment(t)).when(t.rlike(_NUMBER), _decimal_moment(t)))
+    return moment["us"], moment["ns"]
+
+
+_NUMBER = r"\A(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?\z"
+
+
+def _rfc_moment(text: Column) -> Column:
+    whole = F.unix_micros(F.try_to_timestamp(F.regexp_replace(F.upper(text), r"\.[0-9]+", ""), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    fraction = F.rpad(F.regexp_extract(text, r"\.([0-9]+)", 1), 9, "0")
+
+    def split(w: Column) -> Column:
+        return F.struct((w["us"] + F.substring(w["f"], 1, 6).cast("bigint")).alias("us"), F.when(w["us"].isNotNull(), F.substring(w["f"], 7, 3).cast("smallint")).alias("ns"))
+
+    return _let(F.struct(whole.alias("us"), fraction.alias("f")), split)
+
+
+def _decimal_moment(text: Column) -> Column:
+    """The digits before the point, shifted by the exponent and nine places, are the nanoseconds; what is cut off a negative
+    number makes it one less. Anything outside 64 bits of microseconds is null."""
+    thousand = F.lit(1000).cast("decimal(4,0)")
+    part = lambda i: F.regexp_extract(text, _NUMBER, i)
+
+    def shift(p: Column) -> Column:
+        point = F.length(p["whole"]) + F.coalesce(F.nullif(p["exponent"], F.lit("")).cast("int"), F.lit(0)) + 9
+        return _let(F.struct(p["minus"].alias("minus"), F.concat(p["whole"], p["fraction"]).alias("digits"), point.alias("point")), cut)
+
+    def cut(p: Column) -> Column:
+        digits, point, most = p["digits"], p["point"], F.length(p["digits"]) + 60
+        size = F.when(point > 0, F.substring(F.rpad(digits, F.least(point, most), "0"), F.lit(1), point)).otherwise("0")
+        rest = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(digits)
+        return _let(F.struct(p["minus"].alias("minus"), F.regexp_replace(size, r"\A0+(?=[0-9])", "").alias("size"), rest.rlike("[1-9]").alias("more"), (point <= most).alias("near")), nanos)
+
+    def nanos(p: Column) -> Column:
+        size = F.when((F.length(p["size"]) <= 28) & (p["near"] | (p["size"] == "0")), p["size"]).try_cast("decimal(28,0)")
+        below = -size - F.when(p["more"], 1).otherwise(0).cast("decimal(1,0)")
+        return _let(F.when(p["minus"], below).otherwise(size).cast("decimal(29,0)"), split)
+
+    def split(n: Column) -> Column:
+        rest = F.pmod(n, thousand)
+        us = ((n - rest) / thousand).try_cast("bigint")
+        return F.struct(us.alias("us"), F.when(us.isNotNull(), rest.cast("smallint")).alias("ns"))
+
+    return _let(F.struct((part(1) == "-").alias("minus"), part(2).alias("whole"), part(3).alias("fraction"), part(4).alias("exponent")), shift)
 
 
 def timestamp_source(raw: Column) -> Column:

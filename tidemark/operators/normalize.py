@@ -316,72 +316,65 @@ def normalize_events(rows: DataFrame, default_service: str = "unknown", raw: str
     )
 
 
-def _spelled(v: Column) -> Column:
-    """The text of a JSON string; null for anything else."""
-    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
-
-
-class _Log:
-    """Columns over a log parsed once as a variant ``v``, so that text and numbers stay apart."""
-
-    def __init__(self, v: str):
-        self.v = v
-
-    def at(self, key: str) -> Column:
-        """The text of a top-level key, empty if it is missing or no text."""
-        return F.coalesce(_spelled(self.field(key)), F.lit(""))
-
-    def field(self, key: str) -> Column:
-        return F.try_variant_get(self.v, f"$.{key}", "variant")
-
-    def held(self, key: str) -> Column:
-        """The attribute as it stands, null only where there is none."""
-        return F.try_variant_get(self.v, f'$.attributes["{key}"]', "variant")
-
-    def value(self, key: str) -> Column:
-        """The attribute's value, out of its wrapper."""
-        held = self.held(key)
-        return F.when(F.schema_of_variant(held).startswith("OBJECT"), F.try_variant_get(held, "$.value", "variant")).otherwise(held)
-
-    def text(self, *keys: str, fallback: Column | None = None) -> Column:
-        """The first of the attributes that is there, null if it is no text; the fallback only where none is there."""
-        out = F.lit(None).cast("string") if fallback is None else fallback
-        for key in reversed(keys):
-            out = F.when(self.held(key).isNotNull(), _spelled(self.value(key))).otherwise(out)
-        return out
-
-    def severity(self) -> Column:
-        """An integer of 1 to 24, the field's or else the attribute's."""
-
-        def one(v: Column) -> Column:
-            n = F.when(F.schema_of_variant(v) == "BIGINT", v.cast("bigint"))
-            return F.when(n.between(1, 24), n.cast("smallint"))
-
-        return F.coalesce(one(self.field("severity_number")), one(self.value("sentry.severity_number")))
+#: The fields and attributes of a log that have columns of their own.
+LOG_FIELDS = ("body", "level", "severity_number", "trace_id", "span_id", "logger")
+LOG_ATTRIBUTES = (
+    "service.name", "logger.name", "server.address", "sentry.server.address", "server.name", "sentry.environment", "sentry.release", "sentry.sdk.name",
+    "sentry.sdk.version", "sentry.severity_number", "sentry.severity_text", "sentry.message.template", "sentry.trace.parent_span_id",
+)
+
+
+def _entries(raw: Column, path: str, keys: tuple[str, ...], wrapped: bool = False) -> Column:
+    """map<key, struct<text, number, empty>> of a JSON object's ``keys``, so that texts and numbers stay apart: ``text`` of
+    strings, ``number`` of integers, ``empty`` for null. Values may be ``wrapped`` in {value}."""
+
+    def one(_, v: Column) -> Column:
+        if wrapped:
+            v = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.value", "variant")).otherwise(v)
+        kind = F.schema_of_variant(v)
+        return F.struct(F.when(kind == "STRING", v.cast("string")).alias("text"), F.when(kind == "BIGINT", v.cast("bigint")).alias("number"), F.is_variant_null(v).alias("empty"))
+
+    held = F.try_variant_get(F.try_parse_json(raw), path, "map<string,variant>")
+    return F.transform_values(F.map_filter(held, lambda k, _: k.isin(*keys)), one)
+
+
+def _first_text(held: Column, *keys: str, fallback: Column | None = None) -> Column:
+    """The text of the first key that is there, null if that is no text; the fallback only where none is there."""
+    entries = [F.try_element_at(held, F.lit(k)) for k in keys]
+    out = F.lit(None).cast("string") if fallback is None else fallback
+    for e in reversed(entries):
+        out = F.when(e.isNotNull(), e["text"]).otherwise(out)
+    return out
 
 
 def normalize_logs(rows: DataFrame, default_service: str | None = None, sdk: tuple[Column, Column] | None = None, raw: str = "raw") -> DataFrame:
     """Record columns of log items and their ``warnings``. Release, environment, service, logger, server and SDK come
     from attributes; service, logger and SDK have fall-backs (a default, the log's own field, the envelope's ``sdk`` name and version)."""
-    log, r = _Log("__v"), F.col(raw)
-    number, level = log.severity(), log.at("level")
-    said = F.when(level != "", level).otherwise(F.coalesce(log.text("sentry.severity_text"), F.lit("")))
-    own, lvl = S.level(level, False), S.level(said, False)
+    r, fields, held = F.col(raw), F.col("__f"), F.col("__a")
+    at = lambda key: F.coalesce(_first_text(fields, key), F.lit(""))
+    text = lambda *keys, fallback=None: _first_text(held, *keys, fallback=fallback)
+    field, beside = F.try_element_at(fields, F.lit("severity_number")), F.try_element_at(held, F.lit("sentry.severity_number"))
+    within = lambda e: F.when(e["number"].between(1, 24), e["number"].cast("smallint"))
     us, ns = S.parse_timestamp(F.nullif(F.get_json_object(r, "$.timestamp"), F.lit("")))
-    span = F.coalesce(F.nullif(log.at("span_id"), F.lit("")), F.nullif(log.text("sentry.trace.parent_span_id"), F.lit("")))
-    trace = F.nullif(log.at("trace_id"), F.lit(""))
     name, version = sdk or (F.lit(None).cast("string"), F.lit(None).cast("string"))
-    given = F.coalesce(~F.is_variant_null(log.field("severity_number")) & log.field("severity_number").isNotNull(), F.lit(False)) | log.held("sentry.severity_number").isNotNull()
+    level = at("level")
+    parsed = rows.withColumns({"__f": _entries(r, "$", LOG_FIELDS), "__a": _entries(r, "$.attributes", LOG_ATTRIBUTES, wrapped=True)}).withColumns({
+        "__number": F.coalesce(within(field), within(beside)), "__given": F.coalesce(~field["empty"], F.lit(False)) | beside.isNotNull(),
+        "__own": S.level(level, False), "__said": F.when(level != "", level).otherwise(F.coalesce(text("sentry.severity_text"), F.lit(""))),
+        "__trace": F.nullif(at("trace_id"), F.lit("")), "__span": F.coalesce(F.nullif(at("span_id"), F.lit("")), F.nullif(text("sentry.trace.parent_span_id"), F.lit(""))),
+    })
+    number, own, said, trace, span = (F.col(f"__{c}") for c in ("number", "own", "said", "trace", "span"))
+    lvl = S.level(said, False)
     warned = F.array(
-        F.when((S.severity_level(number) != own) & (own != "unknown"), "severity_level_conflict"), F.when(number.isNull() & given, "invalid_severity_number"),
+        F.when((S.severity_level(number) != own) & (own != "unknown"), "severity_level_conflict"), F.when(number.isNull() & F.col("__given"), "invalid_severity_number"),
         F.when(trace.isNotNull() & S.trace_id(trace).isNull(), "invalid_trace_id"), F.when(span.isNotNull() & S.span_id(span).isNull(), "invalid_span_id"),
     )
-    return rows.withColumn("__v", F.try_parse_json(r)).select(
+    return parsed.select(
         *rows.columns, F.lit("log").alias("record_kind"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), said.alias("original_level"), lvl.alias("level"),
-        F.coalesce(number, S.representative_severity(lvl)).alias("severity_number"), log.at("body").alias("message"), F.nullif(log.text("sentry.message.template"), F.lit("")).alias("message_template"),
-        log.text("service.name", fallback=F.lit(default_service).cast("string")).alias("service"), log.text("logger.name", fallback=_spelled(log.field("logger"))).alias("logger"),
-        log.text("server.address", "sentry.server.address", "server.name").alias("server_name"), log.text("sentry.environment").alias("environment"), log.text("sentry.release").alias("release"),
-        log.text("sentry.sdk.name", fallback=name).alias("sdk_name"), log.text("sentry.sdk.version", fallback=version).alias("sdk_version"),
+        F.coalesce(number, S.representative_severity(lvl)).alias("severity_number"), at("body").alias("message"), F.nullif(text("sentry.message.template"), F.lit("")).alias("message_template"),
+        text("service.name", fallback=F.lit(default_service).cast("string")).alias("service"), text("logger.name", fallback=_first_text(fields, "logger")).alias("logger"),
+        text("server.address", "sentry.server.address", "server.name").alias("server_name"), text("sentry.environment").alias("environment"), text("sentry.release").alias("release"),
+        text("sentry.sdk.name", fallback=name).alias("sdk_name"), text("sentry.sdk.version", fallback=version).alias("sdk_version"),
         S.trace_id(trace).alias("trace_id"), S.span_id(span).alias("span_id"), F.array_compact(warned).alias("warnings"),
     )
 
