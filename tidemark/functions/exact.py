@@ -11,10 +11,10 @@ LIMBS = 5
 
 def limb(x: Column, i: int) -> Column:
     """The i-th signed base-10**9 limb of an integer, the lowest first."""
-    # The sign goes from the text: abs() rounds decimals to 34 digits.
+    # The sign goes from the text: abs() rounds decimals to 34 digits. Limbs fit 64 bits, and so do most of their sums.
     digits = F.lpad(F.ltrim(x.cast("decimal(38,0)").cast("string"), F.lit("-")), 45, "0")
-    value = F.substring(digits, 45 - 9 * (i + 1) + 1, 9).cast("decimal(28,0)")
-    return F.when(x < 0, -value).otherwise(value)
+    value = F.substring(digits, 45 - 9 * (i + 1) + 1, 9).cast("bigint")
+    return (value * F.when(x < 0, -1).otherwise(1)).cast("decimal(18,0)")
 
 
 def limb_sums(x: Column, prefix: str) -> list[Column]:
