@@ -35,4 +35,19 @@ with recursive words as (
 select doc_id, len(s)::bigint as n_shingles, component_id from sets join (select doc_id, min(r) as component_id from reach group by doc_id) using (doc_id)
 """
 
-SQL = {"op1_line_dedup": LINE_DEDUP, "op10_jaccard_join": JACCARD}
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positive as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where label = own
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from positive p join scored s on s.anchor_id = p.anchor_id and s.label <> s.own and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) <= 10
+"""
+
+SQL = {"op11_hard_negatives": HARD_NEGATIVES, "op1_line_dedup": LINE_DEDUP, "op10_jaccard_join": JACCARD}

@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, oracles, pii, quality, toxicity
+from tidemark.llm import bpe, chunk_bpe, oracles, pii, quality, toxicity
 from tidemark.llm.ann import search
 from tidemark.llm.decontaminate import find_copies
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.line_dedup import drop_shared_lines
+from tidemark.llm.negatives import mine
+from tidemark.llm.periodic import find_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,5 +83,47 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_toxicity, op4_pii, op5_quality, op6_decontaminate, op7_nearest, op8_bpe, op9_html_text, op10_jaccard_join)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    # Components beyond 2**31 are left null, as their vectors are too long to score in 64 bits.
+    whole = lambda x: F.when(F.abs(x) < 2.0**31, F.floor(F.lit(256.0) * x))
+    rows = _table(spark, sf_dir, "embeddings").where(F.forall("embedding", finite))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: whole(x.cast("double"))).alias("v")))
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by crc32(doc_id) repeats from word a on with period p; the others' texts stay."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    due = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w").cast("long"))
+    a, n = F.col("g") % F.greatest(F.col("n"), F.lit(1)), F.col("n")
+    at = due.withColumn("a", F.when(n > 0, a)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return at.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # Ratios compare by cross products; the first run of equal ones has the smallest start, then period.
+    best = F.aggregate(F.slice("runs", 2, 2_000_000_000), F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    digest = found.withColumn("best", best).withColumn("lines", F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""))
+    return digest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_license_scan, op3_toxicity, op4_pii, op5_quality, op6_decontaminate, op7_nearest, op8_bpe, op9_html_text, op10_jaccard_join,
+        op11_hard_negatives, op12_chunk_bpe, op13_periodic_runs,
+    )
+}
 ORACLES: dict[str, str] = oracles.SQL
