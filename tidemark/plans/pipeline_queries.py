@@ -228,10 +228,13 @@ def _compare(spark, d):
     return counted(spark, d).select("alert_id", "window_end_us", L.breached(F.col("observed"), F.col("operator"), F.col("threshold")).alias("hit"))
 
 
-@query("alert_cooldown", f"""{_ALERTS.replace("with records", "with recursive records", 1)}, fire as (
+_COOLDOWN_SQL = f"""{_ALERTS.replace("with records", "with recursive records", 1)}, fire as (
    select alert_id, min(window_end_us) as fired_us from hits where hit group by 1
    union all select f.alert_id, (select min(h.window_end_us) from hits h where h.hit and h.alert_id = f.alert_id and h.window_end_us >= f.fired_us + 900000000) as fired_us from fire f where f.fired_us is not null)
-  select alert_id, fired_us from fire where fired_us is not null""")
+  select alert_id, fired_us from fire where fired_us is not null"""
+
+
+@query("alert_cooldown", _COOLDOWN_SQL)
 def _cooldown(spark, d):
     hits = counted(spark, d).where(L.breached(F.col("observed"), F.col("operator"), F.col("threshold"))).withColumn("cooldown", F.lit(900).cast("bigint"))
     return L.with_cooldown(hits, ["alert_id"], "window_end_us", "cooldown").select("alert_id", F.explode("fired").alias("fired_us"))

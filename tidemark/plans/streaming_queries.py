@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import RECORDS_SQL, records, table
+from tidemark.sources.adapters import RECORDS_SQL, records, records_of, table
+from tidemark.plans.pipeline_queries import _ALERTS, _COOLDOWN_SQL, _UNTIL, alerts
 from tidemark.streaming import jobs as J
+from tidemark.streaming import state as K
 
 
 def _stream(spark, d):
@@ -21,6 +23,28 @@ def _in_files(spark, d):
     return J.stream_records(spark, path)
 
 
+def _in_order(spark, d, start, derived=None):
+    """``start(stream, out)`` over events that arrive in append order, in four parts: a stop after two of them, and a start from the checkpoint.
+
+    ``derived`` takes the records of a part to other rows, which arrive beside them, in a stream of their own.
+    """
+    e, paths, out = table(spark, d, "events"), [J.shared_path(spark, n) for n in ("arrivals", "beside")], J.shared_path(spark, "resumed")
+    # Parts end with a sequence, so that rows of one come before all rows of the next.
+    last = e.agg(F.max(F.floor(F.col("event_id") / 128))).first()[0] or 0
+    for half in (0, 1):
+        for part in (2 * half, 2 * half + 1):
+            rows = e.where((F.floor(F.col("event_id") / 128) * 4 >= part * (last + 1)) & (F.floor(F.col("event_id") / 128) * 4 < (part + 1) * (last + 1)))
+            rows.write.mode("append").parquet(paths[0])
+            if derived:
+                beside = derived(records_of(rows))
+                beside.write.mode("append").parquet(paths[1])
+        streams = [J.stream_records(spark, paths[0])]
+        if derived:
+            streams.append(spark.readStream.schema(beside.schema).option("maxFilesPerTrigger", 1).parquet(paths[1]))
+        found = start(*streams, out)
+    return found
+
+
 @query("st_ingest", f"{RECORDS_SQL} select record_id, kind, project_id from records")
 def _ingest(spark, d):
     return J.run_to_table(_stream(spark, d).select("record_id", "kind", "project_id"), name="ingest")
@@ -77,9 +101,14 @@ def _rows(spark, d):
 
 @query("sink_outbox", f"{RECORDS_SQL} select distinct project_id, received_time_us // 3600000000 as hour from records where level = 'error'")
 def _outbox(spark, d):
-    decided = _in_files(spark, d).where("level = 'error'").select("project_id", F.floor(F.col("received_time_us") / 3_600_000_000).alias("hour"))
-    path = J.run_batches(decided, lambda df, i, out: J.append_once(df.sparkSession, df, out, ["project_id", "hour"], i), "outbox")
-    return spark.read.schema("project_id bigint, hour bigint").option("basePath", path).parquet(f"{path}/batch=*").select("project_id", "hour")
+    """Decisions of three micro-batches and a restart; each hour of a project is sent once."""
+
+    def start(rows, out):
+        decided = rows.where("level = 'error'").select("project_id", F.floor(F.col("received_time_us") / 3_600_000_000).alias("hour"))
+        with K.rocksdb(spark):
+            return J.run_to_table(K.once(decided, ["project_id", "hour"], 30 * 86_400_000), out=out)
+
+    return _in_order(spark, d, start)
 
 
 @query("st_sliding_count")
@@ -100,7 +129,87 @@ def _tumbling(spark, d):
 @query("st_dedupe", f"""{RECORDS_SQL}, w as (select *, first_value(event_type) over (partition by project_id, kind, source_event_id order by batch_seq, record_ordinal, record_id) as first_type, row_number() over (partition by project_id, kind, source_event_id order by batch_seq, record_ordinal, record_id) as i from records)
   select record_id, case when i = 1 then 'accepted' when event_type = first_type then 'duplicate' else 'conflict' end as class from w""")
 def _dedupe(spark, d):
-    return J.run_to_table(J.classify_stream(_stream(spark, d), 3_600_000), name="dedupe")
+    """Claims of 37 days, longer than the events span; the stream stops and starts again between its parts."""
+
+    def start(rows, out):
+        hashed = rows.withColumn("payload_sha256", F.sha2(F.element_at("search_values", 1), 256))
+        with K.rocksdb(spark):
+            return J.run_to_table(K.classify(hashed, 37 * 86_400_000_000), out=out)
+
+    return _in_order(spark, d, start)
+
+
+@query("st_dedupe_expiry", f"""{RECORDS_SQL.replace("with records", "with recursive records", 1)}, rows as (select *, row_number() over (partition by project_id, kind, source_event_id order by batch_seq, record_ordinal, record_id) as i from records),
+  fold as (
+    select project_id, kind, source_event_id, i, record_id, event_type as held, received_time_us + 120000000 as until_us, 'accepted' as class from rows where i = 1
+    union all select r.project_id, r.kind, r.source_event_id, r.i, r.record_id, case when f.until_us <= r.received_time_us then r.event_type else f.held end, case when f.until_us <= r.received_time_us then r.received_time_us + 120000000 else f.until_us end,
+      case when f.until_us <= r.received_time_us then 'accepted' when f.held = r.event_type then 'duplicate' else 'conflict' end
+    from fold f join rows r on r.project_id = f.project_id and r.kind = f.kind and r.source_event_id = f.source_event_id and r.i = f.i + 1)
+  select record_id, class from fold""")
+def _dedupe_expiry(spark, d):
+    """Claims of two minutes: a row that comes later than that is accepted and claims the key anew."""
+
+    def start(rows, out):
+        hashed = rows.withColumn("payload_sha256", F.sha2(F.element_at("search_values", 1), 256))
+        with K.rocksdb(spark):
+            return J.run_to_table(K.classify(hashed, 120_000_000), out=out)
+
+    return _in_order(spark, d, start)
+
+
+_ACTED = f"""{RECORDS_SQL.replace("with records", "with recursive records", 1)},
+  acted as (select project_id, issue_id, batch_seq, event_id as action_id, ['resolved', 'ignored', 'reopened'][(event_id % 3 + 1)::int] as action from records where issue_id is not null and event_id % 4 = 0),
+  items as (select *, row_number() over (partition by project_id, issue_id order by batch_seq, act, lane_id, record_ordinal, action_id) as i, sum(1 - act) over (partition by project_id, issue_id order by batch_seq, act, lane_id, record_ordinal, action_id) as seen
+    from (select project_id, issue_id, batch_seq, 0 as act, lane_id, record_ordinal, record_id, null as action, null as action_id from records where issue_id is not null
+      union all select project_id, issue_id, batch_seq, 1, null, null, null, action, action_id from acted)),
+  fold as (
+    select project_id, issue_id, i, 'unresolved' as status, 1::bigint as revision, null::bigint as cut, 'created' as type, record_id, seen from items where i = 1
+    union all select n.project_id, n.issue_id, n.i,
+      case when n.act = 1 then case n.action when 'reopened' then 'unresolved' else n.action end when f.status = 'resolved' and n.batch_seq > f.cut + n.lane_id % 3 then 'unresolved' else f.status end,
+      f.revision + case when n.act = 1 then (f.status <> case n.action when 'reopened' then 'unresolved' else n.action end)::int else (f.status = 'resolved' and n.batch_seq > f.cut + n.lane_id % 3)::int end,
+      case when n.act = 1 and n.action = 'resolved' and f.status <> 'resolved' then n.batch_seq else f.cut end,
+      case when n.act = 1 then case when f.status <> case n.action when 'reopened' then 'unresolved' else n.action end then n.action end when f.status = 'resolved' and n.batch_seq > f.cut + n.lane_id % 3 then 'regressed' end, n.record_id, n.seen
+    from fold f join items n on n.project_id = f.project_id and n.issue_id = f.issue_id and n.i = f.i + 1)
+  select project_id, issue_id, revision, type, record_id, seen::bigint as occurrences from fold where type is not null"""
+
+
+@query("st_issue_transitions", _ACTED)
+def _issue_transitions(spark, d):
+    """Occurrences and actions as two streams; actions arrive between the micro-batches, and a resolution's cut lies up to two sequences ahead."""
+
+    def actions(rows):
+        acted = rows.where("issue_id is not null and event_id % 4 = 0")
+        name = F.get(F.array(F.lit("resolved"), F.lit("ignored"), F.lit("reopened")), (F.col("event_id") % 3).cast("int"))
+        cut = F.array(*(F.col("batch_seq") + lane % 3 for lane in range(K.LANES)))
+        return acted.select("project_id", "issue_id", "batch_seq", F.col("event_id").alias("action_id"), name.alias("action"), cut.alias("cut"))
+
+    def start(rows, acts, out):
+        with K.rocksdb(spark):
+            return J.run_to_table(K.issue_transitions(rows, acts), out=out)
+
+    return _in_order(spark, d, start, derived=actions)
+
+
+def _evaluated(spark, d):
+    """Every window that the stream's received times have passed, over a stop and a restart."""
+    rules = J.shared_path(spark, "rules")
+    alerts(spark, d).withColumn("cooldown_seconds", F.lit(900)).write.parquet(rules)
+
+    def start(rows, out):
+        with K.rocksdb(spark, without_data=True):
+            return J.run_to_table(K.alert_evaluations(rows, spark.read.parquet(rules)), out=out)
+
+    return _in_order(spark, d, start).where(F.col("window_end_us") <= _UNTIL)
+
+
+@query("st_alert_windows", f"{_ALERTS} select alert_id, window_end_us, observed, hit from hits")
+def _alert_windows(spark, d):
+    return _evaluated(spark, d).select("alert_id", "window_end_us", "observed", "hit")
+
+
+@query("st_alert_cooldown", _COOLDOWN_SQL)
+def _alert_cooldown(spark, d):
+    return _evaluated(spark, d).where("fired").select("alert_id", F.col("window_end_us").alias("fired_us"))
 
 
 @query("st_issue_state", f"""{RECORDS_SQL}, state as (select project_id, issue_id, case when project_id % 2 = 0 then 'resolved' else 'ignored' end as status, 3 as revision from (select distinct project_id, issue_id, exception_type from records where issue_id is not null) where exception_type <> 'E1'),
