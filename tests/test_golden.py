@@ -82,8 +82,9 @@ def test_exact_average(spark, values, mean):
 
 
 @pytest.mark.parametrize("n,count,text", [(1, 2 * 10**9, "0.000000000"), (3, 2 * 10**9, "0.000000002"), (-3, 2 * 10**9, "-0.000000002")])
-def test_half_even(n, count, text):
-    assert exact.exact_average.func(count, n, 0, 0, 0, 0) == text
+def test_half_even(spark, n, count, text):
+    one = spark.range(1).select(exact.exact_average(F.lit(count).cast("bigint"), *(F.lit(x).cast("decimal(38,0)") for x in (n, 0, 0, 0, 0))))
+    assert one.first()[0] == text
 
 
 def test_top_groups_after_the_merge(spark):

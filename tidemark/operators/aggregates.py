@@ -110,24 +110,41 @@ class Metric:
     operand: Column | None = None
     exact: bool = False
 
+    @property
+    def binned(self) -> bool:
+        """Whether it sums doubles: they are added exactly, by bins of their exponents."""
+        return self.op in ("sum", "avg") and not self.exact
+
     def state(self) -> list[Column]:
-        """Aggregates that merge by addition or comparison."""
+        """Aggregates that merge by addition or comparison. Those of sums of doubles hold for one bin."""
         n, x = self.name, self.operand
         if self.op == "count":
             return [F.count(F.lit(1)).alias(f"{n}__n")]
         parts = [F.count(x).alias(f"{n}__valid"), (F.count(F.lit(1)) - F.count(x)).alias(f"{n}__excluded")]
         if self.op in ("sum", "avg"):
-            return parts + (exact.limb_sums(x, f"{n}__l") if self.exact else [F.sum(x).alias(f"{n}__sum")])
+            if self.exact:
+                return parts + exact.limb_sums(x, f"{n}__l")
+            return [*parts, F.count_if(x.isNotNull() & exact.double_bin(x).isNull()).alias(f"{n}__bad"), *(F.sum(p).alias(f"{n}__p{j}") for j, p in enumerate(exact.double_pieces(x)))]
         return [*parts, (F.min(x) if self.op == "min" else F.max(x)).alias(f"{n}__value")]
 
+    def collect(self) -> list[Column]:
+        """States of whole groups from those of their bins."""
+        n = self.name
+        if not self.binned:
+            return self.merge()
+        some = F.struct(F.col(f"{n}__bin").alias("bin"), *(F.col(f"{n}__p{j}").alias(f"p{j}") for j in range(exact.PIECES)))
+        return [*(F.sum(f"{n}__{p}").alias(f"{n}__{p}") for p in ("valid", "excluded", "bad")), F.collect_list(F.when(F.col(f"{n}__bin").isNotNull(), some)).alias(f"{n}__bins")]
+
     def merge(self) -> list[Column]:
-        """The same states, merged from states."""
+        """The same states, merged from states. A sum of doubles has a few bins a state."""
         n = self.name
         if self.op == "count":
             return [F.sum(f"{n}__n").alias(f"{n}__n")]
         parts = [F.sum(f"{n}__{p}").alias(f"{n}__{p}") for p in ("valid", "excluded")]
         if self.op in ("sum", "avg"):
-            return parts + [F.sum(c).alias(c) for c in ([f"{n}__l{i}" for i in range(exact.LIMBS)] if self.exact else [f"{n}__sum"])]
+            if self.exact:
+                return parts + [F.sum(c).alias(c) for c in (f"{n}__l{i}" for i in range(exact.LIMBS))]
+            return [*parts, F.sum(f"{n}__bad").alias(f"{n}__bad"), F.flatten(F.collect_list(f"{n}__bins")).alias(f"{n}__bins")]
         return [*parts, (F.min if self.op == "min" else F.max)(f"{n}__value").alias(f"{n}__value")]
 
     def final(self) -> list[Column]:
@@ -137,10 +154,14 @@ class Metric:
         parts = [F.coalesce(F.col(f"{n}__{p}"), F.lit(0)).alias(f"{n}_{p}") for p in ("valid", "excluded")]
         limbs = [F.col(f"{n}__l{i}") for i in range(exact.LIMBS)]
         some = F.col(f"{n}__valid") > 0
-        if self.op == "sum":
-            value = F.when(some, exact.finish_sum(limbs) if self.exact else F.col(f"{n}__sum"))
+        if self.binned:
+            bad = F.raise_error(F.lit("a sum of doubles has values that are not finite")).cast("double")
+            total = F.when(F.col(f"{n}__bad") > 0, bad).otherwise(exact.finish_double(F.col(f"{n}__bins")))
+            value = total if self.op == "sum" else F.when(some, total / F.col(f"{n}__valid"))
+        elif self.op == "sum":
+            value = F.when(some, exact.finish_sum(limbs))
         elif self.op == "avg":
-            value = exact.exact_average(F.col(f"{n}__valid"), *limbs) if self.exact else F.when(some, F.col(f"{n}__sum") / F.col(f"{n}__valid"))
+            value = exact.exact_average(F.col(f"{n}__valid"), *limbs)
         else:
             value = F.col(f"{n}__value")
         return [value.alias(n), *parts]
@@ -150,7 +171,10 @@ def states(rows: DataFrame, keys: list[Column], metrics: list[Metric]) -> DataFr
     """Mergeable states per group: the rows of an incremental rollup."""
     if len(metrics) > 8 or len({m.name for m in metrics}) < len(metrics) or not all(_NAME.match(m.name) for m in metrics):
         raise ValueError("up to 8 metrics with different names of small letters, digits and underscores")
-    return rows.groupBy(*keys).agg(*(c for m in metrics for c in m.state()))
+    # Sums of doubles are grouped by their bins, too; the few bins of each group then come together.
+    bins = [exact.double_bin(m.operand).alias(f"{m.name}__bin") for m in metrics if m.binned]
+    fine = rows.groupBy(*keys, *bins).agg(*(c for m in metrics for c in m.state()))
+    return fine.groupBy(*fine.columns[: len(keys)]).agg(*(c for m in metrics for c in m.collect())) if bins else fine
 
 
 def merged(partial: DataFrame, keys: list[str], metrics: list[Metric]) -> DataFrame:
