@@ -11,25 +11,34 @@ from pyspark.sql import functions as F
 LIMBS = 5
 
 
-def limb(x: Column, i: int) -> Column:
-    """The i-th signed base-10**9 limb of an integer, the lowest first."""
-    x, unit = x.cast("decimal(38,0)"), 10**9
-    # Most integers fit 64 bits, where limbs are plain arithmetic; towards zero, quotients and remainders keep the sign.
-    small = x.cast("bigint")
+def parts(x: Column) -> tuple[Column, Column]:
+    """An integer taken apart: 64 bits, if they hold it, else a sign and 45 digits as text."""
+    x, most = x.cast("decimal(38,0)"), F.lit("9" * 18).cast("decimal(18,0)")
+    fits = (x <= most) & (x >= -most)
+    # The sign goes from the text: abs() rounds decimals to 34 digits.
+    text = F.concat(F.when(x < 0, "-").otherwise("+"), F.lpad(F.ltrim(x.cast("string"), F.lit("-")), 45, "0"))
+    return F.when(fits, x.cast("bigint")), F.when(~fits, text)
+
+
+def _limb_of(small: Column, text: Column, i: int) -> Column:
+    # Towards zero, quotients and remainders keep the sign.
+    value = small
     for _ in range(i):
-        small = _div(small, F.lit(unit))
+        value = _div(value, F.lit(10**9))
     if i < LIMBS - 1:
-        small = small % unit
-    # The others give their digits as text; the sign goes from the text, as abs() rounds decimals to 34 digits.
-    digits = F.lpad(F.ltrim(x.cast("string"), F.lit("-")), 45, "0")
-    wide = F.substring(digits, 45 - 9 * (i + 1) + 1, 9).cast("bigint") * F.when(x < 0, -1).otherwise(1)
-    most = F.lit("9" * 18).cast("decimal(18,0)")
-    return F.when((x <= most) & (x >= -most), small).otherwise(wide).cast("decimal(18,0)")
+        value = value % 10**9
+    wide = F.substring(text, 46 - 9 * (i + 1) + 1, 9).cast("bigint")
+    return F.when(small.isNotNull(), value).otherwise(F.when(text.startswith("-"), -wide).otherwise(wide)).cast("decimal(18,0)")
+
+
+def limb(x: Column, i: int) -> Column:
+    """The i-th signed base-10**9 limb of an integer, the lowest first."""
+    return _limb_of(*parts(x), i)
 
 
-def limb_sums(x: Column, prefix: str) -> list[Column]:
-    """Aggregates of all limbs; they merge by addition and cannot overflow in part."""
-    return [F.sum(limb(x, i)).alias(f"{prefix}{i}") for i in range(LIMBS)]
+def limb_sums(x: Column | tuple[Column, Column], prefix: str) -> list[Column]:
+    """Aggregates of all limbs of an integer, or of its ``parts``; they merge by addition and cannot overflow in part."""
+    return [F.sum(_limb_of(*(x if isinstance(x, tuple) else parts(x)), i)).alias(f"{prefix}{i}") for i in range(LIMBS)]
 
 
 def finish_sum(limbs: list[Column]) -> Column:

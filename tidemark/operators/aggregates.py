@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -116,14 +116,14 @@ class Metric:
         return self.op in ("sum", "avg") and not self.exact
 
     def state(self) -> list[Column]:
-        """Aggregates that merge by addition or comparison. Those of sums of doubles hold for one bin."""
+        """Aggregates that merge by addition or comparison; ``states`` adds the columns that sums take. Those of sums of doubles hold for one bin."""
         n, x = self.name, self.operand
         if self.op == "count":
             return [F.count(F.lit(1)).alias(f"{n}__n")]
         parts = [F.count(x).alias(f"{n}__valid"), (F.count(F.lit(1)) - F.count(x)).alias(f"{n}__excluded")]
         if self.op in ("sum", "avg"):
             if self.exact:
-                return parts + exact.limb_sums(x, f"{n}__l")
+                return parts + exact.limb_sums((F.col(f"{n}__small"), F.col(f"{n}__text")), f"{n}__l")
             return [*parts, F.count_if(x.isNotNull() & exact.double_bin(x).isNull()).alias(f"{n}__bad"), *(F.sum(p).alias(f"{n}__p{j}") for j, p in enumerate(exact.double_pieces(x)))]
         return [*parts, (F.min(x) if self.op == "min" else F.max(x)).alias(f"{n}__value")]
 
@@ -171,6 +171,13 @@ def states(rows: DataFrame, keys: list[Column], metrics: list[Metric]) -> DataFr
     """Mergeable states per group: the rows of an incremental rollup."""
     if len(metrics) > 8 or len({m.name for m in metrics}) < len(metrics) or not all(_NAME.match(m.name) for m in metrics):
         raise ValueError("up to 8 metrics with different names of small letters, digits and underscores")
+    # What an operand is taken apart into is worked out once a row, as columns of their own.
+    apart = {f"{m.name}__x": m.operand for m in metrics if m.binned}
+    for m in metrics:
+        if m.op in ("sum", "avg") and m.exact:
+            apart |= dict(zip((f"{m.name}__small", f"{m.name}__text"), exact.parts(m.operand)))
+    rows = rows.withColumns(apart) if apart else rows
+    metrics = [replace(m, operand=F.col(f"{m.name}__x")) if m.binned else m for m in metrics]
     # Sums of doubles are grouped by their bins, too; the few bins of each group then come together.
     bins = [exact.double_bin(m.operand).alias(f"{m.name}__bin") for m in metrics if m.binned]
     fine = rows.groupBy(*keys, *bins).agg(*(c for m in metrics for c in m.state()))
