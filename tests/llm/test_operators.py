@@ -445,7 +445,47 @@ def test_html_path_table():
     for i, r in enumerate(ratio):
         left, right = ratio[max(i - 1, 0)], ratio[min(i + 1, len(ratio) - 1)]
         expected.append((r * (left + 2 * r + right) / 4) ** 0.5)
-    assert np.allclose(html_text.fused_ratios(found), expected)
+    assert np.allclose(html_text.fused_ratios([html_text.Block(*f) for f in found]), expected)
+
+
+PROSE = [f"Paragraph {i} of the piece, with a comma, and a second clause; then it stops." for i in range(7)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_ratios_choose():
+    """On pages whose markup names nothing, the ratios alone tell the piece from what stands beside it."""
+    links = "".join(f"<div>Link {i}</div>" for i in range(12))
+    page = f"<body><div class=a>{links}</div><div class=b><h2>Title</h2>{paragraphs(PROSE)}<p>Short.</p></div><div class=c><div>Fine!</div><div>Me too</div></div><div class=d>{links}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *PROSE, "Short."])
+    rng, held, changed = np.random.default_rng(1), html_text.fused_ratios, 0
+    try:
+        html_text.fused_ratios = lambda found: rng.random(len(found))
+        changed = sum(html_text.main_text(page) != "\n".join(["Title", *PROSE, "Short."]) for _ in range(20))
+    finally:
+        html_text.fused_ratios = held
+    assert changed > 15
+
+
+@pytest.mark.parametrize("name", ["hidden", "banner", "notice", "social", "post share", "main-content login"])
+def test_html_a_named_region_that_holds_the_piece_stays(name):
+    page = f"<body><p>{PROSE[0]}</p><div class='{name}'>{paragraphs(PROSE[1:])}</div></body>"
+    assert all(t in html_text.main_text(page) for t in PROSE[1:])
+
+
+def test_html_forms_and_headers_around_the_piece():
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li></ul>"
+    assert html_text.main_text(f"<body><form id=aspnetForm><div>{paragraphs(PROSE)}</div></form></body>") == "\n".join(PROSE)
+    assert html_text.main_text(f"<body><form><nav>{menu}</nav><article><header><h1>Title</h1></header>{paragraphs(PROSE)}</article></form></body>") == "\n".join(["Title", *PROSE])
+    assert html_text.main_text(f"<body><header>{menu}<h1>Site</h1></header><div><h1>Title</h1>{paragraphs(PROSE)}</div><footer><p>All rights reserved, by us.</p></footer></body>") == "\n".join(["Title", *PROSE])
+    assert html_text.main_text(f"<body><header>{paragraphs(PROSE)}</header></body>") == "\n".join(PROSE)
+    # Readers' comments are never the piece, however long, where there is another.
+    comments = f"<div class=comments>{paragraphs(PROSE * 20)}</div>"
+    assert html_text.main_text(f"<body><div><h1>Title</h1><p>{PROSE[0]}</p></div>{comments}</body>") == f"Title\n{PROSE[0]}"
+    # A short article beside a long footer.
+    assert html_text.main_text(f"<body><article><h1>Hi.</h1><p>Hi there.</p></article><footer>&copy; {PROSE[0]} {PROSE[1]}</footer></body>") == "Hi.\nHi there."
 
 
 class Article(html.parser.HTMLParser):
