@@ -35,8 +35,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays, if with an empty text. Rows that repeat an id count as one
     document; rows with a null id keep their lines. A null text becomes an empty one.
     """
-    kept = drop_shared_lines(docs)
-    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    # The operator adds counts of its own under names that the table may have.
+    own = {c: f"__given_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
+    kept = drop_shared_lines(docs.withColumnsRenamed(own))
+    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

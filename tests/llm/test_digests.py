@@ -45,3 +45,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in single.collect()} - leaks
     assert left.columns == docs.columns
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in left.collect()}
+
+
+def test_pipeline_keeps_columns_whose_names_clash(spark):
+    import corpus_pipeline
+
+    line = "A line that is long enough to count"
+    rows = [(i, f"{line}\nown {i}", 100 + i, "x", 7) for i in range(4)] + [(9, None, 5, "y", 8), (None, line, 6, "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped string, n_chars long")
+    out = corpus_pipeline.drop_lines(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.n_lines, r.n_dropped) for r in out.collect()) == sorted((r[2], r[3]) for r in rows)
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "own 0", 1: "own 1", 2: "own 2", 3: f"{line}\nown 3", 9: "", None: line}
