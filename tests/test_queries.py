@@ -40,3 +40,13 @@ def test_search_filters_reach_parquet(spark):
     plan = QUERIES["bench_structured"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("]")[0]
     assert "EqualTo(service,svc-2)" in pushed and "EqualTo(level,error)" in pushed
+
+
+def test_searches_see_a_table_that_was_written_anew(spark, tmp_path):
+    from tidemark.sources.adapters import stored_records
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for n in (10, 700, 20):
+        events.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        assert stored_records(spark, str(tmp_path)).count() == n
+    assert stored_records(spark, str(tmp_path)).inputFiles() == stored_records(spark, str(tmp_path)).inputFiles()

@@ -68,14 +68,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_of(table(spark, sf_dir, "events"))
 
 
-#: Paths of written records tables, by session and input.
-_written: dict[tuple[str, str], str] = {}
+#: Paths of written records tables, by session, input and its files.
+_written: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, time of change) of the files below a path: another set when the table was written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records as a table in the shared folder, in files by time, written once a session and input. Searches read
-    it, so that their filters on record columns reach Parquet and no identity is computed again."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The records as a table in the shared folder, in files by time, written once a session and state of the input.
+    Searches read it, so that their filters on record columns reach Parquet and no identity is computed again."""
+    key = spark.sparkContext.applicationId, sf_dir, _files(spark, f"{sf_dir}/events.parquet")
     rows = records(spark, sf_dir)
     path = _written.get(key)
     if path is None or not _exists(spark, path):
