@@ -94,6 +94,56 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(twice.where("false")).count() == 0
 
 
+def brute_spans(text):
+    """(label, first, last, cover) by plain loops: hits, diagonals, clusters of neighbours, the longest chain that rises in both."""
+    k, out = license_scan.K, []
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]
+    words = cut(text)
+    for label, base, t in [*((v, True, p) for p, v in license_scan.PHRASES.items()), *((v.removesuffix("-notice"), False, t) for v, t in license_scan.TEMPLATES.items())]:
+        tpl = cut(t)
+        grams = len(tpl) - k + 1
+        hits = [(i - j, i, j) for i in range(len(words) - k + 1) for j in range(grams) if words[i : i + k] == tpl[j : j + k]]
+        clusters, before = [], None
+        for d in sorted({h[0] for h in hits}):
+            if before is None or d - before > license_scan.GAP:
+                clusters.append([])
+            clusters[-1] += [h for h in hits if h[0] == d]
+            before = d
+        for c in clusters:
+            best = {}
+            for _, i, j in sorted(c, key=lambda h: (h[1], -h[2])):
+                best[i, j] = 1 + max((n for (a, b), n in best.items() if a < i and b < j), default=0)
+            cover = (max(best.values()) + k - 1) / (grams + k - 1)
+            whole = any(len({j for d, _, j in c if d == diag}) == grams for diag in {h[0] for h in c})
+            if whole if base else cover >= license_scan.COVER:
+                out.append((label, min(h[1] for h in c), max(h[1] for h in c) + k - 1, round(cover, 9)))
+    return sorted(out)
+
+
+def test_license_spans_are_those_of_a_slow_vote(spark):
+    rng, texts = random.Random(8), ["gnu general public " * 6, "all rights reserved no " * 6, "the software " * 40]
+    every = [*license_scan.TEMPLATES.values(), *license_scan.PHRASES]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(every).split()
+            a = rng.choice([0, 0, rng.randrange(len(own))])
+            own = own[a : a + rng.choice([len(own), rng.randint(1, len(own))])] * rng.choice([1, 1, 2, 5])
+            own = [w if rng.random() > 0.03 else rng.choice(["edit", w + " more", ""]) for w in own]
+            words += [*own, *(rng.choice(["x", "the", "license"]) for _ in range(rng.randint(0, 6)))]
+        texts.append(" ".join(words))
+    got = {r.doc_id: sorted((s.label, s.first, s.last, round(s.cover, 9)) for s in r.spans) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert got[0] == got[1] == got[2] == [] and sum(map(bool, got.values())) > 20
+
+
+def test_licenses_odd_rows(spark):
+    rows = [(None, "under the mit license", 1), (1, "under the mit license", 2), (1, "x", 3), (2, None, 4), (3, "y " * 100_000 + "under the mit license", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tpl int")
+    got = collections.Counter((r.doc_id, r.n_words, tuple(p.at for p in r.places)) for r in license_scan.scan_licenses(df).collect())
+    assert got == {(None, 4, (0,)): 1, (1, 4, (0,)): 1, (1, 1, ()): 1, (2, 0, ()): 1, (3, 100_004, (100_000,)): 1}
+
+
 # --- 3, 5 ---
 
 

@@ -68,13 +68,34 @@ def template_positions(docs: DataFrame, phrases: dict[str, str], templates: dict
     return tpl.select("tpl", "label", "base", F.size("g").alias("grams"), F.posexplode("g").alias("at", "gram"))
 
 
+def rising(hits: Column) -> Column:
+    """How many template positions follow each other in the document as they do in the template, each counted once.
+
+    ``hits``: array<struct<pos, down>>, ``down`` being the template position below
+    zero, so that of hits at one place of the document one counts. The longest
+    chain that rises in both: element i of the fold is the least template position
+    that ends a chain of i + 1; there are no more than the template has.
+    """
+
+    def step(tails: Column, hit: Column) -> Column:
+        at = -hit["down"]
+        i = F.size(F.filter(tails, lambda t: t < at))
+        return F.concat(F.slice(tails, F.lit(1), i), F.array(at), F.slice(tails, i + 2, F.size(tails)))
+
+    return F.size(F.aggregate(F.array_sort(hits), F.array().cast("array<int>"), step))
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, places array<struct<at, label>>, spans array<struct<label, first, last, cover>>.
 
     ``places`` are whole base phrases; ``spans`` are verified spans of any
-    template, in words from 0, last included. Null texts are empty. Rows that
-    repeat an id are told apart by a hash of their texts; equal rows come out
-    as often as they stand. Null ids are kept.
+    template, in words from 0, last included: the k-grams that follow each other as
+    in the template, each counted once, make up the share ``cover`` of it. K-grams
+    are compared by hashes of 64 bits. Null texts are empty. Rows that repeat an id
+    are told apart by a hash of their texts; equal rows come out as often as they
+    stand. Null ids are kept. Texts of any length are read whole; an empty table
+    gives no rows; spans of equal cover all stand, so no tie is broken; columns
+    besides the two named are not read, whatever their names.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     grams = template_positions(docs, phrases, templates, K)
@@ -87,14 +108,14 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
 
     # Votes of each diagonal. Row 0 of a document stands beside them with a null template.
     votes = hits.groupBy(*key, "tpl", "label", "base", "grams", F.when(F.col("tpl").isNotNull(), F.col("pos") - 1 - F.col("at")).alias("diag")).agg(
-        F.size(F.collect_set("at")).alias("votes"), F.min(F.col("pos") - 1).alias("lo"), F.max(F.col("pos") - 1).alias("hi"), F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies")
+        F.size(F.collect_set("at")).alias("votes"), F.collect_list(F.when(F.col("tpl").isNotNull(), F.struct("pos", (-F.col("at")).alias("down")))).alias("hits"), F.min(F.col("pos") - 1).alias("lo"), F.max(F.col("pos") - 1).alias("hi"), F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies")
     )
     near = Window.partitionBy(*key, "tpl").orderBy("diag")
     cluster = votes.withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(near) > GAP).cast("int"), F.lit(1)))
     cluster = cluster.withColumn("cluster", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.col("base") & (F.col("votes") == F.col("grams"))
     spans = cluster.groupBy(*key, "tpl", "label", "base", "grams", "cluster").agg(
-        F.least(F.sum("votes"), F.col("grams")).alias("votes"), F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"), F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"),
+        rising(F.flatten(F.collect_list("hits"))).alias("votes"), F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"), F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"),
         F.collect_list(F.when(whole, F.col("diag"))).alias("places"),
     )
     cover = (F.col("votes") + F.when(F.col("votes") > 0, K - 1).otherwise(0)) / (F.col("grams") + K - 1)
