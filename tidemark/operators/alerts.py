@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.rows import running
+
 MINUTE = 60_000_000
 
 
@@ -68,10 +70,10 @@ def decisions(pending: DataFrame, enabled: Column, cooldown: Column) -> DataFram
     An alert's transitions are taken by lane, sequence and id. Evaluation times never go back, and of rows that share
     the time of a firing the first one is sent; without a cooldown (0 seconds) all are.
     """
-    order = Window.partitionBy("alert_id").orderBy("lane_id", "batch_seq", "record_id")
-    so_far = F.max("received_time_us").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = pending.withColumn("__enabled", F.coalesce(enabled, F.lit(False))).withColumn("__cooldown", cooldown.cast("bigint")).withColumn("__at", so_far)
-    rows = rows.withColumn("__new", F.coalesce(F.col("__at") > F.lag("__at").over(order), F.lit(True)))
+    order = [F.col(c) for c in ("lane_id", "batch_seq", "record_id")]
+    rows = pending.withColumn("__enabled", F.coalesce(enabled, F.lit(False))).withColumn("__cooldown", cooldown.cast("bigint"))
+    rows = running(rows, ["alert_id"], order, F.col("received_time_us"), "__so_far", "max", before=True)
+    rows = rows.withColumn("__at", F.greatest("__so_far", "received_time_us")).withColumn("__new", F.coalesce(F.col("__at") > F.col("__so_far"), F.lit(True))).drop("__so_far")
     hits = rows.where("__enabled and __new and __cooldown > 0")
     fired = with_cooldown(hits, ["alert_id"], "__at", "__cooldown").select("alert_id", F.explode("fired").alias("__at")).withColumn("__fired", F.lit(True))
     sent = (F.col("__cooldown") <= 0) | (F.col("__fired") & F.col("__new"))
@@ -89,6 +91,6 @@ def complete(windows: DataFrame, lanes: DataFrame) -> DataFrame:
 
 
 def barrier(rows: DataFrame) -> DataFrame:
-    """Received times that never go back within a lane, in append order."""
-    w = Window.partitionBy("lane_id").orderBy("batch_seq", "record_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("received_time_us", F.max("received_time_us").over(w))
+    """Received times that never go back within a lane, in append order; a busy lane is scanned in ranges."""
+    lifted = running(rows, ["lane_id"], [F.col("batch_seq"), F.col("record_ordinal")], F.col("received_time_us"), "__lifted", "max")
+    return lifted.withColumn("received_time_us", F.col("__lifted")).drop("__lifted")

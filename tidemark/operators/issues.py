@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
+from tidemark.operators.rows import running
 
 ISSUE = ["project_id", "issue_id"]
 MOMENT = ("event_time_us", "event_time_ns_remainder", "record_id")
@@ -72,8 +72,10 @@ def transitions(state: DataFrame, occurrences: DataFrame) -> DataFrame:
 def apply_actions(actions: DataFrame, order: str) -> DataFrame:
     """``actions`` (issue_id, target) with the revision after each; an action into the state that holds changes nothing.
 
-    An issue starts unresolved. Each action sets its state whatever came before, so the fold is a comparison with the row before.
+    An issue starts unresolved. Each action sets its state whatever came before, so the fold is a comparison with the
+    target before, and a sum of the changes: two scans over ranges, however many actions one issue has.
     """
-    w = Window.partitionBy("issue_id").orderBy(order)
-    changed = (F.coalesce(F.lag("target").over(w), F.lit("unresolved")) != F.col("target")).cast("int")
-    return actions.withColumn("changed", changed).withColumn("revision", 1 + F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = running(actions, ["issue_id"], [F.col(order)], F.col("target"), "__before", "last", before=True)
+    changed = before.withColumn("changed", (F.coalesce("__before", F.lit("unresolved")) != F.col("target")).cast("int")).drop("__before")
+    summed = running(changed, ["issue_id"], [F.col(order)], F.col("changed"), "revision")
+    return summed.withColumn("revision", F.col("revision") + 1)

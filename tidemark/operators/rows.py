@@ -106,23 +106,33 @@ def first_page_files(manifest: DataFrame, size: int) -> DataFrame:
     return manifest.crossJoin(F.broadcast(bound)).where("__bound is null or max_event_time_us >= __bound").drop("__bound")
 
 
-def running(rows: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``amount`` over the key's rows up to this one, in an order without ties.
+#: How a scan goes on within a range, sums up a range, and joins what came before a row with what its own range adds.
+_SCANS = {
+    "sum": (lambda x, w: F.sum(x).over(w), lambda x, order: F.sum(x), lambda before, own: F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0))),
+    "max": (lambda x, w: F.max(x).over(w), lambda x, order: F.max(x), lambda before, own: F.greatest(before, own)),
+    "last": (lambda x, w: F.last(x, ignorenulls=True).over(w), lambda x, order: F.max_by(x, F.when(x.isNotNull(), F.struct(*order))), lambda before, own: F.coalesce(own, before)),
+}
 
-    Rows are dealt by ranges of key and order, so a key with a third of all
-    rows fills as many tasks as its rows need; each range sums on its own, and
-    the few totals of the ranges before it, one per range and key, are added.
+
+def running(rows: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str, scan: str = "sum", before: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the sum, maximum or last value of ``amount`` over the key's rows up to this one, or, with
+    ``before``, up to the one before it, in an order without ties (an ascending one for the last value).
+
+    Rows are dealt by ranges of key and order, so a key with a third of all rows fills as many tasks as its rows need;
+    each range is scanned on its own, and what the ranges before it come to, one value per range and key, is joined to
+    it. Without keys the ranges of all rows follow each other. Integers are summed as 64-bit ones.
     """
+    along, total, joined = _SCANS[scan]
     every = [F.col(k).asc_nulls_first() for k in keys] + order
-    dealt = rows.withColumn("__amount", amount.cast("bigint")).repartitionByRange(*every).withColumn("__part", F.spark_partition_id())
+    dealt = rows.withColumn("__amount", amount.cast("bigint") if scan == "sum" else amount).repartitionByRange(*every).withColumn("__part", F.spark_partition_id())
     path = shared_path(rows.sparkSession, "ranges")
     dealt.write.parquet(path)
     dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
-    own = F.sum("__amount").over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    totals = dealt.groupBy("__part", *keys).agg(F.sum("__amount").alias("__total"))
-    before = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("__part", *(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("__before")).withColumnRenamed("__part", "__p")
+    own = along("__amount", Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    totals = dealt.groupBy("__part", *keys).agg(total(F.col("__amount"), order).alias("__total"))
+    earlier = along("__total", Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__{k}") for k in keys), earlier.alias("__before"))
     met = F.col("__part") == F.col("__p")
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return dealt.withColumn("__own", own).join(starts, met).select(*rows.columns, (F.col("__own") + F.col("__before")).alias(name))
+    return dealt.withColumn("__own", own).join(starts, met).select(*rows.columns, joined(F.col("__before"), F.col("__own")).alias(name))

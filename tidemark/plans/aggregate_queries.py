@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import aggregates as A
 from tidemark.operators import rows as R
+from tidemark.operators.ingest import runs
 from tidemark.plans.registry import query
 from tidemark.plans.search_queries import DAY, SCOPE, SCOPE_SQL, START, K, VALUE
 from tidemark.sources.adapters import RECORDS_SQL, records, stored_records, table
@@ -124,7 +125,7 @@ def _neg_zero(spark, d):
 def _key_bytes(spark, d):
     """Ties by key bytes: shorter strings first, then bytewise."""
     out = A.aggregate(_scoped(spark, d), {"key": A.key_of(F.col("message"), "string")}, [A.Metric("n", "count")])
-    ranked = out.withColumn("place", F.row_number().over(Window.orderBy(F.hex(A.key_bytes(F.col("key"))))))
+    ranked = R.running(out.withColumn("bytes", A.key_bytes(F.col("key"))), [], [F.col("bytes")], F.lit(1), "place")
     return ranked.select(F.col("key.string_value").alias("message"), "n", "place")
 
 
@@ -167,7 +168,7 @@ def _series(spark, d):
 def _key_bytes_double(spark, d):
     """Doubles in the order of their bytes: by size from zero, negative ones last. The groups are few."""
     out = A.aggregate(table(spark, d, "lineitem"), {"key": A.key_of(F.col("l_discount").cast("double"), "double")}, [A.Metric("n", "count")])
-    ranked = out.withColumn("place", F.row_number().over(Window.orderBy(F.hex(A.key_bytes(F.col("key"))))))
+    ranked = R.running(out.withColumn("bytes", A.key_bytes(F.col("key"))), [], [F.col("bytes")], F.lit(1), "place")
     return ranked.select(F.col("key.double_value").alias("x"), "n", "place")
 
 
@@ -283,18 +284,10 @@ def _first(spark, d):
     return records(spark, d).select("record_id", (F.row_number().over(w) == 1).alias("first"))
 
 
-def islands(rows, part: list[str], position: str, cls: str):
-    """Runs of equal classes at adjacent positions: (part, class, first, last)."""
-    w = Window.partitionBy(*part).orderBy(position)
-    new = F.coalesce(((F.lag(cls).over(w) != F.col(cls)) | (F.lag(position).over(w) != F.col(position) - 1)).cast("int"), F.lit(1))
-    runs = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*part, "__run", cls).agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("__run")
-
-
 @query("win_islands", """with c as (select conv_id, turn, role, case when lag(role) over w = role and lag(turn) over w = turn - 1 then 0 else 1 end as new from conversations window w as (partition by conv_id order by turn)),
   r as (select *, sum(new) over (partition by conv_id order by turn) as run from c) select conv_id, role, min(turn) as first, max(turn) as last from r group by conv_id, run, role""")
 def _islands(spark, d):
-    return islands(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+    return runs(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
 
 
 @query("win_prefix", f"""{RECORDS_SQL}, b as (select distinct lane_id, batch_seq from records where batch_seq % 7 <> 6 and kind <> 'none'),
