@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions import tables as TF
 from tidemark.operators import normalize as N
 from tidemark.plans.registry import query
 from tidemark.plans.scalar_queries import raw_events
@@ -16,16 +17,28 @@ _ENVELOPE = r"""concat('{"event_id":"', md5(string(event_id)), '"}\n{"type":"eve
  '{"type":"client_report"}\n{"discarded_events":[{"reason":"queue_overflow","category":"error","quantity":', event_id % 7, '}]}\n')"""
 
 
+def envelopes(spark, d):
+    return raw_events(spark, d).withColumn("data", F.expr(_ENVELOPE).cast("binary"))
+
+
 def items(spark, d):
-    e = raw_events(spark, d).withColumn("data", F.expr(_ENVELOPE).cast("binary"))
-    return N.read_envelopes(e, "event_id", "data")
+    return N.read_envelopes(envelopes(spark, d), "event_id", "data")
+
 
+_ITEMS_SQL = "select event_id as id, (t.i)::int as ordinal, case t.i when 0 then 'event' when 2 then 'client_report' else case when event_id % 2 = 0 then 'log' else 'mystery' end end as type, null::varchar as problem from events, (values (0), (1), (2)) t(i)"
 
-@query("src_envelope", "select event_id as id, (t.i)::int as ordinal, case t.i when 0 then 'event' when 2 then 'client_report' else case when event_id % 2 = 0 then 'log' else 'mystery' end end as type, null::varchar as problem from events, (values (0), (1), (2)) t(i)")
+
+@query("src_envelope", _ITEMS_SQL)
 def _envelope(spark, d):
     return items(spark, d).select("id", "ordinal", "type", "problem")
 
 
+@query("udtf_envelope", _ITEMS_SQL)
+def _envelope_lateral(spark, d):
+    """The same items by a table function in SQL."""
+    return TF.register(spark).sql("select e.event_id as id, i.ordinal, i.type, i.problem from {e} e, lateral envelope_items(e.data) i", e=envelopes(spark, d))
+
+
 @query("src_log_container", "select event_id as id, (t.i)::int as log_ordinal, 'line ' || t.i as body, null::varchar as log_problem from events, (values (0), (1), (2)) t(i) where event_id % 2 = 0 and t.i <= event_id % 3")
 def _logs(spark, d):
     return N.explode_logs(items(spark, d)).select("id", "log_ordinal", F.get_json_object("raw", "$.body").alias("body"), "log_problem")
@@ -127,8 +140,19 @@ def _flat(rows):
     return rows.select("event_id", F.explode("attrs").alias("a")).select("event_id", "a.path", "a.value_type", F.coalesce("a.string_value", F.col("a.integer_value").cast("string"), F.col("a.double_value").cast("string"), "a.json_value").alias("value"))
 
 
-@query("flatten_attrs_event", """select event_id, '/service.name' as path, 'string' as value_type, 'svc-' || (user_id % 7) as value from events union all select event_id, '/a.b', 'string', 'x' || event_id from events
-  union all select event_id, '/id', 'integer', user_id::varchar from events union all select event_id, '/password', 'string', 'p' || user_id from events""")
+_FLAT_SQL = """select event_id, '/service.name' as path, 'string' as value_type, 'svc-' || (user_id % 7) as value from events union all select event_id, '/a.b', 'string', 'x' || event_id from events
+  union all select event_id, '/id', 'integer', user_id::varchar from events union all select event_id, '/password', 'string', 'p' || user_id from events"""
+
+
+@query("udtf_flatten_attrs", _FLAT_SQL)
+def _flatten_lateral(spark, d):
+    """The same attributes by a table function in SQL."""
+    return TF.register(spark).sql(
+        "select e.event_id, a.path, a.value_type, coalesce(a.string_value, string(a.integer_value), string(a.double_value), a.json_value) as value from {e} e, lateral event_attributes(e.raw) a", e=raw_events(spark, d)
+    )
+
+
+@query("flatten_attrs_event", _FLAT_SQL)
 def _flatten_event(spark, d):
     return _flat(N.with_attributes(raw_events(spark, d).select("event_id", "raw"), "event"))
 
