@@ -15,7 +15,7 @@ from tidemark.functions import scalars
 from tidemark.plans.registry import query
 from tidemark.plans.search_queries import DAY, START
 from tidemark.sources.adapters import RECORDS_SQL, records, table
-from tidemark.sources.io import read_files, read_json_lines, shared_path, write_json_lines, write_payloads, write_records
+from tidemark.sources.io import read_files, read_json_lines, read_staged, shared_path, write_json_lines, write_payloads, write_records
 
 # --- acceptance ---------------------------------------------------------------------------------
 
@@ -533,6 +533,28 @@ def _sink_jsonl(spark, d):
     return read_json_lines(spark, "l_returnflag string, l_linestatus string, total string", path)
 
 
+_STAGED = """with staged as (select event_id % 5 as stage, event_id, row_number() over (partition by event_id % 5 order by event_id) as i, count(*) over (partition by event_id % 5) as n from events)
+  select stage, n as lines, case when n > 1 then case stage when 1 then 'ordinal_order' when 2 then 'no_ordinal' when 3 then 'no_json' end end as reason, case when stage in (0, 4) or n = 1 then n else 0 end as rows from staged group by all"""
+
+
+@query("src_jsonl_checked", _STAGED)
+def _jsonl_checked(spark, d):
+    """Five staged files: the last line of one repeats its first ordinal, that of another has none, that of a third is cut off; their files give no rows."""
+    e = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("stage"))
+    ends = e.groupBy("stage").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    last = (F.col("event_id") == F.col("hi")) & (F.col("hi") > F.col("lo"))
+    ordinal = F.when(last & (F.col("stage") == 1), F.col("lo")).when(last & (F.col("stage") == 2), None).otherwise(F.col("event_id"))
+    line = F.to_json(F.struct(ordinal.alias("ordinal"), "event_type"))
+    line = F.when(last & (F.col("stage") == 3), F.substring(line, 1, 9)).otherwise(line)
+    path = shared_path(spark, "staged")
+    rows = e.join(F.broadcast(ends), "stage").select("stage", "event_id", line.alias("value")).repartition("stage").sortWithinPartitions("stage", "event_id")
+    rows.select("stage", "value").write.partitionBy("stage").text(path)
+    found, files = read_staged(spark, "ordinal bigint, event_type string", path)
+    stage = F.regexp_extract("file_path", "stage=([0-9]+)", 1).cast("bigint").alias("stage")
+    held = found.groupBy(stage).agg(F.count(F.lit(1)).alias("rows"))
+    return files.select(stage, "lines", "reason").join(held, "stage", "left").select("stage", "lines", "reason", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 @query("src_jsonl", "select event_id, event_type, value from events")
 def _src_jsonl(spark, d):
     path = shared_path(spark, "stage")
