@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, issues
+from tidemark.operators import aggregates, alerts, issues
 from tidemark.operators.rows import running
 
 STEP = {"sum": lambda a, x: (a or 0) + (x or 0), "max": lambda a, x: x if a is None else a if x is None else max(a, x), "last": lambda a, x: a if x is None else x}
@@ -61,3 +61,24 @@ def test_actions_of_one_busy_issue(spark):
         expected[i] = (changed, revision[issue])
     got = issues.apply_actions(spark.createDataFrame(rows, "at int, issue_id string, target string"), "at").collect()
     assert {r["at"]: (r["changed"], r["revision"]) for r in got} == expected
+
+
+def test_hash_trees(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def root(values):
+        leaves = {}
+        for v in values:
+            leaves.setdefault(sha(v)[:2], []).append(v)
+        return sha("\n".join(sorted(f"{k} {sha(chr(10).join(sorted(v)))}" for k, v in leaves.items()))) if values else None
+
+    groups = {"a": [str(i) for i in range(3000)] + ["7", "7"], "b": ["ä", "", "z"], "c": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("c", None), ("b", None), (None, "x")]
+    for n in (1, 6):
+        random.Random(n).shuffle(rows)
+        got = aggregates.tree_hashes(spark.createDataFrame(rows, "g string, v string").repartition(n), ["g"], "v", "root", 2).collect()
+        assert {r.g: r.root for r in got} == {**{g: root(vs) for g, vs in groups.items()}, None: root(["x"])}
+    # A value more, or another one, gives another root.
+    assert len({root(groups["a"]), root(groups["a"][:-1]), root([*groups["a"][:-1], "8"])}) == 3

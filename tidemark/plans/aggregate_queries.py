@@ -226,6 +226,25 @@ def _ordered_hash(spark, d):
     return A.ordered_hashes(o, ["o_orderstatus", "o_orderpriority"], "key", "hash")
 
 
+@query("agg_hash_tree", f"""{RECORDS_SQL}, leaves as (select kind, substr(sha256(record_id), 1, 4) as leaf, sha256(string_agg(record_id, chr(10) order by record_id)) as h from records group by 1, 2)
+  select kind, sha256(string_agg(leaf || ' ' || h, chr(10) order by leaf)) as root from leaves group by 1""")
+def _hash_tree(spark, d):
+    """One identity per kind, whose leaves are hashed by all tasks."""
+    return A.tree_hashes(records(spark, d), ["kind"], "record_id", "root")
+
+
+@query("compact_verify_tree", f"{RECORDS_SQL} select kind, count(*) as rows, true as same from records group by 1")
+def _verify_tree(spark, d):
+    """A table written anew in another layout has the roots and counts of the rows it came from."""
+    rows = records(spark, d).select("kind", "record_id")
+    path = R.shared_path(spark, "compacted")
+    rows.repartition(3).sortWithinPartitions("record_id").write.parquet(path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    root = lambda df, n: A.tree_hashes(df, ["kind"], "record_id", n)
+    met = root(rows, "before").join(root(back, "after"), "kind", "full_outer").join(back.groupBy("kind").agg(F.count(F.lit(1)).alias("rows")), "kind", "left")
+    return met.select("kind", "rows", F.col("before").eqNullSafe(F.col("after")).alias("same"))
+
+
 @query("agg_bundle_stats", f"""{RECORDS_SQL} select lane_id, event_time_us // {DAY} as day, kind, count(*) as row_count, min(event_time_us) as min_event_time_us, max(event_time_us) as max_event_time_us,
   min(received_time_us) as min_received_time_us, max(received_time_us) as max_received_time_us, min(batch_seq) as min_batch_seq, max(batch_seq) as max_batch_seq,
   list_sort(list(distinct project_id)) as project_ids, sha256(string_agg(record_id, chr(10) order by record_id)) as identity_sha256 from records group by all""")
