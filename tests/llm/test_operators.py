@@ -304,6 +304,30 @@ def test_pii_terms_match_brute_force(spark):
     assert got == expected and sum(map(len, expected.values())) > 50
 
 
+def test_pii_values_and_words_by_the_hundred(spark):
+    """Texts that share hundreds of values and words: classes of both give what each pair of them would."""
+    rng = random.Random(4)
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = []
+    for d in range(5):
+        words = [letters(i) for i in range(0, 400, 1 + d % 2)]
+        mails = [f"{letters(i)}@{letters(i % 7)}.example" for i in range(d % 3, 60)]
+        texts.append(" ".join(rng.sample(words + mails, len(words) + len(mails))))
+    texts += [f"plain text {letters(i)} of {letters(i + 300)}" for i in range(300)]
+    got = {r.doc_id: {(b.start, b.end) for b in r.disclosed} for r in pii.find_spans(frame(spark, texts).repartition(5)).collect()}
+    expected = brute_terms(texts)
+    assert got == expected and sum(map(len, expected.values())) > 500
+
+
+def test_pii_redacts_odd_rows(spark):
+    df = frame(spark, [None, "", "a@b.example and c@d.example", "a@b.example and c@d.example"]).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.col("doc_id"))).withColumns({"base": F.lit(1), "disclosed": F.lit(2), "sanitised": F.lit("mine")})
+    rows = pii.redact(df, pii.find_spans(df)).collect()
+    assert sorted(r.sanitised for r in rows) == ["", "", "[EMAIL] and [EMAIL]", "[EMAIL] and [EMAIL]"] and {(r.base, r.disclosed) for r in rows} == {(1, 2)}
+    none = df.where("false")
+    assert pii.redact(none, pii.find_spans(none)).count() == 0
+    assert {r.sanitised for r in pii.redact(df, pii.find_spans(none)).where("text is not null").collect()} == {"", "a@b.example and c@d.example"}
+
+
 def test_pii_secrets(spark):
     token = "dfd1944d2e84f15e89902e34b677e0aa"
     texts = [f'rata token = "{token}" tira', "a" * 40, "1234567890" * 4, "a-long-name-without-any-digits-in-it", f"x{token}", f"{token[:23]}", *(f'{w} token = "{i}{token}" {w}' for i, w in enumerate(WORDS[:9])), *(f"plain text {i}" for i in range(50))]

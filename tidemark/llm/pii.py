@@ -42,6 +42,8 @@ PRIOR = 3.0
 DISCLOSURE, LIKELY, SURE = 0.8, 0.5, 0.9
 #: Candidate terms up to this many are sent to all tasks; more are joined by a shuffle.
 SMALL_TERMS = 200_000
+#: Names with this many rows and a thousandth of all are dealt over so many salts.
+HOT, SALTS = 10_000, 64
 
 
 def _digits(c: Column) -> Column:
@@ -145,17 +147,17 @@ def entities_of(kind: Column, value: Column) -> Column:
     return F.array_compact(F.array(F.concat_ws(":", name, v), F.concat(F.lit("class:"), name), part, account, domain))
 
 
-def _places(text: Column, wanted: Column) -> Column:
-    """All places of the words of ``wanted`` (map of word to kind), in order."""
+def _places(text: Column, told: Column) -> Column:
+    """The words of ``text`` that ``told`` names: array<struct<pos, kind>>, number of the word and its kind, in order."""
     found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    start = F.struct(*(F.lit(0).alias(c) for c in ("at", "k", "next")), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         b = acc["at"] + F.length(x["p"])
         e = b + F.length(x["m"])
-        kind = F.try_element_at(wanted, F.coalesce(F.lower(x["m"]), F.lit("")))
-        one = F.array(F.struct(b.alias("start"), kind.alias("kind"), e.alias("end"), F.lower(x["m"]).alias("value")))
-        return F.struct(F.coalesce(e, b).alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        hit = F.coalesce(F.get(told, acc["next"])["pos"] == acc["k"], F.lit(False))
+        one = F.array(F.struct(b.alias("start"), F.get(told, acc["next"])["kind"].alias("kind"), e.alias("end"), F.lower(x["m"]).alias("value")))
+        return F.struct(F.coalesce(e, b).alias("at"), (acc["k"] + 1).alias("k"), (acc["next"] + F.when(hit, 1).otherwise(0)).alias("next"), F.when(hit, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(F.arrays_zip(F.split(text, _WORD, -1).alias("p"), found.alias("m")), start, step)["out"]
 
@@ -166,6 +168,24 @@ def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), how).drop("__d", "__t")
 
 
+def _set_of(name: str) -> tuple[Column, Column]:
+    """128 bits that tell sets of documents apart, whatever the order of the rows; they are combined before the shuffle."""
+    return F.bit_xor(F.xxhash64("doc_id", "text_hash")).alias(f"{name}1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id", "text_hash")).alias(f"{name}2")
+
+
+def _dealt(rows: DataFrame, by: DataFrame, name: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``by`` on ``name``; names whose ``size`` is a thousandth of ``total`` and more are dealt over salts.
+
+    Sizes add up to ``total`` at most, so 1,000 names at most are so frequent and are sent to all tasks.
+    """
+    hot = (F.col(size) * 1000 >= total) & (F.col(size) >= HOT)
+    few = F.broadcast(by.where(hot).select(name, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = rows.join(few, name, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(by.withColumn("__salt", F.explode(salts)), [name, "__salt"]).drop("__salt")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, base and disclosed spans, each array<struct<start, kind, end, value>>.
 
@@ -200,42 +220,60 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = near.groupBy("entity", "context").agg(F.min_by(place, F.struct("start", "window")).alias("p"))
     told_by = first.groupBy("entity", F.col("p.window").alias("window")).agg(F.min_by("p", "context").alias("p"))
     counted = keep(told_by.select("entity", "p.doc_id", "p.text_hash", "p.words"))
-    entities = counted.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where("entity_n >= 2")
+    # Entities counted in the same documents have the same figures with every word, and so have words of the same
+    # documents: one of each class goes on, so a text is not multiplied by the number of its values.
+    entities = keep(counted.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n"), *_set_of("c")).where("entity_n >= 2"))
+    classes = entities.groupBy("c1", "c2", "entity_n").agg(F.min("entity").alias("entity"))
+    spread = counted.count()
 
     n = F.lit(float(max(total, 2)))
-    joint = F.least("joint", "term_n")
     p = F.col("entity_n") / n
-    after = (joint + PRIOR * p) / (F.col("term_n") + PRIOR)
-    share = F.log2(after / p) / F.greatest(-F.log2(p), F.lit(1e-9))
-    told = (after >= LIKELY) & (share >= DISCLOSURE)
-    # A term stands in at least as many contexts as in the ones counted here; terms that cannot
-    # reach the thresholds even so need no count over the whole corpus. One context never suffices.
-    beside = spoken.select("context", F.explode("distinct").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("term_n")).where("term_n >= 2")
 
-    def scores(terms: DataFrame) -> DataFrame:
-        met = terms.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("joint")).where("joint >= 2")
-        return met.join(entities, "entity").join(beside, "word").where(told).select("word", "entity", "joint", "entity_n")
+    def after(joint: Column) -> Column:
+        return (F.least(joint, "term_n") + PRIOR * p) / (F.col("term_n") + PRIOR)
 
-    recurring = counted.join(entities.select("entity"), "entity")
-    doc_terms = _joined(recurring.drop("words"), spoken.select(*key, "distinct")).select("entity", F.explode("distinct").alias("word"))
-    candidates_of = keep(scores(recurring.select("entity", F.explode("words").alias("word"))).union(scores(doc_terms)))
-    candidates = keep(candidates_of.select("word").distinct())
+    share = F.log2(after(F.col("joint")) / p) / F.greatest(-F.log2(p), F.lit(1e-9))
+    told = (after(F.col("joint")) >= LIKELY) & (share >= DISCLOSURE)
+    # A term stands in at least as many contexts as in the ones counted here; terms that cannot
+    # reach the thresholds even so need no count over the whole corpus. One context never suffices.
+    at_once = spoken.select(*key, "context", F.explode("distinct").alias("word")).groupBy("word", "context").agg(*_set_of("w"))
+    words = keep(at_once.groupBy("word").agg(F.count(F.lit(1)).alias("term_n"), *(F.bit_xor(c).alias(c) for c in ("w1", "w2"))).where("term_n >= 2"))
+    said = words.agg(F.sum("term_n")).first()[0] or 0
+    word_classes = words.groupBy("w1", "w2", "term_n").agg(F.min("word").alias("word"))
+
+    held = _dealt(counted.select("entity", *key), classes, "entity", "entity_n", spread).drop("entity")
+    stand = _dealt(spoken.select(*key, F.explode("distinct").alias("word")), word_classes, "word", "term_n", said).drop("word")
+    # A pair goes on only if the thresholds could be reached with the entity in all contexts of the word.
+    met = _joined(held, stand).where(after(F.col("entity_n")) >= LIKELY).groupBy("c1", "c2", "w1", "w2").agg(F.count(F.lit(1)).alias("joint"), F.min("entity_n").alias("entity_n"), F.min("term_n").alias("term_n"))
+    pairs = keep(met.where("joint >= 2").where(told).drop("term_n"))
+    candidates = keep(words.join(pairs.select("w1", "w2").distinct(), ["w1", "w2"]))
     n_terms = candidates.count()
     none = F.array().cast(_SPANS)
     if n_terms == 0:
         return base.select(*key, "base", F.col("secrets").alias("disclosed"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n_terms <= SMALL_TERMS else df
+
     # The documents without values, whose words are looked up among the candidates.
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
-    elsewhere = src.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
+    split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    elsewhere = src.select("doc_id", F.xxhash64("text").alias("text_hash"), split.alias("words"))
     elsewhere = elsewhere.select(*key, signature(F.col("words")).alias("context"), F.array_distinct("words").alias("distinct")).select(*key, "context", F.explode("distinct").alias("word"))
     # Kept, or else the anti join would be made before the words are looked up, with all texts.
-    elsewhere = keep(elsewhere.join(F.broadcast(candidates) if n_terms <= SMALL_TERMS else candidates, "word"))
+    elsewhere = keep(elsewhere.join(small(candidates.select("word")), "word"))
     elsewhere = _joined(elsewhere, spoken.select(*key), "left_anti").groupBy("word").agg(F.count_distinct("context").alias("more"))
-    term_df = beside.join(candidates, "word").join(elsewhere, "word", "left").select("word", (F.col("term_n") + F.coalesce("more", F.lit(0))).alias("term_n"))
-
-    reveal = candidates_of.join(term_df, "word").where(told).groupBy("entity", "word").agg(F.max(F.when(after >= SURE, GONE).otherwise(GENERAL)).alias("kind"))
-    per_word = near.select(*key, "entity").join(reveal, "entity").groupBy(*key, "word").agg(F.max("kind").alias("kind"))
-    wanted = per_word.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("wanted"))
+    term_df = keep(candidates.join(elsewhere, "word", "left").select("word", "w1", "w2", (F.col("term_n") + F.coalesce("more", F.lit(0))).alias("term_n")))
+
+    alike = ["w1", "w2", "term_n"]
+    gone = F.when(after(F.col("joint")) >= SURE, GONE).otherwise(GENERAL)
+    reveal = pairs.join(term_df.select(*alike).distinct(), ["w1", "w2"]).where(told).select("c1", "c2", *alike, gone.alias("kind"))
+    # Looked up among a document's own words: the classes of its entities with the classes of its candidate terms.
+    holds = _dealt(near.select("entity", *key).distinct(), entities, "entity", "entity_n", spread).select(*key, "c1", "c2").distinct()
+    own = keep(spoken.select(*key, F.posexplode("words").alias("pos", "word")).join(small(term_df), "word").select(*key, "pos", *alike))
+    kinds = _joined(own.select(*key, *alike).distinct(), holds).join(reveal, ["c1", "c2", *alike]).groupBy(*key, *alike).agg(F.max("kind").alias("kind"))
+    kinds = kinds.withColumnsRenamed({c: f"__{c}" for c in alike})
+    per_word = _joined(own, kinds).where(" and ".join(f"{c} = __{c}" for c in alike))
+    wanted = per_word.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "kind"))).alias("wanted"))
     terms = _joined(some.select(*key, "rest"), wanted).select(*key, _places(F.col("rest"), F.col("wanted")).alias("terms"))
     return _joined(base, terms, "left").select(*key, "base", F.array_sort(F.concat("secrets", F.coalesce("terms", none))).alias("disclosed"))
 
@@ -247,7 +285,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``sanitised``: base values become [EMAIL] and so on, disclosed terms become [TERM] or go."""
+    """``docs`` with ``sanitised``: base values become [EMAIL] and so on, disclosed terms become [TERM] or go.
+
+    Null texts become empty ones. Rows without spans in ``spans``, null ids included, keep their text; rows that
+    repeat an id are told apart by their texts, and equal rows stay as often as they are. Of overlapping spans the one
+    that starts first is replaced and the rest of the later ones goes. Other columns stay, whatever their names, but
+    for one called ``sanitised``, which is replaced. An empty table stays empty.
+    """
     src = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     found = spans.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.array_sort(F.concat("base", "disclosed")).alias("__s"))
     joined = src.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
@@ -260,5 +304,5 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
         grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, b["start"] - acc["at"]), F.get(names, b["kind"]))
         return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__s", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = F.aggregate(F.coalesce("__s", F.array().cast(_SPANS)), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     return joined.withColumn("sanitised", clean).drop("__h", "__d", "__t", "__s")
