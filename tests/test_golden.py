@@ -304,3 +304,20 @@ def test_retention_of_occurrences_links_and_claims(spark):
     day = 86_400_000_000
     claims = spark.createDataFrame([("new", 30 * day, 1), ("live", 0, 50 * day), ("old", 0, 1), ("open", 0, None)], "id string, created_us bigint, expires_us bigint")
     assert sorted(r["id"] for r in M.live_claims(claims, 40 * day, 30).collect()) == ["live", "new", "open"]
+
+
+URLS = {
+    "/a?b=1&a=2#f": "/a?a=X&b=X#f", "/a": "/a", "/a?": "/a?", "/a?&&": "/a", "/a?&#x": "/a#x", "?=1&k": "?=X&k=X", "/x?a%zz=1&b=2": "/x?b=X", "/x?a;b=1&c": "/x?c=X",
+    "/x?%C3%A9=1&z+y=2&~*-_.=3&B=1&a=1&a=2": "/x?B=X&a=X&a=X&z+y=X&~%2A-_.=X&%C3%A9=X", "/x?a=1?b=2&c=3": "/x?a=X&c=X", "": "", "/x#?a=1": "/x#?a=1", "/x?a=1\n#b\nc": "/x?a=X#b\nc",
+}
+
+
+def test_one_rule_for_the_query_values_of_urls(spark):
+    from tidemark.functions.scalars import scrub_url
+    from tidemark.operators.normalize import scrub_url_text, scrub_value
+
+    expected = {u: v.replace("X", "%5BFiltered%5D") for u, v in URLS.items()}
+    rows = spark.createDataFrame([(u,) for u in [*URLS, None]], "u string").select("u", scrub_url(F.col("u")).alias("s")).collect()
+    assert {r.u: r.s for r in rows} == {**expected, None: None}
+    assert {u: scrub_url_text(u) for u in URLS} == expected
+    assert scrub_value({"page_url": "/a?t=1", "note": "/a?t=1"}) == {"page_url": "/a?t=%5BFiltered%5D", "note": "/a?t=1"}

@@ -167,13 +167,19 @@ def unsupported_type(kind: Column) -> Column:
 
 
 def scrub_url(url: Column) -> Column:
-    """Every query value filtered, keys in sorted order; the fragment stays."""
+    """Every query value filtered: keys decoded, sorted by their bytes and encoded again; the fragment stays.
+
+    Empty pairs go, and so do pairs with a semicolon or a broken escape, as their keys cannot be told; an empty key
+    stays. A URL whose pairs all go loses its question mark. ``normalize.scrub_url_text`` is the same rule for payloads.
+    """
     rest = F.regexp_extract(url, r"^([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(url, r"(#.*)$", 1)
-    keys = F.array_sort(F.filter(F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, r"^([^=]*)", 1)), lambda k: k != ""))
-    filtered = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("=%5BFiltered%5D"))), "&")
-    return F.when(query == "", url).otherwise(F.concat(rest, F.lit("?"), filtered, fragment))
+    fragment = F.regexp_extract(url, r"(?s)(#.*)$", 1)
+    told = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
+    keys = F.array_sort(F.array_compact(F.transform(told, lambda p: F.when(~p.rlike("%(?![0-9A-Fa-f]{2})"), F.try_url_decode(F.regexp_extract(p, r"^([^=]*)", 1))))))
+    encoded = lambda k: F.replace(F.replace(F.url_encode(k), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    filtered = F.array_join(F.transform(keys, lambda k: F.concat(encoded(k), F.lit("=%5BFiltered%5D"))), "&")
+    return F.when(query == "", url).otherwise(F.concat(rest, F.when(filtered == "", "").otherwise(F.concat(F.lit("?"), filtered)), fragment))
 
 
 def sensitive_key(key: Column) -> Column:

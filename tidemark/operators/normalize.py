@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import quote_plus, unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -139,7 +140,19 @@ def _refuse(constant: str):
 
 
 _SECRET = re.compile(rf"(^|[._])({'|'.join(S.SECRET_WORDS)})$")
-_URL_VALUE = re.compile(r"([?&][^=&#]*)=[^&#]*")
+_QUERY = re.compile(r"([^?#]*)\?([^#]+)(#.*)?", re.S)
+_BROKEN = re.compile("%(?![0-9A-Fa-f]{2})")
+
+
+def scrub_url_text(url: str) -> str:
+    """The rule of ``scalars.scrub_url`` for one text."""
+    parts = _QUERY.fullmatch(url)
+    if parts is None:
+        return url
+    told = (p for p in parts[2].split("&") if p and ";" not in p and not _BROKEN.search(p))
+    keys = sorted((unquote_plus(p.split("=", 1)[0]) for p in told), key=lambda k: k.encode("utf-8", "surrogatepass"))
+    filtered = "&".join(f"{quote_plus(k, errors='replace')}=%5BFiltered%5D" for k in keys)
+    return f"{parts[1]}{'?' if filtered else ''}{filtered}{parts[3] or ''}"
 
 
 def scrub_value(value, key: str = ""):
@@ -154,7 +167,7 @@ def scrub_value(value, key: str = ""):
             return [value[0], S.FILTERED]
         return [scrub_value(v) for v in value]
     if isinstance(value, str) and (name == "url" or name.endswith("_url")):
-        return _URL_VALUE.sub(r"\1=%5BFiltered%5D", value)
+        return scrub_url_text(value)
     return value
 
 

@@ -120,10 +120,13 @@ def _unsupported(spark, d):
     return table(spark, d, "pages").select("page_id", S.unsupported_type(F.expr("repeat(url, int(1 + page_id % 5))")).alias("kind"))
 
 
-@query("fn_scrub_url", r"""select page_id, case when q = '' then url else regexp_extract(url, '^([^?#]*)', 1) || '?' || array_to_string(list_transform(list_sort(list_filter(list_transform(string_split(q, '&'), lambda p: regexp_extract(p, '^([^=]*)', 1)), lambda k: k <> '')), lambda k: k || '=%5BFiltered%5D'), '&') || regexp_extract(url, '(#.*)$', 1) end as url
-  from (select page_id, url, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from pages)""")
+@query("fn_scrub_url", r"""select page_id, case when q = '' then url else regexp_extract(url, '^([^?#]*)', 1) || case when f = '' then '' else '?' || f end || regexp_extract(url, '(#.*)$', 1) end as url
+  from (select *, array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' and not contains(p, ';') and not regexp_matches(regexp_replace(p, '%[0-9A-Fa-f]{2}', '', 'g'), '%')), lambda p: url_decode(replace(regexp_extract(p, '^([^=]*)', 1), '+', ' ')))),
+    lambda k: replace(url_encode(k), '%20', '+') || '=%5BFiltered%5D'), '&') as f
+    from (select page_id, url, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from (select page_id, case page_id % 4 when 0 then url || '?b=1&%C3%A9+x=2&=3&&c;d=4&~*=5#top' when 1 then url || '?&' else url end as url from pages)))""")
 def _scrub(spark, d):
-    return table(spark, d, "pages").select("page_id", S.scrub_url(F.col("url")).alias("url"))
+    made = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("?b=1&%C3%A9+x=2&=3&&c;d=4&~*=5#top"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("?&"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", S.scrub_url(made).alias("url"))
 
 
 _KEYS = "case event_id % 6 when 0 then 'Authorization' when 1 then 'db.password' when 2 then 'tokens' when 3 then 'x_api_key' when 4 then ' Secret ' else event_type end"
