@@ -721,3 +721,32 @@ def test_search_block_joins_what_links():
 
         assert tops(found) == tops(pairs)
         assert len(found) == len(set(comp.tolist())) - len(set(tops(pairs)))
+
+
+# --- odd rows ---
+
+
+def test_bpe_on_odd_rows(spark):
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = ["same text", "same text", None, "", "x" * 70_000, "é日"]
+    df = frame(spark, texts, [1, 1, None, 2, 3, None]).withColumns({"ids": F.lit("mine"), "offsets": F.lit(1), "n_tokens": F.lit(2), "ids_sha256": F.lit(3)})
+    rows = bpe.encode(df, *args).collect()
+    assert len(rows) == 6 and sorted(r.doc_id for r in rows if r.doc_id) == [1, 1, 2, 3] and {tuple(r.ids) for r in rows if r.doc_id == 1} == {tuple(rows[0].ids)}
+    back = bpe.decode(bpe.encode(df, *args).withColumn("text", F.lit("clash")), *args).collect()
+    assert sorted(r.text for r in back) == sorted(t or "" for t in texts)
+    trip = bpe.round_trip(df, *args).collect()
+    assert sorted(r.decoded_sha256 for r in trip) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
+    none = df.where("false")
+    assert bpe.encode(none, *args).count() == bpe.round_trip(none, *args).count() == bpe.decode(bpe.encode(none, *args), *args).count() == 0
+
+
+def test_nearest_on_odd_rows(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(40, 4)).tolist()
+    rows = [(i, v[i]) for i in range(40)] + [(5, v[5]), (5, v[6]), (None, v[7]), (41, None), (42, [0.0] * 4), (43, [1.0, None, 1.0, 1.0]), (44, [float("inf")] * 4), (45, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"query_id": F.lit(1), "rank": F.lit(2), "score": F.lit("x"), "v": F.lit(3)})
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, k=3).orderBy("query_id", "rank").collect()]
+    usable = [(i, x) for i, x in rows if i is not None and i < 41]
+    far = sorted({(float(np.sqrt(((np.array(x) - np.array(v[0])) ** 2).sum())), i, tuple(x)) for i, x in usable if i != 0})
+    assert [(q, k) for q, k, *_ in got] == [(0, 1), (0, 2), (0, 3)] and got[0][2] == far[0][1] and all(abs(s - next(d for d, i, _ in far if i == c)) < 1e-12 or c == 5 for _, _, c, s in got)
+    assert ann.search(df.where("false")).count() == ann.search(df.where("vec_id > 40")).count() == 0

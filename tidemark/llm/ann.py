@@ -130,7 +130,9 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     candidates are all rows but the query's own id. Ties go to the smaller id.
     Rows whose vectors are null, zero, or hold null or non-finite components
     take no part; vectors of different lengths are never near each other. A
-    repeated id is one candidate per distinct vector.
+    repeated id is one candidate per distinct vector. An empty table, or one
+    without usable rows, gives no rows; other columns are ignored, whatever
+    their names.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)

@@ -160,7 +160,11 @@ def _rows(column: pa.Array, most: int = 1 << 21):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_offsets: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>, offsets array<struct<start, end>> or null). A null or empty text has no IDs."""
+    """(doc_id, ids array<int>, offsets array<struct<start, end>> or null), one row per row of ``docs``.
+
+    A null or empty text has no IDs. Null ids and repeated rows are kept, each with its own result; long texts are
+    encoded whole; an empty table gives no rows; other columns are ignored, whatever their names. There are no ties.
+    """
 
     def run(batches):
         own = codec(ranks_path, pattern)
@@ -178,7 +182,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null IDs give an empty text, broken characters U+FFFD."""
+    """(doc_id, text) of (doc_id, ids), row by row; null IDs give an empty text, broken characters U+FFFD.
+
+    Null and repeated ids are kept, an empty table gives no rows, and other columns (a ``text`` among them) are ignored.
+    """
 
     def run(batches):
         own = codec(ranks_path, pattern)
@@ -190,7 +197,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the IDs, and digests both in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the IDs, and digests both in one pass.
+
+    Odd rows are treated as ``encode`` does; a text without IDs has the digests of an empty text.
+    """
 
     def run(batches):
         own = codec(ranks_path, pattern)
