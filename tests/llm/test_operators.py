@@ -750,3 +750,15 @@ def test_nearest_on_odd_rows(spark):
     far = sorted({(float(np.sqrt(((np.array(x) - np.array(v[0])) ** 2).sum())), i, tuple(x)) for i, x in usable if i != 0})
     assert [(q, k) for q, k, *_ in got] == [(0, 1), (0, 2), (0, 3)] and got[0][2] == far[0][1] and all(abs(s - next(d for d, i, _ in far if i == c)) < 1e-12 or c == 5 for _, _, c, s in got)
     assert ann.search(df.where("false")).count() == ann.search(df.where("vec_id > 40")).count() == 0
+
+
+def test_copies_on_odd_rows(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    item, other = words("item", 12), words("other", 9)
+    texts = [f"{words('a', 20)} {item} {words('b', 30)} {item}", f"{words('c', 7)} {item}", f"{words('c', 7)} {item}", f"{words('d', 3)} {other}", words("e", 50), None, "", f"{words('g', 60_000)} {other} {words('h', 9)}", item]
+    df = frame(spark, texts, [0, 1, 1, 1, 4, 5, 6, 7, None]).withColumns({"item_id": F.lit(9), "score": F.lit("x"), "first_word": F.lit(1), "twin": F.lit(2), "base": F.lit(3), "words": F.lit(4), "grams": F.lit(5)})
+    bench = spark.createDataFrame([(1, item), (2, other), (2, item.upper()), (3, None), (4, ""), (5, "two words"), (None, words("e", 50))], "item_id long, text string").withColumns({"doc_id": F.lit(1), "at": F.lit(2), "base": F.lit(3)})
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontaminate.find_copies(df, bench).collect()}
+    # Both texts of item 2 stand in documents with the id 1; the tie goes to the first place.
+    assert got == {(0, 1): (1.0, 20, 32), (0, 2): (1.0, 20, 32), (1, 1): (1.0, 7, 19), (1, 2): (1.0, 3, 12), (7, 2): (1.0, 60_000, 60_009)}
+    assert decontaminate.find_copies(df.where("false"), bench).count() == decontaminate.find_copies(df, bench.where("false")).count() == 0

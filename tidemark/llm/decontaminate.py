@@ -114,7 +114,11 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     Words are runs of a-z, 0-9 and non-ASCII after lower-casing A-Z, counted
     from 0. Null ids take no part; null and empty texts and items of fewer
     than three words match nothing. Rows that repeat an id are looked at one
-    by one and give one row for the id and item. Extra columns are ignored.
+    by one and give one row for the id and item; a repeated item id stands for
+    all its texts. Of equally good copies the one that starts first is given,
+    then the shortest. Long texts are searched whole, in regions around their
+    seeds. With either table empty there are no rows; other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     items = keep(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_items, "item_id long, words array<long>, grams array<long>"))
