@@ -1,4 +1,4 @@
-"""Times the headline queries once warm and prints one JSON line."""
+"""Times the headline queries once warm, and the writing of the records table that searches read, and prints one JSON line."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ HEADLINE = (
 
 def main() -> None:
     from tidemark.plans.catalog import QUERIES
+    from tidemark.sources.adapters import stored_records
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -24,6 +25,9 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    began = time.perf_counter()
+    stored_records(spark, sf_dir)  # cold, with the start of the session's tasks
+    build = round(time.perf_counter() - began, 3)
     seconds = {}
     for name in HEADLINE:
         best = None
@@ -33,7 +37,7 @@ def main() -> None:
             took = time.perf_counter() - began
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
-    print(json.dumps({"metric": "headline queries, total seconds, warm", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline queries, total seconds, warm", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "records_table_build": build, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
     spark.stop()
 
 
