@@ -57,3 +57,19 @@ def test_pipeline_keeps_columns_whose_names_clash(spark):
     assert out.columns == docs.columns
     assert sorted((r.n_lines, r.n_dropped) for r in out.collect()) == sorted((r[2], r[3]) for r in rows)
     assert {r.doc_id: r.text for r in out.collect()} == {0: "own 0", 1: "own 1", 2: "own 2", 3: f"{line}\nown 3", 9: "", None: line}
+
+
+def test_pii_counts_each_kind(spark, tmp_path):
+    """Counts by kind, whatever the order of the kinds in a text, and the hash of the spans."""
+    from hashlib import sha256
+
+    from test_operators import brute_pii
+
+    card, ip = "4111 1111 1111 1111", "10.0.0.1"
+    texts = {1: f"{ip} {ip} {ip}", 2: f"{card} a@b.example {ip}", 3: f"+49 30 1234-5678, {card}, a@b.example, {ip}, c@d.example", 4: "none", 5: None, 6: f"{card} {card}"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ("email", "ip", "card", "phone")
+    for r in QUERIES["op4_pii"](spark, str(tmp_path)).collect():
+        spans = [(s, k, e) for s, k, e, *_ in brute_pii(texts[r.doc_id] or "")]
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[1] == i for x in spans) for i in range(4)], texts[r.doc_id]
+        assert r.base_sha256 == sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
