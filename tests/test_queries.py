@@ -50,3 +50,20 @@ def test_searches_see_a_table_that_was_written_anew(spark, tmp_path):
         events.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
         assert stored_records(spark, str(tmp_path)).count() == n
     assert stored_records(spark, str(tmp_path)).inputFiles() == stored_records(spark, str(tmp_path)).inputFiles()
+
+
+def test_stored_records_are_made_behind_the_shuffle(spark):
+    """What is shuffled are events, not the records that are made of them; files hold ranges of time, each in order."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.adapters import records, records_by_time, stored_records, table
+
+    rows = records_by_time(table(spark, SF, "events"), 3)
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "sha2" in above and "sha2" not in below
+    t = [r[0] for r in rows.select("event_time_us").collect()]
+    assert t == sorted(t) and rows.rdd.getNumPartitions() == 3
+    stored = stored_records(spark, SF)
+    spans = sorted(tuple(r)[1:] for r in stored.groupBy(F.col("_metadata.file_path")).agg(F.min("event_time_us"), F.max("event_time_us")).collect())
+    assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert stored.exceptAll(records(spark, SF)).isEmpty() and stored.count() == records(spark, SF).count()

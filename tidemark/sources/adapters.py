@@ -9,6 +9,8 @@ from tidemark.sources.io import shared_path
 from tidemark.sources.schema import ATTRIBUTE
 
 LANES = 16
+#: Bytes of event files that one file of the written records table holds, about.
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,15 +84,22 @@ def _files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted(out))
 
 
+def records_by_time(events: DataFrame, parts: int) -> DataFrame:
+    """Records in ``parts`` ranges of time. Events are shuffled, as records are many times as wide; event_time_us is in the order of ts."""
+    return records_of(events.repartitionByRange(parts, "ts").sortWithinPartitions("ts"))
+
+
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as a table in the shared folder, in files by time, written once a session and state of the input.
     Searches read it, so that their filters on record columns reach Parquet and no identity is computed again."""
-    key = spark.sparkContext.applicationId, sf_dir, _files(spark, f"{sf_dir}/events.parquet")
-    rows = records(spark, sf_dir)
+    files = _files(spark, f"{sf_dir}/events.parquet")
+    key = spark.sparkContext.applicationId, sf_dir, files
+    parts = max(spark.sparkContext.defaultParallelism, -(-sum(size for _, size, _ in files) // PART_BYTES))
+    rows = records_by_time(table(spark, sf_dir, "events"), parts)
     path = _written.get(key)
     if path is None or not _exists(spark, path):
         path = shared_path(spark, "records")
-        rows.repartitionByRange("event_time_us").sortWithinPartitions("event_time_us").write.option("compression", "zstd").parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         _written[key] = path
     return spark.read.schema(rows.schema).parquet(path)
 
