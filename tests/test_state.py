@@ -142,3 +142,14 @@ def test_outbox_sends_each_key_once(spark):
         got = run(S.once(stream, ["project_id", "hour"], 86_400_000), out)
     rows = [(r.project_id, r.hour) for r in got.collect()]
     assert sorted(rows) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+
+
+def test_transitions_whatever_the_files_of_a_part(spark, tmp_path):
+    """Parts written by several tasks: a lane's rows lie in several files, which must not come out of order."""
+    from oracle import assert_same
+
+    from tidemark.plans.catalog import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6, "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(spark, sf, lambda s, d: QUERIES["st_issue_transitions"](s, str(tmp_path)), ORACLES["st_issue_transitions"])

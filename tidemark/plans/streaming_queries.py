@@ -24,23 +24,22 @@ def _in_files(spark, d):
 
 
 def _in_order(spark, d, start, derived=None):
-    """``start(stream, out)`` over events that arrive in append order, in four parts: a stop after two of them, and a start from the checkpoint.
+    """``start(stream, out)`` over events that arrive in append order, in four parts: a stop after each, and a start from the checkpoint.
 
+    A part is one micro-batch, however many files it was written in, as rows of a lane must come in order and files of a part do not.
     ``derived`` takes the records of a part to other rows, which arrive beside them, in a stream of their own.
     """
     e, paths, out = table(spark, d, "events"), [J.shared_path(spark, n) for n in ("arrivals", "beside")], J.shared_path(spark, "resumed")
     # Parts end with a sequence, so that rows of one come before all rows of the next.
     last = e.agg(F.max(F.floor(F.col("event_id") / 128))).first()[0] or 0
-    for half in (0, 1):
-        for part in (2 * half, 2 * half + 1):
-            rows = e.where((F.floor(F.col("event_id") / 128) * 4 >= part * (last + 1)) & (F.floor(F.col("event_id") / 128) * 4 < (part + 1) * (last + 1)))
-            rows.write.mode("append").parquet(paths[0])
-            if derived:
-                beside = derived(records_of(rows))
-                beside.write.mode("append").parquet(paths[1])
-        streams = [J.stream_records(spark, paths[0])]
+    for part in range(4):
+        rows = e.where((F.floor(F.col("event_id") / 128) * 4 >= part * (last + 1)) & (F.floor(F.col("event_id") / 128) * 4 < (part + 1) * (last + 1)))
+        rows.write.mode("append").parquet(paths[0])
+        streams = [J.stream_records(spark, paths[0], None)]
         if derived:
-            streams.append(spark.readStream.schema(beside.schema).option("maxFilesPerTrigger", 1).parquet(paths[1]))
+            beside = derived(records_of(rows))
+            beside.write.mode("append").parquet(paths[1])
+            streams.append(spark.readStream.schema(beside.schema).parquet(paths[1]))
         found = start(*streams, out)
     return found
 

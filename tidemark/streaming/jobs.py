@@ -17,12 +17,15 @@ from tidemark.sources.io import shared_path
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def stream_records(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Records from event files as they come, with an explicit schema and a bound per micro-batch.
+def stream_records(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Records from event files as they come, with an explicit schema and a bound per micro-batch; without one it takes all that is there.
 
     The path becomes a pattern, which the source takes for one file and for a directory alike.
     """
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    events = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return records_of(events).withColumn("received", F.timestamp_micros("received_time_us"))
 
 
