@@ -144,6 +144,57 @@ def test_outbox_sends_each_key_once(spark):
     assert sorted(rows) == [(1, 1), (1, 2), (2, 1), (3, 1)]
 
 
+class ListState:
+    """A list state in memory that counts its calls."""
+
+    def __init__(self):
+        self.items, self.calls = [], 0
+
+    def getListState(self, name, schema, ttl):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.items))
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.items.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.items = list(values)
+
+
+def test_claims_of_many_keys_take_few_calls_of_the_state():
+    """A bucket is read once and added to once, however many keys a micro-batch has; merged lists keep what can still hold."""
+    import pandas as pd
+
+    state = ListState()
+    claims = S.Claims(1_000, 5)
+    claims.init(state)
+
+    def classes(seq, keys, t, digest):
+        n = len(keys)
+        rows = pd.DataFrame({"key": keys, "record_id": [f"{seq}-{i}" for i in range(n)], "batch_seq": seq, "record_ordinal": range(n), "received_time_us": t, "payload_sha256": [digest] * n})
+        return pd.concat(claims.handleInputRows((0,), iter([rows]), None))["class"].tolist()
+
+    keys = [f"k{i}" for i in range(2000)]
+    assert classes(0, keys, 0, None) == ["accepted"] * 2000 and state.calls == 2
+    assert classes(1, keys, 5, None) == ["duplicate"] * 2000 and classes(2, keys, 6, "x") == ["conflict"] * 2000 and state.calls == 4
+    for seq in range(3, 2 * S.MOST_TABLES):
+        assert classes(seq, ["old", f"n{seq}"], 500, "x") == ["accepted" if seq == 3 else "duplicate", "accepted"]
+    assert len(state.items) < S.MOST_TABLES
+    assert set(classes(900, keys, 999, "x")) == {"conflict"} and set(classes(901, keys, 1000, "x")) == {"accepted"}
+    # Those over for less than the backlog stay when lists are merged, the others go.
+    for seq in range(1000, 1000 + S.MOST_TABLES + 1):
+        classes(seq, [f"m{seq}"], 6_999, "y")
+    assert {k for (t,) in state.items for k in S._unpacked(t)} >= {"k0", "m1000"}
+    for seq in range(2000, 2000 + S.MOST_TABLES + 1):
+        classes(seq, [f"z{seq}"], 7_000, "y")
+    assert "k0" not in {k for (t,) in state.items for k in S._unpacked(t)}
+
+
 def test_transitions_whatever_the_files_of_a_part(spark, tmp_path):
     """Parts written by several tasks: a lane's rows lie in several files, which must not come out of order."""
     from oracle import assert_same

@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidemark.operators.ingest import KEY
 
 LANES = 16
+#: Buckets of keys that share one state, and tables of claims that a bucket's list may hold before they are merged.
+BUCKETS, MOST_TABLES = 256, 32
 MINUTE = 60_000_000
 
 
@@ -50,34 +52,65 @@ def rocksdb(spark: SparkSession, without_data: bool = False):
 
 
 class Claims(StatefulProcessor):
-    """One key's claim: the winner's hash, and the received time until which it holds.
+    """The claims of one bucket of keys: of each key the winner's hash, and the received time until which it holds.
 
     What a row is follows from received times alone, so a stream that is replayed or
-    late decides alike. The state's TTL, which runs by the clock, only frees what
-    is over: it is the claim's life and the backlog that a stream may have.
+    late decides alike. The state is a list with a packed table of claims for each
+    micro-batch that made some, so a bucket is read and added to as a whole, and a
+    call of the state serves many keys. Its TTL, which runs by the clock, only frees
+    what is over: it is the claim's life and the backlog that a stream may have.
+    Where the list gets long its tables are merged, without claims that were over
+    for the backlog at the newest row's time.
     """
 
     def __init__(self, keep_us: int, backlog_ms: int):
-        self._keep_us, self._ttl_ms = keep_us, keep_us // 1000 + backlog_ms
+        self._keep_us, self._backlog_us, self._ttl_ms = keep_us, backlog_ms * 1000, keep_us // 1000 + backlog_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._claim = handle.getValueState("claim", "payload_sha256 string, expires_us bigint", self._ttl_ms)
+        self._claims = handle.getListState("claims", "claims binary", self._ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = before = self._claim.get()
-        for r in sorted(rows, key=lambda r: (r.batch_seq, r.record_ordinal, r.record_id)):
-            if held is None or held[1] <= r.received_time_us:
-                held = (r.payload_sha256, r.received_time_us + self._keep_us)
-                yield Row(record_id=r.record_id, **{"class": "accepted"})
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        items = pd.concat(list(rows), ignore_index=True)
+        items = items.sort_values(["batch_seq", "record_ordinal", "record_id"], kind="stable", ignore_index=True)
+        digests = items["payload_sha256"].astype(object).where(items["payload_sha256"].notna(), None).tolist()
+        times, classes = items["received_time_us"].tolist(), []
+        tables = [_unpacked(t) for (t,) in self._claims.get()]
+        held, fresh = {}, {}
+        for t in tables:
+            held.update(t)
+        for k, digest, t in zip(items["key"].tolist(), digests, times):
+            claim = held.get(k)
+            if claim is None or claim[1] <= t:
+                held[k] = fresh[k] = (digest, t + self._keep_us)
+                classes.append("accepted")
             else:
-                yield Row(record_id=r.record_id, **{"class": "duplicate" if held[0] == r.payload_sha256 else "conflict"})
-        if held is not before:
-            self._claim.update(held)
+                classes.append("duplicate" if claim[0] == digest else "conflict")
+        if len(tables) >= MOST_TABLES:
+            newest = max(times)
+            self._claims.put([(_packed({k: c for k, c in held.items() if c[1] + self._backlog_us > newest}),)])
+        elif fresh:
+            self._claims.appendValue((_packed(fresh),))
+        yield pd.DataFrame({"record_id": items["record_id"], "class": classes})
 
     def close(self) -> None:
         pass
 
 
+def _packed(claims: dict[str, tuple[str | None, int]]) -> bytes:
+    digests, ends = zip(*claims.values()) if claims else ((), ())
+    columns = [pa.array(list(claims), pa.string()), pa.array(digests, pa.string()), pa.array(ends, pa.int64())]
+    batch = pa.record_batch(columns, ["key", "payload_sha256", "expires_us"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, tuple[str | None, int]]:
+    keys, digests, ends = (c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns)
+    return dict(zip(keys, zip(digests, ends)))
+
+
 def classify(stream: DataFrame, keep_us: int, backlog_ms: int = 86_400_000) -> DataFrame:
     """(record_id, class): accepted, duplicate or conflict per record, as rows come.
 
@@ -87,10 +120,12 @@ def classify(stream: DataFrame, keep_us: int, backlog_ms: int = 86_400_000) -> D
     same hash are duplicates and others conflicts; the first one after it is
     accepted and claims the key anew. Rows of a key in one micro-batch are taken
     in append order. Rows without a source id are accepted and touch no state.
+    Keys are dealt over ``BUCKETS`` by their hash, each with the state of its keys.
     """
-    columns = [*KEY, "record_id", "batch_seq", "record_ordinal", "received_time_us", "payload_sha256"]
-    named = stream.where("source_event_id is not null").select(*columns).groupBy(*KEY)
-    classes = named.transformWithState(Claims(keep_us, backlog_ms), "record_id string, class string", "Append", "ProcessingTime")
+    named = stream.where("source_event_id is not null")
+    # JSON tells keys apart, nulls included.
+    keyed = named.select(F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int").alias("bucket"), F.to_json(F.struct(*KEY)).alias("key"), "record_id", "batch_seq", "record_ordinal", "received_time_us", "payload_sha256")
+    classes = keyed.groupBy("bucket").transformWithStateInPandas(Claims(keep_us, backlog_ms), "record_id string, class string", "Append", "ProcessingTime")
     return classes.unionByName(stream.where("source_event_id is null").select("record_id", F.lit("accepted").alias("class")))
 
 
