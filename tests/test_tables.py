@@ -1,6 +1,7 @@
 """Table functions in SQL: nulls, broken inputs, and the same rows as the operators give."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tidemark.functions import tables
 from tidemark.operators import normalize as N
@@ -33,3 +34,11 @@ def test_envelopes(spark):
     rows = sorted(map(tuple, known.collect()))
     assert sorted(map(tuple, got.collect())) == rows
     assert [(r[0], r[4]) for r in rows] == [(0, None), (0, None), (1, "envelope_header"), (2, "envelope_header"), (3, "item_length")]
+
+
+def test_functions_make_no_arrow_table_per_row(spark, monkeypatch):
+    """With Arrow each input row's output is a table of its own, which costs far more than its few rows."""
+    made = []
+    monkeypatch.setattr(tables, "udtf", lambda kind, **how: made.append(how) or udtf(kind, **how))
+    tables.register(spark)
+    assert len(made) == 3 and not any(how["useArrow"] for how in made)

@@ -1,7 +1,7 @@
 """Table functions for SQL: the items of an envelope and the attributes of a payload, by ``lateral``.
 
 ``register(spark)`` names them ``envelope_items``, ``event_attributes`` and
-``log_attributes``; rows travel in Arrow batches. A null or broken input gives no
+``log_attributes``; rows travel pickled in batches, as Arrow would make a table of each input row's few. A null or broken input gives no
 attributes, and an envelope one row that says what is wrong.
 """
 
@@ -51,5 +51,5 @@ class LogAttributes:
 def register(spark: SparkSession) -> SparkSession:
     """The session, with the table functions in its catalog."""
     for name, kind, schema in (("envelope_items", EnvelopeItems, ITEM), ("event_attributes", EventAttributes, ATTRIBUTES), ("log_attributes", LogAttributes, ATTRIBUTES)):
-        spark.udtf.register(name, udtf(kind, returnType=schema, useArrow=True))
+        spark.udtf.register(name, udtf(kind, returnType=schema, useArrow=False))
     return spark
