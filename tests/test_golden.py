@@ -321,3 +321,16 @@ def test_one_rule_for_the_query_values_of_urls(spark):
     assert {r.u: r.s for r in rows} == {**expected, None: None}
     assert {u: scrub_url_text(u) for u in URLS} == expected
     assert scrub_value({"page_url": "/a?t=1", "note": "/a?t=1"}) == {"page_url": "/a?t=%5BFiltered%5D", "note": "/a?t=1"}
+
+
+def test_canonical_json_makes_no_decoder_per_text(monkeypatch):
+    """Texts share one decoder; numbers keep their spelling, and what is no JSON gives null."""
+    from tidemark.functions import scalars
+
+    def refuse(*_, **__):
+        raise AssertionError("a decoder or an encoder for one text")
+
+    monkeypatch.setattr(scalars.json, "loads", refuse)
+    assert scalars._canonical('{"b":[1.50,1e0,-0,"1"],"a":{"z":"\\u00e9\\n\\u2028","id":7},"id":1}', "id") == '{"a":{"id":7,"z":"é\\n\u2028"},"b":[1.50,1e0,-0,"1"]}'
+    assert scalars._canonical("[true,null,NaN]") == "[true,null,NaN]"
+    assert [scalars._canonical(t) for t in (None, "", "\ufeff1", "{", "1 2")] == [None] * 5

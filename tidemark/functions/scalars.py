@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from json.encoder import encode_basestring
 
 import pandas as pd
 from pyspark.sql import Column
@@ -230,30 +231,35 @@ def event_message(raw: Column) -> tuple[Column, Column]:
     return message, template
 
 
-def _canonical(text: str | None, without: str | None = None) -> str | None:
-    """Keys sorted, no spaces, numbers spelled as they stand; of an object, the key ``without`` goes."""
-    if text is None:
-        return None
+class _Number(str):
+    """A number as it is spelled."""
+
 
-    class Number(float):
-        def __repr__(self) -> str:
-            return self.token
+def _written(v) -> str:
+    if isinstance(v, _Number):
+        return v
+    if isinstance(v, str):
+        return encode_basestring(v)
+    if isinstance(v, dict):
+        return "{" + ",".join([f"{encode_basestring(k)}:{_written(v[k])}" for k in sorted(v)]) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_written, v)) + "]"
+    return json.dumps(v)
 
-    def number(token: str) -> Number:
-        n = Number(token)
-        n.token = token
-        return n
 
-    def write(v) -> str:
-        if isinstance(v, dict):
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{write(v[k])}" for k in sorted(v)) + "}"
-        if isinstance(v, list):
-            return "[" + ",".join(map(write, v)) + "]"
-        return v.token if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
+#: Made once: a decoder of its own for each text would cost more than most texts.
+_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number)
 
+
+def _canonical(text: str | None, without: str | None = None) -> str | None:
+    """Keys sorted, no spaces, numbers spelled as they stand; of an object, the key ``without`` goes."""
+    if text is None:
+        return None
     try:
-        value = json.loads(text, parse_int=number, parse_float=number)
-        return write({k: v for k, v in value.items() if k != without} if isinstance(value, dict) else value)
+        if text.startswith("\ufeff"):
+            return None
+        value = _DECODER.decode(text)
+        return _written({k: v for k, v in value.items() if k != without} if isinstance(value, dict) else value)
     except (ValueError, OverflowError):
         return None
 
