@@ -334,3 +334,15 @@ def test_canonical_json_makes_no_decoder_per_text(monkeypatch):
     assert scalars._canonical('{"b":[1.50,1e0,-0,"1"],"a":{"z":"\\u00e9\\n\\u2028","id":7},"id":1}', "id") == '{"a":{"id":7,"z":"é\\n\u2028"},"b":[1.50,1e0,-0,"1"]}'
     assert scalars._canonical("[true,null,NaN]") == "[true,null,NaN]"
     assert [scalars._canonical(t) for t in (None, "", "\ufeff1", "{", "1 2")] == [None] * 5
+
+
+def test_attributes_make_no_decoder_per_text(monkeypatch):
+    from tidemark.operators import normalize
+
+    def refuse(*_, **__):
+        raise AssertionError("a decoder for one text")
+
+    monkeypatch.setattr(normalize.json, "loads", refuse)
+    assert [a["integer_value"] for a in normalize.log_attributes('{"attributes":{"n":7}}')] == ["7"]
+    assert [a["double_value"] for a in normalize.event_attributes('{"tags":{"n":1e0}}')] == [1.0]
+    assert [normalize.event_attributes(t) for t in (None, "", "\ufeff{}", "{", "[]")] == [[]] * 5

@@ -198,6 +198,17 @@ class _Token(str):
     """A number as it is spelled."""
 
 
+#: Made once: a decoder of its own for each text would cost more than most texts.
+_DECODER = json.JSONDecoder(parse_int=_Token, parse_float=_Token)
+_FRACTION = re.compile("[.eE]")
+
+
+def _decoded(text: str):
+    if text.startswith("\ufeff"):
+        raise ValueError("byte order mark")
+    return _DECODER.decode(text)
+
+
 def _typed(namespace: str, path: str, value, unit: str | None = None) -> dict:
     out = dict.fromkeys(("string_value", "integer_value", "double_value", "boolean_value", "json_value"))
     out |= {"namespace": namespace, "path": path, "unit": unit}
@@ -206,7 +217,7 @@ def _typed(namespace: str, path: str, value, unit: str | None = None) -> dict:
     if isinstance(value, bool):
         return out | {"value_type": "boolean", "boolean_value": value}
     if isinstance(value, _Token):
-        if re.search("[.eE]", value):
+        if _FRACTION.search(value):
             return out | {"value_type": "double", "double_value": float(value)}
         if len(value.lstrip("-")) > 38:
             return out | {"value_type": "big_integer", "json_value": str(value)}
@@ -234,7 +245,7 @@ def leaves(namespace: str, value, path: str = "") -> Iterator[dict]:
 
 def event_attributes(text: str | None) -> list[dict]:
     try:
-        raw = json.loads(text or "null", parse_int=_Token, parse_float=_Token)
+        raw = _decoded(text or "null")
     except ValueError:
         return []
     if not isinstance(raw, dict):
@@ -248,7 +259,7 @@ _DECLARED = {"string": "string", "integer": "integer", "double": "double", "bool
 def log_attributes(text: str | None) -> list[dict]:
     """One attribute per key of a log's attributes; {type, value, unit} wrappers declare a type, and a value of another type is invalid."""
     try:
-        raw = json.loads(text or "null", parse_int=_Token, parse_float=_Token)
+        raw = _decoded(text or "null")
     except ValueError:
         return []
     found = raw.get("attributes") if isinstance(raw, dict) else None
@@ -271,12 +282,11 @@ def with_attributes(rows: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
     """``rows`` with ``attrs``: flattened event payloads or log attributes."""
     flatten = event_attributes if kind == "event" else log_attributes
     at, names = rows.columns.index(raw), rows.columns
-    order = ("namespace", "path", "value_type", "string_value", "integer_value", "double_value", "boolean_value", "json_value", "unit")
     one = pa.struct([("namespace", pa.string()), ("path", pa.string()), ("value_type", pa.string()), ("string_value", pa.string()), ("integer_value", pa.string()), ("double_value", pa.float64()), ("boolean_value", pa.bool_()), ("json_value", pa.string()), ("unit", pa.string())])
 
     def run(batches):
         for batch in batches:
-            found = [[{k: a[k] for k in order} for a in flatten(t)] for t in batch.column(at).to_pylist()]
+            found = [flatten(t) for t in batch.column(at).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(one))], [*names, "attrs"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
