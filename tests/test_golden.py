@@ -346,3 +346,19 @@ def test_attributes_make_no_decoder_per_text(monkeypatch):
     assert [a["integer_value"] for a in normalize.log_attributes('{"attributes":{"n":7}}')] == ["7"]
     assert [a["double_value"] for a in normalize.event_attributes('{"tags":{"n":1e0}}')] == [1.0]
     assert [normalize.event_attributes(t) for t in (None, "", "\ufeff{}", "{", "[]")] == [[]] * 5
+
+
+def test_fingerprint_reads_each_path_once_and_escaped_keys_too(spark):
+    from tidemark.functions import scalars as S
+    from tidemark.operators import issues
+
+    e = '{"type":"T","value":"v","stacktrace":{"frames":[{"module":"m","filename":"a\\\\b.py"}]}}'
+    texts = [f'{{"exception":[{e}]}}', f'{{"\\u0065xception":{{"values":[{e}]}}}}', f"{{'exception':{e}}}", '{"message":"exception"}', '{"logentry":{"message":"t %s","formatted":"t 1"},"fingerprint":["a", "{{default}}"]}', "{", None]
+    stack = '["stack",["T"],[["m","","a/b.py"]]]'
+    groups = [stack, stack, stack, '["message","exception"]', '["custom",[["literal","a"],["default",["message","t %s"]]]]', '["message",""]', '["message",""]']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    said = S.let(S.event_told(F.col("raw")), lambda t: F.coalesce(t["template"], t["message"]))
+    got = df.select("i", issues.fingerprint(F.lit(7), F.col("raw"), said, F.lit(None)).alias("f"))
+    assert [r.f for r in got.orderBy("i").collect()] == [hashlib.sha256(f'["grouping-v1",["7"],{g}]'.encode()).hexdigest() for g in groups]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("$.fingerprint") == 1 and plan.count("$.exception.values") == 2 and plan.count("$.logentry.formatted") == 1

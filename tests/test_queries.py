@@ -67,3 +67,13 @@ def test_stored_records_are_made_behind_the_shuffle(spark):
     spans = sorted(tuple(r)[1:] for r in stored.groupBy(F.col("_metadata.file_path")).agg(F.min("event_time_us"), F.max("event_time_us")).collect())
     assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert stored.exceptAll(records(spark, SF)).isEmpty() and stored.count() == records(spark, SF).count()
+
+
+def test_payload_rows_are_dealt_over_all_cores(spark):
+    """One part of a Parquet file holds all events here; the work on their payloads is still every core's."""
+    from tidemark.plans.scalar_queries import raw_events
+    from tidemark.sources.adapters import table
+
+    assert table(spark, SF, "events").rdd.getNumPartitions() == 1
+    rows = [len(p) for p in raw_events(spark, SF).select("event_id").rdd.glom().collect()]
+    assert len(rows) >= spark.sparkContext.defaultParallelism and sum(rows) == table(spark, SF, "events").count() and max(rows) < sum(rows) / 4

@@ -47,7 +47,7 @@ def representative_severity(name: Column) -> Column:
     return out
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it; nested expressions would repeat it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -55,7 +55,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def parse_timestamp(raw: Column) -> tuple[Column, Column]:
     """(microseconds, remaining nanoseconds) of RFC 3339 text or decimal epoch seconds; floors before the epoch; null if neither."""
     rfc = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
-    moment = _let(raw, lambda t: F.when(t.rlike(rfc), _rfc_moment(t)).when(t.rlike(_NUMBER), _decimal_moment(t)))
+    moment = let(raw, lambda t: F.when(t.rlike(rfc), _rfc_moment(t)).when(t.rlike(_NUMBER), _decimal_moment(t)))
     return moment["us"], moment["ns"]
 
 
@@ -69,7 +69,7 @@ def _rfc_moment(text: Column) -> Column:
     def split(w: Column) -> Column:
         return F.struct((w["us"] + F.substring(w["f"], 1, 6).cast("bigint")).alias("us"), F.when(w["us"].isNotNull(), F.substring(w["f"], 7, 3).cast("smallint")).alias("ns"))
 
-    return _let(F.struct(whole.alias("us"), fraction.alias("f")), split)
+    return let(F.struct(whole.alias("us"), fraction.alias("f")), split)
 
 
 def _decimal_moment(text: Column) -> Column:
@@ -80,25 +80,25 @@ def _decimal_moment(text: Column) -> Column:
 
     def shift(p: Column) -> Column:
         point = F.length(p["whole"]) + F.coalesce(F.nullif(p["exponent"], F.lit("")).cast("int"), F.lit(0)) + 9
-        return _let(F.struct(p["minus"].alias("minus"), F.concat(p["whole"], p["fraction"]).alias("digits"), point.alias("point")), cut)
+        return let(F.struct(p["minus"].alias("minus"), F.concat(p["whole"], p["fraction"]).alias("digits"), point.alias("point")), cut)
 
     def cut(p: Column) -> Column:
         digits, point, most = p["digits"], p["point"], F.length(p["digits"]) + 60
         size = F.when(point > 0, F.substring(F.rpad(digits, F.least(point, most), "0"), F.lit(1), point)).otherwise("0")
         rest = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(digits)
-        return _let(F.struct(p["minus"].alias("minus"), F.regexp_replace(size, r"\A0+(?=[0-9])", "").alias("size"), rest.rlike("[1-9]").alias("more"), (point <= most).alias("near")), nanos)
+        return let(F.struct(p["minus"].alias("minus"), F.regexp_replace(size, r"\A0+(?=[0-9])", "").alias("size"), rest.rlike("[1-9]").alias("more"), (point <= most).alias("near")), nanos)
 
     def nanos(p: Column) -> Column:
         size = F.when((F.length(p["size"]) <= 28) & (p["near"] | (p["size"] == "0")), p["size"]).try_cast("decimal(28,0)")
         below = -size - F.when(p["more"], 1).otherwise(0).cast("decimal(1,0)")
-        return _let(F.when(p["minus"], below).otherwise(size).cast("decimal(29,0)"), split)
+        return let(F.when(p["minus"], below).otherwise(size).cast("decimal(29,0)"), split)
 
     def split(n: Column) -> Column:
         rest = F.pmod(n, thousand)
         us = ((n - rest) / thousand).try_cast("bigint")
         return F.struct(us.alias("us"), F.when(us.isNotNull(), rest.cast("smallint")).alias("ns"))
 
-    return _let(F.struct((part(1) == "-").alias("minus"), part(2).alias("whole"), part(3).alias("fraction"), part(4).alias("exponent")), shift)
+    return let(F.struct((part(1) == "-").alias("minus"), part(2).alias("whole"), part(3).alias("fraction"), part(4).alias("exponent")), shift)
 
 
 def timestamp_source(raw: Column) -> Column:
@@ -207,28 +207,57 @@ def row_bytes(strings: list[Column], attrs: Column | None = None, lists: list[Co
 EXCEPTIONS = "array<struct<type:string,value:string,mechanism:struct<handled:boolean>,stacktrace:struct<frames:array<struct<module:string,function:string,filename:string,in_app:boolean>>>>>"
 
 
+def mentions(raw: Column, key: str) -> Column:
+    """False only where no key of the JSON text can be ``key``, some letters: they stand in the text, unless as escapes."""
+    return F.contains(raw, F.lit(key)) | F.contains(raw, F.lit("\\u"))
+
+
 def exceptions(raw: Column) -> Column:
     """The exception chain, from an object with values or a bare list."""
-    return F.coalesce(F.from_json(F.get_json_object(raw, "$.exception.values"), EXCEPTIONS), F.from_json(F.get_json_object(raw, "$.exception"), EXCEPTIONS))
+    at = lambda path: F.from_json(F.get_json_object(raw, path), EXCEPTIONS)
+    return F.when(mentions(raw, "exception"), F.coalesce(at("$.exception.values"), at("$.exception")))
 
 
 def last_exception(raw: Column) -> Column:
     """struct<type, value, mechanism, ...> of the last exception, null without one."""
-    chain = exceptions(raw)
-    return F.when(F.size(chain) > 0, F.element_at(chain, -1))
+    return let(exceptions(raw), lambda chain: F.when(F.size(chain) > 0, F.element_at(chain, -1)))
 
 
 def event_message(raw: Column) -> tuple[Column, Column]:
-    """(message, template): formatted log entry, message text, formatted message, last exception, log entry template.
-    Only the log entry and the message object have a template, and only for their own text."""
-    at = lambda path: F.nullif(F.get_json_object(raw, path), F.lit(""))
-    text = F.when(F.get_json_object(raw, "$.message").startswith("{"), F.lit(None).cast("string")).otherwise(at("$.message"))
-    last = last_exception(raw)
-    thrown = F.coalesce(F.nullif(last["value"], F.lit("")), F.nullif(last["type"], F.lit("")))
-    message = F.coalesce(at("$.logentry.formatted"), text, at("$.message.formatted"), thrown, at("$.logentry.message"), F.lit(""))
-    entry, formatted = at("$.logentry.message"), at("$.message.formatted")
-    template = F.when(at("$.logentry.formatted").isNotNull(), entry).when(text.isNotNull(), None).when(formatted.isNotNull(), at("$.message.message")).when(thrown.isNull(), entry)
-    return message, template
+    """(message, template) of ``event_told``."""
+    told = event_told(raw)
+    return told["message"], told["template"]
+
+
+def event_told(raw: Column) -> Column:
+    """struct<message, template>: formatted log entry, message text, formatted message, last exception, log entry template.
+    Only the log entry and the message object have a template, and only for their own text. No path is looked up twice,
+    and none that the text does not mention."""
+    at = lambda path: F.get_json_object(raw, path)
+    filled = lambda c: F.nullif(c, F.lit(""))
+
+    def within(p: Column) -> Column:
+        # Only an object has a text of its own within.
+        deeper = p["said"].startswith("{") | (p["said"] == "")
+        inner = {n: F.when(deeper, at(f"$.message.{path}")).alias(n) for n, path in (("inner", "formatted"), ("inner_entry", "message"))}
+        return let(F.struct(*(p[n].alias(n) for n in ("said", "formatted", "entry")), *inner.values()), choose)
+
+    def choose(p: Column) -> Column:
+        text = F.when(p["said"].startswith("{"), F.lit(None).cast("string")).otherwise(filled(p["said"]))
+        return let(F.struct(*(filled(p[n]).alias(n) for n in ("formatted", "entry", "inner", "inner_entry")), text.alias("text")), tell)
+
+    def tell(p: Column) -> Column:
+        own = F.coalesce(p["formatted"], p["text"], p["inner"])
+        thrown = F.when(own.isNull(), let(last_exception(raw), lambda last: F.coalesce(filled(last["value"]), filled(last["type"]))))
+
+        def both(thrown: Column) -> Column:
+            template = F.when(p["formatted"].isNotNull(), p["entry"]).when(p["text"].isNotNull(), None).when(p["inner"].isNotNull(), p["inner_entry"]).when(thrown.isNull(), p["entry"])
+            return F.struct(F.coalesce(own, thrown, p["entry"], F.lit("")).alias("message"), template.alias("template"))
+
+        return let(thrown, both)
+
+    entry = {n: F.when(mentions(raw, "logentry"), at(f"$.logentry.{path}")).alias(n) for n, path in (("formatted", "formatted"), ("entry", "message"))}
+    return let(F.struct(F.when(mentions(raw, "message"), at("$.message")).alias("said"), *entry.values()), within)
 
 
 class _Number(str):

@@ -16,23 +16,31 @@ def fingerprint(project_id: Column, raw: Column, message: Column, template: Colu
     """sha256 of the group as JSON text: the project, then a custom fingerprint, where {{default}} stands for the rest, or
     that rest: all exception types with the last eight frames of the last exception (those in the app, if any are),
     else its type and value, else the message template, else the message."""
-    chain = S.exceptions(raw)
-    last = F.element_at(chain, -1)
     text = lambda c: F.coalesce(c, F.lit(""))
-    every = F.filter(F.coalesce(last["stacktrace"]["frames"], F.array().cast("array<struct<module:string,function:string,filename:string,in_app:boolean>>")), lambda f: f.isNotNull())
-    own = F.filter(every, lambda f: F.coalesce(f["in_app"], F.lit(False)))
-    chosen = F.when(F.size(own) > 0, own).otherwise(every)
-    frames = F.transform(F.slice(chosen, F.greatest(F.size(chosen) - 7, F.lit(1)), F.lit(8)), lambda f: F.array(text(f["module"]), text(f["function"]), F.replace(text(f["filename"]), F.lit("\\"), F.lit("/"))))
-    types = F.transform(chain, lambda e: text(e["type"]))
-    stack = F.concat(F.lit('["stack",'), F.to_json(types), F.lit(","), F.to_json(frames), F.lit("]"))
-    thrown = F.to_json(F.array(F.lit("exception"), text(last["type"]), text(last["value"])))
     said = F.to_json(F.array(F.lit("message"), F.coalesce(template, message, F.lit(""))))
-    default = F.when(F.coalesce(F.size(chain), F.lit(0)) <= 0, said).when(F.size(every) > 0, stack).otherwise(thrown)
-    given = F.get_json_object(raw, "$.fingerprint")
-    custom = F.from_json(given, "array<string>")
-    # Only a list of nothing but strings counts.
-    named = F.transform(custom, lambda p: F.when(p.isin("{{default}}", "{{ default }}"), F.concat(F.lit('["default",'), default, F.lit("]"))).otherwise(F.to_json(F.array(F.lit("literal"), p))))
-    group = F.when((F.size(custom) > 0) & (F.to_json(custom) == given), F.concat(F.lit('["custom",['), F.array_join(named, ","), F.lit("]]"))).otherwise(default)
+
+    def stack(types: Column, every: Column) -> Column:
+        chosen = S.let(F.filter(every, lambda f: F.coalesce(f["in_app"], F.lit(False))), lambda own: F.when(F.size(own) > 0, own).otherwise(every))
+        last = S.let(chosen, lambda c: F.slice(c, F.greatest(F.size(c) - 7, F.lit(1)), F.lit(8)))
+        frames = F.transform(last, lambda f: F.array(text(f["module"]), text(f["function"]), F.replace(text(f["filename"]), F.lit("\\"), F.lit("/"))))
+        return F.concat(F.lit('["stack",'), F.to_json(types), F.lit(","), F.to_json(frames), F.lit("]"))
+
+    def thrown(chain: Column, last: Column) -> Column:
+        every = F.filter(F.coalesce(last["stacktrace"]["frames"], F.array().cast("array<struct<module:string,function:string,filename:string,in_app:boolean>>")), lambda f: f.isNotNull())
+        bare = F.to_json(F.array(F.lit("exception"), text(last["type"]), text(last["value"])))
+        return S.let(every, lambda e: F.when(F.size(e) > 0, stack(F.transform(chain, lambda x: text(x["type"])), e)).otherwise(bare))
+
+    default = S.let(S.exceptions(raw), lambda chain: F.when(F.coalesce(F.size(chain), F.lit(0)) <= 0, said).otherwise(S.let(F.element_at(chain, -1), lambda last: thrown(chain, last))))
+
+    def named(custom: Column, default: Column) -> Column:
+        return F.transform(custom, lambda p: F.when(p.isin("{{default}}", "{{ default }}"), F.concat(F.lit('["default",'), default, F.lit("]"))).otherwise(F.to_json(F.array(F.lit("literal"), p))))
+
+    def grouped(p: Column) -> Column:
+        # Only a list of nothing but strings counts.
+        listed = lambda c: F.when((F.size(c) > 0) & (F.to_json(c) == p["given"]), F.concat(F.lit('["custom",['), F.array_join(named(c, p["default"]), ","), F.lit("]]"))).otherwise(p["default"])
+        return F.when(p["given"].isNull(), p["default"]).otherwise(S.let(F.from_json(p["given"], "array<string>"), listed))
+
+    group = S.let(F.struct(default.alias("default"), F.when(S.mentions(raw, "fingerprint"), F.get_json_object(raw, "$.fingerprint")).alias("given")), grouped)
     return F.sha2(F.concat(F.lit('["grouping-v1",'), F.to_json(F.array(project_id.cast("string"))), F.lit(","), group, F.lit("]")), 256)
 
 

@@ -154,8 +154,9 @@ _FINGERPRINT = """select event_id, sha256('["grouping-v1",["' || user_id % 4 ||
 def _fingerprint(spark, d):
     from tidemark.plans.scalar_queries import raw_events
 
-    message, template = scalars.event_message(F.col("raw"))
-    return raw_events(spark, d).select("event_id", S.fingerprint(F.col("user_id") % 4, F.col("raw"), message, template).alias("issue_id"))
+    # What is said is read only where the fingerprint asks for it.
+    said = scalars.let(scalars.event_told(F.col("raw")), lambda t: F.coalesce(t["template"], t["message"]))
+    return raw_events(spark, d).select("event_id", S.fingerprint(F.col("user_id") % 4, F.col("raw"), said, F.lit(None)).alias("issue_id"))
 
 
 @query("issue_transitions", f"""{RECORDS_SQL}, state as (select project_id, issue_id, case when project_id % 2 = 0 then 'resolved' else 'ignored' end as status, 3 as revision from (select distinct project_id, issue_id, exception_type from records where issue_id is not null) where exception_type <> 'E1'),

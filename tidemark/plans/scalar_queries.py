@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact
 from tidemark.functions import scalars as S
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import RECORDS_SQL, records, table
+from tidemark.sources.adapters import RECORDS_SQL, dealt_events, records, table
 
 #: Raw levels, as events would carry them.
 _RAW = "case event_id % 7 when 0 then 'WARN' when 1 then 'critical' when 2 then '' when 3 then 'Info' when 4 then 'weird' when 5 then null else event_type end"
@@ -170,7 +170,7 @@ _RAW_JSON = """concat('{"event_id":"', md5(string(event_id)), '","level":"', eve
 
 def raw_events(spark, d):
     """events with ``raw``: the event as an SDK would send it."""
-    return _events(spark, d).withColumn("raw", F.expr(_RAW_JSON))
+    return dealt_events(spark, d).withColumn("raw", F.expr(_RAW_JSON))
 
 
 @query("fn_exception", """select event_id, case when event_id % 2 = 0 then 'E' || (user_id % 5) end as type, case when event_id % 2 = 0 then event_type || ' failed' end as value, case when event_id % 2 = 0 then event_id % 4 = 0 end as handled from events""")
@@ -182,8 +182,7 @@ def _exception(spark, d):
 @query("fn_event_message", """select event_id, case when event_id % 3 = 0 then 'took ' || (event_id % 50) when event_id % 5 = 0 then 'plain ' || (event_id % 11) when event_id % 2 = 0 then event_type || ' failed' else '' end as message,
   case when event_id % 3 = 0 then 'took %s' end as template from events""")
 def _message(spark, d):
-    message, template = S.event_message(F.col("raw"))
-    return raw_events(spark, d).select("event_id", message.alias("message"), template.alias("template"))
+    return raw_events(spark, d).select("event_id", S.event_told(F.col("raw")).alias("told")).select("event_id", "told.message", "told.template")
 
 
 @query("fn_json_extract", "select event_id, 'svc-' || (user_id % 7) as service, user_id as user, event_type as level from events")

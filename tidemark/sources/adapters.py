@@ -9,14 +9,22 @@ from tidemark.sources.io import shared_path
 from tidemark.sources.schema import ATTRIBUTE
 
 LANES = 16
-#: Bytes of event files that one file of the written records table holds, about.
+#: Bytes of event files that one file of the written records table holds, about, and that one task of dealt events takes.
 PART_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events dealt over tasks by id, for much work a row: a part of a Parquet file that one task must read can hold a
+    million rows. Before the work is done, rows are narrow."""
+    files = _files(spark, f"{sf_dir}/events.parquet")
+    return table(spark, sf_dir, "events").repartition(_parts(spark, files, TASK_BYTES), "event_id")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without zone, taken as UTC."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -84,6 +92,10 @@ def _files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted(out))
 
 
+def _parts(spark: SparkSession, files: tuple[tuple[str, int, int], ...], part_bytes: int = PART_BYTES) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-sum(size for _, size, _ in files) // part_bytes))
+
+
 def records_by_time(events: DataFrame, parts: int) -> DataFrame:
     """Records in ``parts`` ranges of time. Events are shuffled, as records are many times as wide; event_time_us is in the order of ts."""
     return records_of(events.repartitionByRange(parts, "ts").sortWithinPartitions("ts"))
@@ -94,8 +106,7 @@ def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Searches read it, so that their filters on record columns reach Parquet and no identity is computed again."""
     files = _files(spark, f"{sf_dir}/events.parquet")
     key = spark.sparkContext.applicationId, sf_dir, files
-    parts = max(spark.sparkContext.defaultParallelism, -(-sum(size for _, size, _ in files) // PART_BYTES))
-    rows = records_by_time(table(spark, sf_dir, "events"), parts)
+    rows = records_by_time(table(spark, sf_dir, "events"), _parts(spark, files))
     path = _written.get(key)
     if path is None or not _exists(spark, path):
         path = shared_path(spark, "records")
