@@ -362,3 +362,21 @@ def test_fingerprint_reads_each_path_once_and_escaped_keys_too(spark):
     assert [r.f for r in got.orderBy("i").collect()] == [hashlib.sha256(f'["grouping-v1",["7"],{g}]'.encode()).hexdigest() for g in groups]
     plan = got._jdf.queryExecution().analyzed().toString()
     assert plan.count("$.fingerprint") == 1 and plan.count("$.exception.values") == 2 and plan.count("$.logentry.formatted") == 1
+
+
+def test_ordered_hash_takes_packed_blocks(spark):
+    """Random ids go to the one task that hashes them in about half their bytes, in few rows; values repeat over blocks."""
+    ids = sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000))
+    few = [""] * 300 + ["a"] + ["b"] * 700 + ["bc", "é\n"]
+    df = spark.createDataFrame([("ids", v) for v in ids] + [("few", v) for v in few[::-1]], "k string, v string").repartition(4)
+    blocks = {r["k"]: r for r in A.packed(df, ["k"], "v").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__block")).alias("bytes")).collect()}
+    assert blocks["ids"]["n"] < 200 and blocks["ids"]["bytes"] < 0.55 * 65 * len(ids)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        hashes = A.ordered_hashes(df, ["k"], "v", "hash")
+        got = {r.k: r.hash for r in hashes.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in (("ids", ids), ("few", few))}
+    plan = hashes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression [k") < plan.rindex("MapInArrow") and plan.count("MapInArrow") == 2

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -220,28 +221,61 @@ def bundle_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return with_ordered_hash(stats, rows, keys, "record_id", "identity_sha256")
 
 
+#: Bytes of text that a block of sorted values holds, about, before it is compressed.
+BLOCK_BYTES = 16 << 10
+
+
+def _runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[int, int]]:
+    """[first, end) of each run of rows with equal keys."""
+    if not batch.num_rows:
+        return
+    new = np.zeros(batch.num_rows, bool)
+    for c in batch.columns[:n_keys]:
+        new[1:] |= np.diff(np.asarray(c.dictionary_encode(null_encoding="encode").indices)) != 0
+    begins = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+    yield from zip(begins, begins[1:])
+
+
+def _pack(n_keys: int, fields: list[str]):
+    """Rows sorted by keys, then value, as compressed blocks of values, one per line, with their first and last value; a run
+    of nulls is an empty block."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            at, blocks = [], []
+            for lo, hi in _runs(batch, n_keys):
+                values = batch.column(n_keys).slice(lo, hi - lo).drop_null().to_pylist()
+                step = max(1, BLOCK_BYTES * len(values) // (sum(map(len, values)) + len(values) + 1))
+                for part in [values[i : i + step] for i in range(0, len(values), step)]:
+                    text = "\n".join(part).encode()
+                    blocks.append((part[0], part[-1], len(text), codec.compress(text, asbytes=True)))
+                if not values:
+                    blocks.append((None, None, None, None))
+                at += [lo] * (len(blocks) - len(at))
+            packed = [pa.array(list(c), k) for c, k in zip(zip(*blocks) if blocks else [()] * 4, kinds)]
+            yield pa.record_batch([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:n_keys]), *packed], fields)
+
+    return run
+
+
 def _stream_hashes(n_keys: int, fields: list[str]):
-    """Streams rows sorted by keys, then value: each group's keys and the hash of its values, one row held at a time."""
+    """Streams blocks sorted by keys, then values: each group's keys and the hash of its values, one block unpacked at a time."""
 
     def run(batches):
-        key, digest, some = None, None, False
+        codec, key, digest, some = pa.Codec("zstd"), None, None, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.zeros(batch.num_rows, bool)
-            for c in batch.columns[:n_keys]:
-                new[1:] |= np.diff(np.asarray(c.dictionary_encode(null_encoding="encode").indices)) != 0
-            begins = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            for lo, hi in zip(begins, begins[1:]):
+            for lo, hi in _runs(batch, n_keys):
                 at = batch.slice(lo, 1)
                 if key is None or [c.slice(0, 1).to_pylist() for c in at.columns[:n_keys]] != [c.to_pylist() for c in key.columns]:
                     if key is not None:
                         yield row(key, digest, some)
                     key, digest, some = at.select(fields[:n_keys]), hashlib.sha256(), False
-                values = batch.column(n_keys).slice(lo, hi - lo).drop_null().to_pylist()
-                if values:
-                    digest.update(("\n" * some + "\n".join(values)).encode())
-                    some = True
+                for size, block in zip(batch.column("__bytes").slice(lo, hi - lo).to_pylist(), batch.column("__block").slice(lo, hi - lo)):
+                    if size is not None:
+                        digest.update(b"\n" * some + (codec.decompress(block.as_buffer(), size, asbytes=True) if size else b""))
+                        some = True
         if key is not None:
             yield row(key, digest, some)
 
@@ -251,15 +285,25 @@ def _stream_hashes(n_keys: int, fields: list[str]):
     return run
 
 
+def packed(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, __first, __last, __bytes, __block): each group's values as sorted, compressed blocks. All tasks sort a range each;
+    as equal values share a range, blocks in the order of first and last value are the group's values in order."""
+    src = rows.select(*keys, F.col(column).cast("string").alias("__value"))
+    more = [("__first", T.StringType()), ("__last", T.StringType()), ("__bytes", T.LongType()), ("__block", T.BinaryType())]
+    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(n, t) for n, t in more)])
+    return src.repartitionByRange(*keys, "__value").sortWithinPartitions(*keys, "__value").mapInArrow(_pack(len(keys), [*keys, *(n for n, _ in more)]), schema)
+
+
 def ordered_hashes(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """(keys, name): sha256 of each group's values in order, one per line, nulls left out.
 
-    The hash of a sequence takes its values one after another, so a group's
-    sorted values stream through one task; no group is held in memory, whatever its size.
+    The hash of a sequence takes its values one after another, so a group's values
+    stream through one task, but packed and sorted by all tasks before; no group
+    is held in memory, whatever its size.
     """
-    src = rows.select(*keys, F.col(column).cast("string").alias("__value"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField(name, T.StringType())])
-    return src.repartition(*keys).sortWithinPartitions(*keys, "__value").mapInArrow(_stream_hashes(len(keys), [*keys, name]), schema)
+    blocks = packed(rows, keys, column)
+    schema = T.StructType([*blocks.schema.fields[: len(keys)], T.StructField(name, T.StringType())])
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, "__first", "__last").mapInArrow(_stream_hashes(len(keys), [*keys, name]), schema)
 
 
 def with_ordered_hash(groups: DataFrame, rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
