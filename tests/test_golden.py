@@ -380,3 +380,16 @@ def test_ordered_hash_takes_packed_blocks(spark):
     assert got == {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in (("ids", ids), ("few", few))}
     plan = hashes._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RepartitionByExpression [k") < plan.rindex("MapInArrow") and plan.count("MapInArrow") == 2
+
+
+def test_log_entries_are_plain_columns(spark):
+    """No map of all attributes is made and nothing is interpreted row by row; wrapped, absent, null and odd values stay apart."""
+    from tidemark.operators import normalize
+
+    texts = ['{"level":"warn","severity_number":"5","attributes":{"sentry.severity_number":{"type":"integer","value":9}}}', '{"severity_number":null,"attributes":{"sentry.severity_number":{"x":1}}}', '{"severity_number":null,"attributes":[]}', '{"severity_number":17,"attributes":{"sentry.severity_text":{"value":null},"service.name":7}}', '{"a":1,"a":2}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    logs = normalize.normalize_logs(df, "fallback")
+    got = [(r.level, r.severity_number, r.service, r.warnings) for r in logs.orderBy("i").collect()]
+    assert got == [("warning", 9, "fallback", ["severity_level_conflict"]), ("unknown", None, "fallback", ["invalid_severity_number"]), ("unknown", None, "fallback", []), ("unknown", 17, None, []), ("unknown", None, "fallback", []), ("unknown", None, "fallback", [])]
+    plan = logs.select("i", "warnings")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "map<string,variant>" not in plan and "transform" not in plan and "server.address" not in plan

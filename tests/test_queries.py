@@ -77,3 +77,9 @@ def test_payload_rows_are_dealt_over_all_cores(spark):
     assert table(spark, SF, "events").rdd.getNumPartitions() == 1
     rows = [len(p) for p in raw_events(spark, SF).select("event_id").rdd.glom().collect()]
     assert len(rows) >= spark.sparkContext.defaultParallelism and sum(rows) == table(spark, SF, "events").count() and max(rows) < sum(rows) / 4
+
+
+def test_raw_logs_are_dealt_over_all_cores(spark):
+    from tidemark.plans.ingest_queries import raw_logs
+
+    assert raw_logs(spark, SF).select("event_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

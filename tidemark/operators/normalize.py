@@ -347,42 +347,41 @@ LOG_ATTRIBUTES = (
 )
 
 
-def _entries(raw: Column, path: str, keys: tuple[str, ...], wrapped: bool = False) -> Column:
-    """map<key, struct<text, number, empty>> of a JSON object's ``keys``, so that texts and numbers stay apart: ``text`` of
-    strings, ``number`` of integers, ``empty`` for null. Values may be ``wrapped`` in {value}."""
+def _entry(parsed: Column, path: str, key: str, wrapped: bool = False) -> Column:
+    """The value of a parsed object's ``key`` as a variant, null if it is not there. It may be ``wrapped`` in {value}; an
+    object without a value stays as it is, neither a text nor a number."""
+    found = F.try_variant_get(parsed, f"{path}['{key}']", "variant")
+    return F.coalesce(F.try_variant_get(parsed, f"{path}['{key}'].value", "variant"), found) if wrapped else found
 
-    def one(_, v: Column) -> Column:
-        if wrapped:
-            v = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.value", "variant")).otherwise(v)
-        kind = F.schema_of_variant(v)
-        return F.struct(F.when(kind == "STRING", v.cast("string")).alias("text"), F.when(kind == "BIGINT", v.cast("bigint")).alias("number"), F.is_variant_null(v).alias("empty"))
 
-    held = F.try_variant_get(F.try_parse_json(raw), path, "map<string,variant>")
-    return F.transform_values(F.map_filter(held, lambda k, _: k.isin(*keys)), one)
-
-
-def _first_text(held: Column, *keys: str, fallback: Column | None = None) -> Column:
-    """The text of the first key that is there, null if that is no text; the fallback only where none is there."""
-    entries = [F.try_element_at(held, F.lit(k)) for k in keys]
+def _first_text(*entries: tuple[Column, Column], fallback: Column | None = None) -> Column:
+    """The text of the first entry (value, its type) that is there, null if that is no text; the fallback only where none is there."""
     out = F.lit(None).cast("string") if fallback is None else fallback
-    for e in reversed(entries):
-        out = F.when(e.isNotNull(), e["text"]).otherwise(out)
+    for value, kind in reversed(entries):
+        out = F.when(kind.isNull(), out).when(kind == "STRING", value.cast("string"))
     return out
 
 
 def normalize_logs(rows: DataFrame, default_service: str | None = None, sdk: tuple[Column, Column] | None = None, raw: str = "raw") -> DataFrame:
     """Record columns of log items and their ``warnings``. Release, environment, service, logger, server and SDK come
     from attributes; service, logger and SDK have fall-backs (a default, the log's own field, the envelope's ``sdk`` name and version)."""
-    r, fields, held = F.col(raw), F.col("__f"), F.col("__a")
-    at = lambda key: F.coalesce(_first_text(fields, key), F.lit(""))
-    text = lambda *keys, fallback=None: _first_text(held, *keys, fallback=fallback)
-    field, beside = F.try_element_at(fields, F.lit("severity_number")), F.try_element_at(held, F.lit("sentry.severity_number"))
-    within = lambda e: F.when(e["number"].between(1, 24), e["number"].cast("smallint"))
+    r, names = F.col(raw), {k: f"__{i}" for i, k in enumerate(LOG_FIELDS + LOG_ATTRIBUTES)}
+    entry = lambda key: (F.col(names[key]), F.col(f"{names[key]}_kind"))
+    at = lambda key: F.coalesce(_first_text(entry(key)), F.lit(""))
+    text = lambda *keys, fallback=None: _first_text(*map(entry, keys), fallback=fallback)
+    integer = lambda key: F.when(entry(key)[1] == "BIGINT", entry(key)[0].cast("bigint"))
+    field, beside = F.col("__field"), F.col("__beside")
+    within = lambda e: F.when(e.between(1, 24), e.cast("smallint"))
     us, ns = S.parse_timestamp(F.nullif(F.get_json_object(r, "$.timestamp"), F.lit("")))
     name, version = sdk or (F.lit(None).cast("string"), F.lit(None).cast("string"))
     level = at("level")
-    parsed = rows.withColumns({"__f": _entries(r, "$", LOG_FIELDS), "__a": _entries(r, "$.attributes", LOG_ATTRIBUTES, wrapped=True)}).withColumns({
-        "__number": F.coalesce(within(field), within(beside)), "__given": F.coalesce(~field["empty"], F.lit(False)) | beside.isNotNull(),
+    # Plain columns for each entry: those that nothing asks for are not looked up, and nothing is interpreted row by row.
+    held = {names[k]: _entry(F.col("__v"), "$", k) for k in LOG_FIELDS} | {names[k]: _entry(F.col("__v"), "$.attributes", k, wrapped=True) for k in LOG_ATTRIBUTES}
+    kinds = {f"{c}_kind": F.schema_of_variant(F.col(c)) for c in held}
+    given = (entry("severity_number")[1].isNotNull() & ~F.is_variant_null(entry("severity_number")[0])) | entry("sentry.severity_number")[1].isNotNull()
+    typed = rows.withColumn("__v", F.try_parse_json(r)).withColumns(held).withColumns(kinds).withColumns({"__field": integer("severity_number"), "__beside": integer("sentry.severity_number")})
+    parsed = typed.withColumns({
+        "__number": F.coalesce(within(field), within(beside)), "__given": given,
         "__own": S.level(level, False), "__said": F.when(level != "", level).otherwise(F.coalesce(text("sentry.severity_text"), F.lit(""))),
         "__trace": F.nullif(at("trace_id"), F.lit("")), "__span": F.coalesce(F.nullif(at("span_id"), F.lit("")), F.nullif(text("sentry.trace.parent_span_id"), F.lit(""))),
     })
@@ -395,7 +394,7 @@ def normalize_logs(rows: DataFrame, default_service: str | None = None, sdk: tup
     return parsed.select(
         *rows.columns, F.lit("log").alias("record_kind"), us.alias("event_time_us"), ns.alias("event_time_ns_remainder"), said.alias("original_level"), lvl.alias("level"),
         F.coalesce(number, S.representative_severity(lvl)).alias("severity_number"), at("body").alias("message"), F.nullif(text("sentry.message.template"), F.lit("")).alias("message_template"),
-        text("service.name", fallback=F.lit(default_service).cast("string")).alias("service"), text("logger.name", fallback=_first_text(fields, "logger")).alias("logger"),
+        text("service.name", fallback=F.lit(default_service).cast("string")).alias("service"), text("logger.name", fallback=text("logger")).alias("logger"),
         text("server.address", "sentry.server.address", "server.name").alias("server_name"), text("sentry.environment").alias("environment"), text("sentry.release").alias("release"),
         text("sentry.sdk.name", fallback=name).alias("sdk_name"), text("sentry.sdk.version", fallback=version).alias("sdk_version"),
         S.trace_id(trace).alias("trace_id"), S.span_id(span).alias("span_id"), F.array_compact(warned).alias("warnings"),

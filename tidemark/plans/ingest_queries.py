@@ -9,7 +9,7 @@ from tidemark.functions import tables as TF
 from tidemark.operators import normalize as N
 from tidemark.plans.registry import query
 from tidemark.plans.scalar_queries import raw_events
-from tidemark.sources.adapters import table
+from tidemark.sources.adapters import dealt_events, table
 
 #: Three items per envelope: an event, a log container or an unknown item, a client report.
 _ENVELOPE = r"""concat('{"event_id":"', md5(string(event_id)), '"}\n{"type":"event","length":', octet_length(raw), '}\n', raw, '\n',
@@ -97,7 +97,7 @@ _LOG = """concat('{"body":"', event_type, ' ', event_id, '","level":"', if(event
 
 
 def raw_logs(spark, d):
-    return table(spark, d, "events").withColumn("raw", F.expr(_LOG))
+    return dealt_events(spark, d).withColumn("raw", F.expr(_LOG))
 
 
 _LOG_SQL = """with named as (select *, case when event_id % 10 <> 9 and event_id % 30 between 1 and 24 then event_id % 30 when event_id % 7 = 0 then 2 end as n, case when event_id % 3 = 0 then 'warning' when event_id % 6 = 1 then 'fatal' else 'unknown' end as lvl from events)"""
